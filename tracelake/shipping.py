@@ -19,9 +19,8 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if any("tracelake-sources" in f for f in context._python_includes):
         return
-    with tempfile.TemporaryDirectory() as folder:
-        path = Path(folder, "tracelake-sources.zip")
-        with zipfile.ZipFile(path, "w") as z:
-            for f in sorted(_ROOT.glob("tracelake/**/*.py")):
-                z.write(f, f.relative_to(_ROOT))
-        context.addPyFile(str(path))
+    path = Path(tempfile.mkdtemp(prefix="tracelake-"), "tracelake-sources.zip")  # the driver serves it as long as it runs
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(_ROOT.glob("tracelake/**/*.py")):
+            z.write(f, f.relative_to(_ROOT))
+    context.addPyFile(str(path))
