@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import fold, read
+from tracelake.llm.common import fold, map_arrow, read
 from tracelake.llm.textops import byte_view, mix, prefix_hash, powers, slices, texts_of
 
 #: n-gram lengths in bytes of UTF-8 text.
@@ -88,7 +88,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([lang, pa.array((keys & ~_U(MOST_LANGUAGES - 1)).view(np.int64)), pa.array(counts)], ["lang", "gram", "n"])
 
     rows = docs.filter("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), "text")
-    return rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return map_arrow(rows, run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def learn(docs: DataFrame, min_share: float = MIN_SHARE) -> tuple[list[str], np.ndarray]:
@@ -142,7 +142,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
             lang = pc.if_else(pa.array(letters & (k > 0)), lang, "und")
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), lang, pa.array(np.clip(np.where(letters, score, 0), 0, 1))], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")), run, "doc_id long, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import fold, read
+from tracelake.llm.common import fold, map_arrow, read
 from tracelake.llm.textops import Words, byte_view, slices, texts_of
 
 #: Bound of the labelled sample, for each label.
@@ -92,7 +92,7 @@ def with_features(docs: DataFrame) -> DataFrame:
             at = np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(at), pa.array(x.ravel()))], ["doc_id", "x"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, x array<double>")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, x array<double>")
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, rounds: int = ROUNDS) -> tuple[np.ndarray, float, float]:
@@ -144,7 +144,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float, float]) -> DataFrame:
             z = np.clip((features_of(b.column("text")) @ w - cut) * scale, -500, 500)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(1 / (1 + np.exp(-z)))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, learn_from=None) -> DataFrame:
@@ -165,7 +165,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
             z = (features_of(b.column("text")) @ w - cut) * scale
             yield b.filter(pa.array(z >= 0)).select(names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def query(spark, sf_dir):

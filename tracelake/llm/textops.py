@@ -86,6 +86,10 @@ def window_hash(sums: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray
     return mix((sums[starts + length] - sums[starts]) * down[starts])
 
 
+#: Letters lower-cased, digits and all beyond ASCII kept, the rest a space.
+PLAIN = np.where(np.isin(np.arange(256), [*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]), _LOWER, 0x20).astype(np.uint8)
+
+
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a slice of texts, A-Z lower-cased.
 
@@ -93,13 +97,14 @@ class Words:
     number of the first word of each row (with one more entry at the end).
     """
 
-    def __init__(self, texts: pa.LargeStringArray, lower: bool = True):
+    def __init__(self, texts: pa.LargeStringArray, table: np.ndarray = _LOWER):
+        """table: what each byte becomes before the text is cut into words."""
         raw, at = byte_view(texts)
         n = len(texts)
         data = np.full(len(raw) + n, 0x20, dtype=np.uint8)  # a space between rows
         place = np.ones(len(data), dtype=bool)
         place[at[1:] + np.arange(n)] = False
-        data[place] = _LOWER[raw] if lower else raw
+        data[place] = table[raw]
         self.row_start = at[:-1] + np.arange(n)
         space = _IS_SPACE[data]
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1
