@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracelake.llm import decontaminate, exact_dedup, language, packing, quality, url_rules
+from tracelake.llm import decontaminate, exact_dedup, language, packing, quality, suffix_dedup, url_rules
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op4_url_rules": url_rules.query,
         "op5_exact_dedup": exact_dedup.query,
         "op6_language": language.query,
+        "op7_suffix_dedup": suffix_dedup.query,
         "op8_packing": packing.query,
         "op10_decontamination": decontaminate.query,
     }
