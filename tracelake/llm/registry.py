@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tracelake.llm import decontaminate, exact_dedup, language, packing, quality, suffix_dedup, url_rules
+from tracelake.llm import decontaminate, exact_dedup, html_text, language, packing, quality, suffix_dedup, url_rules
 
 
 def queries():
     return {
+        "op1_html_text": html_text.query,
         "op3_quality": quality.query,
         "op4_url_rules": url_rules.query,
         "op5_exact_dedup": exact_dedup.query,
