@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tracelake.llm.common import read, saved
+from tracelake.llm.decontaminate import drop_contaminated
 from tracelake.llm.exact_dedup import drop_copies
+from tracelake.llm.jaccard_join import keep_one
+from tracelake.llm.packing import pack
 from tracelake.llm.quality import keep_good
 
 
@@ -19,7 +22,22 @@ def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_copies(docs)
 
 
-STAGES = [("quality classifier", good), ("exact dedup", copies)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id."""
+    return keep_one(docs)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per packed piece of the documents that are left."""
+    return pack(docs)
+
+
+STAGES = [("quality classifier", good), ("exact dedup", copies), ("n-gram Jaccard join", near_copies), ("benchmark decontamination", clean), ("best-fit packing", sequences)]
 
 #: The classifier is learned and the tokenizer is not a SQL function.
 ORACLE_SQL = None

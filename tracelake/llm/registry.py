@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from tracelake.llm import decontaminate, exact_dedup, html_text, language, packing, quality, suffix_dedup, url_rules
+from tracelake.llm import decontaminate, exact_dedup, html_text, jaccard_join, language, license_scan, packing, quality, suffix_dedup, url_rules
 
 
 def queries():
     return {
         "op1_html_text": html_text.query,
+        "op2_license_scan": license_scan.query,
         "op3_quality": quality.query,
         "op4_url_rules": url_rules.query,
         "op5_exact_dedup": exact_dedup.query,
         "op6_language": language.query,
         "op7_suffix_dedup": suffix_dedup.query,
         "op8_packing": packing.query,
+        "op9_jaccard_join": jaccard_join.query,
         "op10_decontamination": decontaminate.query,
     }
 
