@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
+import importlib
+
+from tracelake.plans import registry
+
+MODULES = ("q_basic",)
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"tracelake.plans.{name}")
+
 
 def queries():
-    return {}
+    _load()
+    return dict(registry.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    _load()
+    return dict(registry.ORACLE)
+
+
+def entry(spark):
+    return queries()["g1_dependency_edges"](spark, "/root/testdata/sf0.001")
