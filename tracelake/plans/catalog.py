@@ -6,7 +6,7 @@ import importlib
 
 from tracelake.plans import registry
 
-MODULES = ("q_basic",)
+MODULES = ("q_basic", "q_spans")
 
 
 def _load() -> None:
