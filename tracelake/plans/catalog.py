@@ -6,7 +6,7 @@ import importlib
 
 from tracelake.plans import registry
 
-MODULES = ("q_basic", "q_spans")
+MODULES = ("q_basic", "q_spans", "q_graph", "q_series", "q_logs", "q_vectors")
 
 
 def _load() -> None:
