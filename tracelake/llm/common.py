@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,9 +51,19 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """``mapInArrow`` with this package on the workers' path."""
+    """``mapInArrow`` with this package on the workers' path.
+
+    Workers stay for later tasks, so each gives back the memory that it has freed.
+    """
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def bounded(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return df.mapInArrow(bounded, schema)
 
 
 def partitions(spark: SparkSession) -> int:
