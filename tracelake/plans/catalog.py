@@ -6,7 +6,7 @@ import importlib
 
 from tracelake.plans import registry
 
-MODULES = ("q_basic", "q_spans", "q_graph", "q_series", "q_logs", "q_vectors")
+MODULES = ("q_basic", "q_spans", "q_graph", "q_series", "q_logs", "q_vectors", "q_streaming")
 
 
 def _load() -> None:
