@@ -103,30 +103,31 @@ def _(spark, sf):
     return rounded(P.traffic_spikes(spans(spark, sf), 7 * 86400), "mean")
 
 
-RETRY = F.col("line") > 4
+def retry():
+    return F.col("line") > 4
 
 
 @query("q1_q5_retry_storms", f"""WITH {SPANS}, g AS (SELECT service, count(*) AS requests, count(DISTINCT trace_id) AS traces, count(*) FILTER (WHERE line > 4) AS retries, count(*) FILTER (WHERE error_type = 'Timeout') AS timeouts FROM spans GROUP BY ALL)
 SELECT service, requests, traces, retries, timeouts, round(requests / CAST(traces AS DOUBLE), 6) AS ratio, retries * 2 AS wasted FROM g WHERE requests >= 100 AND requests / CAST(traces AS DOUBLE) >= 1.1""")
 def _(spark, sf):
-    out = P.retry_storms(spans(spark, sf), RETRY, ["service"], 100, 1.1, 86400)
+    out = P.retry_storms(spans(spark, sf), retry(), ["service"], 100, 1.1, 86400)
     return rounded(out.select("service", "requests", "traces", "retries", "timeouts", "ratio", "wasted"), "ratio", digits=6)
 
 
 @query("q2_q3_retry_shape", f"WITH {SPANS}, b AS (SELECT service, time_bucket(INTERVAL '90 days', start_ts, TIMESTAMP '1970-01-01 00:00:00') AS bucket, count(*) AS n FROM spans WHERE line > 4 GROUP BY ALL) SELECT service, count(*) AS points, round(stddev_pop(n) / avg(n), 6) AS cv FROM b GROUP BY service")
 def _(spark, sf):
-    b = spans(spark, sf).filter(RETRY).groupBy("service", F.window("start_ts", "90 days")["start"].alias("bucket")).agg(F.count("*").alias("n"))
+    b = spans(spark, sf).filter(retry()).groupBy("service", F.window("start_ts", "90 days")["start"].alias("bucket")).agg(F.count("*").alias("n"))
     return rounded(P.retry_shape(b, ["service"]).select("service", "points", "cv"), "cv", digits=6)
 
 
 @query("q4_retry_causes", f"WITH {SPANS}, p AS (SELECT service, error_type, count(*) AS n FROM spans WHERE line > 4 AND is_error GROUP BY ALL) SELECT service, arg_max(error_type, struct_pack(a := n, b := error_type)) AS cause, max(n) AS n FROM p GROUP BY service")
 def _(spark, sf):
-    return P.retry_causes(spans(spark, sf), RETRY).select("service", "cause", "n")
+    return P.retry_causes(spans(spark, sf), retry()).select("service", "cause", "n")
 
 
 @query("q6_retry_cascades", f"WITH {_CALLS} SELECT source, target, count(*) AS calls, round(count(*) FILTER (WHERE line > 4) / CAST(count(*) AS DOUBLE), 6) AS retry_rate FROM calls GROUP BY ALL HAVING count(*) FILTER (WHERE line > 4) / CAST(count(*) AS DOUBLE) > 0.2")
 def _(spark, sf):
-    return rounded(P.retry_cascades(spans(spark, sf), RETRY).drop("amplification"), "retry_rate", digits=6)
+    return rounded(P.retry_cascades(spans(spark, sf), retry()).drop("amplification"), "retry_rate", digits=6)
 
 
 _COST = f"""{SPANS}, c AS (SELECT service, count(*) AS requests, avg(duration_ms) AS avg, sum(duration_ms) / 3600000 * 0.2 + count(*) * 1024 / 1e9 * 0.01 + count(*) / 1e6 * 0.2 + 0.01 / 720 * 24 AS cost FROM spans GROUP BY service)"""

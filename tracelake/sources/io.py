@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SPAN_SCHEMA = T.StructType.fromDDL(
+SPAN_SCHEMA = (
     "trace_id string, span_id string, parent_span_id string, service string, operation string, start_ts timestamp, duration_ms double, is_error boolean, status string, error_type string, error_message string, "
     "http_url string, http_status int, http_retry boolean, http_retry_count int, attributes map<string,string>, events array<struct<name:string,ts:timestamp,attributes:map<string,string>>>"
 )
-LOG_SCHEMA = T.StructType.fromDDL("ts timestamp, level string, message string, service string, trace_id string, span_id string, attributes map<string,string>")
-METRIC_SCHEMA = T.StructType.fromDDL("ts timestamp, metric string, service string, value double, attributes map<string,string>")
+LOG_SCHEMA = "ts timestamp, level string, message string, service string, trace_id string, span_id string, attributes map<string,string>"
+METRIC_SCHEMA = "ts timestamp, metric string, service string, value double, attributes map<string,string>"
 
 # fixed values: names under which the fields are met
 ALIASES = {
@@ -109,7 +109,7 @@ def normalize_logs(df: DataFrame) -> DataFrame:
     )
 
 
-def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
+def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | str | None = None) -> DataFrame:
     reader = spark.read.format(fmt)
     return (reader.schema(schema) if schema is not None else reader).load(path)
 
@@ -144,7 +144,7 @@ def wide_to_long(df: DataFrame, ids: Sequence[str], columns: Sequence[str]) -> D
     return df.unpivot(list(ids), list(columns), "metric", "value").filter(F.col("value").isNotNull())
 
 
-def stream_table(spark: SparkSession, path: str, schema: T.StructType, ts: str, fmt: str = "parquet", files_per_trigger: int | None = None) -> DataFrame:
+def stream_table(spark: SparkSession, path: str, schema: T.StructType | str, ts: str, fmt: str = "parquet", files_per_trigger: int | None = None) -> DataFrame:
     """A file stream whose event time is a TIMESTAMP, as watermarks need it."""
     reader = spark.readStream.schema(schema).format(fmt)
     if files_per_trigger:

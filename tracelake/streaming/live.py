@@ -52,7 +52,8 @@ def enriched(df: DataFrame, services: DataFrame) -> DataFrame:
     return df.join(services, "service", "left")
 
 
-DRIFT = T.StructType.fromDDL("service string, start timestamp, count long, error_rate double, mean double, volume_drift double, error_drift double, mean_drift double")
+DRIFT = "service string, start timestamp, count long, error_rate double, mean double, volume_drift double, error_drift double, mean_drift double"
+DRIFT_NAMES = [c.split()[0] for c in DRIFT.split(", ")]
 
 
 def drift(df: DataFrame, window_s: int = 3600, watermark: str = "10 minutes", error: str = "level = 'error'", value: str = "value") -> DataFrame:
@@ -91,7 +92,7 @@ def drift(df: DataFrame, window_s: int = 3600, watermark: str = "10 minutes", er
         state.update(tuple([left, *([open_[s][i] for s in left] for i in range(3)), last]))
         if left:
             state.setTimeoutTimestamp(max(left[0] + width, now + 1))
-        yield pd.DataFrame(out, columns=DRIFT.names).astype({"start": "datetime64[ns]", "count": "int64", **{c: float for c in DRIFT.names[3:]}})
+        yield pd.DataFrame(out, columns=DRIFT_NAMES).astype({"start": "datetime64[ns]", "count": "int64", **{c: float for c in DRIFT_NAMES[3:]}})
 
     kinds = "starts array<long>, counts array<long>, bad array<double>, sums array<double>, last array<double>"
     return rows.groupBy("service").applyInPandasWithState(run, DRIFT, kinds, "append", GroupStateTimeout.EventTimeTimeout)
