@@ -105,7 +105,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, rounds:
         chosen = part if chosen is None else chosen.unionByName(part)
     sample = docs.join(F.broadcast(chosen), "doc_id")  # 2 * most ids at the most
     rows = with_features(sample).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "x").dropDuplicates(["doc_id"]).toPandas()
-    x, y = np.array(rows["x"].tolist(), dtype=float).reshape(len(rows), -1), rows["quality"].to_numpy()
+    x, y = np.array(rows["x"].tolist(), dtype=float).reshape(len(rows), len(FEATURES)), rows["quality"].to_numpy()
     order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
     x, y = x[order], y[order]
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
