@@ -47,10 +47,10 @@ def _(spark, sf):
     return logs(spark, sf).groupBy(F.window("ts", "6 hours")["start"].alias("ts")).agg(F.count("*").cast("double").alias("value"))
 
 
-@query("r3_fill_missing", f"""WITH {S1}, g AS (SELECT metric, i, CASE WHEN i % 3 <> 1 THEN value END AS value FROM s), n AS (SELECT metric, i, value, lag(value) OVER w AS p, lead(value) OVER w AS n FROM g WINDOW w AS (PARTITION BY metric ORDER BY i)) SELECT metric, i, round(coalesce(value, p + (n - p) * 0.5, p, n, 0), 4) AS value FROM n""")
+@query("r3_fill_missing", f"""WITH {S1}, g AS (SELECT metric, i, CASE WHEN i % 3 <> 1 THEN value END AS value FROM s), n AS (SELECT metric, i, value, lag(value) OVER w AS p, lead(value) OVER w AS n FROM g WINDOW w AS (PARTITION BY metric ORDER BY i)) SELECT metric, i, round(coalesce(value, p + (n - p) * 0.5, p, n, 0), 8) AS value FROM n""")
 def _(spark, sf):
     holes = daily(spark, sf).withColumn("value", F.when(F.col("i") % 3 != 1, F.col("value")))
-    return rounded(R.fill_missing(holes, M).select("metric", "i", "value"), "value")
+    return rounded(R.fill_missing(holes, M).select("metric", "i", "value"), "value", digits=8)
 
 
 @query("r4_sma", f"WITH {S1} SELECT metric, i, round(avg(value) OVER (PARTITION BY metric ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 4) AS smooth FROM s")
