@@ -2,8 +2,9 @@
 
 A document's set holds its distinct five-word shingles (64-bit hashes). Two sets of Jaccard
 similarity t or more share a shingle among the first n - ceil(t n) + 1 of each, in any order
-that all documents keep; here the corpus' frequent shingles come last, so that common
-passages bring few documents together. Documents with equal sets stand for one another.
+that all documents keep; here shingles are ordered by their counts in a fixed-size sketch of the
+whole corpus, the rare ones first, so that common passages bring few documents together.
+Documents with equal sets stand for one another.
 
 Shingles are also hashed into ``GROUPS`` groups, and a set's group counts are a point. The
 overlap of two sets is at most the sum of their coordinate minima, and the overlap of a set
@@ -11,10 +12,10 @@ with any member of an R-tree node is at most the sum of minima with the node's u
 Each block (documents that share a prefix shingle) indexes its points in such a tree; only
 pairs that pass the bound are verified on the sets themselves.
 
-Links matter for connectivity alone, so blocks are first linked to their first member, the
-components found so far are formed, and only then pairs across components are sought, block
-by block; large blocks are cut into bounded chunks and all pairs of chunks are searched. No
-link between different components is lost, and none within one is needed.
+Links matter for connectivity alone, so each set first tries a few members of its blocks, then
+a chain runs through the components of each block, and only then all pairs across components
+are sought, block by block; large blocks are cut into bounded chunks and all pairs of chunks
+are searched. No link between different components is lost, and none within one is needed.
 
 Defined cases: a document without words has an empty set, no links and its own component;
 one with fewer than five words has its whole word sequence as one shingle; equal texts are
@@ -29,7 +30,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import map_arrow, read, saved
@@ -39,14 +41,16 @@ from tracelake.llm.textops import Words, distinct_per_row, slices, texts_of
 WORDS = 5
 #: Similarity in hundredths.
 PERCENT = 80
-#: Coordinates of a point.
-GROUPS = 32
+#: Coordinates of a point (a power of two).
+GROUPS = 128
 #: Members of an R-tree leaf, and children of its inner nodes.
 FANOUT = 32
 #: Rows of a block that one search compares; larger blocks are cut.
 CHUNK = 2048
-#: Frequent shingles that are moved to the end of the order (an order, not a filter).
-MOST_FREQUENT = 100_000
+#: Counters of the sketch that orders shingles (a power of two), and the parts it is summed in.
+COUNTERS, PARTS = 1 << 22, 64
+#: Links that each set tries first.
+FEW = 2
 #: Ids that may be sent to every task; more are joined by a shuffle.
 MOST_SENT = 200_000
 
@@ -67,7 +71,7 @@ def sets_of(texts: pa.LargeStringArray, words: int = WORDS) -> tuple[np.ndarray,
 
 def point(shingles: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """Group counts of n sets."""
-    cell = rows * GROUPS + (shingles >> _U(59) if GROUPS == 32 else shingles % _U(GROUPS)).astype(np.int64)
+    cell = rows * GROUPS + (shingles & _U(GROUPS - 1)).astype(np.int64)
     return np.bincount(cell, minlength=n * GROUPS).reshape(n, GROUPS).astype(np.int32)
 
 
@@ -100,68 +104,102 @@ class CountTree:
 # sets and prefixes ----------------------------------------------------------------------
 
 
-def frequent(docs: DataFrame, words: int = WORDS, most: int = MOST_FREQUENT) -> np.ndarray:
-    """The most frequent shingles, ascending: those that repeat within a step's documents, counted over all steps."""
+def sketch(docs: DataFrame, words: int = WORDS) -> np.ndarray:
+    """Counts of all shingles of all documents, hashed into COUNTERS counters."""
+    each = COUNTERS // PARTS
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held, n = np.zeros(COUNTERS, dtype=np.uint32), [], 0
         for b in batches:
             texts = texts_of(b.column("text"))
             for lo, hi in slices(texts):
-                h = np.sort(sets_of(texts.slice(lo, hi - lo), words)[0])
-                first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, dtype=np.int64)
-                n = np.diff(np.append(first, len(h)))
-                often = n > 2
-                yield pa.RecordBatch.from_arrays([pa.array(h[first][often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["shingle", "n"])
-
-    counts = map_arrow(docs.select("text"), run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "shingle").limit(most).select("shingle").toArrow()["shingle"].to_numpy()
-    return np.sort(top.view(np.uint64))
+                held.append((sets_of(texts.slice(lo, hi - lo), words)[0] & _U(COUNTERS - 1)).astype(np.uint32))
+                n += len(held[-1])
+                if n > COUNTERS:
+                    total += np.bincount(np.concatenate(held), minlength=COUNTERS).astype(np.uint32)
+                    held, n = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=COUNTERS).astype(np.uint32)
+        parts = [zstandard.ZstdCompressor(level=1).compress(total[k * each : (k + 1) * each].tobytes()) for k in range(PARTS)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], ["part", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, None
+        for b in batches:
+            for i in range(b.num_rows):
+                part, counts = b.column("part")[i].as_py(), np.frombuffer(zstandard.ZstdDecompressor().decompress(b.column("counts")[i].as_py()), dtype=np.uint32)
+                if part != now and total is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "counts"])
+                total = counts.astype(np.uint64) if part != now else total + counts
+                now = part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "counts"])
+
+    rows = map_arrow(docs.select("text"), count, "part int, counts binary")
+    sums = map_arrow(rows.repartition("part").sortWithinPartitions("part"), add, "part int, counts binary").toArrow()  # COUNTERS numbers
+    out = np.zeros(COUNTERS, dtype=np.uint32)
+    for part, counts in zip(sums["part"].to_pylist(), sums["counts"].to_pylist(), strict=True):
+        out[part * each : (part + 1) * each] = np.minimum(np.frombuffer(counts, dtype=np.uint64), 0xFFFFFFFF)
+    return out
 
 
 def prefix_size(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return n - -(-percent * n // 100) + 1
 
 
-def documents_and_prefixes(docs: DataFrame, last: np.ndarray, words: int, percent: int) -> DataFrame:
-    """A row per document (token null: doc_id, n, digest) and a row per prefix shingle of each different set of a batch."""
-    shared = docs.sparkSession.sparkContext.broadcast(last)
+def _sets(b: pa.RecordBatch, words: int) -> Iterator[tuple]:
+    """(first row, rows, shingles, their rows, first shingle of each row, digests) for the slices of a batch."""
+    texts = texts_of(b.column("text"))
+    for lo, hi in slices(texts):
+        k = hi - lo
+        h, row = sets_of(texts.slice(lo, k), words)
+        at = np.searchsorted(row, np.arange(k + 1))
+        digest = np.array([xxhash.xxh3_64_intdigest(h[a:z].tobytes()) for a, z in zip(at[:-1], at[1:], strict=True)], dtype=np.uint64).view(np.int64)
+        yield lo, k, h, row, at, digest
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
+def documents(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, n, digest and point of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, k, h, row, at, digest in _sets(b, words):
+                points = pa.array([p.tobytes() for p in point(h, row, k)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, k), pa.array(np.diff(at)), pa.array(digest), points], ["doc_id", "n", "digest", "point"])
+
+    return map_arrow(_rows(docs), run, "doc_id long, n long, digest long, point binary")
+
+
+def prefixes(docs: DataFrame, counts: np.ndarray, words: int, percent: int) -> DataFrame:
+    """token, n, digest, doc_id: a row per prefix shingle of each different set of a batch."""
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
     schema = pa.schema([("token", pa.int64()), ("n", pa.int64()), ("digest", pa.int64()), ("doc_id", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = shared.value
-        mask = np.zeros(1 << 21, dtype=bool)
-        mask[(last & _U((1 << 21) - 1)).astype(np.int64)] = True
+        counts = shared.value
         for b in batches:
-            texts, ids = texts_of(b.column("text")), b.column("doc_id")
-            known: set[int] = set()  # sets of this batch: equal ones send one prefix
-            for lo, hi in slices(texts):
-                k = hi - lo
-                h, row = sets_of(texts.slice(lo, k), words)
-                at = np.searchsorted(row, np.arange(k + 1))
-                n = np.diff(at)
-                digest = np.array([xxhash.xxh3_64_intdigest(h[a:z].tobytes()) for a, z in zip(at[:-1], at[1:], strict=True)], dtype=np.uint64).view(np.int64)
-                own = ids.slice(lo, k)
-                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(n), pa.array(digest), own], schema=schema)
+            known: set[int] = set()  # equal sets of a batch send one prefix
+            for lo, k, h, row, at, digest in _sets(b, words):
+                n, own = np.diff(at), b.column("doc_id").slice(lo, k)
                 fresh = np.zeros(k, dtype=bool)
                 for i, d in enumerate(digest.tolist()):
                     if n[i] and own[i].is_valid and d not in known:
                         known.add(d)
                         fresh[i] = True
-                late = mask[(h & _U((1 << 21) - 1)).astype(np.int64)]
-                some = np.flatnonzero(late)
-                if len(some):
-                    found = np.searchsorted(last, h[some])
-                    late[some] = last[np.minimum(found, len(last) - 1)] == h[some]
-                order = np.lexsort((h, late, row))
+                order = np.lexsort((h, counts[(h & _U(COUNTERS - 1)).astype(np.int64)], row))
                 rank = np.arange(len(h)) - at[:-1][row]
                 pick = (rank < prefix_size(n, percent)[row]) & fresh[row]
                 token, r = h[order][pick], row[pick]
                 yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n[r]), pa.array(digest[r]), own.take(pa.array(r))], schema=schema)
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "token long, n long, digest long, doc_id long")
+    return map_arrow(_rows(docs), run, "token long, n long, digest long, doc_id long")
 
 
-def shared_prefixes(prefixes: DataFrame, percent: int) -> DataFrame:
+def shared_prefixes(rows: DataFrame, percent: int) -> DataFrame:
     """The prefix rows of shingles that two different sets share, with the digest each is linked to first.
 
     Reads rows sorted by shingle in a stream; of a block it keeps its first and last row only.
@@ -195,53 +233,60 @@ def shared_prefixes(prefixes: DataFrame, percent: int) -> DataFrame:
             flag = sent[last] | (a != z)
             carry = (token[last], n[last], digest[last], doc[last], flag)
 
-    ordered = prefixes.repartition("token").sortWithinPartitions("token", "n", "digest", "doc_id")
+    ordered = rows.repartition("token").sortWithinPartitions("token", "n", "digest", "doc_id")
     return map_arrow(ordered, run, "token long, n long, digest long, doc_id long, anchor long")
 
 
 def sets_table(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """digest, n, point and shingles of the wanted (doc_id, digest) rows."""
-    ids = wanted.select("doc_id").distinct()
-    small = ids.limit(MOST_SENT + 1).count() <= MOST_SENT
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
-    schema = pa.schema([("digest", pa.int64()), ("n", pa.int64()), ("point", pa.binary()), ("shingles", pa.binary())])
+    """digest and shingles of the wanted (doc_id, digest) rows; rows that repeat may repeat a digest."""
+    small = wanted.limit(MOST_SENT + 1).count() <= MOST_SENT
+    rows = _rows(docs).join(F.broadcast(wanted) if small else wanted, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = texts_of(b.column("text"))
-            for lo, hi in slices(texts):
-                k = hi - lo
-                h, row = sets_of(texts.slice(lo, k), words)
-                at = np.searchsorted(row, np.arange(k + 1))
-                points = point(h, row, k)
-                whole = [h[a:z].tobytes() for a, z in zip(at[:-1], at[1:], strict=True)]
-                digest = np.array([xxhash.xxh3_64_intdigest(x) for x in whole], dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(np.diff(at)), pa.array([p.tobytes() for p in points], pa.binary()), pa.array(whole, pa.binary())], schema=schema)
+            for lo, k, h, _, at, digest in _sets(b, words):
+                whole = pa.array([h[a:z].tobytes() for a, z in zip(at[:-1], at[1:], strict=True)], pa.binary())
+                own = pa.array(digest == b.column("digest").slice(lo, k).to_numpy())  # an id may stand for other texts too
+                yield pa.RecordBatch.from_arrays([pa.array(digest), whole], ["digest", "shingles"]).filter(own)
 
-    return saved(map_arrow(rows, run, "digest long, n long, point binary, shingles binary").dropDuplicates(["digest"]))
+    return saved(map_arrow(rows, run, "digest long, shingles binary"))
 
 
 # links ----------------------------------------------------------------------------------
 
 
+def possible(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose points allow enough overlap."""
+    left = points.select(F.col("digest").alias("a"), F.col("point").alias("pa"))
+    right = points.select(F.col("digest").alias("b"), F.col("point").alias("pb"))
+    rows = pairs.select("a", "b").join(left, "a").join(right, "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p, q = (_points(b.column(c)) for c in ("pa", "pb"))
+            ok = np.minimum(p, q).sum(axis=1) >= required(p.sum(axis=1), q.sum(axis=1), percent)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok))
+
+    return map_arrow(rows, run, "a long, b long")
+
+
+def _points(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.int32).reshape(-1, GROUPS)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of digests whose sets are similar enough."""
-    left = sets.select(F.col("digest").alias("a"), F.col("point").alias("pa"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("digest").alias("b"), F.col("point").alias("pb"), F.col("shingles").alias("sb"))
-    rows = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "pa", "pb", "sa", "sb")
+    left = sets.select(F.col("digest").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("digest").alias("b"), F.col("shingles").alias("sb"))
+    rows = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
             for i in range(b.num_rows):
-                pa_, pb_ = (np.frombuffer(b.column(c)[i].as_py(), dtype=np.int32) for c in ("pa", "pb"))
-                least = int(required(pa_.sum(), pb_.sum(), percent))
-                good = int(np.minimum(pa_, pb_).sum()) >= least
-                if good:
-                    x, y = (np.frombuffer(b.column(c)[i].as_py(), dtype=np.uint64) for c in ("sa", "sb"))
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    good = 100 * both >= percent * (len(x) + len(y) - both)
-                ok.append(good)
+                x, y = (np.frombuffer(b.column(c)[i].as_py(), dtype=np.uint64) for c in ("sa", "sb"))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return map_arrow(rows, run, "a long, b long")
@@ -270,6 +315,7 @@ def across(blocks: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
+        sent: set[tuple[int, int]] = set()  # pairs share many shingles; a task sends one once, as far as this memory goes
         names = ("token", "i", "j", "side", "n", "digest", "label")
 
         def finish() -> Iterator[pa.RecordBatch]:
@@ -280,6 +326,11 @@ def across(blocks: DataFrame, percent: int) -> DataFrame:
                 lo, hi = np.minimum(d[a], d[b]), np.maximum(d[a], d[b])
                 found = np.unique(np.stack((lo, hi), axis=1), axis=0) if len(lo) else np.zeros((0, 2), dtype=np.int64)
                 held.clear()
+                if len(sent) > MOST_SENT:
+                    sent.clear()
+                fresh = [p not in sent for p in map(tuple, found.tolist())]
+                sent.update(map(tuple, found.tolist()))
+                found = found[np.array(fresh, dtype=bool)] if len(found) else found
                 if len(found):
                     yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["a", "b"])
 
@@ -287,7 +338,7 @@ def across(blocks: DataFrame, percent: int) -> DataFrame:
             if not b.num_rows:
                 continue
             rows = {c: b.column(c).to_numpy() for c in names}
-            rows["point"] = np.frombuffer(b"".join(b.column("point").to_pylist()), dtype=np.int32).reshape(-1, GROUPS)
+            rows["point"] = _points(b.column("point"))
             key = np.stack([rows[c] for c in names[:3]], axis=1)
             edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1), len(key)]
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
@@ -312,31 +363,48 @@ def chunked(blocks: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 def linked_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, digest of every row; node, label of every digest that has links)."""
-    last = frequent(docs, words)
-    table = saved(documents_and_prefixes(docs, last, words, percent).filter("token is null or token is not null"))
-    members = table.filter("token is null").select("doc_id", "n", "digest")
-    blocks = saved(shared_prefixes(table.filter("token is not null"), percent))
-    wanted = blocks.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    sets = sets_table(docs, wanted, words)
-    # first one link for each set, then the other links to a block's first members
-    stars = blocks.filter("anchor <> digest").select(F.least("anchor", "digest").alias("a"), F.greatest("anchor", "digest").alias("b"), "digest").distinct()
-    stars = saved(stars)
-    first = stars.groupBy("digest").agg(F.min_by(F.struct("a", "b"), F.xxhash64("a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    links = saved(verified(first, sets, percent))
-    labels = components(links)
-    more = stars.select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    more = more.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
-    more = more.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-    links = saved(links.union(verified(more, sets, percent)))
+    members = saved(documents(docs, words))
+    blocks = saved(shared_prefixes(prefixes(docs, sketch(docs, words), words, percent), percent))
+    owner = saved(blocks.groupBy("digest").agg(F.min("doc_id").alias("doc_id")))
+    points = saved(members.join(owner, ["doc_id", "digest"], "left_semi").select("digest", "point").dropDuplicates(["digest"]))
+
+    def found(pairs: DataFrame) -> DataFrame:
+        left = saved(possible(pairs, points, percent))
+        return verified(left, sets_table(docs, _owners(left, owner), words), percent)
+
+    # a few links for each set, to the first members of its blocks, make most components
+    stars = saved(blocks.filter("anchor <> digest").select(F.least("anchor", "digest").alias("a"), F.greatest("anchor", "digest").alias("b")).distinct())
+    ends = stars.select(F.col("a").alias("digest"), "a", "b").union(stars.select(F.col("b").alias("digest"), "a", "b"))
+    few = ends.groupBy("digest").agg(*[F.min_by(F.struct("a", "b"), F.xxhash64("a", "b", F.lit(k))).alias(f"p{k}") for k in range(FEW)])
+    few = few.select(F.explode(F.array(*[f"p{k}" for k in range(FEW)])).alias("p")).select("p.a", "p.b").distinct()
+    links = saved(found(few))
     labels = components(links)
-    # then all pairs of a block that lie in different components
-    marked = blocks.select("token", "n", "digest").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    marked = saved(marked)
-    mixed = marked.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
-    open_ = chunked(marked.join(mixed, "token", "left_semi")).join(sets.select("digest", "point"), "digest")
-    known = stars.select("a", "b").distinct()
-    rest = verified(across(open_, percent).join(known, ["a", "b"], "left_anti"), sets, percent)
-    return members, components(links.union(rest))
+    # then a chain through one member of each component of a block, twice; what is left are sets that link to little
+    for seed in range(1):
+        marked = labelled(blocks, labels)
+        one = marked.groupBy("token", "label").agg(F.min_by(F.struct("n", "digest"), F.xxhash64("digest", F.lit(seed))).alias("m")).select("token", "m.n", "m.digest")
+        before = F.lag("digest").over(Window.partitionBy("token").orderBy("n", "digest"))
+        chain = one.withColumn("other", before).filter("other is not null").select(F.least("digest", "other").alias("a"), F.greatest("digest", "other").alias("b")).distinct()
+        links = saved(links.union(found(chain)))
+        labels = components(links)
+    # at last all pairs of a block that lie in different components
+    marked = saved(labelled(blocks, labels))
+    mixed = marked.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c"), F.sum(F.xxhash64("digest").cast("decimal(38,0)")).alias("s"), F.sum(F.xxhash64("digest", F.lit(1)).cast("decimal(38,0)")).alias("t")).filter("lo <> hi")
+    mixed = mixed.groupBy("c", "s", "t").agg(F.min("token").alias("token")).select("token")  # blocks of the same members are searched once
+    open_ = chunked(marked.join(mixed, "token", "left_semi")).join(points, "digest")
+    rest = saved(across(open_, percent))
+    links = links.union(verified(rest, sets_table(docs, _owners(rest, owner), words), percent))
+    return members.select("doc_id", "n", "digest"), components(links)
+
+
+def labelled(blocks: DataFrame, labels: DataFrame) -> DataFrame:
+    """token, n, digest and the component of every row of the blocks; a set without links is its own."""
+    return blocks.select("token", "n", "digest").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+
+
+def _owners(pairs: DataFrame, owner: DataFrame) -> DataFrame:
+    """(doc_id, digest) of the sets in the pairs."""
+    return owner.join(pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct(), "digest", "left_semi").select("doc_id", "digest")
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
