@@ -1,10 +1,11 @@
 """Removal of repeated byte strings by sharded suffix arrays.
 
 Every byte covered by a ``LENGTH``-byte string that also starts in a document with a smaller
-id goes. A string of LENGTH bytes is routed by its minimizer (the smallest hash among its
-``MINIMIZER``-byte substrings), so equal strings meet in one shard whatever document they
-stand in; neighbouring strings with the same minimizer travel as one piece of text. Equal
-pieces of one task meet before the shuffle. A shard leaves out pieces none of whose strings'
+id goes. A string of LENGTH bytes is routed by its minimizer (of its ``MINIMIZER``-byte
+substrings the one with the smallest hash, the frequent ones by a fixed-size sketch of the
+corpus last), so equal strings meet in one shard whatever document they stand in; neighbouring
+strings with the same minimizer travel as one piece of text. Equal pieces of one task meet
+before the shuffle. A shard leaves out pieces none of whose strings'
 hashes occurs twice in it, then builds the suffix array of the others by induced sorting:
 suffixes are classified, leftmost-smaller substrings sorted and named, the suffix order is
 induced from them linearly, bucket by bucket, and common prefixes are computed in text order
@@ -29,15 +30,22 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import map_arrow, partitions, read
+from tracelake.llm.common import map_arrow, partitions, read, saved
+from tracelake.llm.sketches import counted
 from tracelake.llm.textops import byte_view, mix, powers, prefix_hash, slices, texts_of, window_hash
 
 LENGTH = 50
 MINIMIZER = 8
+#: Counters of the sketch that tells frequent minimizers (a power of two).
+COUNTERS = 1 << 20
+#: Times the mean count from which a minimizer gives way to rarer ones.
+FREQUENT = 16
 #: Bytes of pieces that a shard gets on average; the number of shards follows the table's bytes.
 SHARD_BYTES = 3 << 20
-#: Bytes of text that one step of cutting pieces takes.
-SLICE = 1 << 20
+#: Compression of what is shuffled.
+LEVEL = 7
+#: Bytes of text that pieces are cut from at a time, and that meet before they are sent.
+SLICE, STEP = 1 << 19, 3 << 20
 
 _U = np.uint64
 
@@ -45,7 +53,17 @@ _U = np.uint64
 # pieces ---------------------------------------------------------------------------------
 
 
-def minimizer_runs(data: np.ndarray, at: np.ndarray, length: int = LENGTH, k: int = MINIMIZER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def minimizer_hashes(data: np.ndarray, k: int = MINIMIZER) -> np.ndarray:
+    return window_hash(prefix_hash(data), np.arange(max(0, len(data) - k + 1)), k)
+
+
+def rarity(docs: DataFrame, k: int = MINIMIZER) -> np.ndarray:
+    """For each counter of the sketch 0, or where it is over FREQUENT times the mean, the binary logarithm of its count."""
+    counts = counted(docs, lambda texts: minimizer_hashes(byte_view(texts)[0], k), COUNTERS)
+    return np.where(counts > FREQUENT * counts.mean(), np.log2(counts + 1.0), 0).astype(np.uint8)
+
+
+def minimizer_runs(data: np.ndarray, at: np.ndarray, length: int = LENGTH, k: int = MINIMIZER, classes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, count, minimizer hash) of runs of consecutive strings that share a minimizer's place.
 
     ``at`` holds the rows' offsets in ``data``; a run covers data[start : start + count - 1 + length].
@@ -56,10 +74,12 @@ def minimizer_runs(data: np.ndarray, at: np.ndarray, length: int = LENGTH, k: in
     if n <= 0 or not (size >= length).any():
         z = np.zeros(0, dtype=np.int64)
         return z, z, z, z.astype(np.uint64)
-    h = window_hash(prefix_hash(data), np.arange(len(data) - k + 1), k)
+    h = minimizer_hashes(data, k)
     # the low bits hold the place, so that the leftmost of equal hashes wins
     bits = _U(max(1, int(len(h)).bit_length()))
-    key = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
+    key = ((h << _U(6)) >> (bits + _U(6)) << bits) | np.arange(len(h), dtype=np.uint64)
+    if classes is not None:  # at most 63
+        key |= classes[(h & _U(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << _U(58)
     # sliding minimum over w places: minima of whole blocks from the left and from the right
     m = -(-len(key) // w) * w
     padded = np.full(m, ~_U(0))
@@ -92,24 +112,39 @@ def take(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 PIECES = pa.schema([("shard", pa.int32()), ("doc_id", pa.binary()), ("version", pa.binary()), ("start", pa.binary()), ("count", pa.binary()), ("whole", pa.binary()), ("text", pa.binary())])
+#: Types inside the packed columns; ids travel as steps from one piece to the next.
+KINDS = {"doc_id": np.int64, "version": np.int64, "start": np.int64, "count": np.int64, "whole": np.bool_, "text": np.uint8}
 
 
 def _packed(a: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).tobytes())
+    """Compressed numbers: the narrowest type that holds them, its bytes plane by plane."""
+    if a.dtype != np.uint8:
+        a = a.astype(np.int64)
+        lo, hi = (int(a.min()), int(a.max())) if len(a) else (0, 0)
+        a = a.astype(next(k for k in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(k).min <= lo and hi <= np.iinfo(k).max))
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T
+    return bytes([a.itemsize]) + zstandard.ZstdCompressor(level=LEVEL).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def _unpacked(b: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=kind)
+    size = b[0]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), dtype=np.uint8).reshape(size, -1)
+    if kind is np.uint8:
+        return planes[0]
+    return np.ascontiguousarray(planes.T).view({1: np.int8, 2: np.int16, 4: np.int32, 8: np.int64}[size]).ravel().astype(kind)
 
 
-def cut_pieces(docs: DataFrame, shards: int, length: int = LENGTH) -> DataFrame:
+def cut_pieces(docs: DataFrame, shards: int, length: int = LENGTH, classes: np.ndarray | None = None) -> DataFrame:
     """Rows of packed pieces, a row for each shard and some MB of text.
 
     A piece whose bytes another document of the same step holds, with a smaller id, carries
     no text: all its strings go, and it only reports that.
     """
 
+    shared = docs.sparkSession.sparkContext.broadcast(classes)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = shared.value
         held: list[tuple] = []
         bytes_held = 0
         for b in batches:
@@ -117,15 +152,15 @@ def cut_pieces(docs: DataFrame, shards: int, length: int = LENGTH) -> DataFrame:
             ids, version = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("version").to_numpy(zero_copy_only=False)
             for lo, hi in slices(texts, SLICE):
                 data, at = byte_view(texts.slice(lo, hi - lo))
-                row, start, count, h = minimizer_runs(data, at, length)
+                row, start, count, h = minimizer_runs(data, at, length, classes=classes)
                 held.append((data, ids[lo + row], version[lo + row], start, start - at[row], count, h))
                 bytes_held += len(data)
-                if bytes_held >= 4 * SLICE:
+                if bytes_held >= STEP:
                     yield from _send(held, shards, length)
                     held, bytes_held = [], 0
         yield from _send(held, shards, length)
 
-    rows = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
+    rows = docs.filter("doc_id is not null and text is not null").select("doc_id", "version", "text")
     kinds = "shard int, doc_id binary, version binary, start binary, count binary, whole binary, text binary"
     return map_arrow(rows, run, kinds)
 
@@ -139,26 +174,8 @@ def _send(held: list[tuple], shards: int, length: int) -> Iterator[pa.RecordBatc
     start = np.concatenate([x[3] + o for x, o in zip(held, base, strict=False)])
     if not len(ids):
         return
-    # equal bytes within the step: whole pieces of later documents need not be compared again
-    sums = prefix_hash(data)
     size = count + length - 1
-    _, down = powers(len(sums))
-    content = mix(((sums[start + size] - sums[start]) * down[start]) ^ size.astype(np.uint64))
-    order = np.lexsort((ids, content))
-    c, d = content[order], ids[order]
-    head = np.ones(len(c), dtype=bool)
-    head[1:] = c[1:] != c[:-1]
-    leader = np.flatnonzero(head)[np.cumsum(head) - 1]
-    later = np.zeros(len(c), dtype=bool)
-    same = np.flatnonzero(d > d[leader])
-    if len(same):  # the hash only proposes: bytes are compared
-        a, b = order[same], order[leader[same]]
-        equal = size[a] == size[b]
-        x, y = take(data, start[a[equal]], size[a[equal]]), take(data, start[b[equal]], size[b[equal]])
-        good = np.add.reduceat((x != y).astype(np.int64), np.concatenate(([0], np.cumsum(size[a[equal]])[:-1]))) == 0 if equal.any() else np.zeros(0, bool)
-        later[same[np.flatnonzero(equal)[good]]] = True
-    whole = np.zeros(len(ids), dtype=bool)
-    whole[order] = later
+    whole = repeats_of(data, start, size, ids)
     shard = (mix(h) % _U(shards)).astype(np.int64)
     order = np.argsort(shard, kind="stable")
     edges = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -168,12 +185,36 @@ def _send(held: list[tuple], shards: int, length: int) -> Iterator[pa.RecordBatc
         if not len(i):
             continue
         own = i[~whole[i]]
-        values = (s, _packed(ids[i]), _packed(version[i]), _packed(place[i]), _packed(count[i].astype(np.int32)), _packed(whole[i]), _packed(take(data, start[own], size[own])))
+        values = (s, _packed(np.diff(ids[i], prepend=0)), _packed(version[i]), _packed(place[i]), _packed(count[i]), _packed(whole[i]), _packed(take(data, start[own], size[own])))
         for column, v in zip(columns, values, strict=True):
             column.append(v)
     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PIECES, strict=True)], schema=PIECES)
 
 
+def repeats_of(data: np.ndarray, start: np.ndarray, size: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which ranges have the bytes of another range with a smaller id; hashes propose, bytes are compared."""
+    out = np.zeros(len(start), dtype=bool)
+    if not len(start):
+        return out
+    sums = prefix_hash(data)
+    _, down = powers(len(sums))
+    content = ((sums[start + size] - sums[start]) * down[start]) ^ (size.astype(np.uint64) << _U(48))
+    order = np.lexsort((ids, content))
+    c, d = content[order], ids[order]
+    head = np.ones(len(c), dtype=bool)
+    head[1:] = c[1:] != c[:-1]
+    leader = np.flatnonzero(head)[np.cumsum(head) - 1]
+    same = np.flatnonzero(d > d[leader])
+    a, b = order[same], order[leader[same]]
+    equal = np.flatnonzero(size[a] == size[b])
+    if len(equal):
+        x, y = take(data, start[a[equal]], size[a[equal]]), take(data, start[b[equal]], size[b[equal]])
+        edges = np.cumsum(size[a[equal]]) - size[a[equal]]
+        good = np.add.reduceat((x != y).astype(np.int64), edges) == 0
+        out[a[equal[good]]] = True
+    return out
+
+
 # induced sorting ------------------------------------------------------------------------
 
 
@@ -187,7 +228,7 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     n = len(text)
     if n < 2:
         return np.arange(n)
-    t = np.append(text.astype(np.int32) + 1, 0)  # the end is the smallest symbol
+    t = np.append(text.astype(np.uint16) + 1, 0).astype(np.uint16)  # the end is the smallest symbol; 16 bits sort by radix
     n += 1
     smaller = _types(t)
     left = np.zeros(n, dtype=bool)
@@ -214,11 +255,10 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
 def _types(t: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the next one."""
     n = len(t)
-    step = np.sign(t[1:] - t[:-1])
+    step = (t[1:] > t[:-1]).astype(np.int8) - (t[1:] < t[:-1])
     step = np.append(step, 1)  # the last suffix counts as smaller
     nonzero = np.flatnonzero(step)
-    nxt = nonzero[np.searchsorted(nonzero, np.arange(n))]
-    return step[nxt] > 0
+    return np.repeat(step[nonzero], np.diff(nonzero, prepend=-1))[:n] > 0
 
 
 def _induce(t: np.ndarray, smaller: np.ndarray, counts: np.ndarray, lms: np.ndarray) -> np.ndarray:
@@ -346,38 +386,42 @@ def removed_in_shard(ids: np.ndarray, version: np.ndarray, place: np.ndarray, co
     """(doc_id, version, start, end) of byte ranges to remove, from the pieces of one shard."""
     size = count + length - 1
     begin = np.cumsum(size) - size
+    whole = repeats_of(text, begin, size, ids)
+    parts = [(ids[whole], version[whole], place[whole], place[whole] + size[whole])]
+    left = np.flatnonzero(~whole)
     # strings whose hash no other string of the shard has are left out with their pieces
     sums = prefix_hash(text)
-    piece = np.repeat(np.arange(len(count)), count)
-    at = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count) + begin[piece]
-    h = window_hash(sums, at, length)
+    _, down = powers(len(sums))
+    n = count[left]
+    piece = np.repeat(np.arange(len(left)), n)
+    at = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n) + begin[left][piece]
+    h = (sums[at + length] - sums[at]) * down[at]
     ordered = np.sort(h)
-    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-    low = _U((1 << max(10, int(len(twice) * 16).bit_length())) - 1)
-    table = np.zeros(int(low) + 1, dtype=bool)
-    table[(twice & low).astype(np.int64)] = True
-    hit = np.flatnonzero(table[(h & low).astype(np.int64)])
-    flagged = np.zeros(len(count), dtype=bool)
-    flagged[piece[hit]] = True
-    keep = np.flatnonzero(flagged)
-    empty = np.zeros(0, dtype=np.int64)
-    if not len(keep):
-        return empty, empty, empty, empty
-    kept_text = take(text, begin[keep], size[keep])
-    size, count = size[keep], count[keep]
-    begin = np.cumsum(size) - size
-    piece = np.repeat(np.arange(len(keep)), size)
-    offset = np.arange(len(kept_text)) - begin[piece]
-    valid = offset < count[piece]
-    rank = np.unique(ids, return_inverse=True)[1][keep]
-    found = np.sort(repeated(kept_text, valid, rank[piece], length))
-    p, o = piece[found], offset[found]
-    new = np.ones(len(found), dtype=bool)
-    new[1:] = (p[1:] != p[:-1]) | (o[1:] > o[:-1] + length)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(found)) - 1
-    own = keep[p[first]] if len(first) else empty
-    return ids[own], version[own], place[own] + o[first], place[own] + o[last] + length
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    bits = max(10, int(len(twice) * 16).bit_length())
+    spread, shift = _U(0x9E3779B97F4A7C15), _U(64 - bits)
+    table = np.zeros(1 << bits, dtype=bool)
+    table[(twice * spread >> shift).astype(np.int64)] = True
+    flagged = np.zeros(len(left), dtype=bool)
+    flagged[piece[table[(h * spread >> shift).astype(np.int64)]]] = True
+    keep = left[flagged]
+    if len(keep):
+        kept_text = take(text, begin[keep], size[keep])
+        size, count = size[keep], count[keep]
+        begin = np.cumsum(size) - size
+        piece = np.repeat(np.arange(len(keep)), size)
+        offset = np.arange(len(kept_text)) - begin[piece]
+        rank = np.unique(ids, return_inverse=True)[1][keep]
+        found = np.sort(repeated(kept_text, offset < count[piece], rank[piece], length))
+        p, o = piece[found], offset[found]
+        new = np.ones(len(found), dtype=bool)
+        new[1:] = (p[1:] != p[:-1]) | (o[1:] > o[:-1] + length)
+        first = np.flatnonzero(new)
+        if len(first):
+            last = np.append(first[1:], len(found)) - 1
+            own = keep[p[first]]
+            parts.append((ids[own], version[own], place[own] + o[first], place[own] + o[last] + length))
+    return tuple(np.concatenate([x[i] for x in parts]) for i in range(4))
 
 
 RANGES = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
@@ -402,17 +446,17 @@ def removed_ranges(docs: DataFrame, length: int = LENGTH, shards: int | None = N
                 held.append(r)
         yield from _shard(held, length)
 
-    pieces = cut_pieces(docs, shards, length)
+    pieces = cut_pieces(docs, shards, length, rarity(docs))
     return map_arrow(pieces.repartition(partitions(docs.sparkSession), "shard").sortWithinPartitions("shard"), run, "doc_id long, version long, start long, end long")
 
 
 def _shard(held: list[dict], length: int) -> Iterator[pa.RecordBatch]:
     if not held:
         return
-    ids, version, place, count, whole = (np.concatenate([_unpacked(r[c], k) for r in held]) for c, k in (("doc_id", np.int64), ("version", np.int64), ("start", np.int64), ("count", np.int32), ("whole", np.bool_)))
-    text = np.concatenate([_unpacked(r["text"], np.uint8) for r in held])
-    count = count.astype(np.int64)
+    columns = {c: [_unpacked(r[c], k) for r in held] for c, k in KINDS.items()}
     held.clear()
+    columns["doc_id"] = [np.cumsum(x) for x in columns["doc_id"]]
+    ids, version, place, count, whole, text = (np.concatenate(columns.pop(c)) for c in KINDS)
     ready = (ids[whole], version[whole], place[whole], place[whole] + count[whole] + length - 1)
     own = ~whole
     found = removed_in_shard(ids[own], version[own], place[own], count[own], text, length) if own.any() else ready
@@ -423,23 +467,47 @@ def _shard(held: list[dict], length: int) -> Iterator[pa.RecordBatch]:
 # documents ------------------------------------------------------------------------------
 
 
+def versioned(docs: DataFrame) -> DataFrame:
+    """doc_id, version, text; the version tells texts apart where an id stands for several, else it is 0."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    hashed = rows.select("doc_id", F.xxhash64("text").alias("h"))
+    several = saved(hashed.groupBy("doc_id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("doc_id"))
+    if several.isEmpty():
+        return rows.withColumn("version", F.lit(0).cast("long"))
+    return rows.join(several.withColumn("s", F.lit(True)), "doc_id", "left").select("doc_id", F.when(F.col("s"), F.xxhash64("text")).otherwise(0).alias("version"), "text")
+
+
+def compressed(rows: DataFrame) -> DataFrame:
+    """doc_id, version and the compressed bytes of the text, null as empty: whole texts are shuffled once, small."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, at = byte_view(texts_of(b.column("text")))
+            z = zstandard.ZstdCompressor(level=3)
+            packed = pa.array([z.compress(data[a:e].tobytes()) for a, e in zip(at[:-1], at[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("version"), packed], ["doc_id", "version", "packed"])
+
+    return map_arrow(rows.select("doc_id", "version", "text"), run, "doc_id long, version long, packed binary")
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, shards: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes' ranges of every row."""
-    ranges = removed_ranges(docs, length, shards).groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
-    joined = rows.join(ranges, ["doc_id", "version"], "left").select("doc_id", "text", "ranges")
+    rows = versioned(docs)
+    # dealt before they are grouped: single ranges travel smaller than lists of one
+    ranges = removed_ranges(rows, length, shards).repartition("doc_id", "version").groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    joined = compressed(rows).join(ranges, ["doc_id", "version"], "left").select("doc_id", "packed", "ranges")
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, given = texts_of(b.column("text")), b.column("ranges")
-            data, at = byte_view(texts)
+            packed, given = b.column("packed"), b.column("ranges")
+            z = zstandard.ZstdDecompressor()
             lists = given.offsets.to_numpy()
             null = given.is_null().to_numpy(zero_copy_only=False)
             starts, ends = (given.values.field(c).to_numpy(zero_copy_only=False) for c in ("start", "end"))
             columns: list[list] = [[], [], [], []]
-            for i in range(len(texts)):
-                text = data[at[i] : at[i + 1]]
+            for i in range(b.num_rows):
+                text = np.frombuffer(z.decompress(packed[i].as_py()), dtype=np.uint8)
                 kept, removed, spans = text, 0, 0
                 if not null[i] and lists[i + 1] > lists[i]:
                     s, e = (x[lists[i] : lists[i + 1]].astype(np.int64) for x in (starts, ends))
