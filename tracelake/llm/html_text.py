@@ -1,11 +1,14 @@
 """Main text of web pages with site template removal.
 
-Every element outside the main content is hashed with its whole subtree. Spark counts, for
-each host, over how many different pages (different by their longest block of text) a hash
-recurs; subtrees that recur on ``MANY`` pages or more are the site's template and are deleted.
-What a page cannot show by recurrence, its markup does: elements whose tag or class names
-them as menu, header, footer, sidebar, notice, advert, form, comment or code are left out too,
-and where a page marks its article (``article`` or ``main``), only that is kept.
+The main content of a page is its ``article`` or ``main`` elements, or else the whole page.
+Every subtree in it is hashed, and Spark counts, for each host, over how many different pages
+(different by their longest text) a hash recurs; subtrees that recur on ``MANY``
+pages or more are the site's template and are deleted. In an ``article`` or ``main``, the element
+itself, whatever holds most of its text, and plain lines (paragraphs without class or id), words,
+cells and headings are never a template, and nothing is deleted where the template would take
+most of the text. Markup is an aid: elements
+whose tag or class names them as menu, header, footer, sidebar, notice, advert, form, comment or
+code are left out too, unless only a name says so and they hold the article.
 
 Defined cases: a null or empty page has an empty text; a null url has an empty host; repeated
 rows stay repeated; a truncated page is read as far as it goes; an empty table gives an empty
@@ -30,7 +33,7 @@ from tracelake.llm.url_rules import host_of
 MANY = 5
 #: Least share of the host's different pages that a template subtree stands on.
 SHARE = 0.005
-#: Template hashes that may be sent to every task; more are joined by a shuffle.
+#: Template hashes that may be sent to every task; more are joined to their pages by a shuffle.
 MOST_SENT = 200_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,6 +43,10 @@ RAW = frozenset("script style noscript template iframe object svg math canvas au
 OUTSIDE = frozenset("nav header footer aside form button select textarea input dialog menu fieldset label option".split())
 #: Elements that begin and end a block.
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
+#: Elements that may be a template inside main content; lines, words, cells and headings recur in any prose.
+UNITS = frozenset("address aside center details div dl figure footer header nav ol section table ul".split())
+#: Those that may be one where a class or an id marks them as no plain line.
+MARKED = frozenset("blockquote p pre".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of a class, id or role that tell an element that isn't the article.
 _NAMES = re.compile(
@@ -55,25 +62,26 @@ _SPACE = re.compile(r"\s+")
 
 
 class Element:
-    __slots__ = ("tag", "outside", "parts", "children", "digest", "main")
+    __slots__ = ("tag", "outside", "parts", "digest", "size", "main", "first", "end", "unit")
 
-    def __init__(self, tag: str, outside: bool):
+    def __init__(self, tag: str, outside: int):
         self.tag, self.outside = tag, outside
         self.parts: list[str | Element] = []
-        self.digest = 0
+        self.digest = self.size = self.first = self.end = 0
         self.main = tag in ("article", "main")
+        self.unit = tag in UNITS
 
 
-def _named_outside(tag: str, attributes: str) -> bool:
-    if tag in OUTSIDE:
-        return True
+def _named_outside(tag: str, attributes: str) -> int:
+    """2 for elements that never hold the article, 1 where only a name says so, 0 for others."""
+    found = 0 if tag not in OUTSIDE else 1 if tag == "form" else 2
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower()):
-            return True
+            return 2
         if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main") and _NAMES.search(value):
-            return True
-    return False
+            found = found or 1
+    return found
 
 
 def parse(page: str) -> Element:
@@ -118,33 +126,98 @@ def parse(page: str) -> Element:
                 if stack[i].tag in ("ul", "ol", "dl", "table", "select"):
                     break
         e = Element(tag, _named_outside(tag, m[3] or ""))
+        e.unit = e.unit or (tag in MARKED and any(a[1].lower() in ("class", "id") for a in _ATTRIBUTE.finditer(m[3] or "")))
         stack[-1].parts.append(e)
         if tag not in VOID and not (m[3] or "").endswith("/"):
             stack.append(e)
     return root
 
 
-def _hash_subtrees(e: Element, inside: bool, out: set[int]) -> tuple[bytes, bool]:
-    """(bytes that stand for the subtree, whether it holds main content); collects hashes outside main content."""
-    h, holds, empty = xxhash.xxh3_64(e.tag.encode()), e.main, True
+def _hash_subtrees(e: Element) -> bytes:
+    """Bytes that stand for the subtree; sets the digest and the length of text of every element."""
+    h, size = xxhash.xxh3_64(e.tag.encode()), 0
     for p in e.parts:
         if isinstance(p, str):
             text = _SPACE.sub(" ", p).strip()
             if text:
                 h.update(b"\x01" + text.encode("utf-8", "replace"))
-                empty = False
+                size += len(text)
         else:
-            inner, main = _hash_subtrees(p, inside or e.main, out)
-            h.update(b"\x02" + inner)
-            holds |= main
-            empty = empty and not inner
-    e.digest = h.intdigest()
-    if not inside and not holds and not empty and e.tag not in ("#root", "html", "body", "head"):
-        out.add(e.digest)
-    return (b"" if empty else h.digest()), holds
+            h.update(b"\x02" + _hash_subtrees(p))
+            size += p.size
+    e.digest, e.size = h.intdigest(), size
+    return h.digest() if size else b""
+
+
+def read_page(page: str | None) -> tuple[Element, list[Element]]:
+    """The hashed tree of a page and its main elements."""
+    root = parse(page or "")
+    _hash_subtrees(root)
+    mains = _outermost_main(root)
+    if not mains:
+        _spare_holder(root)
+    return root, mains
+
+
+def _spare_holder(root: Element) -> None:
+    """On pages without a main element, no name removes the elements that hold the first h1 and most of the text."""
+    path: list[Element] = []
+
+    def find(e: Element) -> bool:
+        path.append(e)
+        if e.tag == "h1" or any(isinstance(p, Element) and p.outside < 2 and find(p) for p in e.parts):
+            return True
+        path.pop()
+        return False
 
+    if find(root):
+        for e in path:
+            if e.outside == 1 and e.size * 2 > root.size:
+                e.outside = 0
 
-def blocks_of(root: Element, template: frozenset[int] | set[int]) -> list[str]:
+
+def page_units(root: Element, mains: list[Element]) -> dict[int, int]:
+    """hash -> key of the page (its longest text), for the subtrees that may be a template."""
+    sizes: list[int] = []
+    hashes: list[int] = []
+    units: list[Element] = []
+
+    def walk(e: Element, unit: bool, inside: bool) -> None:
+        if e.tag in RAW or e.tag == "title" or e.outside:
+            return
+        e.first = len(sizes)
+        alone = not any(isinstance(p, str) and p.strip() for p in e.parts)
+        for p in e.parts:
+            if isinstance(p, str):
+                text = _SPACE.sub(" ", p).strip()
+                if text:
+                    sizes.append(len(text))
+                    hashes.append(xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")))
+            else:
+                walk(p, p.unit if inside else alone or p.tag in BLOCK, inside)
+        e.end = len(sizes)
+        if unit and e.end > e.first and e.tag not in ("#root", "html", "body"):
+            units.append(e)
+
+    bounds = []
+    for e in mains or [root]:
+        at = len(units)
+        walk(e, False, bool(mains))
+        bounds.append((e, at, len(units)))
+    if mains:
+        kept = []
+        for main, a, b in bounds:
+            whole = sum(sizes[main.first : main.end])
+            kept += [e for e in units[a:b] if sum(sizes[e.first : e.end]) * 2 <= whole]
+        units = kept
+    if not units:
+        return {}
+    longest = max(sizes)
+    top = [i for i, n in enumerate(sizes) if n == longest]
+    return {e.digest: max(hashes[i] for i in top) for e in units}
+
+
+def blocks_of(root: Element, mains: list[Element], template: frozenset[int] | set[int]) -> list[str]:
     """Blocks of the main text in page order."""
     out: list[str] = []
     now: list[str] = []
@@ -155,70 +228,105 @@ def blocks_of(root: Element, template: frozenset[int] | set[int]) -> list[str]:
         if text:
             out.append(text)
 
-    def walk(e: Element, inside: bool) -> None:
+    def walk(e: Element, inside: bool, unit: bool, known: frozenset[int] | set[int]) -> None:
         if e.tag in RAW or e.tag == "title":
             return
-        if e.outside or (not inside and e.digest in template):
+        if e.outside:
             if inside and e.tag == "header":  # an article's own heading stays
                 for p in e.parts:
                     if isinstance(p, Element) and p.tag in HEADINGS:
-                        walk(p, inside)
+                        walk(p, inside, False, known)
+            return
+        if unit and e.digest in known:
             return
         block = e.tag in BLOCK
         if block:
             flush()
         elif e.tag == "br":
             now.append(" ")
+        alone = not any(isinstance(p, str) and p.strip() for p in e.parts)
         for p in e.parts:
             if isinstance(p, str):
                 now.append(p)
             else:
-                walk(p, inside or e.main)
+                walk(p, inside, p.unit if inside else alone or p.tag in BLOCK, known)
         if block:
             flush()
 
-    mains = _outermost_main(root)
     for e in mains or [root]:
-        walk(e, bool(mains))
+        walk(e, bool(mains), False, _harmless(e, template) if mains else template)
         flush()
     return out
 
 
-def _outermost_main(e: Element) -> list[Element]:
-    """The articles of a page, or its main elements where no article stands in one; none inside what is left out."""
-    found: list[Element] = []
+def _harmless(main: Element, template: frozenset[int] | set[int]) -> frozenset[int] | set[int]:
+    """The template, or nothing where it would take most of a main element: that is an edited copy, not an article with boxes."""
+    taken = whole = 0
 
-    def walk(e: Element, tag: str) -> None:
+    def walk(e: Element, gone: bool, unit: bool) -> None:
+        nonlocal taken, whole
+        if e.tag in RAW or e.tag == "title" or e.outside:
+            return
+        gone = gone or (unit and e.digest in template)
         for p in e.parts:
-            if isinstance(p, Element) and not p.outside:
-                if p.tag == tag:
-                    found.append(p)
-                else:
-                    walk(p, tag)
-
-    walk(e, "article")
-    if not found:
-        walk(e, "main")
-    return found
+            if isinstance(p, str):
+                n = len(_SPACE.sub(" ", p).strip())
+                whole += n
+                taken += n if gone else 0
+            else:
+                walk(p, gone, p.unit)
+
+    if template:
+        walk(main, False, False)
+    return template if taken * 2 <= whole else frozenset()
+
+
+def _outermost_main(root: Element) -> list[Element]:
+    """The articles of a page, or its main elements where no article stands in one.
+
+    Those in elements that a name leaves out count where the page has no others, or where they
+    hold more text than its main elements do.
+    """
+
+    def search(tag: str, most: int) -> list[Element]:
+        found: list[Element] = []
+
+        def walk(e: Element) -> None:
+            for p in e.parts:
+                if isinstance(p, Element) and p.outside <= most:
+                    if p.tag == tag:
+                        found.append(p)
+                    else:
+                        walk(p)
+
+        walk(root)
+        return found
+
+    def text(e: Element) -> int:
+        return e.size - sum(_left_out(p) for p in e.parts if isinstance(p, Element))
+
+    def _left_out(e: Element) -> int:
+        return e.size if e.outside else sum(_left_out(p) for p in e.parts if isinstance(p, Element))
+
+    if found := search("article", 0):
+        return found
+    mains, named = search("main", 0), search("article", 1)
+    if sum(map(text, named)) > sum(map(text, mains)):
+        return named
+    return mains or search("main", 1)
 
 
 def page_hashes(pages: DataFrame) -> DataFrame:
-    """host, hash, page (by its longest block) for the subtrees of every page."""
+    """host, hash, page (by its longest text) for the subtrees of every page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hosts, hashes, keys = [], [], []
             for host, page in zip(b.column("host").to_pylist(), b.column("html"), strict=True):
-                root = parse(page.as_py() or "")
-                found: set[int] = set()
-                _hash_subtrees(root, False, found)
-                if found:
-                    longest = max(blocks_of(root, frozenset()), key=lambda t: (len(t), t), default="")
-                    key = xxhash.xxh3_64_intdigest(longest.encode("utf-8", "replace"))
-                    for h in found:
-                        hosts.append(host)
-                        hashes.append(h)
-                        keys.append(key)
+                for h, key in page_units(*read_page(page.as_py())).items():
+                    hosts.append(host)
+                    hashes.append(h)
+                    keys.append(key)
             signed = [pa.array(x, pa.uint64()).view(pa.int64()) for x in (hashes, keys)]
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *signed], ["host", "hash", "page"])
 
@@ -226,13 +334,8 @@ def page_hashes(pages: DataFrame) -> DataFrame:
     return map_arrow(rows, run, "host string, hash long, page long")
 
 
-def templates(pages: DataFrame, many: int = MANY, share: float = SHARE) -> DataFrame:
-    """host and the array of its template hashes.
-
-    A page has a bounded number of elements, so a host has at most 1/share times as many
-    hashes that reach the share of its pages.
-    """
-    seen = saved(page_hashes(pages).distinct())
+def templates(seen: DataFrame, many: int = MANY, share: float = SHARE) -> DataFrame:
+    """host and the array of its template hashes."""
     size = seen.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     counts = seen.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= many)
     often = counts.join(size, "host").filter(F.col("n") >= F.col("pages") * share)
@@ -241,7 +344,7 @@ def templates(pages: DataFrame, many: int = MANY, share: float = SHARE) -> DataF
 
 def extract(pages: DataFrame, many: int = MANY) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    known = saved(templates(pages, many))
+    known = saved(templates(saved(page_hashes(pages).distinct()), many))
     size = known.agg(F.sum(F.size("template") + 4)).first()[0] or 0
     known = F.broadcast(known) if size <= MOST_SENT else known
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(known, "host", "left")
@@ -250,10 +353,8 @@ def extract(pages: DataFrame, many: int = MANY) -> DataFrame:
         for b in batches:
             texts = []
             for page, template in zip(b.column("html"), b.column("template"), strict=True):
-                root = parse(page.as_py() or "")
-                _hash_subtrees(root, False, set())
                 known = {h & 0xFFFFFFFFFFFFFFFF for h in template.as_py() or ()}
-                texts.append("\n\n".join(blocks_of(root, known)))
+                texts.append("\n\n".join(blocks_of(*read_page(page.as_py()), known)))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
