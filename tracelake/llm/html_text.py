@@ -2,7 +2,7 @@
 
 The main content of a page is its ``article`` or ``main`` elements, or else the whole page.
 Every subtree in it is hashed, and Spark counts, for each host, over how many different pages
-(different by their longest text) a hash recurs; subtrees that recur on ``MANY``
+(different in what remains without the subtree) a hash recurs; subtrees that recur on ``MANY``
 pages or more are the site's template and are deleted. In an ``article`` or ``main``, the element
 itself, whatever holds most of its text, and plain lines (paragraphs without class or id), words,
 cells and headings are never a template, and nothing is deleted where the template would take
@@ -31,8 +31,10 @@ from tracelake.llm.url_rules import host_of
 
 #: Different pages of a host from which a recurring subtree is its template.
 MANY = 5
-#: Least share of the host's different pages that a template subtree stands on.
-SHARE = 0.005
+#: Least length of a text, against the longest, that tells pages apart.
+MINOR = 0.1
+#: Least length of such a text in characters.
+FEW = 20
 #: Template hashes that may be sent to every task; more are joined to their pages by a shuffle.
 MOST_SENT = 200_000
 
@@ -177,7 +179,11 @@ def _spare_holder(root: Element) -> None:
 
 
 def page_units(root: Element, mains: list[Element]) -> dict[int, int]:
-    """hash -> key of the page (its longest text), for the subtrees that may be a template."""
+    """hash -> key of the page without that subtree, for the subtrees that may be a template.
+
+    The key sums the hashes of the remaining texts; those shorter than ``FEW`` or ``MINOR`` of the
+    longest don't count, so that a date or a counter doesn't make a copied article another page.
+    """
     sizes: list[int] = []
     hashes: list[int] = []
     units: list[Element] = []
@@ -214,7 +220,19 @@ def page_units(root: Element, mains: list[Element]) -> dict[int, int]:
         return {}
     longest = max(sizes)
     top = [i for i, n in enumerate(sizes) if n == longest]
-    return {e.digest: max(hashes[i] for i in top) for e in units}
+    sums = [0]
+    for n, h in zip(sizes, hashes, strict=True):
+        sums.append(sums[-1] + (h if n >= max(FEW, longest * MINOR) else 0))
+    out: dict[int, int] = {}
+    for e in units:
+        if e.first <= top[0] and top[-1] < e.end:  # the longest goes with the subtree
+            rest = [*range(e.first), *range(e.end, len(sizes))]
+            least = max(FEW, max((sizes[i] for i in rest), default=0) * MINOR)
+            key = sum(hashes[i] for i in rest if sizes[i] >= least)
+        else:
+            key = sums[-1] - sums[e.end] + sums[e.first]
+        out.setdefault(e.digest, key & 0xFFFFFFFFFFFFFFFF)
+    return out
 
 
 def blocks_of(root: Element, mains: list[Element], template: frozenset[int] | set[int]) -> list[str]:
@@ -317,37 +335,38 @@ def _outermost_main(root: Element) -> list[Element]:
 
 
 def page_hashes(pages: DataFrame) -> DataFrame:
-    """host, hash, page (by its longest text) for the subtrees of every page."""
+    """host, hash, page (by its text without the subtree) and doc (the page's own hash) for the subtrees of every page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hosts, hashes, keys = [], [], []
-            for host, page in zip(b.column("host").to_pylist(), b.column("html"), strict=True):
+            hosts, docs, hashes, keys = [], [], [], []
+            for host, doc, page in zip(b.column("host").to_pylist(), b.column("doc").to_pylist(), b.column("html"), strict=True):
                 for h, key in page_units(*read_page(page.as_py())).items():
                     hosts.append(host)
+                    docs.append(doc)
                     hashes.append(h)
                     keys.append(key)
             signed = [pa.array(x, pa.uint64()).view(pa.int64()) for x in (hashes, keys)]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *signed], ["host", "hash", "page"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *signed, pa.array(docs, pa.int64())], ["host", "hash", "page", "doc"])
 
-    rows = pages.select(host_of(F.col("url")).alias("host"), "html")
-    return map_arrow(rows, run, "host string, hash long, page long")
+    rows = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("doc"), "html")
+    return map_arrow(rows, run, "host string, hash long, page long, doc long")
 
 
-def templates(seen: DataFrame, many: int = MANY, share: float = SHARE) -> DataFrame:
-    """host and the array of its template hashes."""
-    size = seen.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    counts = seen.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= many)
-    often = counts.join(size, "host").filter(F.col("n") >= F.col("pages") * share)
-    return often.groupBy("host").agg(F.collect_set("hash").alias("template"))
+def templates(seen: DataFrame, many: int = MANY) -> DataFrame:
+    """host and hash of the subtrees that stand on ``many`` different pages of their host, from ``page_hashes``."""
+    return seen.select("host", "hash", "page").distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= many).select("host", "hash")
 
 
-def extract(pages: DataFrame, many: int = MANY) -> DataFrame:
+def extract(pages: DataFrame, many: int = MANY, most_sent: int = MOST_SENT) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    known = saved(templates(saved(page_hashes(pages).distinct()), many))
-    size = known.agg(F.sum(F.size("template") + 4)).first()[0] or 0
-    known = F.broadcast(known) if size <= MOST_SENT else known
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(known, "host", "left")
+    seen = saved(page_hashes(pages))
+    known = saved(templates(seen, many))
+    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("doc"))
+    if known.count() <= most_sent:
+        rows = rows.join(F.broadcast(known.groupBy("host").agg(F.collect_set("hash").alias("template"))), "host", "left")
+    else:  # a page has few of its host's templates
+        rows = rows.join(seen.join(known, ["host", "hash"]).groupBy("host", "doc").agg(F.collect_set("hash").alias("template")), ["host", "doc"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
