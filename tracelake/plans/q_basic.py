@@ -77,6 +77,12 @@ def _(spark, sf):
     return C.log_context(hits, rows, "event_id", k=3, window_s=3600)
 
 
+@query("p15_j10_log_context_all")
+def _(spark, sf):
+    rows = logs(spark, sf)
+    return C.log_context(rows.filter("level = 'error'"), rows, "event_id", k=3, window_s=3600)
+
+
 @query("p16_severity_sample")
 def _(spark, sf):
     return A.severity_sample(logs(spark, sf), "level", F.col("event_id"), {"error": 1.0, "warn": 0.5}, 0.01).groupBy("level").agg(F.count("*").alias("n"))
