@@ -118,10 +118,15 @@ def _(spark, sf):
     return G.service_paths(edges(spark, sf), 3).select(F.array_join("path", ">").alias("path"))
 
 
+@query("g28_service_paths_all")
+def _(spark, sf):
+    return G.service_paths(edges(spark, sf)).select(F.array_join("path", ">").alias("path"))
+
+
 @query("g28_path_usage")
 def _(spark, sf):
     df = spans(spark, sf)
-    return rounded(G.path_usage(G.service_paths(G.dependency_edges(df), 3), df).withColumn("path", F.array_join("path", ">")), "avg", "error_share", "criticality")
+    return rounded(G.path_usage(G.service_paths(G.dependency_edges(df)), df).withColumn("path", F.array_join("path", ">")), "avg", "error_share", "criticality")
 
 
 @query("g29_topology_paths", _WALK.format(n=3) + ", h AS (SELECT array_to_string(path, '>') AS id, unnest([struct_pack(a := path[1], b := path[2]), struct_pack(a := path[2], b := path[3])]) AS h FROM walk WHERE len(path) = 3) SELECT id, round(sum(lat_avg), 4) AS latency, count(*) FILTER (WHERE lat_avg > 500 OR error_rate > 10) AS bottlenecks FROM h JOIN edges e ON e.source = h.a AND e.target = h.b GROUP BY id ORDER BY sum(lat_avg) DESC, id LIMIT 10")
@@ -129,6 +134,11 @@ def _(spark, sf):
     return rounded(G.topology_paths(edges(spark, sf), 3).select("id", "latency", "bottlenecks"), "latency")
 
 
+@query("g29_topology_paths_all")
+def _(spark, sf):
+    return rounded(G.topology_paths(edges(spark, sf)).select("id", "latency", "bottlenecks"), "latency")
+
+
 @query("g30_levels", f"WITH RECURSIVE {_EDGES}, w AS (SELECT DISTINCT source AS service, 0 AS level FROM edges WHERE source NOT IN (SELECT target FROM edges) UNION SELECT e.target, w.level + 1 FROM w JOIN edges e ON e.source = w.service WHERE w.level < 9) SELECT service, min(level) AS level FROM w GROUP BY service")
 def _(spark, sf):
     return G.levels(edges(spark, sf))
