@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.lineage import cut_lineage
 from tracelake.functions.stats import rank_percentiles, ratio
+from tracelake.operators.graph import smallest_labels
 from tracelake.operators.series import seasonal_adjust
 from tracelake.shipping import ship
 
@@ -188,7 +189,7 @@ def outlier_scores(df: DataFrame, features: Sequence[str], by: Sequence[str] = (
     return {"robust": lambda: robust_scores(df, features, by), "pca": lambda: pca_scores(df, features), "iforest": lambda: isolation_forest(df, features)}[method]()
 
 
-def density_noise(df: DataFrame, key: str, x: str, y: str, eps: float = 0.5, min_points: int = 5, rounds: int = 30) -> DataFrame:
+def density_noise(df: DataFrame, key: str, x: str, y: str, eps: float = 0.5, min_points: int = 5, rounds: int = 200) -> DataFrame:
     """key, cluster (smallest core key; null for noise): points within eps meet through a grid of eps-wide cells."""
     p = df.select(key, F.col(x).alias("_x"), F.col(y).alias("_y")).withColumn("_cx", F.floor(F.col("_x") / eps)).withColumn("_cy", F.floor(F.col("_y") / eps))
     shifts = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("_s")
@@ -197,13 +198,7 @@ def density_noise(df: DataFrame, key: str, x: str, y: str, eps: float = 0.5, min
     pairs = cut_lineage(near.join(p.withColumnRenamed(key, "b"), ["_cx", "_cy"]).filter(d <= eps * eps).select("a", "b"))
     core = pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") >= min_points).select(F.col("a").alias("core"))
     inner = cut_lineage(pairs.join(core, F.col("a") == F.col("core")).drop("core").join(core, F.col("b") == F.col("core")).select("a", "b"))
-    label = inner.groupBy("a").agg(F.min("b").alias("label"))
-    for _ in range(rounds):
-        step = inner.join(label.select(F.col("a").alias("b"), F.col("label").alias("l")), "b").groupBy("a").agg(F.min("l").alias("l"))
-        step = cut_lineage(label.join(step, "a").select("a", F.col("label").alias("was"), F.least("label", "l").alias("label")))
-        label = step.select("a", "label")
-        if step.filter("was <> label").isEmpty():
-            break
+    label = smallest_labels(inner, rounds).withColumnRenamed("node", "a")
     reach = pairs.join(label.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("cluster"))
     return df.select(key).join(reach.withColumnRenamed("a", key), key, "left")
 

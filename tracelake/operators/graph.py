@@ -252,18 +252,30 @@ def key_services(measures: DataFrame) -> DataFrame:
     return measures.withColumn("roles", F.array_join(roles, ",")).filter("roles <> ''")
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """service and the smallest service of its undirected component."""
-    e = edges.select("source", "target").distinct()
-    both = cut_lineage(e.union(e.select("target", "source")).distinct())
-    labels = both.groupBy(F.col("source").alias("service")).agg(F.min("target").alias("m")).select("service", F.least("service", "m").alias("label"))
+def smallest_labels(both: DataFrame, rounds: int = 200) -> DataFrame:
+    """node and label (the smallest node of its component) from edges (a, b) given in both directions.
+
+    Each round every node takes the smallest label near it, then the label of that label, so
+    rounds grow with the logarithm of a component's length.
+    """
+    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"))
+    labels = cut_lineage(labels)
     for _ in range(rounds):
-        near = both.join(labels.select(F.col("service").alias("target"), "label"), "target").groupBy(F.col("source").alias("service")).agg(F.min("label").alias("near"))
-        step = cut_lineage(labels.join(near, "service").select("service", F.col("label").alias("was"), F.least("label", "near").alias("label")))
-        labels = step.select("service", "label")
+        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        step = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("next"))
+        jump = labels.select(F.col("node").alias("next"), F.col("label").alias("jump"))
+        step = cut_lineage(step.join(jump, "next", "left").select("node", "was", F.least("next", F.coalesce("jump", "next")).alias("label")))
+        labels = step.select("node", "label")
         if step.filter("was <> label").isEmpty():
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"labels didn't settle in {rounds} rounds")
+
+
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
+    """service and the smallest service of its undirected component."""
+    e = edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
+    both = cut_lineage(e.union(e.select("b", "a")).distinct())
+    return smallest_labels(both, rounds).withColumnRenamed("node", "service")
 
 
 def cohesion(edges: DataFrame, labels: DataFrame) -> DataFrame:
