@@ -1,9 +1,9 @@
 """License scan by patience alignment.
 
-Where a text holds enough of a template's words within a window of its length, the window and
-the template are aligned: words unique to both are anchors, the longest increasing run of
+Where a text holds enough of a template's words, each as often as there, within ``SPREAD`` times
+its length, that span and the template are aligned: words unique to both are anchors, the longest increasing run of
 anchors stays, and the gaps between them are aligned again the same way. The share of the
-template's words that the alignment reaches is its coverage.
+template's words that the alignment reaches is its coverage. Every copy of every template is listed.
 
 Defined cases: null and empty texts hold no license; of templates with equal coverage the
 longer one wins, then the first by name; repeated rows stay repeated; an empty table gives an
@@ -24,6 +24,8 @@ from tracelake.llm.common import map_arrow, read
 from tracelake.llm.textops import PLAIN, Words, slices, texts_of
 
 COVERAGE = 0.8
+#: A copy with other words between is at most so many times as long as its template.
+SPREAD = 3
 
 # fixed values: wording of public licenses and notices; # stands for any one word
 TEMPLATES = {
@@ -99,37 +101,83 @@ class Template:
         self.name, self.words = name, words.hash[:-1]
         self.free = set(np.flatnonzero(self.words == wild).tolist())  # any one word may stand there
         self.needed = len(self.words) - len(self.free)
+        self.times = {int(w): int(n) for w, n in zip(*np.unique(self.words[self.words != wild], return_counts=True), strict=True)}
         self.vocabulary = np.unique(self.words[self.words != wild])
 
 
-def windows(member: np.ndarray, size: int, least: float) -> list[tuple[int, int]]:
-    """Word ranges in which ``size`` words in a row hold at least ``least`` words of the vocabulary."""
-    size = min(size, len(member))
-    if not size:
-        return []
-    sums = np.concatenate(([0], np.cumsum(member)))
-    good = np.flatnonzero(sums[size:] - sums[:-size] >= least)
-    if not len(good):
-        return []
-    new = np.flatnonzero(np.diff(good) > size) + 1
-    return [(int(g[0]), int(g[-1]) + size) for g in np.split(good, new)]
-
-
-def match(words: np.ndarray, member: np.ndarray, template: Template, least: float) -> tuple[float, int, int] | None:
-    """(coverage, first word, end) of the best alignment with the template."""
-    size, best = len(template.words), None
-    for a, b in windows(member, size, least * template.needed):
-        for lo in range(a, max(a + 1, b - size), max(1, size // 2)):  # a long range may hold the template more than once
-            hi = min(b, lo + size + size // 2)
-            found = [(i, j) for i, j in align(words[lo:hi].tolist(), template.words.tolist()) if j not in template.free]
-            share = len(found) / template.needed
-            if found and share >= least and (best is None or share > best[0]):
-                best = (share, lo + found[0][0], lo + found[-1][0] + 1)
-    return best
+def tight_spans(words: list[int], at: list[int], template: Template, least: float) -> list[tuple[int, int]]:
+    """Word ranges, none in another, that hold ``least`` of the template's words, each word as often as there at most.
+
+    No copy of at most ``SPREAD`` template lengths is without such a range: it holds the words
+    that an alignment would reach, in any order.
+    """
+    most = SPREAD * len(template.words)
+    want, need = template.times, least * template.needed
+    held: dict[int, int] = {}
+    out: list[tuple[int, int]] = []
+    have = first = 0
+    for i, e in enumerate(at):
+        w = words[e]
+        held[w] = held.get(w, 0) + 1
+        have += held[w] <= want[w]
+        while have >= need or at[first] <= e - most:
+            if have >= need:
+                span = (at[first], e + 1)
+                if out and out[-1][1] == span[1]:
+                    out[-1] = span
+                else:
+                    out.append(span)
+            w = words[at[first]]
+            have -= held[w] <= want[w]
+            held[w] -= 1
+            first += 1
+            if first > i:
+                break
+    return out
+
+
+def matches(words: np.ndarray, member: np.ndarray, template: Template, least: float) -> list[tuple[float, int, int]]:
+    """(coverage, first word, end) of every copy of the template, the best aligned first where they overlap."""
+    text, at = words.tolist(), np.flatnonzero(member).tolist()
+    spans = tight_spans(text, at, template, least)
+    size, goal = len(template.words), template.words.tolist()
+    tried: set[tuple[int, int]] = set()
+    found: list[tuple[float, int, int]] = []
+
+    def reach(lo: int, hi: int) -> None:
+        lo, hi = max(lo, 0), min(hi, len(text))
+        if (lo, hi) in tried:
+            return
+        tried.add((lo, hi))
+        pairs = [(i, j) for i, j in align(text[lo:hi], goal) if j not in template.free]
+        if pairs and len(pairs) >= least * template.needed:
+            found.append((len(pairs) / template.needed, lo + pairs[0][0], lo + pairs[-1][0] + 1))
+
+    for k, (s, e) in enumerate(spans):
+        more = -(-(e - s) * (template.needed - int(least * template.needed)) // max(1, int(least * template.needed))) + 1
+        reach(s, e)
+        reach(s, e + more)
+        reach(s - more, e)
+        reach(s - more, e + more)
+        reach(s, s + size)
+        reach(s, s + size + size // 2)
+        if k == 0 or spans[k - 1][1] <= s:  # spans that overlap, as far as one copy can
+            last = k
+            while last + 1 < len(spans) and spans[last + 1][0] < spans[last][1] and spans[last + 1][1] <= s + SPREAD * size:
+                last += 1
+            reach(s, spans[last][1])
+    kept: list[tuple[float, int, int]] = []
+    for f in sorted(found, key=lambda x: (-x[0], x[2] - x[1], x[1])):
+        if all(f[2] <= k[1] or k[2] <= f[1] for k in kept):
+            kept.append(f)
+    return kept
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = COVERAGE) -> DataFrame:
-    """doc_id, license_id, coverage, first_word, end_word, n_licenses: a row per document with its best template."""
+    """doc_id, license_id, coverage, first_word, end_word (of the best template), n_licenses, licenses: a row per document.
+
+    ``licenses`` lists every copy of every template, the best first.
+    """
     given = dict(TEMPLATES if templates is None else templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,16 +203,21 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
                     sums = np.concatenate(([0], np.cumsum(member)))
                     for d in np.flatnonzero(sums[w.first[1:]] - sums[w.first[:-1]] >= least * t.needed):
                         s, e = w.first[d], w.first[d + 1]
-                        if found := match(w.hash[s:e], member[s:e], t, least):
-                            hits[d].append((found[0], t.needed, t.name, *found[1:]))
+                        held, n = np.unique(w.hash[s:e][member[s:e]], return_counts=True)
+                        if sum(min(k, t.times[h]) for h, k in zip(held.tolist(), n.tolist(), strict=True)) < least * t.needed:
+                            continue
+                        hits[d] += [(f[0], t.needed, t.name, *f[1:]) for f in matches(w.hash[s:e], member[s:e], t, least)]
                 for h in hits:
-                    best = min(h, key=lambda x: (-x[0], -x[1], x[2])) if h else None
-                    rows.append((best[2], best[0], best[3], best[4], len(h)) if best else (None, 0.0, None, None, 0))
-            kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int32())
+                    h.sort(key=lambda x: (-x[0], -x[1], x[2], x[3]))
+                    every_one = [{"license_id": x[2], "coverage": x[0], "first_word": int(x[3]), "end_word": int(x[4])} for x in h]
+                    best = every_one[0] if h else {"coverage": 0.0}
+                    rows.append((best.get("license_id"), best["coverage"], best.get("first_word"), best.get("end_word"), len({x[2] for x in h}), every_one))
+            one = pa.struct([("license_id", pa.string()), ("coverage", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())])
+            kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(one))
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", "license_id", "coverage", "first_word", "end_word", "n_licenses"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", "license_id", "coverage", "first_word", "end_word", "n_licenses", "licenses"])
 
-    kinds = "doc_id long, license_id string, coverage double, first_word long, end_word long, n_licenses int"
+    kinds = "doc_id long, license_id string, coverage double, first_word long, end_word long, n_licenses int, licenses array<struct<license_id string, coverage double, first_word long, end_word long>>"
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, kinds)
 
 
