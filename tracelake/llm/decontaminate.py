@@ -170,9 +170,14 @@ def scan_block(docs: DataFrame, items: Items, least: float) -> DataFrame:
                             best[lo + d] = max(best[lo + d] or (0.0, -(1 << 62), 0), (1.0, -int(items.ids[k]), 1))
             share = [x[0] if x else None for x in best]
             item = [-x[1] if x else None for x in best]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(item, pa.int64()), pa.array(share, pa.float64()), pa.array([x[2] if x else 0 for x in best], pa.int32())], ["doc_id", "item_id", "coverage", "n_tiles"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(item, pa.int64()), pa.array(share, pa.float64()), pa.array([x[2] if x else 0 for x in best], pa.int32()), b.column("digest")], ["doc_id", "item_id", "coverage", "n_tiles", "digest"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, item_id long, coverage double, n_tiles int")
+    return map_arrow(rows_of(docs), run, "doc_id long, item_id long, coverage double, n_tiles int, digest string")
+
+
+def rows_of(docs: DataFrame) -> DataFrame:
+    """doc_id, text and digest of every row; the last tells apart rows that share an id."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.sha2(F.col("text"), 256).alias("digest"))
 
 
 def blocks_of(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> Iterator[Items]:
@@ -185,22 +190,31 @@ def blocks_of(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> Iterator[Items]
         yield Items(part["item_id"].to_pylist(), part["text"].to_pylist())
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, least: float = COVERAGE) -> DataFrame:
+def best_items(docs: DataFrame, benchmark: DataFrame, least: float, chars: int) -> DataFrame:
+    """doc_id, item_id, coverage, n_tiles, digest of every row, whatever the number of blocks."""
+    found = [scan_block(docs, items, least) for items in blocks_of(benchmark, chars)]
+    if len(found) == 1:
+        return found[0]
+    hits = found[0].filter("item_id is not null")
+    for more in found[1:]:
+        hits = hits.unionByName(more.filter("item_id is not null"))
+    best = F.max(F.struct("coverage", (-F.col("item_id")).alias("i"), "n_tiles")).alias("b")
+    hits = hits.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(best)
+    out = rows_of(docs).select("doc_id", "digest").join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("digest").eqNullSafe(F.col("_digest")), "left")
+    return out.select("doc_id", (-F.col("b.i")).alias("item_id"), "b.coverage", F.coalesce("b.n_tiles", F.lit(0)).alias("n_tiles"), "digest")
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, least: float = COVERAGE, chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, contaminated, item_id, coverage, n_tiles: a row per document, with the item it covers best."""
-    found = [scan_block(docs, items, least) for items in blocks_of(benchmark)]
-    out = found[0]
-    if len(found) > 1:
-        for more in found[1:]:
-            out = out.unionByName(more)
-        best = F.max(F.struct("coverage", (-F.col("item_id")).alias("i"), "n_tiles")).alias("b")
-        out = out.groupBy("doc_id").agg(best).select("doc_id", (-F.col("b.i")).alias("item_id"), "b.coverage", "b.n_tiles")
+    out = best_items(docs, benchmark, least, chars)
     return out.select("doc_id", F.col("item_id").isNotNull().alias("contaminated"), "item_id", F.coalesce("coverage", F.lit(0.0)).alias("coverage"), "n_tiles")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = COVERAGE) -> DataFrame:
-    """The rows of ``docs`` that cover no benchmark item."""
-    hit = scan(docs, benchmark, least).filter("contaminated").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = COVERAGE, chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` that cover no benchmark item; a row is told by its id and its text."""
+    hit = best_items(docs, benchmark, least, chars).filter("item_id is not null").select(F.col("doc_id").alias("_hit_id"), F.col("digest").alias("_hit_digest")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_hit_id")) & F.sha2(docs["text"], 256).eqNullSafe(F.col("_hit_digest"))
+    return docs.join(hit, same, "left_anti").select(docs.columns)
 
 
 def query(spark, sf_dir):
