@@ -2,11 +2,12 @@
 
 Each labelled preference pair says that a document of label 1 beats one of label 0. Document
 scores are linear in surface features; they are learned by logistic loss on the pair's
-feature difference (Spark ML's logistic regression without intercept), and the cut is the
-quantile of the learning rows' scores that lets the learned share of documents through.
+feature difference, and the cut is the quantile of the learning rows' scores that lets the
+learned share of documents through.
 
 Learning uses at most ``MOST_LABELLED`` rows of each label, taken by the hash of their id;
-every document is scored over its whole text.
+their features, a few numbers a row, are fitted by Newton steps on the driver. Every document
+is scored over its whole text.
 
 Defined cases: null and empty texts have all features 0 and get a score like any other;
 labels that are null, and labels of documents that are missing, aren't learned from; without
@@ -20,8 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,6 +94,25 @@ def with_features(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, x array<double>")
 
 
+def bradley_terry(diff: np.ndarray, penalty: float = 1e-3, steps: int = 50) -> np.ndarray:
+    """Weights that minimise the mean of log(1 + exp(-w.d)) over the rows d, with a small quadratic penalty, by Newton steps."""
+    w = np.zeros(diff.shape[1])
+    loss = lambda w: np.logaddexp(0, -(diff @ w)).mean() + penalty / 2 * (w @ w)
+    now = loss(w)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(np.clip(diff @ w, -500, 500)))  # how likely the loser is to win
+        gradient = penalty * w - diff.T @ p / len(diff)
+        curve = (diff * (p * (1 - p))[:, None]).T @ diff / len(diff) + penalty * np.eye(len(w))
+        step, size = np.linalg.solve(curve, gradient), 1.0
+        while size > 1e-6 and loss(w - size * step) > now:
+            size /= 2
+        w = w - size * step
+        was, now = now, loss(w)
+        if was - now < 1e-12:
+            break
+    return w
+
+
 def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, rounds: int = ROUNDS) -> tuple[np.ndarray, float, float]:
     """(weights, cut, scale) from the labelled rows of ``docs``; a score is 1/(1+exp(-(w.x-cut)*scale))."""
     one = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -104,10 +122,9 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, rounds:
         part = one.filter(F.col("quality") == label).orderBy(spread, "doc_id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
     sample = docs.join(F.broadcast(chosen), "doc_id")  # 2 * most ids at the most
-    rows = with_features(sample).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "x").dropDuplicates(["doc_id"]).toPandas()
-    x, y = np.array(rows["x"].tolist(), dtype=float).reshape(len(rows), len(FEATURES)), rows["quality"].to_numpy()
-    order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
-    x, y = x[order], y[order]
+    rows = with_features(sample).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("x").alias("x")).orderBy("doc_id").toArrow()
+    x = np.asarray(rows["x"].combine_chunks().flatten(), dtype=float).reshape(rows.num_rows, len(FEATURES))
+    y = rows["quality"].to_numpy()
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(bad):
         return np.zeros(len(FEATURES)), 0.0, 1.0
@@ -115,24 +132,12 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, rounds:
     draw = np.random.default_rng(7)
     longer = max(len(good), len(bad)) * rounds
     won, lost = (np.resize(draw.permutation(np.resize(a, longer)), longer) for a in (good, bad))
-    diff = x[won] - x[lost]
-    sign = np.where(np.arange(longer) % 2 == 0, 1.0, -1.0)  # half of the pairs the other way round
-    spark = docs.sparkSession
     scale = x.std(axis=0) + 1e-9
-    pairs = spark.createDataFrame(pa.table({"d": pa.array(((diff / scale) * sign[:, None]).tolist()), "label": pa.array((sign > 0).astype(float))}))
-    pairs = pairs.select(array_to_vector("d").alias("features"), "label").repartition(4).cache()
-    model = LogisticRegression(fitIntercept=False, regParam=1e-3, standardization=False, maxIter=60).fit(pairs)
-    pairs.unpersist()
-    w = model.coefficients.toArray() / scale
-    s = x @ w
-    # the quantile of scores at which the share that passes is the share of label 1, moved to the middle of its gap
-    below = np.sort(s)
+    w = bradley_terry((x[won] - x[lost]) / scale) / scale
+    # the cut is the quantile of scores below which the share of label 0 lies
+    s = np.sort(x @ w)
     k = len(bad)
-    near = range(max(1, k - len(s) // 20), min(len(s), k + len(s) // 20 + 1))
-    errors = np.cumsum(y[np.argsort(s, kind="stable")] == 1)
-    wrong = {i: errors[i - 1] + (len(bad) - (i - errors[i - 1])) for i in near}
-    k = min(near, key=lambda i: (wrong[i], below[i - 1] - below[i], abs(i - k)))
-    return w, float((below[k - 1] + below[k]) / 2), float(1.0)
+    return w, float((s[k - 1] + s[k]) / 2), 1.0
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float, float]) -> DataFrame:
