@@ -103,10 +103,46 @@ def test_near_copies(documents, corpus):
     sets, comp = brute_components(corpus)
     assert len(set(comp.values())) < len(comp)
     for r in jaccard_join.join(documents(corpus)).collect():
-        if r.doc_id is not None:
-            assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), comp[r.doc_id])
-    kept = {r.doc_id for r in jaccard_join.keep_one(documents(corpus)).collect() if r.doc_id is not None}
-    assert kept == set(comp.values())
+        expected = (len(sets[0]), 0) if r.doc_id is None else (len(sets[r.doc_id]), comp[r.doc_id])
+        assert (r.n_shingles, r.component_id) == expected
+    kept = [r.doc_id for r in jaccard_join.keep_one(documents(corpus)).collect()]
+    assert sorted(kept) == sorted(set(comp.values()))
+
+
+def test_one_row_stays_of_ids_that_repeat(documents):
+    a, b = prose(1, 60), prose(2, 60)
+    rows = [(5, a), (9, a), (5, b), (None, a), (None, prose(3, 60)), (7, b), (7, b), (4, None), (4, None)]
+    assert sorted((r.doc_id or 0, r.text) for r in jaccard_join.keep_one(documents(rows)).filter("text is not null").collect()) == sorted([(5, a), (5, b), (0, prose(3, 60))])
+    kept = sorted((r.doc_id or 0, r.text or "") for r in exact_dedup.drop_copies(documents(rows)).collect())
+    assert kept == sorted([(9, a), (0, prose(3, 60)), (7, b), (4, "")])
+
+
+def test_links_come_from_the_trees(documents):
+    """Hub searches link most of a group, the others the rest; a block dealt over several trees gives the same."""
+    r = random.Random(3)
+    rows = []
+    for g in range(3):
+        base = prose(100 + g, 200).split()
+        for k in range(20):
+            w = list(base)
+            for p in r.sample(range(200), r.choice([1, 3, 5])):
+                w[p] = f"x{g}y{k}z{p}"
+            rows.append((g * 100 + k, " ".join(w)))
+    docs = documents(rows)
+    _, comp = brute_components(rows)
+    profiled = jaccard_join.saved(jaccard_join.profiles(docs, jaccard_join.shingle_ranks(docs), 5, 80))
+    nodes, blocks = jaccard_join.blocks_of(profiled)
+    sets = jaccard_join.sets_table(docs, nodes, 5)
+    hubs = jaccard_join.verified(jaccard_join.hub_pairs(blocks, sets, 80), sets, 80)
+    joined = len(comp) - len(set(comp.values()))  # links that make the components
+    assert joined >= 20 and 0.8 * joined <= hubs.count() <= joined
+    for chunk in (jaccard_join.CHUNK, 7):
+        was, jaccard_join.CHUNK = jaccard_join.CHUNK, chunk
+        try:
+            out = {r.doc_id: r.component_id for r in jaccard_join.join(docs).collect()}
+        finally:
+            jaccard_join.CHUNK = was
+        assert out == comp
 
 
 def test_tree_finds_all_members_above_the_bound():

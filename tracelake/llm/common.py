@@ -29,6 +29,37 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
+def text_key(text: Column) -> Column:
+    """Tells texts apart; null for a null text."""
+    return F.sha2(text, 256)
+
+
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def without(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without those decided against, and identical kept rows once.
+
+    decided: doc_id, key (of the text), kept, times (rows of that id and text); rows that it
+    doesn't name stay as they are. Only the rows that go, and those that repeat, are looked up.
+    """
+    decided = saved(decided.filter("not kept or times > 1"))
+    key, doc = fresh(docs, "text_key"), F.col("doc_id").cast("long")
+    rows = docs.withColumn(key, text_key(F.col("text")))
+    same = lambda these: doc.eqNullSafe(these["_id"]) & F.col(key).eqNullSafe(these["_key"])
+    gone, again = (decided.filter(c).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")) for c in ("not kept", "kept"))
+    left = rows.join(gone, same(gone), "left_anti")
+    if not again.isEmpty():
+        repeated = left.join(again, same(again), "left_semi").dropDuplicates(["doc_id", key])
+        left = left.join(again, same(again), "left_anti").unionByName(repeated)
+    return left.select(docs.columns)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; only where it is unset (tests), a folder of our own."""
     given = spark.conf.get("spark.checkpoint.dir", None)
@@ -50,6 +81,12 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_or_shuffled(df: DataFrame, most: int) -> DataFrame:
+    """The rows, written, marked for a broadcast where they are ``most`` at most."""
+    df = saved(df)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """``mapInArrow`` with this package on the workers' path.
 

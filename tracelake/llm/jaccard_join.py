@@ -1,26 +1,28 @@
 """N-gram Jaccard self-join with count-vector R-trees, and its components.
 
-A document's set holds its distinct five-word shingles (64-bit hashes). Two sets of Jaccard
-similarity t or more share a shingle among the first n - ceil(t n) + 1 of each, in any order
-that all documents keep; here shingles are ordered by their counts in a fixed-size sketch of the
-whole corpus, the rare ones first, so that common passages bring few documents together.
-Documents with equal sets stand for one another.
-
-Shingles are also hashed into ``GROUPS`` groups, and a set's group counts are a point. The
-overlap of two sets is at most the sum of their coordinate minima, and the overlap of a set
-with any member of an R-tree node is at most the sum of minima with the node's upper corner.
-Each block (documents that share a prefix shingle) indexes its points in such a tree; only
-pairs that pass the bound are verified on the sets themselves.
-
-Links matter for connectivity alone, so each set first tries a few members of its blocks, then
-a chain runs through the components of each block, and only then all pairs across components
-are sought, block by block; large blocks are cut into bounded chunks and all pairs of chunks
-are searched. No link between different components is lost, and none within one is needed.
+A document's set holds its distinct five-word shingles (64-bit hashes; sets are told apart by
+128-bit digests). Shingles are hashed into groups, and a set's group counts are a point, with
+more groups for larger sets. The overlap of two sets is at most the sum of their coordinate
+minima, and the overlap of a set with any member of an R-tree node is at most the sum of minima
+with the node's upper corner. Candidates come from searching such trees; only pairs that pass
+the bound are verified on the sets themselves.
+
+One tree over a whole corpus can't prune in so many dimensions, so points are indexed in
+blocks: two sets of Jaccard similarity t or more share a shingle among the first
+n - ceil(t n) + 1 of each, in any order that all documents keep. Shingles are ordered by their
+counts in a fixed-size sketch of the whole corpus, the rare ones first, so that common passages
+bring few documents together; blocks with the same members are one block.
+
+Links matter for connectivity alone. First each tree is searched for the block's hub, the
+member that shares most prefix shingles with others, and each set tries the strongest hub that
+its trees gave it. Then, in blocks where sets of different components are left, the trees are
+searched for every set outside the block's largest component. No link between different
+components is lost, and none within one is needed. Large blocks are dealt over several trees.
 
 Defined cases: a document without words has an empty set, no links and its own component;
 one with fewer than five words has its whole word sequence as one shingle; equal texts are
-linked; repeated rows stay repeated; a null id is a component of its own; an empty table
-gives an empty result; other columns are ignored.
+linked; repeated rows stay repeated; a row without an id takes the smallest id that it is linked
+to, or null; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,28 +33,26 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import map_arrow, read, saved
+from tracelake.llm.common import map_arrow, read, saved, text_key, without
 from tracelake.llm.components import components
 from tracelake.llm.textops import Words, distinct_per_row, slices, texts_of
 
 WORDS = 5
 #: Similarity in hundredths.
 PERCENT = 80
-#: Coordinates of a point (a power of two).
-GROUPS = 128
+#: Coordinates of a point, as powers of two: those of small and of large sets.
+LEAST_GROUPS, MOST_GROUPS = 4, 12
 #: Members of an R-tree leaf, and children of its inner nodes.
 FANOUT = 32
-#: Rows of a block that one search compares; larger blocks are cut.
+#: Members of one tree; larger blocks are dealt over several.
 CHUNK = 2048
 #: Counters of the sketch that orders shingles (a power of two), and the parts it is summed in.
 COUNTERS, PARTS = 1 << 22, 64
-#: Links that each set tries first.
-FEW = 2
-#: Ids that may be sent to every task; more are joined by a shuffle.
-MOST_SENT = 200_000
+#: Digests that a task remembers, so that equal sets send one prefix.
+REMEMBERED = 300_000
 
 _U = np.uint64
 
@@ -69,10 +69,22 @@ def sets_of(texts: pa.LargeStringArray, words: int = WORDS) -> tuple[np.ndarray,
     return distinct_per_row(h, row)
 
 
-def point(shingles: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Group counts of n sets."""
-    cell = rows * GROUPS + (shingles & _U(GROUPS - 1)).astype(np.int64)
-    return np.bincount(cell, minlength=n * GROUPS).reshape(n, GROUPS).astype(np.int32)
+def level(n: np.ndarray) -> np.ndarray:
+    """log2 of the coordinates of sets of these sizes: a set has one to two shingles a group."""
+    bits = np.frexp(np.asarray(n, dtype=np.float64))[1] - 1
+    return np.clip(bits, LEAST_GROUPS, MOST_GROUPS)
+
+
+def point(shingles: np.ndarray, bits: int) -> bytes:
+    """Group counts of one set, in bytes where they fit."""
+    counts = np.bincount((shingles & _U((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.int32).tobytes()
+
+
+def folded(points: list[bytes], bits: int, fewer: int) -> np.ndarray:
+    """Points of 2**bits coordinates with 2**fewer of them, a row each."""
+    rows = [np.frombuffer(p, dtype=np.uint8 if len(p) == 1 << bits else np.int32) for p in points]
+    return np.stack(rows).astype(np.int32).reshape(len(rows), -1, 1 << fewer).sum(axis=1)
 
 
 class CountTree:
@@ -89,8 +101,8 @@ class CountTree:
         """Members whose bound on the overlap reaches ``least`` (one value for each member, in the order of the points)."""
         least = least[self.order]
         floors = [least]
-        for level in self.levels[1:]:
-            floors.append(np.minimum.reduceat(floors[-1], np.arange(0, len(floors[-1]), FANOUT)))
+        for points in self.levels[1:]:
+            floors.append(np.minimum.reduceat(floors[-1], np.arange(0, len(floors[-1]), FANOUT))[: len(points)])
         at = np.arange(len(self.levels[-1]))
         for depth in range(len(self.levels) - 1, -1, -1):
             bound = np.minimum(self.levels[depth][at], query).sum(axis=1)
@@ -104,9 +116,10 @@ class CountTree:
 # sets and prefixes ----------------------------------------------------------------------
 
 
-def sketch(docs: DataFrame, words: int = WORDS) -> np.ndarray:
-    """Counts of all shingles of all documents, hashed into COUNTERS counters."""
+def shingle_ranks(docs: DataFrame, words: int = WORDS) -> np.ndarray:
+    """How common the shingles of each of COUNTERS cells are, on a scale of bytes: COUNTERS bytes, whatever the corpus."""
     each = COUNTERS // PARTS
+    parts_of, schema = ("part", "counts"), "part int, counts binary"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, held, n = np.zeros(COUNTERS, dtype=np.uint32), [], 0
@@ -121,25 +134,29 @@ def sketch(docs: DataFrame, words: int = WORDS) -> np.ndarray:
         if held:
             total += np.bincount(np.concatenate(held), minlength=COUNTERS).astype(np.uint32)
         parts = [zstandard.ZstdCompressor(level=1).compress(total[k * each : (k + 1) * each].tobytes()) for k in range(PARTS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], ["part", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], parts_of)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total = None, None
+        def row() -> pa.RecordBatch:
+            scale = np.minimum(np.log2(1.0 + total) * 6, 255).astype(np.uint8)
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([scale.tobytes()], pa.binary())], parts_of)
+
+        now, total = None, np.zeros(0, dtype=np.uint64)
         for b in batches:
             for i in range(b.num_rows):
                 part, counts = b.column("part")[i].as_py(), np.frombuffer(zstandard.ZstdDecompressor().decompress(b.column("counts")[i].as_py()), dtype=np.uint32)
-                if part != now and total is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "counts"])
-                total = counts.astype(np.uint64) if part != now else total + counts
+                if part != now and now is not None:
+                    yield row()
+                total = total + counts if part == now else counts.astype(np.uint64)
                 now = part
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "counts"])
-
-    rows = map_arrow(docs.select("text"), count, "part int, counts binary")
-    sums = map_arrow(rows.repartition("part").sortWithinPartitions("part"), add, "part int, counts binary").toArrow()  # COUNTERS numbers
-    out = np.zeros(COUNTERS, dtype=np.uint32)
-    for part, counts in zip(sums["part"].to_pylist(), sums["counts"].to_pylist(), strict=True):
-        out[part * each : (part + 1) * each] = np.minimum(np.frombuffer(counts, dtype=np.uint64), 0xFFFFFFFF)
+        if now is not None:
+            yield row()
+
+    rows = map_arrow(docs.select("text"), count, schema)
+    sums = map_arrow(rows.repartition("part").sortWithinPartitions("part"), add, schema).toArrow()
+    out = np.zeros(COUNTERS, dtype=np.uint8)
+    for part, scale in zip(sums["part"].to_pylist(), sums["counts"].to_pylist(), strict=True):
+        out[part * each : (part + 1) * each] = np.frombuffer(scale, dtype=np.uint8)
     return out
 
 
@@ -148,143 +165,170 @@ def prefix_size(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 
 def _sets(b: pa.RecordBatch, words: int) -> Iterator[tuple]:
-    """(first row, rows, shingles, their rows, first shingle of each row, digests) for the slices of a batch."""
+    """(first row, rows, shingles, their rows, first shingle of each row, digests as two columns) for the slices of a batch."""
     texts = texts_of(b.column("text"))
     for lo, hi in slices(texts):
         k = hi - lo
         h, row = sets_of(texts.slice(lo, k), words)
         at = np.searchsorted(row, np.arange(k + 1))
-        digest = np.array([xxhash.xxh3_64_intdigest(h[a:z].tobytes()) for a, z in zip(at[:-1], at[1:], strict=True)], dtype=np.uint64).view(np.int64)
-        yield lo, k, h, row, at, digest
+        digest = b"".join(xxhash.xxh3_128_digest(h[a:z].tobytes()) for a, z in zip(at[:-1], at[1:], strict=True))
+        yield lo, k, h, row, at, np.frombuffer(digest, dtype=np.int64).reshape(k, 2)
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def rows_of(docs: DataFrame) -> DataFrame:
+    """doc_id, key (of the text) and text of every row."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), "text")
 
 
-def documents(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n, digest and point of every row."""
+def profiles(docs: DataFrame, ranks: np.ndarray, words: int, percent: int) -> DataFrame:
+    """row, doc_id, key, n, d0, d1 (digest) of every row, and the prefix of each set that its task sees first."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    names = ["doc_id", "key", "n", "d0", "d1", "prefix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks, known = shared.value, set()
         for b in batches:
             for lo, k, h, row, at, digest in _sets(b, words):
-                points = pa.array([p.tobytes() for p in point(h, row, k)], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, k), pa.array(np.diff(at)), pa.array(digest), points], ["doc_id", "n", "digest", "point"])
-
-    return map_arrow(_rows(docs), run, "doc_id long, n long, digest long, point binary")
-
-
-def prefixes(docs: DataFrame, counts: np.ndarray, words: int, percent: int) -> DataFrame:
-    """token, n, digest, doc_id: a row per prefix shingle of each different set of a batch."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
-    schema = pa.schema([("token", pa.int64()), ("n", pa.int64()), ("digest", pa.int64()), ("doc_id", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
-        for b in batches:
-            known: set[int] = set()  # equal sets of a batch send one prefix
-            for lo, k, h, row, at, digest in _sets(b, words):
-                n, own = np.diff(at), b.column("doc_id").slice(lo, k)
+                n = np.diff(at)
                 fresh = np.zeros(k, dtype=bool)
-                for i, d in enumerate(digest.tolist()):
-                    if n[i] and own[i].is_valid and d not in known:
+                for i, d in enumerate(map(tuple, digest.tolist())):
+                    if n[i] and d not in known:
                         known.add(d)
                         fresh[i] = True
-                order = np.lexsort((h, counts[(h & _U(COUNTERS - 1)).astype(np.int64)], row))
+                if len(known) > REMEMBERED:
+                    known.clear()
+                order = np.lexsort((h, ranks[(h & _U(COUNTERS - 1)).astype(np.int64)], row))
                 rank = np.arange(len(h)) - at[:-1][row]
                 pick = (rank < prefix_size(n, percent)[row]) & fresh[row]
-                token, r = h[order][pick], row[pick]
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n[r]), pa.array(digest[r]), own.take(pa.array(r))], schema=schema)
+                ends = np.concatenate(([0], np.cumsum(np.bincount(row[pick], minlength=k)))).astype(np.int32)
+                prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(h[order][pick].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, k), b.column("key").slice(lo, k), pa.array(n), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), prefix], names)
 
-    return map_arrow(_rows(docs), run, "token long, n long, digest long, doc_id long")
+    rows = map_arrow(rows_of(docs), run, "doc_id long, key string, n long, d0 long, d1 long, prefix array<long>")
+    return rows.withColumn("row", F.monotonically_increasing_id())
 
 
-def shared_prefixes(rows: DataFrame, percent: int) -> DataFrame:
-    """The prefix rows of shingles that two different sets share, with the digest each is linked to first.
+def blocks_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes: id, doc_id, key, n, d0, d1 of the sets that share a prefix shingle; blocks: token, id, size, times).
 
-    Reads rows sorted by shingle in a stream; of a block it keeps its first and last row only.
+    Blocks of the same members are one, ``times`` says of how many shingles. A shingle that
+    many sets share is counted before it is shuffled, and its rows are not gathered anywhere.
     """
-    schema = pa.schema([("token", pa.int64()), ("n", pa.int64()), ("digest", pa.int64()), ("doc_id", pa.int64()), ("anchor", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: tuple[np.ndarray, ...] | None = None
-        for b in batches:
-            rows = [b.column(c).to_numpy() for c in ("token", "n", "digest", "doc_id")]
-            rows.append(np.zeros(b.num_rows, dtype=bool))  # sent before
-            if carry is not None:
-                rows = [np.concatenate(x) for x in zip(carry, rows, strict=True)]
-            token, n, digest, doc, sent = rows
-            keep = np.ones(len(token), dtype=bool)
-            keep[1:] = (token[1:] != token[:-1]) | (digest[1:] != digest[:-1])
-            token, n, digest, doc, sent = (x[keep] for x in rows)
-            if not len(token):
-                continue
-            head = np.append(True, token[1:] != token[:-1])
-            first = np.flatnonzero(head)[np.cumsum(head) - 1]
-            size = np.diff(np.append(np.flatnonzero(head), len(token)))
-            out = np.flatnonzero(np.repeat(size >= 2, size) & ~sent)
-            f, p = first[out], np.maximum(out - 1, 0)
-            near = 100 * n[f] >= percent * n[out]
-            before = (first[p] == f) & (p >= f) & (100 * n[p] >= percent * n[out])
-            anchor = np.where(near & (f != out), digest[f], np.where(before & (p != out), digest[p], digest[out]))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token[out], n[out], digest[out], doc[out], anchor)], schema=schema)
-            a, z = first[-1], len(token) - 1
-            last = np.array([a]) if a == z else np.array([a, z])
-            flag = sent[last] | (a != z)
-            carry = (token[last], n[last], digest[last], doc[last], flag)
-
-    ordered = rows.repartition("token").sortWithinPartitions("token", "n", "digest", "doc_id")
-    return map_arrow(ordered, run, "token long, n long, digest long, doc_id long, anchor long")
-
-
-def sets_table(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """digest and shingles of the wanted (doc_id, digest) rows; rows that repeat may repeat a digest."""
-    small = wanted.limit(MOST_SENT + 1).count() <= MOST_SENT
-    rows = _rows(docs).join(F.broadcast(wanted) if small else wanted, "doc_id")
+    prefixes = rows.filter(F.size("prefix") > 0).select(F.explode("prefix").alias("token"), "row")
+    shared = prefixes.groupBy("token").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).filter("lo <> hi").select("token")
+    found = saved(prefixes.join(shared.hint("shuffle_hash"), "token"))
+    active = rows.select("row", "doc_id", "key", "n", "d0", "d1").join(found.select("row").distinct(), "row", "left_semi")
+    active = saved(active.withColumn("id", F.min("row").over(Window.partitionBy("d0", "d1"))))  # a row a task at most
+    nodes = active.filter("row = id").select("id", "doc_id", "key", "n", "d0", "d1")
+    blocks = found.join(active.select("row", "id"), "row").select("token", "id").distinct()
+    signs = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"s{k}") for k in range(2)]
+    tokens = blocks.groupBy("token").agg(F.count("*").alias("size"), *signs).filter("size > 1")
+    one = tokens.groupBy("size", "s0", "s1").agg(F.min("token").alias("token"), F.count("*").alias("times")).select("token", "size", "times")
+    return nodes, saved(blocks.join(one, "token"))
+
+
+def sets_table(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """id, n, point and shingles of every node."""
+    keys = nodes.select("id", "d0", "d1", F.col("doc_id").alias("own"), F.col("key").alias("own_key"))
+    rows = rows_of(docs).join(keys, F.col("doc_id").eqNullSafe(F.col("own")) & F.col("key").eqNullSafe(F.col("own_key"))).select("id", "text")
+    names = ["id", "n", "point", "shingles"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, k, h, _, at, digest in _sets(b, words):
-                whole = pa.array([h[a:z].tobytes() for a, z in zip(at[:-1], at[1:], strict=True)], pa.binary())
-                own = pa.array(digest == b.column("digest").slice(lo, k).to_numpy())  # an id may stand for other texts too
-                yield pa.RecordBatch.from_arrays([pa.array(digest), whole], ["digest", "shingles"]).filter(own)
+            for lo, k, h, _, at, _ in _sets(b, words):
+                n = np.diff(at)
+                sets = [h[a:z] for a, z in zip(at[:-1], at[1:], strict=True)]
+                points = [point(s, bits) for s, bits in zip(sets, level(n).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(lo, k), pa.array(n), pa.array(points, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names)
 
-    return saved(map_arrow(rows, run, "digest long, shingles binary"))
+    out = map_arrow(rows, run, "id long, n long, point binary, shingles binary")
+    return saved(out.dropDuplicates(["id"]))  # rows of one id and one text give the same set
 
 
 # links ----------------------------------------------------------------------------------
 
 
-def possible(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose points allow enough overlap."""
-    left = points.select(F.col("digest").alias("a"), F.col("point").alias("pa"))
-    right = points.select(F.col("digest").alias("b"), F.col("point").alias("pb"))
-    rows = pairs.select("a", "b").join(left, "a").join(right, "b")
+def dealt(blocks: DataFrame, queries: DataFrame, points: DataFrame) -> DataFrame:
+    """Rows of trees (token, part): each member once, each query (token, id, label, size) in every part of its block."""
+    parts = F.ceil(F.col("size") / CHUNK).cast("int")
+    members = blocks.select("token", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.lit(False).alias("query"), "id", "label")
+    asked = queries.select("token", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(True).alias("query"), "id", "label")
+    return members.unionByName(asked).join(points.select("id", "n", "point"), "id")
+
+
+def searched(trees: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a query and a member of another label that pass the bound of the tree over the members."""
+    names = ("token", "part", "query", "id", "label", "n")
+
+    def pairs_of(r: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        n, bits, asked = r["n"], level(r["n"]), r["query"]
+        for k in np.unique(bits[~asked]).tolist():
+            m = np.flatnonzero(~asked & (bits == k))
+            low, high = percent * int(n[m].min()), int(n[m].max()) * 100
+            for j in (k - 1, k, k + 1):  # linked sets differ by a level at most
+                q = np.flatnonzero(asked & (bits == j) & (100 * n >= low) & (percent * n <= high))
+                if not len(q):
+                    continue
+                few = min(j, k)
+                tree = CountTree(folded([r["point"][i] for i in m], k, few))
+                for x, p in zip(q.tolist(), folded([r["point"][i] for i in q], j, few), strict=True):
+                    y = m[tree.search(p, required(n[x], n[m], percent))]
+                    y = y[(r["label"][y] != r["label"][x]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))]
+                    if len(y):
+                        yield np.full(len(y), r["id"][x]), r["id"][y]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p, q = (_points(b.column(c)) for c in ("pa", "pb"))
-            ok = np.minimum(p, q).sum(axis=1) >= required(p.sum(axis=1), q.sum(axis=1), percent)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok))
-
-    return map_arrow(rows, run, "a long, b long")
-
+        held: list[dict] = []
+        a: list[np.ndarray] = []
+        b: list[np.ndarray] = []
+
+        def finish() -> None:
+            if held and any(x["query"].any() for x in held):
+                rows = {c: np.concatenate([x[c] for x in held]) for c in names}
+                rows["point"] = [p for x in held for p in x["point"]]
+                for x, y in pairs_of(rows):
+                    a.append(x)
+                    b.append(y)
+            held.clear()
+
+        def flush() -> pa.RecordBatch:
+            out = np.unique(np.stack((np.concatenate(a), np.concatenate(b)), axis=1), axis=0)
+            a.clear()
+            b.clear()
+            return pa.RecordBatch.from_arrays([pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy())], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
+            points = batch.column("point").to_pylist()
+            new = (rows["token"][1:] != rows["token"][:-1]) | (rows["part"][1:] != rows["part"][:-1])
+            edges = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if held and (held[0]["token"][0], held[0]["part"][0]) != (rows["token"][lo], rows["part"][lo]):
+                    finish()
+                held.append({c: v[lo:hi] for c, v in rows.items()} | {"point": points[lo:hi]})
+            if a:
+                yield flush()
+        finish()
+        if a:
+            yield flush()
 
-def _points(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.int32).reshape(-1, GROUPS)
+    ordered = trees.select(*names, "point").repartition("token", "part").sortWithinPartitions("token", "part")
+    return map_arrow(ordered, run, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of digests whose sets are similar enough."""
-    left = sets.select(F.col("digest").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("digest").alias("b"), F.col("shingles").alias("sb"))
+    """The pairs (a, b) whose sets are similar enough."""
+    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     rows = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ok = []
-            for i in range(b.num_rows):
-                x, y = (np.frombuffer(b.column(c)[i].as_py(), dtype=np.uint64) for c in ("sa", "sb"))
+            for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -292,135 +336,73 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(rows, run, "a long, b long")
 
 
-def across(blocks: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a block's chunks that lie in different components and pass the R-tree's bound.
-
-    blocks: token, i, j (chunks), side, n, digest, label, point; sides 0 and 1 are compared,
-    or side 0 with itself where i = j.
-    """
-
-    def pairs_of(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        n, label, points = rows["n"], rows["label"], rows["point"]
-        one = np.flatnonzero(rows["side"] == 0)
-        two = np.flatnonzero(rows["side"] == 1) if (rows["i"][0] != rows["j"][0]) else one
-        a, b = [], []
-        if len(one) and len(two):
-            tree = CountTree(points[two])
-            for x in one:
-                y = two[tree.search(points[x], required(n[x], n[two], percent))]
-                y = y[label[y] != label[x]]
-                a.append(np.full(len(y), x))
-                b.append(y)
-        return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, dtype=np.int64),) * 2
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict[str, np.ndarray]] = []
-        sent: set[tuple[int, int]] = set()  # pairs share many shingles; a task sends one once, as far as this memory goes
-        names = ("token", "i", "j", "side", "n", "digest", "label")
-
-        def finish() -> Iterator[pa.RecordBatch]:
-            if held:
-                rows = {c: np.concatenate([x[c] for x in held]) for c in (*names, "point")}
-                a, b = pairs_of(rows)
-                d = rows["digest"]
-                lo, hi = np.minimum(d[a], d[b]), np.maximum(d[a], d[b])
-                found = np.unique(np.stack((lo, hi), axis=1), axis=0) if len(lo) else np.zeros((0, 2), dtype=np.int64)
-                held.clear()
-                if len(sent) > MOST_SENT:
-                    sent.clear()
-                fresh = [p not in sent for p in map(tuple, found.tolist())]
-                sent.update(map(tuple, found.tolist()))
-                found = found[np.array(fresh, dtype=bool)] if len(found) else found
-                if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["a", "b"])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            rows = {c: b.column(c).to_numpy() for c in names}
-            rows["point"] = _points(b.column("point"))
-            key = np.stack([rows[c] for c in names[:3]], axis=1)
-            edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1), len(key)]
-            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                part = {c: v[lo:hi] for c, v in rows.items()}
-                if held and any(held[0][c][0] != part[c][0] for c in names[:3]):
-                    yield from finish()
-                held.append(part)
-        yield from finish()
-
-    ordered = blocks.select("token", "i", "j", "side", "n", "digest", "label", "point").repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return map_arrow(ordered, run, "a long, b long").distinct()
-
-
-def chunked(blocks: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Rows of blocks with their chunk pairs (i, j): every two chunks of a block meet once."""
-    parts = blocks.groupBy("token").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
-    rows = blocks.join(parts, "token").withColumn("own", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    rows = rows.select("*", other)
-    return rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "n", "digest", "label")
-
-
-def linked_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, digest of every row; node, label of every digest that has links)."""
-    members = saved(documents(docs, words))
-    blocks = saved(shared_prefixes(prefixes(docs, sketch(docs, words), words, percent), percent))
-    owner = saved(blocks.groupBy("digest").agg(F.min("doc_id").alias("doc_id")))
-    points = saved(members.join(owner, ["doc_id", "digest"], "left_semi").select("digest", "point").dropDuplicates(["digest"]))
-
-    def found(pairs: DataFrame) -> DataFrame:
-        left = saved(possible(pairs, points, percent))
-        return verified(left, sets_table(docs, _owners(left, owner), words), percent)
-
-    # a few links for each set, to the first members of its blocks, make most components
-    stars = saved(blocks.filter("anchor <> digest").select(F.least("anchor", "digest").alias("a"), F.greatest("anchor", "digest").alias("b")).distinct())
-    ends = stars.select(F.col("a").alias("digest"), "a", "b").union(stars.select(F.col("b").alias("digest"), "a", "b"))
-    few = ends.groupBy("digest").agg(*[F.min_by(F.struct("a", "b"), F.xxhash64("a", "b", F.lit(k))).alias(f"p{k}") for k in range(FEW)])
-    few = few.select(F.explode(F.array(*[f"p{k}" for k in range(FEW)])).alias("p")).select("p.a", "p.b").distinct()
-    links = saved(found(few))
-    labels = components(links)
-    # then a chain through one member of each component of a block, twice; what is left are sets that link to little
-    for seed in range(1):
-        marked = labelled(blocks, labels)
-        one = marked.groupBy("token", "label").agg(F.min_by(F.struct("n", "digest"), F.xxhash64("digest", F.lit(seed))).alias("m")).select("token", "m.n", "m.digest")
-        before = F.lag("digest").over(Window.partitionBy("token").orderBy("n", "digest"))
-        chain = one.withColumn("other", before).filter("other is not null").select(F.least("digest", "other").alias("a"), F.greatest("digest", "other").alias("b")).distinct()
-        links = saved(links.union(found(chain)))
-        labels = components(links)
-    # at last all pairs of a block that lie in different components
-    marked = saved(labelled(blocks, labels))
-    mixed = marked.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c"), F.sum(F.xxhash64("digest").cast("decimal(38,0)")).alias("s"), F.sum(F.xxhash64("digest", F.lit(1)).cast("decimal(38,0)")).alias("t")).filter("lo <> hi")
-    mixed = mixed.groupBy("c", "s", "t").agg(F.min("token").alias("token")).select("token")  # blocks of the same members are searched once
-    open_ = chunked(marked.join(mixed, "token", "left_semi")).join(points, "digest")
-    rest = saved(across(open_, percent))
-    links = links.union(verified(rest, sets_table(docs, _owners(rest, owner), words), percent))
-    return members.select("doc_id", "n", "digest"), components(links)
-
-
-def labelled(blocks: DataFrame, labels: DataFrame) -> DataFrame:
-    """token, n, digest and the component of every row of the blocks; a set without links is its own."""
-    return blocks.select("token", "n", "digest").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-
-
-def _owners(pairs: DataFrame, owner: DataFrame) -> DataFrame:
-    """(doc_id, digest) of the sets in the pairs."""
-    return owner.join(pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct(), "digest", "left_semi").select("doc_id", "digest")
+def hub_pairs(blocks: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """A pair (a: hub, b) for each set: the strongest of the hubs whose searches reached it."""
+    strength = blocks.groupBy("id").agg(F.sum(F.col("size") * F.col("times")).alias("strength"))
+    own = blocks.withColumn("label", F.col("id"))
+    hubs = blocks.join(strength, "id").groupBy("token").agg(F.max(F.struct("strength", "id", "size")).alias("h"))
+    hubs = hubs.select("token", F.col("h.id").alias("id"), F.col("h.id").alias("label"), F.col("h.size").alias("size"))
+    near = searched(dealt(own, hubs, points), percent)
+    return near.join(strength.withColumnRenamed("id", "a"), "a").groupBy("b").agg(F.max(F.struct("strength", "a")).alias("h")).select("h.a", "b")
+
+
+def other_pairs(blocks: DataFrame, labels: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b) of different components that pass the bound: in each block all sets outside its largest component are searched for."""
+    marked = blocks.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    parts = marked.groupBy("token", "label").agg(F.count("*").alias("c"))
+    largest = parts.groupBy("token").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("labels")).filter("labels > 1").select("token", F.col("m.label").alias("largest"))
+    mixed = saved(marked.join(largest, "token"))
+    found = searched(dealt(mixed, mixed.filter("label <> largest"), points), percent)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(profiles of every row; d0, d1, label of every set that has links)."""
+    rows = saved(profiles(docs, shingle_ranks(docs, words), words, percent))
+    nodes, blocks = blocks_of(rows)
+    sets = sets_table(docs, nodes, words)
+    first = components(verified(hub_pairs(blocks, sets, percent), sets, percent))
+    more = verified(other_pairs(blocks, first, sets, percent), sets, percent)
+    # links that are left join whole components
+    up = lambda side: first.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
+    more = more.join(up("a"), "a", "left").join(up("b"), "b", "left")
+    second = components(more.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")))
+    over = second.select(F.col("node").alias("first"), F.col("label").alias("second"))
+    every = nodes.join(first, nodes["id"] == first["node"], "left").withColumn("first", F.coalesce("label", "id")).drop("label")
+    labels = every.join(over, "first", "left").select("d0", "d1", F.coalesce("second", "first").alias("label"))
+    return rows, labels
+
+
+def _first(doc_id: str, key: str) -> Column:
+    """Orders rows by id, those without one last."""
+    return F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("doc_id"), F.col(key).alias("key"))
+
+
+def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, key, n, lead (none, doc_id, key of the class's first row) of every row; lead is null for rows without words."""
+    rows, labels = linked(docs, words, percent)
+    rows = rows.select("doc_id", "key", "n", "d0", "d1")
+    each = rows.filter("n > 0").groupBy("d0", "d1").agg(F.min(_first("doc_id", "key")).alias("own"), F.count("*").alias("c")).join(labels, ["d0", "d1"], "left")
+    heads = each.filter("label is not null").groupBy("label").agg(F.min("own").alias("head"))
+    found = each.filter("c > 1 or label is not null").join(heads, "label", "left").select("d0", "d1", F.coalesce("head", "own").alias("lead"))
+    out = rows.join(found, ["d0", "d1"], "left")
+    return out.select("doc_id", "key", "n", F.when(F.col("n") > 0, F.coalesce("lead", _first("doc_id", "key"))).alias("lead"))
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    members, labels = linked_sets(docs, words, percent)
-    rows = members.join(labels.withColumnRenamed("node", "digest"), "digest", "left")
-    rows = rows.withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "digest")))
-    least = rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    out = rows.join(least, "label", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return classes(docs, words, percent).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("lead.doc_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` without those that another document of their component replaces (the smallest id stays)."""
-    dropped = join(docs, words, percent).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` without those that another row of their component replaces.
+
+    The smallest id stays; a row is told by its id and its text, and of identical rows one stays.
+    Rows without words aren't copies of anything and stay, all of them.
+    """
+    found = classes(docs, words, percent).filter("lead is not null")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    return without(docs, found.groupBy("doc_id", "key").agg(F.min(own.eqNullSafe(F.col("lead"))).alias("kept"), F.count("*").alias("times")))
 
 
 def query(spark, sf_dir):
