@@ -53,6 +53,8 @@ CHUNK = 2048
 COUNTERS, PARTS = 1 << 22, 64
 #: Digests that a task remembers, so that equal sets send one prefix.
 REMEMBERED = 300_000
+#: Sets that are looked for by every task; more are joined to their texts by a shuffle.
+MOST_SENT = 200_000
 
 _U = np.uint64
 
@@ -176,14 +178,15 @@ def _sets(b: pa.RecordBatch, words: int) -> Iterator[tuple]:
 
 
 def rows_of(docs: DataFrame) -> DataFrame:
-    """doc_id, key (of the text) and text of every row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), "text")
+    """doc_id, key (of the text), place (a hash of both) and text of every row."""
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(doc_id.alias("doc_id"), text_key(F.col("text")).alias("key"), F.xxhash64(doc_id, "text").alias("place"), "text")
 
 
 def profiles(docs: DataFrame, ranks: np.ndarray, words: int, percent: int) -> DataFrame:
-    """row, doc_id, key, n, d0, d1 (digest) of every row, and the prefix of each set that its task sees first."""
+    """row, doc_id, key, place, n, d0, d1 (digest) of every row, and the prefix of each set that its task sees first."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
-    names = ["doc_id", "key", "n", "d0", "d1", "prefix"]
+    names = ["doc_id", "key", "place", "n", "d0", "d1", "prefix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, known = shared.value, set()
@@ -202,14 +205,14 @@ def profiles(docs: DataFrame, ranks: np.ndarray, words: int, percent: int) -> Da
                 pick = (rank < prefix_size(n, percent)[row]) & fresh[row]
                 ends = np.concatenate(([0], np.cumsum(np.bincount(row[pick], minlength=k)))).astype(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(h[order][pick].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, k), b.column("key").slice(lo, k), pa.array(n), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), prefix], names)
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, k) for c in names[:3]), pa.array(n), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), prefix], names)
 
-    rows = map_arrow(rows_of(docs), run, "doc_id long, key string, n long, d0 long, d1 long, prefix array<long>")
+    rows = map_arrow(rows_of(docs), run, "doc_id long, key string, place long, n long, d0 long, d1 long, prefix array<long>")
     return rows.withColumn("row", F.monotonically_increasing_id())
 
 
 def blocks_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes: id, doc_id, key, n, d0, d1 of the sets that share a prefix shingle; blocks: token, id, size, times).
+    """(nodes: id, place, d0, d1 of the sets that share a prefix shingle with another; blocks: token, id, size, times).
 
     Blocks of the same members are one, ``times`` says of how many shingles. A shingle that
     many sets share is counted before it is shuffled, and its rows are not gathered anywhere.
@@ -217,29 +220,30 @@ def blocks_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     prefixes = rows.filter(F.size("prefix") > 0).select(F.explode("prefix").alias("token"), "row")
     shared = prefixes.groupBy("token").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).filter("lo <> hi").select("token")
     found = saved(prefixes.join(shared.hint("shuffle_hash"), "token"))
-    active = rows.select("row", "doc_id", "key", "n", "d0", "d1").join(found.select("row").distinct(), "row", "left_semi")
+    active = rows.select("row", "place", "d0", "d1").join(found.select("row").distinct(), "row", "left_semi")
     active = saved(active.withColumn("id", F.min("row").over(Window.partitionBy("d0", "d1"))))  # a row a task at most
-    nodes = active.filter("row = id").select("id", "doc_id", "key", "n", "d0", "d1")
     blocks = found.join(active.select("row", "id"), "row").select("token", "id").distinct()
     signs = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"s{k}") for k in range(2)]
     tokens = blocks.groupBy("token").agg(F.count("*").alias("size"), *signs).filter("size > 1")
     one = tokens.groupBy("size", "s0", "s1").agg(F.min("token").alias("token"), F.count("*").alias("times")).select("token", "size", "times")
-    return nodes, saved(blocks.join(one, "token"))
+    blocks = saved(blocks.join(one, "token"))
+    nodes = active.filter("row = id").select("id", "place", "d0", "d1").join(blocks.select("id").distinct(), "id", "left_semi")
+    return saved(nodes), blocks
 
 
 def sets_table(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """id, n, point and shingles of every node."""
-    keys = nodes.select("id", "d0", "d1", F.col("doc_id").alias("own"), F.col("key").alias("own_key"))
-    rows = rows_of(docs).join(keys, F.col("doc_id").eqNullSafe(F.col("own")) & F.col("key").eqNullSafe(F.col("own_key"))).select("id", "text")
+    rows = rows_of(docs).select("place", "text").join(F.broadcast(nodes) if nodes.count() <= MOST_SENT else nodes, "place").select("id", "d0", "d1", "text")
     names = ["id", "n", "point", "shingles"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, k, h, _, at, _ in _sets(b, words):
+            for lo, k, h, _, at, digest in _sets(b, words):
                 n = np.diff(at)
                 sets = [h[a:z] for a, z in zip(at[:-1], at[1:], strict=True)]
                 points = [point(s, bits) for s, bits in zip(sets, level(n).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(lo, k), pa.array(n), pa.array(points, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names)
+                own = pa.array((digest == np.stack([b.column(c).slice(lo, k).to_numpy() for c in ("d0", "d1")], axis=1)).all(axis=1))
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(lo, k), pa.array(n), pa.array(points, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names).filter(own)
 
     out = map_arrow(rows, run, "id long, n long, point binary, shingles binary")
     return saved(out.dropDuplicates(["id"]))  # rows of one id and one text give the same set
