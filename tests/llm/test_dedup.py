@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tracelake.llm import exact_dedup, jaccard_join, suffix_dedup
-from tracelake.llm.components import components
+from tracelake.llm.components import components, roots
 
 LOWER = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
 
@@ -132,8 +132,8 @@ def test_links_come_from_the_trees(documents):
     _, comp = brute_components(rows)
     profiled = jaccard_join.saved(jaccard_join.profiles(docs, jaccard_join.shingle_ranks(docs), 5, 80))
     nodes, blocks = jaccard_join.blocks_of(profiled)
-    sets = jaccard_join.sets_table(docs, nodes, 5)
-    hubs = jaccard_join.verified(jaccard_join.hub_pairs(blocks, sets, 80), sets, 80)
+    points = profiled.selectExpr("row as id", "n", "point")
+    hubs = jaccard_join.verified(jaccard_join.hub_pairs(jaccard_join.near_hubs(blocks, points, 80)), docs, nodes, 5, 80)
     joined = len(comp) - len(set(comp.values()))  # links that make the components
     assert joined >= 20 and 0.8 * joined <= hubs.count() <= joined
     for chunk in (jaccard_join.CHUNK, 7):
@@ -159,6 +159,11 @@ def test_long_chains_are_one_component(spark):
     assert {r.label for r in components(e).collect()} == {0}
 
 
+def test_roots_of_a_forest(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (100, 102)], "a long, b long")
+    assert {(r.node, r.label) for r in roots(e).collect()} == {(i, 0) for i in range(41)} | {(i, 100) for i in (100, 101, 102)}
+
+
 def test_empty_tables(documents):
     none = documents([])
     assert exact_dedup.exact_groups(none).count() == 0

@@ -8,6 +8,22 @@ from pyspark.sql import functions as F
 from tracelake.llm.common import saved
 
 
+def roots(parents: DataFrame, most: int = 64) -> DataFrame:
+    """node, label (the root of its tree) from a forest of edges (a: parent, b), for every node of it.
+
+    Each round every node points to what its parent points to, so rounds grow with the
+    logarithm of the depth, one join each.
+    """
+    now = saved(parents.select(F.col("b").alias("node"), F.col("a").alias("label")))
+    for _ in range(most):
+        up = now.select(F.col("node").alias("at"), F.col("label").alias("up"))
+        step = saved(now.join(up, F.col("label") == F.col("at"), "left").select("node", F.coalesce("up", "label").alias("label"), F.col("up").isNotNull().alias("moved")))
+        now = step.select("node", "label")
+        if step.filter("moved").isEmpty():
+            return now.unionByName(now.select(F.col("label").alias("node"), "label").distinct())
+    raise RuntimeError(f"trees are deeper than {most} rounds reach, or no trees")
+
+
 def components(edges: DataFrame, most: int = 200) -> DataFrame:
     """node, label (the smallest node of its component) from edges (a, b).
 

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import map_arrow, read, saved, text_key, without
-from tracelake.llm.components import components
+from tracelake.llm.components import components, roots
 from tracelake.llm.textops import Words, distinct_per_row, slices, texts_of
 
 WORDS = 5
@@ -184,9 +184,9 @@ def rows_of(docs: DataFrame) -> DataFrame:
 
 
 def profiles(docs: DataFrame, ranks: np.ndarray, words: int, percent: int) -> DataFrame:
-    """row, doc_id, key, place, n, d0, d1 (digest) of every row, and the prefix of each set that its task sees first."""
+    """row, doc_id, key, place, n, d0, d1 (digest) of every row, and the prefix and point of each set that its task sees first."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
-    names = ["doc_id", "key", "place", "n", "d0", "d1", "prefix"]
+    names = ["doc_id", "key", "place", "n", "d0", "d1", "prefix", "point"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, known = shared.value, set()
@@ -205,9 +205,10 @@ def profiles(docs: DataFrame, ranks: np.ndarray, words: int, percent: int) -> Da
                 pick = (rank < prefix_size(n, percent)[row]) & fresh[row]
                 ends = np.concatenate(([0], np.cumsum(np.bincount(row[pick], minlength=k)))).astype(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(h[order][pick].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, k) for c in names[:3]), pa.array(n), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), prefix], names)
+                points = pa.array([point(h[at[i] : at[i + 1]], bits) if fresh[i] else None for i, bits in enumerate(level(n).tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, k) for c in names[:3]), pa.array(n), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), prefix, points], names)
 
-    rows = map_arrow(rows_of(docs), run, "doc_id long, key string, place long, n long, d0 long, d1 long, prefix array<long>")
+    rows = map_arrow(rows_of(docs), run, "doc_id long, key string, place long, n long, d0 long, d1 long, prefix array<long>, point binary")
     return rows.withColumn("row", F.monotonically_increasing_id())
 
 
@@ -218,7 +219,7 @@ def blocks_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     many sets share is counted before it is shuffled, and its rows are not gathered anywhere.
     """
     prefixes = rows.filter(F.size("prefix") > 0).select(F.explode("prefix").alias("token"), "row")
-    shared = prefixes.groupBy("token").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).filter("lo <> hi").select("token")
+    shared = prefixes.groupBy("token").agg(F.count("*").alias("rows")).filter("rows > 1").select("token")
     found = saved(prefixes.join(shared.hint("shuffle_hash"), "token"))
     active = rows.select("row", "place", "d0", "d1").join(found.select("row").distinct(), "row", "left_semi")
     active = saved(active.withColumn("id", F.min("row").over(Window.partitionBy("d0", "d1"))))  # a row a task at most
@@ -231,22 +232,28 @@ def blocks_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return saved(nodes), blocks
 
 
-def sets_table(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """id, n, point and shingles of every node."""
-    rows = rows_of(docs).select("place", "text").join(F.broadcast(nodes) if nodes.count() <= MOST_SENT else nodes, "place").select("id", "d0", "d1", "text")
-    names = ["id", "n", "point", "shingles"]
+def sets_table(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """id and shingles of the wanted nodes, each once."""
+    rows = rows_of(docs).select("place", "text").join(F.broadcast(wanted) if wanted.count() <= MOST_SENT else wanted, "place").select("id", "d0", "d1", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()  # rows of one id and one text give the same set
         for b in batches:
             for lo, k, h, _, at, digest in _sets(b, words):
-                n = np.diff(at)
-                sets = [h[a:z] for a, z in zip(at[:-1], at[1:], strict=True)]
-                points = [point(s, bits) for s, bits in zip(sets, level(n).tolist(), strict=True)]
-                own = pa.array((digest == np.stack([b.column(c).slice(lo, k).to_numpy() for c in ("d0", "d1")], axis=1)).all(axis=1))
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(lo, k), pa.array(n), pa.array(points, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names).filter(own)
-
-    out = map_arrow(rows, run, "id long, n long, point binary, shingles binary")
-    return saved(out.dropDuplicates(["id"]))  # rows of one id and one text give the same set
+                ids = b.column("id").slice(lo, k)
+                own = (digest == np.stack([b.column(c).slice(lo, k).to_numpy() for c in ("d0", "d1")], axis=1)).all(axis=1)
+                for i, x in enumerate(ids.to_pylist()):
+                    own[i] &= x not in sent
+                    if own[i]:
+                        sent.add(x)
+                sets = pa.array([h[a:z].tobytes() for a, z in zip(at[:-1], at[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids, sets], ["id", "shingles"]).filter(pa.array(own))
+
+    out = saved(map_arrow(rows, run, "id long, shingles binary").withColumn("part", F.spark_partition_id()))
+    again = saved(out.groupBy("id").agg(F.min("part").alias("keep"), F.count("*").alias("n")).filter("n > 1").select("id", "keep"))
+    if not again.isEmpty():
+        out = out.join(again, "id", "left").filter("keep is null or keep = part")
+    return out.select("id", "shingles")
 
 
 # links ----------------------------------------------------------------------------------
@@ -322,8 +329,11 @@ def searched(trees: DataFrame, percent: int) -> DataFrame:
     return map_arrow(ordered, run, "a long, b long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough; only their sets are made and shuffled."""
+    pairs = saved(pairs)
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    sets = sets_table(docs, saved(nodes.join(wanted, "id", "left_semi")), words)
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     rows = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
@@ -340,41 +350,55 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(rows, run, "a long, b long")
 
 
-def hub_pairs(blocks: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """A pair (a: hub, b) for each set: the strongest of the hubs whose searches reached it."""
+def near_hubs(blocks: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a: hub, b) that pass the bound in a block's tree, with the hub's strength: the prefix shingles it shares, over all its blocks."""
     strength = blocks.groupBy("id").agg(F.sum(F.col("size") * F.col("times")).alias("strength"))
     own = blocks.withColumn("label", F.col("id"))
     hubs = blocks.join(strength, "id").groupBy("token").agg(F.max(F.struct("strength", "id", "size")).alias("h"))
     hubs = hubs.select("token", F.col("h.id").alias("id"), F.col("h.id").alias("label"), F.col("h.size").alias("size"))
-    near = searched(dealt(own, hubs, points), percent)
-    return near.join(strength.withColumnRenamed("id", "a"), "a").groupBy("b").agg(F.max(F.struct("strength", "a")).alias("h")).select("h.a", "b")
+    return searched(dealt(own, hubs, points), percent).distinct().join(strength.withColumnRenamed("id", "a"), "a")
+
 
+def hub_pairs(near: DataFrame) -> DataFrame:
+    """A pair (a: hub, b) for each set: the strongest of the hubs whose searches reached it. A hub is stronger than what it reaches, so the pairs are a forest."""
+    return near.groupBy("b").agg(F.max(F.struct("strength", "a")).alias("h")).select("h.a", "b")
 
-def other_pairs(blocks: DataFrame, labels: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a < b) of different components that pass the bound: in each block all sets outside its largest component are searched for."""
-    marked = blocks.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+def other_pairs(blocks: DataFrame, near: DataFrame, labels: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b) of different components that pass the bound.
+
+    Those with a hub are known; in blocks of more than two, all sets outside the block's
+    largest component are searched for.
+    """
+    labels = labels.withColumnRenamed("node", "id")
+    marked = blocks.filter("size > 2").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     parts = marked.groupBy("token", "label").agg(F.count("*").alias("c"))
     largest = parts.groupBy("token").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("labels")).filter("labels > 1").select("token", F.col("m.label").alias("largest"))
     mixed = saved(marked.join(largest, "token"))
     found = searched(dealt(mixed, mixed.filter("label <> largest"), points), percent)
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    end = lambda side: labels.select(F.col("id").alias(side), F.col("label").alias(f"_{side}"))
+    known = near.select("a", "b").join(end("a"), "a", "left").join(end("b"), "b", "left").filter(F.coalesce("_a", "a") != F.coalesce("_b", "b"))
+    every = found.union(known.select("a", "b"))
+    return every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(profiles of every row; d0, d1, label of every set that has links)."""
     rows = saved(profiles(docs, shingle_ranks(docs, words), words, percent))
     nodes, blocks = blocks_of(rows)
-    sets = sets_table(docs, nodes, words)
-    first = components(verified(hub_pairs(blocks, sets, percent), sets, percent))
-    more = verified(other_pairs(blocks, first, sets, percent), sets, percent)
+    points = saved(rows.select(F.col("row").alias("id"), "n", "point").join(nodes.select("id"), "id", "left_semi"))
+    near = saved(near_hubs(blocks, points, percent))
+    first = roots(verified(hub_pairs(near), docs, nodes, words, percent))
+    more = saved(verified(other_pairs(blocks, near, first, points, percent), docs, nodes, words, percent))
     # links that are left join whole components
     up = lambda side: first.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
+    every = nodes.join(first, nodes["id"] == first["node"], "left").select("d0", "d1", F.coalesce("label", "id").alias("first"))
+    if more.isEmpty():
+        return rows, every.withColumnRenamed("first", "label")
     more = more.join(up("a"), "a", "left").join(up("b"), "b", "left")
     second = components(more.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")))
     over = second.select(F.col("node").alias("first"), F.col("label").alias("second"))
-    every = nodes.join(first, nodes["id"] == first["node"], "left").withColumn("first", F.coalesce("label", "id")).drop("label")
-    labels = every.join(over, "first", "left").select("d0", "d1", F.coalesce("second", "first").alias("label"))
-    return rows, labels
+    return rows, every.join(over, "first", "left").select("d0", "d1", F.coalesce("second", "first").alias("label"))
 
 
 def _first(doc_id: str, key: str) -> Column:
