@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import map_arrow, read, saved, text_key, without
@@ -50,7 +50,9 @@ FANOUT = 32
 #: Members of one tree; larger blocks are dealt over several.
 CHUNK = 2048
 #: Counters of the sketch that orders shingles (a power of two), and the parts it is summed in.
-COUNTERS, PARTS = 1 << 22, 64
+COUNTERS, PARTS = 1 << 24, 64
+#: Shingles that a task counts at a time.
+COUNTED = 1 << 21
 #: Digests that a task remembers, so that equal sets send one prefix.
 REMEMBERED = 300_000
 #: Sets that are looked for by every task; more are joined to their texts by a shuffle.
@@ -124,17 +126,23 @@ def shingle_ranks(docs: DataFrame, words: int = WORDS) -> np.ndarray:
     parts_of, schema = ("part", "counts"), "part int, counts binary"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, n = np.zeros(COUNTERS, dtype=np.uint32), [], 0
+        total, held, n = np.zeros(COUNTERS, dtype=np.uint8), [], 0  # more than 255 in one task is common enough
+
+        def add_up() -> None:
+            cells, counts = np.unique(np.concatenate(held), return_counts=True)
+            total[cells] = np.minimum(total[cells] + counts, 255)
+            held.clear()
+
         for b in batches:
             texts = texts_of(b.column("text"))
             for lo, hi in slices(texts):
                 held.append((sets_of(texts.slice(lo, hi - lo), words)[0] & _U(COUNTERS - 1)).astype(np.uint32))
                 n += len(held[-1])
-                if n > COUNTERS:
-                    total += np.bincount(np.concatenate(held), minlength=COUNTERS).astype(np.uint32)
-                    held, n = [], 0
+                if n > COUNTED:
+                    add_up()
+                    n = 0
         if held:
-            total += np.bincount(np.concatenate(held), minlength=COUNTERS).astype(np.uint32)
+            add_up()
         parts = [zstandard.ZstdCompressor(level=1).compress(total[k * each : (k + 1) * each].tobytes()) for k in range(PARTS)]
         yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], parts_of)
 
@@ -146,7 +154,7 @@ def shingle_ranks(docs: DataFrame, words: int = WORDS) -> np.ndarray:
         now, total = None, np.zeros(0, dtype=np.uint64)
         for b in batches:
             for i in range(b.num_rows):
-                part, counts = b.column("part")[i].as_py(), np.frombuffer(zstandard.ZstdDecompressor().decompress(b.column("counts")[i].as_py()), dtype=np.uint32)
+                part, counts = b.column("part")[i].as_py(), np.frombuffer(zstandard.ZstdDecompressor().decompress(b.column("counts")[i].as_py()), dtype=np.uint8)
                 if part != now and now is not None:
                     yield row()
                 total = total + counts if part == now else counts.astype(np.uint64)
@@ -212,23 +220,31 @@ def profiles(docs: DataFrame, ranks: np.ndarray, words: int, percent: int) -> Da
     return rows.withColumn("row", F.monotonically_increasing_id())
 
 
-def blocks_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes: id, place, d0, d1 of the sets that share a prefix shingle with another; blocks: token, id, size, times).
+def repeated_rows(rows: DataFrame) -> DataFrame:
+    """row of every set that an earlier row's task has sent already."""
+    own = rows.filter("point is not null").select("row", "d0", "d1")
+    first = own.groupBy("d0", "d1").agg(F.min("row").alias("first"), F.count("*").alias("n")).filter("n > 1").select("d0", "d1", "first")
+    return saved(own.join(first, ["d0", "d1"]).filter("row <> first").select("row"))
+
+
+def blocks_of(rows: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(nodes: id, place, n, d0, d1, point of the sets that share a prefix shingle with another; blocks: token, id, size, times).
 
-    Blocks of the same members are one, ``times`` says of how many shingles. A shingle that
-    many sets share is counted before it is shuffled, and its rows are not gathered anywhere.
+    Blocks of the same members are one, ``times`` says of how many shingles; blocks of two sets
+    whose sizes can't be linked are none. A shingle that many sets share is counted before it
+    is shuffled, and its rows are not gathered anywhere.
     """
-    prefixes = rows.filter(F.size("prefix") > 0).select(F.explode("prefix").alias("token"), "row")
+    extra = repeated_rows(rows)
+    sets = rows.filter("point is not null").join(F.broadcast(extra) if extra.count() <= MOST_SENT else extra, "row", "left_anti")
+    prefixes = sets.select(F.explode("prefix").alias("token"), F.col("row").alias("id"))
     shared = prefixes.groupBy("token").agg(F.count("*").alias("rows")).filter("rows > 1").select("token")
     found = saved(prefixes.join(shared.hint("shuffle_hash"), "token"))
-    active = rows.select("row", "place", "d0", "d1").join(found.select("row").distinct(), "row", "left_semi")
-    active = saved(active.withColumn("id", F.min("row").over(Window.partitionBy("d0", "d1"))))  # a row a task at most
-    blocks = found.join(active.select("row", "id"), "row").select("token", "id").distinct()
+    near = found.join(rows.select(F.col("row").alias("id"), "n"), "id")
     signs = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"s{k}") for k in range(2)]
-    tokens = blocks.groupBy("token").agg(F.count("*").alias("size"), *signs).filter("size > 1")
+    tokens = near.groupBy("token").agg(F.count("*").alias("size"), F.min("n").alias("lo"), F.max("n").alias("hi"), *signs).filter(f"size > 2 or 100 * lo >= {percent} * hi")
     one = tokens.groupBy("size", "s0", "s1").agg(F.min("token").alias("token"), F.count("*").alias("times")).select("token", "size", "times")
-    blocks = saved(blocks.join(one, "token"))
-    nodes = active.filter("row = id").select("id", "place", "d0", "d1").join(blocks.select("id").distinct(), "id", "left_semi")
+    blocks = saved(found.join(one, "token"))
+    nodes = rows.select(F.col("row").alias("id"), "place", "n", "d0", "d1", "point").join(blocks.select("id").distinct(), "id", "left_semi")
     return saved(nodes), blocks
 
 
@@ -333,7 +349,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, pe
     """The pairs (a, b) whose sets are similar enough; only their sets are made and shuffled."""
     pairs = saved(pairs)
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = sets_table(docs, saved(nodes.join(wanted, "id", "left_semi")), words)
+    sets = sets_table(docs, saved(nodes.select("id", "place", "d0", "d1").join(wanted, "id", "left_semi")), words)
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     rows = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
@@ -385,8 +401,8 @@ def other_pairs(blocks: DataFrame, near: DataFrame, labels: DataFrame, points: D
 def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(profiles of every row; d0, d1, label of every set that has links)."""
     rows = saved(profiles(docs, shingle_ranks(docs, words), words, percent))
-    nodes, blocks = blocks_of(rows)
-    points = saved(rows.select(F.col("row").alias("id"), "n", "point").join(nodes.select("id"), "id", "left_semi"))
+    nodes, blocks = blocks_of(rows, percent)
+    points = nodes.select("id", "n", "point")
     near = saved(near_hubs(blocks, points, percent))
     first = roots(verified(hub_pairs(near), docs, nodes, words, percent))
     more = saved(verified(other_pairs(blocks, near, first, points, percent), docs, nodes, words, percent))
