@@ -8,9 +8,11 @@ itself, whatever holds most of its text, and plain lines (paragraphs without cla
 cells and headings are never a template, and nothing is deleted where the template would take
 most of the text. Markup is an aid: elements
 whose tag or class names them as menu, header, footer, sidebar, notice, advert, form, comment or
-code are left out too, unless only a name says so and they hold the article.
+code are left out too, unless only a name says so and they hold the article; inside an article only
+classes of such boxes count, no ids.
 
-Defined cases: a null or empty page has an empty text; a null url has an empty host; repeated
+Defined cases: elements nested more than ``MOST_DEPTH`` deep belong to the element at that depth,
+blocks stay blocks there; a null or empty page has an empty text; a null url has an empty host; repeated
 rows stay repeated; a truncated page is read as far as it goes; an empty table gives an empty
 result; other columns are ignored.
 """
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from tracelake.llm.common import map_arrow, read, saved
 from tracelake.llm.url_rules import host_of
 
+#: Open elements beyond which an element is read as part of the one that holds it.
+MOST_DEPTH = 200
 #: Different pages of a host from which a recurring subtree is its template.
 MANY = 5
 #: Least length of a text, against the longest, that tells pages apart.
@@ -55,19 +59,22 @@ _NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|sidebar|side|aside|nav\w*|menu|breadcrumbs?|header|masthead|topbar|footer|foot|comments?|reply|replies|discussion|disqus|respond|share|sharing|social|related|recommend\w*|widget|toolbar|pagination|pager|tags|meta|byline|login|search|form|hidden|skip|copyright|contentinfo|navigation|complementary)(?:$|[\s_-])",
     re.I,
 )
+#: Inside main content a class or role takes an element out only where it is a box of these kinds; ids, headings and paragraphs never do.
+_BOXES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|sidebar|nav|navbar|navigation|menu|breadcrumbs?|comments?|share|sharing|social|widget|toolbar|pagination|footer|form)(?:$|[\s_-])", re.I)
 _CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt", "title"}
 _SAME_LEVEL = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|aria-hidden|hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: A comment, a declaration, or a tag with its attributes; a quote opens a value after = only, and one that never closes is a plain character.
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)(?:>|$)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
 _SPACE = re.compile(r"\s+")
 
 
 class Element:
-    __slots__ = ("tag", "outside", "parts", "digest", "size", "main", "first", "end", "unit")
+    __slots__ = ("tag", "outside", "boxed", "parts", "digest", "size", "main", "first", "end", "unit")
 
     def __init__(self, tag: str, outside: int):
-        self.tag, self.outside = tag, outside
+        self.tag, self.outside, self.boxed = tag, outside, False
         self.parts: list[str | Element] = []
         self.digest = self.size = self.first = self.end = 0
         self.main = tag in ("article", "main")
@@ -101,6 +108,9 @@ def parse(page: str) -> Element:
         tag = (m[2] or "").lower()
         if not tag:
             continue
+        deep = len(stack) > MOST_DEPTH
+        if deep and tag in BLOCK:
+            stack[-1].parts.append(Element("hr", 0))
         if m[1]:  # an end tag closes the nearest open element of its name
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
@@ -129,8 +139,14 @@ def parse(page: str) -> Element:
                     break
         e = Element(tag, _named_outside(tag, m[3] or ""))
         e.unit = e.unit or (tag in MARKED and any(a[1].lower() in ("class", "id") for a in _ATTRIBUTE.finditer(m[3] or "")))
-        stack[-1].parts.append(e)
-        if tag not in VOID and not (m[3] or "").endswith("/"):
+        if e.outside == 1:
+            boxes = (a[2] or a[3] or a[4] or "" for a in _ATTRIBUTE.finditer(m[3] or "") if a[1].lower() in ("class", "role"))
+            e.boxed = tag == "form" or (tag not in MARKED and tag not in HEADINGS and any(map(_BOXES.search, boxes)))
+        if not deep:
+            stack[-1].parts.append(e)
+        elif not e.outside:
+            e.parts = stack[-1].parts
+        if tag not in VOID:  # a slash at the end of a tag means nothing in HTML
             stack.append(e)
     return root
 
@@ -156,11 +172,24 @@ def read_page(page: str | None) -> tuple[Element, list[Element]]:
     root = parse(page or "")
     _hash_subtrees(root)
     mains = _outermost_main(root)
-    if not mains:
+    if mains:
+        _spare_named(mains)
+    else:
         _spare_holder(root)
     return root, mains
 
 
+def _spare_named(mains: list[Element]) -> None:
+    """Inside main content a name alone takes out boxes that are no part of an article, and nothing else."""
+    work = list(mains)
+    while work:
+        for p in work.pop().parts:
+            if isinstance(p, Element):
+                if p.outside == 1 and not p.boxed:
+                    p.outside = 0
+                work.append(p)
+
+
 def _spare_holder(root: Element) -> None:
     """On pages without a main element, no name removes the elements that hold the first h1 and most of the text."""
     path: list[Element] = []
