@@ -4,9 +4,12 @@ A rule is (verdict, host, path). It fits its host and all subdomains when the ur
 starts with the rule's path; of the rules that fit, the longest decides, a block before an
 allow of equal length. The tokens of a rule that every fitting url must hold (its host's
 labels and the whole segments of its path) are looked up in the corpus' token counts; the
-rarest one is the rule's key. A url fetches the rules keyed by its own tokens and only those
+rarest one is the rule's key. A url fetches the rules keyed by its own tokens, and only those
 run their regular expression.
 
+A list of up to ``MOST_INLINE`` rules is a map from key to rules that stands in the plan; longer
+lists are a table that the urls' tokens are joined with, so a list may have any length.
+
 Defined cases: a null url, or one without ``://``, has an empty host and path and gets the
 default verdict; repeated rows stay repeated; an empty table gives an empty result; other
 columns are ignored.
@@ -14,6 +17,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 
@@ -30,8 +34,10 @@ RULES = (
     ("allow", "com/fr/"),
     ("block", "com/de/"),
 )
-#: A rule list is read by every task; longer lists must be split over several calls.
-MOST_RULES = 20_000
+#: Rules that stand in the plan, and rules that may be sent to every task; more are joined by a shuffle.
+MOST_INLINE, MOST_SENT = 100, 100_000
+
+_RULE = "struct<length:int,block:int,rule:string,pattern:string>"
 
 
 def host_of(url: Column) -> Column:
@@ -63,29 +69,44 @@ def _pattern(rule: str) -> str:
     return rf"^(?:[^/]*\.)?{quote(host)}{quote(slash + path)}"
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, default: str = "allow") -> DataFrame:
+def _sent(df: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
+    return F.broadcast(df) if len(rules) <= MOST_SENT else df
+
+
+def _keyed(urls: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
+    """token and the entry of every rule, the token being the rule's that fewest urls hold."""
+    spark = urls.sparkSession
+    rows = [{"i": i, "verdict": v, "rule": r, "pattern": _pattern(r), "tokens": _rule_tokens(r)} for i, (v, r) in enumerate(dict.fromkeys(map(tuple, rules)))]
+    given = F.from_json(F.lit(json.dumps(rows)), "array<struct<i:int,verdict:string,rule:string,pattern:string,tokens:array<string>>>")
+    tokens = spark.range(1).select(F.inline(given)).select("i", "verdict", "rule", "pattern", F.explode("tokens").alias("token"))
+    held = urls.select(F.explode(url_tokens(F.col("host"), F.col("path"))).alias("token"))
+    counts = held.join(_sent(tokens.select("token").distinct(), rules), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    entry = F.struct(F.length("rule").alias("length"), (F.col("verdict") == "block").cast("int").alias("block"), "rule", "pattern")
+    ranked = tokens.join(counts, "token", "left").groupBy("i", entry.alias("entry")).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("key"))
+    return ranked.select(F.col("key.token").alias("token"), "entry")
+
+
+def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, default: str = "allow", most_inline: int = MOST_INLINE) -> DataFrame:
     """page_id, host, path, rule, verdict for every row of ``pages``."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules in one call")
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    known = sorted({t for _, rule in rules for t in _rule_tokens(rule)})
-    counts = {
-        r["token"]: r["n"]
-        for r in urls.select(F.explode(url_tokens(F.col("host"), F.col("path"))).alias("token"))
-        .filter(F.col("token").isin(known)).groupBy("token").agg(F.count("*").alias("n")).collect()
-    }  # fmt: skip  at most as many rows as the rules have tokens
-    index: dict[str, list[Column]] = {}
-    for verdict, rule in rules:
-        key = min(_rule_tokens(rule), key=lambda t: (counts.get(t, 0), t))
-        entry = F.struct(F.lit(len(rule)).alias("length"), F.lit(int(verdict == "block")).alias("block"), F.lit(rule).alias("rule"), F.lit(_pattern(rule)).alias("pattern"))
-        index.setdefault(key, []).append(entry)
-    whole = F.concat("host", "path")
-    # keys are walked in their order of rarity, so most urls stop at the first test of a token
-    fetched = [F.when(F.array_contains("tokens", k), F.array(*v)) for k, v in sorted(index.items(), key=lambda x: (counts.get(x[0], 0), x[0]))]
-    none = F.array().cast("array<struct<length:int,block:int,rule:string,pattern:string>>")
-    found = F.concat(*[F.coalesce(x, none) for x in fetched]) if fetched else none
-    fit = F.filter(found, lambda r: F.regexp_like(whole, r["pattern"]))
-    out = urls.withColumn("tokens", url_tokens(F.col("host"), F.col("path"))).withColumn("best", F.array_max(fit))
+    whole, tokens = F.concat("host", "path"), url_tokens(F.col("host"), F.col("path"))
+    none = F.array().cast(f"array<{_RULE}>")
+    if not rules:
+        out = urls.withColumn("best", F.lit(None).cast(_RULE))
+    elif len(rules) <= most_inline:
+        index: dict[str, list] = {}
+        for r in _keyed(urls, rules).collect():  # a row for each rule
+            index.setdefault(r["token"], []).append(r["entry"])
+        lit = lambda e: F.struct(F.lit(e["length"]).alias("length"), F.lit(e["block"]).alias("block"), F.lit(e["rule"]).alias("rule"), F.lit(e["pattern"]).alias("pattern"))
+        table = F.create_map(*[c for t, found in index.items() for c in (F.lit(t), F.array(*map(lit, found)))])
+        fetched = F.flatten(F.transform(tokens, lambda t: F.coalesce(F.element_at(table, t), none)))
+        out = urls.withColumn("best", F.array_max(F.filter(fetched, lambda r: F.regexp_like(whole, r["pattern"]))))
+    else:
+        keyed = _sent(_keyed(urls, rules), rules)
+        places = urls.select("host", "path").distinct()  # a url is judged once, however many pages have it
+        fetched = places.withColumn("token", F.explode(tokens)).join(keyed, "token").filter(F.regexp_like(whole, F.col("entry.pattern")))
+        best = fetched.groupBy("host", "path").agg(F.max("entry").alias("best"))
+        out = urls.join(best, ["host", "path"], "left")
     verdict = F.when(F.col("best").isNull(), default).when(F.col("best.block") == 1, "block").otherwise("allow")
     return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"))
 
