@@ -99,12 +99,14 @@ def test_packing(documents):
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rows = [(i, prose(i, 1 + i % 40)) for i in range(60)] + [(100, None), (101, ""), (102, prose(7, 500)), (103, "a <|endoftext|> b"), (5, prose(5, 6))]
-    out = packing.pack(documents(rows), salts=4).collect()
+    docs = documents(rows)
+    out = packing.pack(docs, ids=True).collect()
     ids = {}
     for i, x in rows:
         ids.setdefault(i, []).append(np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], dtype="<u4"))
     seqs = {}
     for r in out:
+        assert zlib.crc32(np.array(r.ids, dtype="<u4")) == r.ids_crc32
         assert any(zlib.crc32(v[r.start : r.start + r.length]) == r.ids_crc32 and r.start + r.length <= len(v) for v in ids[r.doc_id])
         seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
     for s in seqs.values():
@@ -114,6 +116,9 @@ def test_packing(documents):
             at += n
         assert at <= 2048
     total = sum(len(v) for x in ids.values() for v in x)
+    whole = packing.sequences(docs).collect()
+    assert len({r.sequence_id for r in whole}) == len(whole) == len(seqs) and sum(len(r.ids) for r in whole) == total
+    assert sorted(i for r in whole for i in r.ids) == sorted(int(i) for x in ids.values() for v in x for i in v)
     assert sum(r.length for r in out) == total and len(seqs) == -(-total // 2048)
     assert [(r.start, r.length) for r in sorted(out, key=lambda r: r.piece) if r.doc_id == 102][1:] == [(s, 2048) for s in packing.cuts(len(ids[102][0]), 2048)[1:]]
 

@@ -4,7 +4,8 @@ Only the histogram of piece lengths (at most ``capacity`` rows) comes to the dri
 the reduction fixes sets of lengths that provably dominate every other set with the same
 largest piece, with the multiplicity the counts allow; best-fit decreasing packs what is
 left. The plan is a table of (length, rank range) -> (sequence, offset); each piece finds its
-place by its rank among the pieces of its length, which is counted per (length, salt).
+place by its rank among the pieces of its length: tasks number the pieces of each length as they
+cut them, and the counts of the tasks before them are added, so no rows are sorted.
 
 Defined cases: null and empty texts are the closing id alone; repeated rows are packed once a
 row; an empty table gives an empty result; other columns are ignored.
@@ -27,8 +28,6 @@ from tracelake.llm.common import map_arrow, read, saved
 
 CAPACITY = 2048
 CLOSING_ID = 0
-#: Sub-groups that the pieces of one length are ranked in.
-SALTS = 256
 TOKENIZER = "byte_bpe_50k.tiktoken"
 SPECIAL = {"<|endoftext|>": 50256}
 
@@ -60,21 +59,28 @@ def cuts(n: int, capacity: int) -> list[int]:
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str = "") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece."""
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+    """doc_id, piece, start, length, ids_crc32, ids of every piece, and its number k among its task's pieces of its length."""
+    ints = pa.list_(pa.int32())
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("k", pa.int64()), ("ids", ints)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(capacity + 1, dtype=np.int64)
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[] for _ in range(6)]
+            tokens: list[np.ndarray] = [np.zeros(0, dtype="<u4")]
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 ids = token_ids(text.as_py() or "", path)
+                tokens.append(ids)
                 starts = cuts(len(ids), capacity)
                 for k, (a, z) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):
-                    for column, v in zip(out, (doc_id, k, a, z - a, zlib.crc32(ids[a:z])), strict=True):
+                    for column, v in zip(out, (doc_id, k, a, z - a, zlib.crc32(ids[a:z]), int(seen[z - a])), strict=True):
                         column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+                    seen[z - a] += 1
+            ends = np.concatenate(([0], np.cumsum(out[3]))).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tokens).view(np.int32)))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(out, schema, strict=False)), ids], schema=schema)
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, piece int, start long, length long, ids_crc32 long, k long, ids array<int>")
 
 
 class _Pool:
@@ -207,18 +213,18 @@ def places(sets: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
     return {s: np.array(v, dtype=np.int64) for s, v in out.items()}
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, salts: int = SALTS, path: str = "") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
+def pack(docs: DataFrame, capacity: int = CAPACITY, path: str = "", ids: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece, and its ids if they are asked for."""
     spark = docs.sparkSession
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int")
-    rows = saved(pieces(docs, capacity, path).withColumn("salt", salt))
-    per = rows.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    cut = pieces(docs, capacity, path).withColumn("part", F.spark_partition_id())
+    rows = saved(cut if ids else cut.drop("ids"))
+    per = rows.groupBy("length", "part").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in per.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     table = spark.sparkContext.broadcast(places(plan(counts, capacity)))
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
-    starts = per.select("length", "salt", F.coalesce(before, F.lit(0)).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1
-    ranked = rows.withColumn("rank", rank.cast("long")).join(starts, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before")).drop("before", "salt")
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = per.select("length", "part", F.coalesce(before, F.lit(0)).alias("before"))
+    ranked = rows.join(starts, ["length", "part"]).withColumn("rank", F.col("k") + F.col("before")).drop("before", "part", "k")
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -229,9 +235,16 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, salts: int = SALTS, path: st
                 t = table.value[int(s)]
                 k = np.searchsorted(t[:, 0], rank[at], side="right") - 1
                 sequence[at], offset[at] = t[k, 1] + rank[at] - t[k, 0], t[k, 2]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    return map_arrow(ranked, run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    kinds = f"doc_id long, piece int, start long, length long, ids_crc32 long, {'ids array<int>, ' if ids else ''}sequence_id long, offset long"
+    return map_arrow(ranked, run, kinds)
+
+
+def sequences(docs: DataFrame, capacity: int = CAPACITY, path: str = "") -> DataFrame:
+    """sequence_id and ids of every packed sequence, of ``capacity`` ids at most."""
+    held = F.sort_array(F.collect_list(F.struct("offset", "ids")))
+    return pack(docs, capacity, path, ids=True).groupBy("sequence_id").agg(F.flatten(F.transform(held, lambda p: p["ids"])).alias("ids"))
 
 
 def query(spark, sf_dir):
