@@ -4,7 +4,7 @@ Words are compared without case and punctuation. Runs of ``SEED`` words of a doc
 also stand in a benchmark item make the pair a candidate; an item whose seeds cannot cover
 ``COVERAGE`` of its words is left out, which loses nothing, as every tile consists of seeds.
 For the others greedy tiling marks the longest common runs, found by running Karp-Rabin
-hashes at falling lengths, none overlapping another; a document whose tiles cover at least
+hashes whose length is halved down to, none overlapping another; a document whose tiles cover at least
 ``COVERAGE`` of an item's words is contaminated, in whatever order the passages stand.
 
 The benchmark goes to the tasks in blocks of bounded size, one pass over the documents each.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import map_arrow, read
-from tracelake.llm.textops import PLAIN, Words, mix, slices, texts_of
+from tracelake.llm.textops import PLAIN, Words, powers, slices, texts_of, window_hash
 
 SEED = 4
 COVERAGE = 0.6
@@ -35,7 +35,7 @@ _U = np.uint64
 
 
 class Items:
-    """Benchmark items of one block: word hashes, and a table of their seeds."""
+    """Benchmark items of one block: word hashes, and which items hold each different seed."""
 
     def __init__(self, ids: list[int], texts: list[str]):
         words = Words(texts_of(pa.array(texts, pa.string())), PLAIN)
@@ -43,63 +43,86 @@ class Items:
         self.ids = np.array(ids, dtype=np.int64)[keep]
         self.words = [words.hash[words.first[i] : words.first[i + 1]] for i in keep]
         # items that are shorter than a seed are sought as a whole
-        seeds, owner, place = [], [], []
         self.short: dict[int, list[int]] = {}
+        none = np.zeros(0, dtype=np.uint64)
+        self.seeds = [windows(w, SEED) for w in self.words]
         for k, w in enumerate(self.words):
             if len(w) < SEED:
                 self.short.setdefault(len(w), []).append(k)
-            else:
-                g = runs(w, SEED)
-                seeds.append(g)
-                owner.append(np.full(len(g), k))
-                place.append(np.arange(len(g)))
-        self.seed = np.concatenate(seeds) if seeds else np.zeros(0, dtype=np.uint64)
-        order = np.argsort(self.seed, kind="stable")
-        self.seed = self.seed[order]
-        self.owner = np.concatenate(owner)[order] if seeds else np.zeros(0, dtype=np.int64)
-        self.place = np.concatenate(place)[order] if seeds else np.zeros(0, dtype=np.int64)
+        each = [np.unique(g) for g in self.seeds]
+        seed = np.concatenate(each) if each else none
+        owner = np.repeat(np.arange(len(each)), [len(g) for g in each])
+        order = np.argsort(seed, kind="stable")
+        self.owner = owner[order]
+        self.seed, first = np.unique(seed[order], return_index=True)
+        self.first = np.append(first, len(seed))
         self.bits = max(16, int(len(self.seed) * 16).bit_length())
         self.mask = np.zeros(1 << self.bits, dtype=bool)
         self.mask[(self.seed & _U((1 << self.bits) - 1)).astype(np.int64)] = True
 
 
-def runs(words: np.ndarray, n: int) -> np.ndarray:
-    """A hash for each run of n words."""
-    if len(words) < n:
-        return np.zeros(0, dtype=np.uint64)
-    h = words[: len(words) - n + 1].copy()
-    for i in range(1, n):
-        h = mix(h * _U(0xD6E8FEB86659FD93) + words[i : len(words) - n + 1 + i])
-    return h
+def running(words: np.ndarray) -> np.ndarray:
+    """Sums from which the Karp-Rabin hash of any run of words follows in one step."""
+    up, _ = powers(len(words) + 1)
+    sums = np.zeros(len(words) + 1, dtype=np.uint64)
+    np.cumsum(words * up[: len(words)], dtype=np.uint64, out=sums[1:])
+    return sums
+
+
+def windows(words: np.ndarray, n: int) -> np.ndarray:
+    """The hash of each run of n words."""
+    return hash_at(running(words), np.arange(max(0, len(words) - n + 1)), n)
+
+
+def hash_at(sums: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    return window_hash(sums, at, n) if len(at) else np.zeros(0, dtype=np.uint64)
 
 
 def tiles(text: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: (text start, item start, length), the longest first, none overlapping."""
+    """Greedy string tiling: (text start, item start, length), the longest first, none overlapping.
+
+    A common run of n words holds one of n - 1, so the longest length that free words of both
+    share is found by halving; its runs are placed in the item's order, each at the first free
+    place of the text.
+    """
     free_t, free_i = np.ones(len(text), dtype=bool), np.ones(len(item), dtype=bool)
+    sums_t, sums_i = running(text), running(item)
     out: list[tuple[int, int, int]] = []
-    n = min(len(text), len(item))
-    while n >= least:
-        # running Karp-Rabin: all runs of n free words of the item against those of the text
-        known: dict[int, list[int]] = {}
-        for j in _free_runs(free_i, n):
-            known.setdefault(int(_hash(item, j, n)), []).append(j)
-        found, longest = [], 0
-        for i in _free_runs(free_t, n):
-            for j in known.get(int(_hash(text, i, n)), ()):
-                k = 0
-                while i + k < len(text) and j + k < len(item) and free_t[i + k] and free_i[j + k] and text[i + k] == item[j + k]:
-                    k += 1
-                if k >= n:
-                    found.append((k, i, j))
-                    longest = max(longest, k)
-        if longest > n:
-            n = longest  # a longer match than sought: it goes first
-            found = [x for x in found if x[0] == longest]
-        for k, i, j in sorted(found, key=lambda x: (-x[0], x[2], x[1])):
-            if free_t[i : i + k].all() and free_i[j : j + k].all():
-                free_t[i : i + k] = free_i[j : j + k] = False
-                out.append((i, j, k))
-        n = min(n - 1, max(least, n * 3 // 4) if n > 4 * least else n - 1) if n > least else 0
+
+    def runs(n: int) -> tuple[np.ndarray, ...]:
+        at_t, at_i = _free_runs(free_t, n), _free_runs(free_i, n)
+        return at_t, hash_at(sums_t, at_t, n), at_i, hash_at(sums_i, at_i, n)
+
+    def shared(n: int) -> bool:
+        _, h_t, _, h_i = runs(n)
+        return bool(np.isin(h_i, h_t).any())
+
+    high = min(len(text), len(item))
+    while high >= least and shared(least):
+        low = least
+        while low < high:
+            n = (low + high + 1) // 2
+            low, high = (n, high) if shared(n) else (low, n - 1)
+        n, placed = low, False
+        at_t, h_t, at_i, h_i = runs(n)
+        order = np.argsort(h_t, kind="stable")
+        h_t, at_t = h_t[order], at_t[order]
+        start, end = np.searchsorted(h_t, h_i, side="left"), np.searchsorted(h_t, h_i, side="right")
+        following: dict[int, int] = {}
+        for j, h, a, z in zip(at_i.tolist(), h_i.tolist(), start.tolist(), end.tolist(), strict=True):
+            if a == z or not free_i[j : j + n].all():
+                continue
+            k = following.get(h, a)
+            while k < z:
+                i = int(at_t[k])
+                k += 1
+                if free_t[i : i + n].all() and np.array_equal(text[i : i + n], item[j : j + n]):
+                    free_t[i : i + n] = free_i[j : j + n] = False
+                    out.append((i, j, n))
+                    placed = True
+                    break
+            following[h] = k
+        high = n if placed else n - 1
     return out
 
 
@@ -108,24 +131,27 @@ def _free_runs(free: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(sums[n:] - sums[:-n] == n) if len(free) >= n else np.zeros(0, dtype=np.int64)
 
 
-def _hash(words: np.ndarray, at: int, n: int) -> int:
-    return hash(words[at : at + n].tobytes())
-
+def coverage(words: np.ndarray, places: np.ndarray, seeds: np.ndarray, items: Items, least: float) -> tuple[float, int, int] | None:
+    """(coverage, -item id, tiles) of the item that the document covers best, if any reaches ``least``.
 
-def coverage(words: np.ndarray, hits: np.ndarray, owners: np.ndarray, places: np.ndarray, items: Items, least: float) -> tuple[float, int, int] | None:
-    """(coverage, -item id, tiles) of the item that the document covers best, if any reaches ``least``."""
+    places: where the document's words begin a seed; seeds: the numbers of those seeds.
+    """
     best = None
-    for k in np.unique(owners):
+    held = np.unique(seeds)
+    n = items.first[held + 1] - items.first[held]
+    owners = items.owner[np.repeat(items.first[held], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+    for k, c in zip(*np.unique(owners, return_counts=True), strict=True):
         item = items.words[k]
-        mine = owners == k
-        held = np.zeros(len(item), dtype=bool)
-        for s in range(SEED):
-            held[places[mine] + s] = True
-        if held.sum() < least * len(item):
+        if c * SEED < least * len(item) and len(np.unique(items.seeds[k])) == len(items.seeds[k]):
+            continue
+        mine = np.isin(items.seeds[k], items.seed[held])
+        reach = np.convolve(mine, np.ones(SEED, dtype=np.int64)) > 0
+        if reach.sum() < least * len(item):
             continue
+        here = places[np.isin(items.seed[seeds], items.seeds[k])]
         near = np.zeros(len(words), dtype=bool)  # only words inside seeds can be in a tile
         for s in range(SEED):
-            near[hits[mine] + s] = True
+            near[here + s] = True
         edges = np.flatnonzero(np.diff(np.concatenate(([0], near.view(np.int8), [0]))))
         parts, gap = [], np.zeros(1, dtype=np.uint64)
         for a, z in zip(edges[0::2], edges[1::2], strict=True):
@@ -148,25 +174,23 @@ def scan_block(docs: DataFrame, items: Items, least: float) -> DataFrame:
             best: list[tuple[float, int, int] | None] = [None] * len(texts)
             for lo, hi in slices(texts):
                 w = Words(texts.slice(lo, hi - lo), PLAIN)
-                g = runs(w.hash, SEED)
+                g = windows(w.hash, SEED)
                 ok = w.doc[: len(g)] == w.doc[SEED - 1 :] if len(g) else np.zeros(0, dtype=bool)
-                at = np.flatnonzero(ok & items.mask[(g & low).astype(np.int64)]) if len(g) else np.zeros(0, dtype=np.int64)
+                at = np.flatnonzero(ok & items.mask[(g & low).astype(np.int64)])
                 if len(at) and len(items.seed):
-                    first = np.searchsorted(items.seed, g[at], side="left")
-                    n = np.searchsorted(items.seed, g[at], side="right") - first
-                    rep = np.repeat(np.arange(len(at)), n)
-                    idx = np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n) + first[rep]
-                    pos, owner, place = at[rep], items.owner[idx], items.place[idx]
-                    doc = w.doc[pos]
+                    known = np.minimum(np.searchsorted(items.seed, g[at]), len(items.seed) - 1)
+                    same = items.seed[known] == g[at]
+                    at, known = at[same], known[same]
+                    doc = w.doc[at]
                     cut = np.flatnonzero(np.diff(doc)) + 1
                     for a, z in zip([0, *cut], [*cut, len(doc)], strict=True) if len(doc) else ():
                         d, s = doc[a], w.first[doc[a]]
-                        best[lo + d] = coverage(w.hash[s : w.first[d + 1]], pos[a:z] - s, owner[a:z], place[a:z], items, least)
+                        best[lo + d] = coverage(w.hash[s : w.first[d + 1]], at[a:z] - s, known[a:z], items, least)
                 for size, who in items.short.items():
-                    g = runs(w.hash, size)
+                    g = windows(w.hash, size)
                     ok = w.doc[: len(g)] == w.doc[size - 1 :] if len(g) else np.zeros(0, dtype=bool)
                     for k in who:
-                        for d in np.unique(w.doc[: len(g)][ok & (g == runs(items.words[k], size)[0])]):
+                        for d in np.unique(w.doc[: len(g)][ok & (g == windows(items.words[k], size)[0])]):
                             best[lo + d] = max(best[lo + d] or (0.0, -(1 << 62), 0), (1.0, -int(items.ids[k]), 1))
             share = [x[0] if x else None for x in best]
             item = [-x[1] if x else None for x in best]
