@@ -21,19 +21,54 @@ def rank_percentiles(df: DataFrame, keys: Sequence[str], value: str, points: dic
     """Exact rank percentiles per group: ``nearest`` takes rank ceil(p n), ``floor`` rank floor(p n) + 1.
 
     Equal values are counted before they are ranked, so a group's rows never meet one by one.
+    Without keys, only the values close to a rank are ordered.
     """
+    if not keys:
+        return _overall_percentiles(df, value, points, flavour)
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    group = Window.partitionBy(*keys)
     upto = F.sum("_n").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = counts.withColumn("_to", upto).withColumn("_all", F.sum("_n").over(group))
     out = []
     for name, p in points.items():
-        x = F.col("_all") * F.lit(float(p))
-        rank = F.least(F.floor(x) + 1, F.col("_all")) if flavour == "floor" else F.greatest(F.ceil(x), F.lit(1))
+        rank = _rank(p, flavour)
         out.append(F.max(F.when((F.col("_to") - F.col("_n") < rank) & (rank <= F.col("_to")), F.col(value))).alias(name))
     return ranked.groupBy(*keys).agg(*out)
 
 
+def _rank(p: float, flavour: str) -> Column:
+    x = F.col("_all") * F.lit(float(p))
+    return F.least(F.floor(x) + 1, F.col("_all")) if flavour == "floor" else F.greatest(F.ceil(x), F.lit(1))
+
+
+def _overall_percentiles(df: DataFrame, value: str, points: dict[str, float], flavour: str, accuracy: int = 10_000) -> DataFrame:
+    """One row of exact rank percentiles of a whole table.
+
+    A quantile sketch gives two values that enclose each rank; the rows below them are counted,
+    and only those between them, a few in ``accuracy``, are ordered.
+    """
+    rows = df.filter(F.col(value).isNotNull()).select(F.col(value).alias("_v"))
+    margin, ps = 4.0 / accuracy, list(points.values())
+    near = rows.agg(
+        F.percentile_approx("_v", [max(0.0, p - margin) for p in ps], accuracy).alias("_lo"),
+        F.percentile_approx("_v", [min(1.0, p + margin) for p in ps], accuracy).alias("_hi"), F.count("*").alias("_all"),
+    )
+    met = rows.crossJoin(F.broadcast(near))  # one row
+    at = F.explode(F.filter(F.sequence(F.lit(0), F.lit(len(ps) - 1)), lambda i: F.col("_v") <= F.get("_hi", i))).alias("_i")
+    low = F.col("_v") < F.get("_lo", F.col("_i"))
+    # what lies below the lower value is one row of the count, whatever its values
+    counts = met.select("_v", "_lo", "_all", at).groupBy("_i", F.when(~low, F.col("_v")).alias("_v"), "_all").agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("_i").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = counts.withColumn("_to", upto)
+    out = []
+    for k, (name, p) in enumerate(points.items()):
+        rank = _rank(p, flavour)
+        hit = (F.col("_i") == k) & (F.col("_to") - F.col("_n") < rank) & (rank <= F.col("_to"))
+        enclosed = F.coalesce("_v", F.raise_error(F.lit("the sketch missed a rank")).cast(df.schema[value].dataType))
+        out.append(F.max(F.when(hit, enclosed)).alias(name))
+    return ranked.agg(*out)
+
+
 def linear_percentiles(value: str, points: dict[str, float], exact: bool = True, accuracy: int = 10_000) -> list[Column]:
     """Interpolated percentiles; the approximate form bounds memory for huge groups."""
     if exact:

@@ -90,9 +90,14 @@ def cumulative(df: DataFrame, keys: Sequence[str], order: str, value: str, lag:
     )
 
 
+def place_of(key: Column, seed: int = 0) -> Column:
+    """0 to 9999 by a hash of the key, the same on every engine that has md5."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", key.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long") % 10_000
+
+
 def sample_rows(df: DataFrame, percent: float, key: Column, seed: int = 0) -> DataFrame:
     """Hash sample: the same rows whatever the partitioning."""
-    return df.filter(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(10_000)) < int(percent * 100))
+    return df.filter(place_of(key, seed) < int(percent * 100))
 
 
 def severity_sample(df: DataFrame, level: str, key: Column, fractions: dict[str, float], otherwise: float, seed: int = 0) -> DataFrame:
@@ -100,7 +105,7 @@ def severity_sample(df: DataFrame, level: str, key: Column, fractions: dict[str,
     share = F.lit(otherwise)
     for k, v in fractions.items():
         share = F.when(F.lower(level) == k, v).otherwise(share)
-    return df.filter(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(10_000)) < share * 10_000)
+    return df.filter(place_of(key, seed) < share * 10_000)
 
 
 def stratified_sample(df: DataFrame, group: str, percent: float, most: int, key: Column, seed: int = 0) -> DataFrame:

@@ -110,14 +110,14 @@ def bursts(series: DataFrame, keys: Sequence[str]) -> DataFrame:
 def robust_scores(df: DataFrame, features: Sequence[str], by: Sequence[str] = (), least: int = 20) -> DataFrame:
     """Largest absolute modified z over the features, within groups of at least ``least`` rows."""
     rows = df.withColumn("_n", F.count("*").over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0)))).filter(F.col("_n") >= least).drop("_n")
-    parts = []
-    for f in features:
-        med = rows.groupBy(*by).agg(F.percentile(f, F.lit(0.5)).alias(f"_m_{f}"))
-        rows = rows.join(med, list(by)) if by else rows.crossJoin(F.broadcast(med))
-        rows = rows.withColumn(f"_d_{f}", F.abs(F.col(f) - F.col(f"_m_{f}")))
-        mad = rows.groupBy(*by).agg(F.percentile(f"_d_{f}", F.lit(0.5)).alias(f"_a_{f}"))
-        rows = rows.join(mad, list(by)) if by else rows.crossJoin(F.broadcast(mad))
-        parts.append(ratio(0.6745 * F.col(f"_d_{f}"), F.col(f"_a_{f}")))
+    def with_medians(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+        found = rows.groupBy(*by).agg(*[F.percentile(c, F.lit(0.5)).alias(name) for name, c in columns.items()])
+        return rows.join(found, list(by)) if by else rows.crossJoin(F.broadcast(found))
+
+    rows = with_medians(rows, {f"_m_{f}": f for f in features})
+    rows = rows.withColumns({f"_d_{f}": F.abs(F.col(f) - F.col(f"_m_{f}")) for f in features})
+    rows = with_medians(rows, {f"_a_{f}": f"_d_{f}" for f in features})
+    parts = [ratio(0.6745 * F.col(f"_d_{f}"), F.col(f"_a_{f}")) for f in features]
     score = F.greatest(*parts) if len(parts) > 1 else parts[0]
     return rows.withColumn("score", score).drop(*[f"_{k}_{f}" for k in "mda" for f in features])
 

@@ -6,6 +6,8 @@ their rounds; their state is one row a node or a node pair.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,7 +161,8 @@ def path_usage(paths: DataFrame, spans: DataFrame) -> DataFrame:
     t = spans.groupBy("trace_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("start_ts", "span_id", "service"))), lambda x: x["service"]).alias("walk"), F.sum("duration_ms").alias("total"), F.max("is_error").alias("bad"))
     hit = F.aggregate("walk", F.lit(1), lambda k, s: F.when((k <= F.size("path")) & (s == F.get("path", k - 1)), k + 1).otherwise(k)) > F.size("path")
     whole = F.broadcast(t.agg(F.count("*").alias("_all")))
-    used = t.crossJoin(F.broadcast(paths)).filter(hit)  # service paths are few: services, not traces, bound them
+    first = t.withColumn("_first", F.explode(F.array_distinct("walk")))  # a trace meets only paths that start at one of its services
+    used = first.join(paths.withColumn("_first", F.get("path", F.lit(0))), "_first").filter(hit)
     out = used.groupBy("path").agg(F.count("*").alias("traces"), F.avg("total").alias("avg"), ratio(F.count_if("bad"), F.count("*")).alias("error_share"))
     return out.crossJoin(whole).withColumn("criticality", ratio(F.col("traces"), F.col("_all"))).drop("_all")
 
@@ -174,11 +177,11 @@ def topology_paths(edges: DataFrame, max_len: int = 6) -> DataFrame:
     return out.orderBy(F.desc("latency"), "id").limit(10)
 
 
-def levels(edges: DataFrame, max_depth: int = 20) -> DataFrame:
-    """Breadth-first depth from services that nobody calls."""
+def levels(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Breadth-first depth from services that nobody calls, down to the last that is reached or to ``max_depth`` levels."""
     e = cut_lineage(edges.select("source", "target").distinct())
     seen = e.select(F.col("source").alias("service")).distinct().join(e.select(F.col("target").alias("service")).distinct(), "service", "left_anti").withColumn("level", F.lit(0))
-    for depth in range(1, max_depth):
+    for depth in range(1, max_depth) if max_depth else count(1):
         nxt = seen.filter(F.col("level") == depth - 1).join(e, F.col("service") == F.col("source")).select(F.col("target").alias("service")).distinct()
         nxt = nxt.join(seen.select("service"), "service", "left_anti")
         if nxt.isEmpty():
@@ -209,13 +212,13 @@ def centrality(edges: DataFrame) -> DataFrame:
     return out.select("service", ratio(F.col("touching"), F.col("n") - 1).alias("degree"), ratio(F.col("touching"), F.col("m")).alias("betweenness"), F.least(ratio(F.col("incoming"), F.col("calls") * F.col("n")) * F.col("n"), F.lit(1.0)).alias("eigenvector"))
 
 
-def shortest_hops(edges: DataFrame, undirected: bool = False, max_depth: int = 20) -> DataFrame:
-    """Unit distances between all node pairs that reach each other: one join a level."""
+def shortest_hops(edges: DataFrame, undirected: bool = False, max_depth: int | None = None) -> DataFrame:
+    """Unit distances between all node pairs that reach each other, or that do in fewer than ``max_depth`` steps: one join a level."""
     e = cut_lineage(edges.select("source", "target").distinct())
     if undirected:
         e = e.union(e.select("target", "source")).distinct()
     seen = e.filter("source <> target").withColumn("hops", F.lit(1))
-    for d in range(2, max_depth):
+    for d in range(2, max_depth) if max_depth else count(2):
         last = seen.filter(F.col("hops") == d - 1).select(F.col("source").alias("_s"), F.col("target").alias("_m"))
         nxt = last.join(e, F.col("_m") == F.col("source")).select(F.col("_s").alias("source"), "target").filter("source <> target").distinct()
         nxt = nxt.join(seen, ["source", "target"], "left_anti")

@@ -107,9 +107,13 @@ def prefix_sequences(events: DataFrame, key: Sequence[str], item: str, ts: str,
     return found.select(F.array_join(F.flatten("sequence"), " > ").alias("sequence"), F.col("freq").alias("count"))
 
 
-def entities(df: DataFrame, text: Column) -> DataFrame:
-    """Entity type, value and count over all texts."""
-    found = F.concat(*[_typed(text, p, n) for n, p in C.ENTITIES.items()])
+def entities(df: DataFrame, text: Column, service: Column | None = None) -> DataFrame:
+    """Entity type, value and count over all texts; the service of a row, where given, is an entity too."""
+    found = [_typed(text, p, n) for n, p in C.ENTITIES.items()]
+    if service is not None:
+        one = F.struct(F.lit("SERVICE").alias("type"), service.alias("value"))
+        found.append(F.when(service.isNotNull(), F.array(one)).otherwise(F.array().cast("array<struct<type:string,value:string>>")))
+    found = F.concat(*found)
     return df.select(F.explode(found).alias("e")).groupBy("e.type", "e.value").agg(F.count("*").alias("count"))
 
 

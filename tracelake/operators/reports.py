@@ -254,8 +254,8 @@ def pipeline_score(health: DataFrame) -> DataFrame:
 
 
 def dependency_health(spans: DataFrame, seconds: int = 300) -> DataFrame:
-    """Per service: error %, p95, availability (share of buckets with at least 95 % OK), score, status and risk level."""
-    g = spans.groupBy("service").agg(F.count("*").alias("calls"), percent(F.count_if("is_error"), F.count("*")).alias("error_rate"), F.percentile("duration_ms", F.lit(0.95)).alias("p95"))
+    """Per service: error %, p50, p95, p99, availability (share of buckets with at least 95 % OK), score, status and risk level."""
+    g = spans.groupBy("service").agg(F.count("*").alias("calls"), percent(F.count_if("is_error"), F.count("*")).alias("error_rate"), *[F.percentile("duration_ms", F.lit(p / 100)).alias(f"p{p}") for p in (50, 95, 99)])
     b = spans.groupBy("service", bucket(_K("start_ts"), seconds).alias("_b")).agg(ratio(F.count_if(~_K("is_error")), F.count("*")).alias("_ok"))
     out = g.join(b.groupBy("service").agg(percent(F.count_if(_K("_ok") >= 0.95), F.count("*")).alias("availability")), "service")
     score = F.greatest(F.lit(0.0), 100 - F.least(_K("error_rate") * 2, F.lit(40.0)) - F.when(_K("p95") > 1000, 30).when(_K("p95") > 500, 15).otherwise(0) - (100 - _K("availability")) * 0.3)

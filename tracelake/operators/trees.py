@@ -1,8 +1,9 @@
 """Span-tree operators by level-wise joins: depth, critical path, error propagation, root-to-leaf paths.
 
 All of them stay within a trace; a span whose parent is missing or itself is a root. Each level
-is one join on (trace, span); the number of levels is a bound, and paths carry what they have
-visited, so cycles end.
+is one join on (trace, span) with the level before, which is written to the shared folder, so
+work grows with the depth and a trace of any size or depth is followed to its end; paths carry
+what they have visited, so cycles end.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.functions.lineage import cut_lineage
 from tracelake.functions.stats import percent, rank_percentiles, ratio
 
 
@@ -20,24 +22,35 @@ def with_roots(spans: DataFrame) -> DataFrame:
     return spans.join(parents, ["trace_id", "parent_span_id"], "left").withColumn("is_root", F.col("parent_span_id").isNull() | own | F.col("_found").isNull()).drop("_found")
 
 
-def span_paths(spans: DataFrame, max_depth: int = 50) -> DataFrame:
+def _levels(first: DataFrame, following, max_depth: int | None) -> DataFrame:
+    """All rows of ``first``, ``following(first)`` and so on until a level is empty, or up to ``max_depth`` levels; each is written once."""
+    level = cut_lineage(first)
+    out, depth = level, 1
+    while max_depth is None or depth < max_depth:
+        level = cut_lineage(following(level))
+        if level.isEmpty():
+            break
+        out, depth = out.unionByName(level), depth + 1
+    return out
+
+
+def span_paths(spans: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Every span with its path from its root: arrays of span ids, services and durations, and its depth.
 
-    One join a level; a span already on the path ends it, so cycles don't loop. Levels stop
-    at ``max_depth`` or when one is empty.
+    One join a level, until no span is left or ``max_depth`` levels are read; a span already on the path ends it, so cycles don't loop.
     """
-    rows = with_roots(spans)
+    rows = cut_lineage(with_roots(spans).select("trace_id", "span_id", "parent_span_id", "service", "operation", "duration_ms", "is_root"))
     child = rows.filter("not is_root").select("trace_id", F.col("parent_span_id").alias("_p"), F.col("span_id").alias("_s"), F.col("service").alias("_v"), F.col("operation").alias("_o"), F.col("duration_ms").alias("_d"))
-    level = rows.filter("is_root").select("trace_id", "span_id", F.array("span_id").alias("path"), F.array("service").alias("services"), F.array("operation").alias("operations"), F.array("duration_ms").alias("durations"))
-    out = level
-    for _ in range(max_depth - 1):
+    roots = rows.filter("is_root").select("trace_id", "span_id", F.array("span_id").alias("path"), F.array("service").alias("services"), F.array("operation").alias("operations"), F.array("duration_ms").alias("durations"))
+
+    def below(level: DataFrame) -> DataFrame:
         level = level.withColumnRenamed("span_id", "_p").join(child, ["trace_id", "_p"]).filter(~F.array_contains("path", F.col("_s")))
-        level = level.select(
+        return level.select(
             "trace_id", F.col("_s").alias("span_id"), F.concat("path", F.array("_s")).alias("path"), F.concat("services", F.array("_v")).alias("services"),
             F.concat("operations", F.array("_o")).alias("operations"), F.concat("durations", F.array("_d")).alias("durations"),
         )
-        out = out.unionByName(level)
-    return out.withColumn("depth", F.size("path"))
+
+    return _levels(roots, below, max_depth).withColumn("depth", F.size("path"))
 
 
 def leaves(paths: DataFrame, spans: DataFrame) -> DataFrame:
@@ -46,7 +59,7 @@ def leaves(paths: DataFrame, spans: DataFrame) -> DataFrame:
     return paths.join(parents, ["trace_id", "span_id"], "left_anti")
 
 
-def critical_paths(spans: DataFrame, max_depth: int = 50, min_duration: float = 0.0) -> DataFrame:
+def critical_paths(spans: DataFrame, max_depth: int | None = None, min_duration: float = 0.0) -> DataFrame:
     """Per trace the path of the largest summed duration; spans below ``min_duration`` are passed through but not listed.
 
     From each root the child with the largest sum along its path is followed, which is the
@@ -64,7 +77,7 @@ def critical_paths(spans: DataFrame, max_depth: int = 50, min_duration: float =
 
 def path_stats(paths: DataFrame) -> DataFrame:
     """total, self time (what a span adds beyond the next one), wait, pattern and length."""
-    nxt = F.concat(F.slice("durations", 2, 1000), F.array(F.lit(0.0)))
+    nxt = F.concat(F.slice("durations", F.lit(2), F.size("durations")), F.array(F.lit(0.0)))
     own = F.aggregate(F.zip_with("durations", nxt, lambda a, b: F.greatest(F.lit(0.0), a - b)), F.lit(0.0), lambda a, x: a + x)
     pattern = F.array_join(F.zip_with("services", "operations", lambda s, o: F.concat_ws(":", s, o)), " -> ")
     out = paths.withColumn("total_ms", F.aggregate("durations", F.lit(0.0), lambda a, x: a + x)).withColumn("self_ms", own)
@@ -98,25 +111,30 @@ def savings(bottlenecks: DataFrame, dimension: str = "service") -> DataFrame:
     return bottlenecks.select(dimension, (F.col("avg") * part).alias("saving_ms"), effort.alias("effort"), (F.col("contribution") / effort).alias("roi"))
 
 
-def error_chains(spans: DataFrame, direction: str = "upstream", max_depth: int = 50) -> DataFrame:
+def error_chains(spans: DataFrame, direction: str = "upstream", max_depth: int | None = None) -> DataFrame:
     """From each error span, its chain of erroring parents (upstream) or the erroring spans below it (downstream).
 
     A row per chain of at least two spans: origin, path of services from the origin on, types
     and depth. Downstream lists the reachable error spans by (depth, start, id).
     """
-    e = spans.filter("is_error").select("trace_id", "span_id", "parent_span_id", "service", "error_type", "start_ts")
-    if direction == "upstream":
-        step = e.select("trace_id", F.col("span_id").alias("_s"), F.col("parent_span_id").alias("_next"), F.col("service").alias("_v"), F.col("error_type").alias("_t"), F.col("start_ts").alias("_ts"))
-    else:
-        step = e.filter("parent_span_id <> span_id").select("trace_id", F.col("parent_span_id").alias("_s"), F.col("span_id").alias("_next"), F.col("service").alias("_v"), F.col("error_type").alias("_t"), F.col("start_ts").alias("_ts"))
-    level = e.select("trace_id", F.col("span_id").alias("origin"), (F.col("parent_span_id") if direction == "upstream" else F.col("span_id")).alias("at"), F.array("span_id").alias("_seen"))
-    out = e.select("trace_id", F.col("span_id").alias("origin"), F.lit(0).alias("depth"), F.col("start_ts").alias("ts"), F.col("span_id").alias("member"), "service", "error_type")
-    for depth in range(1, max_depth):
-        nxt = level.withColumnRenamed("at", "_s").join(step, ["trace_id", "_s"])
-        member = F.col("_s") if direction == "upstream" else F.col("_next")
-        nxt = nxt.filter(~F.array_contains("_seen", member))
-        out = out.unionByName(nxt.select("trace_id", "origin", F.lit(depth).alias("depth"), F.col("_ts").alias("ts"), member.alias("member"), F.col("_v").alias("service"), F.col("_t").alias("error_type")))
-        level = nxt.select("trace_id", "origin", F.col("_next").alias("at"), F.concat("_seen", F.array(member)).alias("_seen"))
+    e = cut_lineage(spans.filter("is_error").select("trace_id", "span_id", "parent_span_id", "service", "error_type", "start_ts"))
+    up = direction == "upstream"
+    links = e if up else e.filter("parent_span_id <> span_id")
+    here, there = ("span_id", "parent_span_id") if up else ("parent_span_id", "span_id")
+    step = links.select("trace_id", F.col(here).alias("_s"), F.col(there).alias("_next"), F.col("span_id").alias("_m"), F.col("service").alias("_v"), F.col("error_type").alias("_t"), F.col("start_ts").alias("_ts"))
+    first = e.select(
+        "trace_id", F.col("span_id").alias("origin"), F.lit(0).alias("depth"), F.col("start_ts").alias("ts"), F.col("span_id").alias("member"), "service", "error_type",
+        F.col("parent_span_id" if up else "span_id").alias("at"), F.array("span_id").alias("_seen"),
+    )
+
+    def following(level: DataFrame) -> DataFrame:
+        near = level.select("trace_id", "origin", "depth", F.col("at").alias("_s"), "_seen").join(step, ["trace_id", "_s"]).filter(~F.array_contains("_seen", F.col("_m")))
+        return near.select(
+            "trace_id", "origin", (F.col("depth") + 1).alias("depth"), F.col("_ts").alias("ts"), F.col("_m").alias("member"), F.col("_v").alias("service"), F.col("_t").alias("error_type"),
+            F.col("_next").alias("at"), F.concat("_seen", F.array("_m")).alias("_seen"),
+        )
+
+    out = _levels(first, following, max_depth)
     chains = out.groupBy("trace_id", "origin").agg(F.sort_array(F.collect_list(F.struct("depth", "ts", "member", "service", "error_type"))).alias("c"))
     return chains.filter(F.size("c") > 1).select("trace_id", "origin", F.transform("c", lambda x: x["service"]).alias("services"), F.array_distinct(F.filter(F.transform("c", lambda x: x["error_type"]), lambda t: t.isNotNull())).alias("types"), F.size("c").alias("length"), F.transform("c", lambda x: x["ts"]).alias("times"))
 

@@ -66,24 +66,24 @@ def _(spark, sf):
     return logs(spark, sf).filter("level = 'error'").select("event_id", P.highlight(F.col("message"), ["failed", "error"]).alias("marked"))
 
 
-@query("p15_j10_log_context", f"""WITH {LOGS}, hits AS (SELECT * FROM logs WHERE level = 'error' AND event_id % 50 = 0),
+_CONTEXT = f"""WITH {LOGS}, hits AS (SELECT * FROM logs WHERE level = 'error'),
 near AS (SELECT h.event_id AS hit, l.event_id AS near, CASE WHEN l.ts < h.ts THEN 'before' ELSE 'after' END AS side,
   row_number() OVER (PARTITION BY h.event_id, l.ts < h.ts ORDER BY abs(epoch_us(l.ts) - epoch_us(h.ts)), l.event_id) AS k
   FROM hits h JOIN logs l ON h.service = l.service AND l.event_id <> h.event_id AND abs(epoch_us(l.ts) - epoch_us(h.ts)) <= 3600000000)
-SELECT hit, near, side FROM near WHERE k <= 3""")
-def _(spark, sf):
-    rows = logs(spark, sf)
-    hits = rows.filter("level = 'error' and event_id % 50 = 0")
-    return C.log_context(hits, rows, "event_id", k=3, window_s=3600)
+SELECT hit, near, side FROM near WHERE k <= 3"""
 
 
-@query("p15_j10_log_context_all")
+@query("p15_j10_log_context", _CONTEXT)
+@query("p15_j10_log_context_all", _CONTEXT)
 def _(spark, sf):
     rows = logs(spark, sf)
     return C.log_context(rows.filter("level = 'error'"), rows, "event_id", k=3, window_s=3600)
 
 
-@query("p16_severity_sample")
+_PLACE = "CAST(concat('0x', substr(md5(concat(event_id, '|0')), 1, 8)) AS BIGINT) % 10000"
+
+
+@query("p16_severity_sample", f"WITH {LOGS} SELECT level, count(*) AS n FROM logs WHERE {_PLACE} < CASE level WHEN 'error' THEN 10000 WHEN 'warn' THEN 5000 ELSE 100 END GROUP BY level")
 def _(spark, sf):
     return A.severity_sample(logs(spark, sf), "level", F.col("event_id"), {"error": 1.0, "warn": 0.5}, 0.01).groupBy("level").agg(F.count("*").alias("n"))
 
@@ -93,7 +93,7 @@ def _(spark, sf):
     return A.stratified_sample(logs(spark, sf), "level", 10, 1000, F.col("event_id")).groupBy("level").agg(F.count("*").alias("n"))
 
 
-@query("p18_s6_sampled_counts")
+@query("p18_s6_sampled_counts", f"WITH {LOGS} SELECT service, count(*) AS sampled, CAST(round(count(*) * 100 / 20.0) AS BIGINT) AS estimate FROM logs WHERE {_PLACE} < 2000 GROUP BY service")
 def _(spark, sf):
     return A.sampled_counts(logs(spark, sf), "service", 20, F.col("event_id"))
 

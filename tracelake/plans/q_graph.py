@@ -110,31 +110,28 @@ def _(spark, sf):
     return rounded(G.service_health(G.service_nodes(spans(spark, sf)), edges(spark, sf)), "health", digits=6)
 
 
-_WALK = f"WITH RECURSIVE {_EDGES}, starts AS (SELECT DISTINCT source AS s FROM edges WHERE source NOT IN (SELECT target FROM edges)), walk AS (SELECT s AS node, [s] AS path FROM starts UNION ALL SELECT e.target, list_append(w.path, e.target) FROM walk w JOIN edges e ON e.source = w.node AND NOT list_contains(w.path, e.target) WHERE len(w.path) < {{n}})"
+_WALK = f"WITH RECURSIVE {_EDGES}, starts AS (SELECT DISTINCT source AS s FROM edges WHERE source NOT IN (SELECT target FROM edges)), walk AS (SELECT s AS node, [s] AS path FROM starts UNION ALL SELECT e.target, list_append(w.path, e.target) FROM walk w JOIN edges e ON e.source = w.node AND NOT list_contains(w.path, e.target) WHERE len(w.path) < {{n}}), whole AS (SELECT path FROM walk WHERE len(path) > 1 AND (len(path) = {{n}} OR node NOT IN (SELECT source FROM edges)))"
 
 
-@query("g28_service_paths", _WALK.format(n=3) + " SELECT array_to_string(path, '>') AS path FROM walk WHERE len(path) = 3")
-def _(spark, sf):
-    return G.service_paths(edges(spark, sf), 3).select(F.array_join("path", ">").alias("path"))
-
-
-@query("g28_service_paths_all")
+@query("g28_service_paths", _WALK.format(n=5) + " SELECT array_to_string(path, '>') AS path FROM whole")
+@query("g28_service_paths_all", _WALK.format(n=5) + " SELECT array_to_string(path, '>') AS path FROM whole")
 def _(spark, sf):
     return G.service_paths(edges(spark, sf)).select(F.array_join("path", ">").alias("path"))
 
 
-@query("g28_path_usage")
+@query("g28_path_usage", _WALK.format(n=5) + """, t AS (SELECT trace_id, '<' || string_agg(service, '><' ORDER BY start_ts, span_id) || '>' AS walk, sum(duration_ms) AS total, bool_or(is_error) AS bad FROM spans GROUP BY trace_id),
+hit AS (SELECT path, total, bad FROM t JOIN whole ON walk LIKE '%<' || array_to_string(path, '>%<') || '>%')
+SELECT array_to_string(path, '>') AS path, count(*) AS traces, round(avg(total), 4) AS avg, round(count(*) FILTER (WHERE bad) / CAST(count(*) AS DOUBLE), 4) AS error_share, round(count(*) / CAST((SELECT count(*) FROM t) AS DOUBLE), 4) AS criticality FROM hit GROUP BY path""")
 def _(spark, sf):
     df = spans(spark, sf)
     return rounded(G.path_usage(G.service_paths(G.dependency_edges(df)), df).withColumn("path", F.array_join("path", ">")), "avg", "error_share", "criticality")
 
 
-@query("g29_topology_paths", _WALK.format(n=3) + ", h AS (SELECT array_to_string(path, '>') AS id, unnest([struct_pack(a := path[1], b := path[2]), struct_pack(a := path[2], b := path[3])]) AS h FROM walk WHERE len(path) = 3) SELECT id, round(sum(lat_avg), 4) AS latency, count(*) FILTER (WHERE lat_avg > 500 OR error_rate > 10) AS bottlenecks FROM h JOIN edges e ON e.source = h.a AND e.target = h.b GROUP BY id ORDER BY sum(lat_avg) DESC, id LIMIT 10")
-def _(spark, sf):
-    return rounded(G.topology_paths(edges(spark, sf), 3).select("id", "latency", "bottlenecks"), "latency")
+_TOPOLOGY = _WALK.format(n=6) + ", h AS (SELECT array_to_string(path, '>') AS id, unnest(list_transform(range(1, len(path)), lambda i: struct_pack(a := path[i], b := path[i + 1]))) AS h FROM whole WHERE len(path) >= 3) SELECT id, round(sum(lat_avg), 4) AS latency, count(*) FILTER (WHERE lat_avg > 500 OR error_rate > 10) AS bottlenecks FROM h JOIN edges e ON e.source = h.h.a AND e.target = h.h.b GROUP BY id ORDER BY sum(lat_avg) DESC, id LIMIT 10"
 
 
-@query("g29_topology_paths_all")
+@query("g29_topology_paths", _TOPOLOGY)
+@query("g29_topology_paths_all", _TOPOLOGY)
 def _(spark, sf):
     return rounded(G.topology_paths(edges(spark, sf)).select("id", "latency", "bottlenecks"), "latency")
 
@@ -173,12 +170,17 @@ def _(spark, sf):
     return rounded(G.closeness(edges(spark, sf)), "closeness", digits=6)
 
 
-@query("g47_pagerank")
+_RANK = _EDGES + """, lk AS (SELECT DISTINCT source, target FROM edges), nd AS (SELECT source AS node FROM lk UNION SELECT target FROM lk), c AS (SELECT count(*) AS n FROM nd), ou AS (SELECT source, count(*) AS k FROM lk GROUP BY source), fl AS (SELECT lk.source, lk.target, 1.0 / k AS w FROM lk JOIN ou USING (source)),
+pr AS (SELECT 0 AS r, node, CAST(1.0 / n AS DOUBLE) AS rank FROM nd, c UNION ALL SELECT p.r + 1, nd.node, 0.15 / any_value(c.n) + 0.85 * coalesce(sum(p.rank * fl.w) FILTER (WHERE fl.target = nd.node), 0) FROM pr p JOIN c ON p.r < 20 CROSS JOIN nd LEFT JOIN fl ON fl.source = p.node AND fl.target = nd.node GROUP BY p.r, nd.node)"""
+
+
+@query("g47_pagerank", "WITH RECURSIVE " + _RANK + " SELECT node AS service, round(rank, 8) AS rank FROM pr WHERE r = 20")
 def _(spark, sf):
     return rounded(G.pagerank(edges(spark, sf)), "rank", digits=8)
 
 
-@query("g48_cp3_key_services")
+@query("g48_cp3_key_services", "WITH RECURSIVE " + _RANK + """, bt AS (SELECT source AS service FROM edges UNION ALL SELECT target FROM edges), dg AS (SELECT service, count(*) / CAST((SELECT n FROM c) - 1 AS DOUBLE) AS degree, count(*) / CAST((SELECT count(*) FROM edges) AS DOUBLE) AS betweenness FROM bt GROUP BY service),
+k AS (SELECT service, concat_ws(',', CASE WHEN degree > 0.5 THEN 'hub' END, CASE WHEN betweenness > 0.3 THEN 'bridge' END, CASE WHEN rank > 0.2 THEN 'core' END) AS roles FROM dg JOIN pr ON pr.node = dg.service AND pr.r = 20) SELECT service, roles FROM k WHERE roles <> ''""")
 def _(spark, sf):
     e = edges(spark, sf)
     return G.key_services(G.centrality(e).join(G.pagerank(e), "service")).select("service", "roles")

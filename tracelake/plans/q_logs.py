@@ -14,13 +14,8 @@ def rounded(df, *names, digits=4):
     return df.withColumns({n: F.round(n, digits) for n in names})
 
 
-def _a(c):
-    for p, to in C.TEMPLATE_A:
-        c = f"regexp_replace({c}, '{p.replace(chr(39), chr(39) * 2)}', '{to}', 'g')"
-    return c
-
-
-A = _a("message")
+#: Template A in SQL. Messages of ``logs`` hold words and whole numbers only; other patterns are tested in t1_documents and by unit tests.
+A = "regexp_replace(message, '\\b[0-9]+(\\.[0-9]+)?\\b', '{NUMBER}', 'g')"
 
 
 @query("t1_template_a", f"WITH {LOGS} SELECT event_id, {A} AS template FROM logs")
@@ -28,6 +23,33 @@ def _(spark, sf):
     return logs(spark, sf).select("event_id", C.template_a(F.col("message")).alias("template"))
 
 
+_HEX = "[0-9a-fA-F]"
+_UUID = f"{_HEX}{{8}}-{_HEX}{{4}}-{_HEX}{{4}}-{_HEX}{{4}}-{_HEX}{{12}}"
+
+
+def _chain(column, *steps):
+    for pattern, to in steps:
+        column = f"regexp_replace({column}, '{pattern}', '{to}', 'g')"
+    return column
+
+
+#: Both template styles over conversations and documents, written for DuckDB's own expressions; '' is a quote in SQL.
+_WHOLE_A = _chain("text", (_UUID, "{UUID}"), (rf"\b{_HEX}{{24}}\b", "{HEX_ID}"), (r"\b[0-9]+(\.[0-9]+)?\b", "{NUMBER}"), (r"\b[0-9]{1,3}(\.[0-9]{1,3}){3}\b", "{IP}"), (r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z][a-zA-Z]+\b", "{EMAIL}"), (r"https?://[^\t\n\f\r\x0b ]+", "{URL}"), (r"/[^\t\n\f\r\x0b ]+", "{PATH}"), (r'"[^"]+"', "{STRING}"), ("''[^'']+''", "{STRING}"))
+_WHOLE_B = _chain("text", (r"\b[0-9]+\b", "<NUM>"), (r"\b[0-9]+\.[0-9]+\b", "<FLOAT>"), (rf"\b{_UUID}\b", "<UUID>"), (rf"\b{_HEX}{{32}}\b", "<HASH>"), (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", "<EMAIL>"), (r"\bhttps?://[^\t\n\f\r\x0b ]+", "<URL>"), (r"\b[0-9]{1,3}(\.[0-9]{1,3}){3}\b", "<IP>"), (r"/[^/\t\n\f\r\x0b ]+/[^/\t\n\f\r\x0b ]+/[^/\t\n\f\r\x0b ]+", "<PATH>"))
+_TEXTS = "texts AS (SELECT conv_id AS a, turn AS b, text FROM conversations UNION ALL SELECT doc_id, -1, text FROM documents)"
+
+
+def texts(spark, sf):
+    """Conversations and documents as (a, b, text)."""
+    turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("a"), F.col("turn").alias("b"), "text")
+    return turns.unionByName(table(spark, sf, "documents").select(F.col("doc_id").alias("a"), F.lit(-1).alias("b"), "text"))
+
+
+@query("t1_t2_texts", f"WITH {_TEXTS} SELECT CAST(a AS VARCHAR) AS a, CAST(b AS BIGINT) AS b, md5({_WHOLE_A}) AS style_a, md5(trim({_WHOLE_B}, ' ')) AS style_b FROM texts")
+def _(spark, sf):
+    return texts(spark, sf).select(F.col("a").cast("string").alias("a"), F.col("b").cast("long").alias("b"), F.md5(C.template_a(F.col("text"))).alias("style_a"), F.md5(C.template_b(F.col("text"))).alias("style_b"))
+
+
 @query("t2_template_b", f"WITH {LOGS} SELECT DISTINCT regexp_replace(message, '\\b[0-9]+\\b', '<NUM>', 'g') AS template FROM logs")
 def _(spark, sf):
     return logs(spark, sf).select(C.template_b(F.col("message")).alias("template")).distinct()
@@ -99,9 +121,17 @@ def _(spark, sf):
     return compare_periods(sets(logs(spark, sf).filter(~early)), sets(logs(spark, sf).filter(early)), ["items"], ["count"])
 
 
-@query("t17_entities", f"WITH {LOGS} SELECT 'USER' AS type, CAST(user_id AS VARCHAR) AS value, count(*) AS count FROM logs GROUP BY ALL")
+@query("t17_entities", f"WITH {LOGS} SELECT 'SERVICE' AS type, service AS value, count(*) AS count FROM logs GROUP BY ALL")
+def _(spark, sf):
+    return T.entities(logs(spark, sf), F.col("message"), F.col("service"))
+
+
+_ENTITIES = (("IP", r"\b([0-9]{1,3}(?:\.[0-9]{1,3}){3})\b"), ("URL", r"(https?://[^\t\n\f\r\x0b ]+)"), ("EMAIL", r"([a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})"), ("ERROR_CODE", r"\b((?:[eE][rR][rR][oO][rR]|[eE][rR][rR]|[wW][aA][rR][nN])[-_]?[0-9]+)\b"), ("FILE_PATH", r"((?:/[a-zA-Z0-9_.-]+)+)"), ("USER", r"\b(?:[uU][sS][eE][rR]|[uU][iI][dD]|[uU][sS][eE][rR][nN][aA][mM][eE])[:=][\t\n\f\r\x0b ]*([a-zA-Z0-9_]+)"))
+
+
+@query("t17_text_entities", f"WITH {_TEXTS}, found AS (" + " UNION ALL ".join(f"SELECT '{k}' AS type, unnest(regexp_extract_all(text, '{p}', 1)) AS value FROM texts" for k, p in _ENTITIES) + ") SELECT type, value, count(*) AS count FROM found GROUP BY ALL")
 def _(spark, sf):
-    return T.entities(logs(spark, sf), F.col("message"))
+    return T.entities(texts(spark, sf), F.col("text"))
 
 
 @query("t18_cp20_sentiment", f"""WITH {LOGS}, s AS (SELECT service, CAST(contains(message, 'completed') AS INT) - CAST(contains(message, 'error') AS INT) - CAST(contains(message, 'fail') AS INT) - CASE level WHEN 'error' THEN 2 WHEN 'warn' THEN 1 ELSE 0 END AS s FROM logs)
@@ -110,7 +140,11 @@ def _(spark, sf):
     return rounded(T.sentiment_by(logs(spark, sf), ["service"]).drop("overall"), "mean", digits=6)
 
 
-@query("t19_key_phrases")
+_STOP = ", ".join(f"'{w}'" for w in T.STOP)
+
+
+@query("t19_key_phrases", f"""WITH w AS (SELECT list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 2) AS w FROM documents WHERE text IS NOT NULL), g AS (SELECT unnest(list_concat(list_transform(range(1, len(w)), lambda i: w[i:i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2]))) AS g FROM w),
+c AS (SELECT g, count(*) AS count FROM g WHERE len(list_filter(g, lambda x: x NOT IN ({_STOP}))) > 0 GROUP BY g HAVING count(*) >= 3) SELECT array_to_string(g, ' ') AS phrase, count, round(count * ln(len(g) + 1), 4) AS score FROM c ORDER BY count * ln(len(g) + 1) DESC, phrase LIMIT 20""")
 def _(spark, sf):
     return rounded(T.key_phrases(table(spark, sf, "documents"), F.col("text")), "score")
 

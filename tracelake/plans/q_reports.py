@@ -70,7 +70,15 @@ def _(spark, sf):
     return rounded(P.canary_compare(spans(spark, sf), "svc-0", "svc-1").select("valid", "canary_n", "baseline_n", "latency_change", "t", "z"), "latency_change", "t", "z", digits=5)
 
 
-@query("c4_canary_score")
+_STEP = "CASE WHEN abs({0}) > 3.291 THEN 0.001 WHEN abs({0}) > 2.576 THEN 0.01 WHEN abs({0}) > 1.96 THEN 0.05 WHEN abs({0}) > 1.645 THEN 0.1 ELSE 0.2 END"
+_GRADE = "CASE " + " ".join(f"WHEN score >= {least} THEN '{name}'" for least, name in P.GRADES) + " ELSE 'F' END"
+
+
+@query("c4_canary_score", f"""WITH {SPANS}, a AS (SELECT count(*) AS n, avg(duration_ms) AS m, var_samp(duration_ms) AS v, count(*) FILTER (WHERE is_error) AS e FROM spans WHERE service = 'svc-0'), b AS (SELECT count(*) AS n, avg(duration_ms) AS m, var_samp(duration_ms) AS v, count(*) FILTER (WHERE is_error) AS e FROM spans WHERE service = 'svc-1'),
+n AS (SELECT count(*) AS new_errors FROM (SELECT DISTINCT error_type FROM spans WHERE service = 'svc-0' AND error_type IS NOT NULL EXCEPT SELECT error_type FROM spans WHERE service = 'svc-1')),
+x AS (SELECT new_errors, (a.m - b.m) / b.m * 100 AS lc, (a.m - b.m) / sqrt(a.v / a.n + b.v / b.n) AS t, a.e * 100.0 / a.n - b.e * 100.0 / b.n AS ec, (a.e * 1.0 / a.n - b.e * 1.0 / b.n) / sqrt(((a.e + b.e) * 1.0 / (a.n + b.n)) * (1 - (a.e + b.e) * 1.0 / (a.n + b.n)) * (1.0 / a.n + 1.0 / b.n)) AS z FROM a, b, n),
+y AS (SELECT *, {_STEP.format('t')} AS latency_p, {_STEP.format('z')} AS error_p FROM x), w AS (SELECT *, 100 - CASE WHEN latency_p <= 0.05 THEN least(greatest(lc, 0), 30) ELSE 0 END - CASE WHEN error_p <= 0.05 THEN least(greatest(ec * 10, 0), 40) ELSE 0 END - least(new_errors * 5, 20) AS score FROM y)
+SELECT round(score, 4) AS score, {_GRADE} AS grade, CAST(latency_p AS DOUBLE) AS latency_p, CAST(error_p AS DOUBLE) AS error_p, CAST(new_errors AS INT) AS new_errors FROM w""")
 def _(spark, sf):
     return rounded(P.canary_compare(spans(spark, sf), "svc-0", "svc-1").select("score", "grade", "latency_p", "error_p", "new_errors"), "score")
 
@@ -182,7 +190,7 @@ def _(spark, sf):
     return rounded(P.data_quality(logs(spark, sf), "event_id", F.col("level") != "error", F.col("level") == "warn", F.col("value")), "valid", "warnings", "score_mean", "score_std")
 
 
-@query("y6_pipeline_score")
+@query("y6_pipeline_score", _STAGE + f", g AS (SELECT stage, count(*) FILTER (WHERE level = 'error') * 100.0 / count(*) AS e, avg(value) > 60 AS slow, count(*) / 43200.0 < 100 AS starved FROM h GROUP BY stage), w AS (SELECT greatest(0, 100 - avg(e) * 5 - count(*) FILTER (WHERE slow) * 100.0 / count(*) * 0.2 - count(*) FILTER (WHERE starved) * 100.0 / count(*) * 0.1) AS score FROM g) SELECT round(score, 4) AS score, {_GRADE} AS grade FROM w")
 def _(spark, sf):
     return rounded(P.pipeline_score(stages(spark, sf)), "score")
 
@@ -221,7 +229,12 @@ def _(spark, sf):
     return rounded(P.current_state(spans(spark, sf), 30 * 86400).select("service", "error_rate", "p95"), "error_rate", "p95")
 
 
-@query("z3_z5_predictions")
+@query("z3_z5_predictions", f"""WITH {SPANS}, b AS (SELECT service, time_bucket(INTERVAL '30 days', start_ts, TIMESTAMP '1970-01-01 00:00:00') AS b, CAST(count(*) FILTER (WHERE is_error) AS DOUBLE) AS e FROM spans GROUP BY ALL),
+every AS (SELECT service, lo + k * INTERVAL '30 days' AS b FROM (SELECT service, min(b) AS lo, CAST(round((epoch(max(b)) - epoch(min(b))) / 2592000) AS BIGINT) AS n FROM b GROUP BY service), LATERAL (SELECT unnest(range(0, n + 1)) AS k)), s AS (SELECT service, coalesce(e, 0) AS value, row_number() OVER (PARTITION BY service ORDER BY b) - 1 AS i FROM every LEFT JOIN b USING (service, b)),
+l AS (SELECT service, max(i) AS z FROM s GROUP BY service), m AS (SELECT s.service, avg(value) AS m, stddev_pop(value) AS sd FROM s JOIN l USING (service) WHERE i <= z - 2 GROUP BY 1), sig AS (SELECT s.service, least(1.0, greatest(0.0, coalesce((value - m) / nullif(sd, 0), 0)) / 3) AS signal FROM s JOIN l USING (service) JOIN m USING (service) WHERE i = z),
+t AS (SELECT service, regr_slope(e, i) / nullif(avg(e), 0) AS slope FROM (SELECT service, e, CAST(row_number() OVER (PARTITION BY service ORDER BY b) AS DOUBLE) AS i FROM b) GROUP BY service), g AS (SELECT service, count(*) FILTER (WHERE is_error) * 100.0 / count(*) AS er, quantile_cont(duration_ms, 0.95) AS p95 FROM spans GROUP BY service),
+p AS (SELECT service, least(1.0, least(er / 20, 0.4) + coalesce(signal, 0) * 0.3 + CASE WHEN coalesce(slope, 0) > 0.3 THEN 0.2 ELSE 0 END + CASE WHEN er > 10 OR p95 > 5000 THEN 0.1 ELSE 0 END) AS probability FROM g LEFT JOIN t USING (service) LEFT JOIN sig USING (service))
+SELECT service, round(probability, 4) AS probability, CASE WHEN probability > 0.7 THEN '1h' WHEN probability > 0.4 THEN '6h' ELSE '24h' END AS within, CASE WHEN probability > 0.7 THEN 'high' WHEN probability > 0.4 THEN 'medium' ELSE 'low' END AS confidence FROM p""")
 def _(spark, sf):
     df = spans(spark, sf)
     s = R.to_series(df, "start_ts", F.count_if("is_error"), 30 * 86400, ["service"])

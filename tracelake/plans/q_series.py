@@ -100,7 +100,14 @@ def _(spark, sf):
     return rounded(R.forecast(daily(spark, sf), M, 7), "forecast", "lower", "upper")
 
 
-@query("r16_r17_chosen_forecast")
+_CANDIDATES = """{x}n AS (SELECT metric, count(*) AS n, arg_min(value, i) AS a, arg_max(value, i) AS z FROM {x} GROUP BY metric), {x}k AS (SELECT metric, avg(value) AS sma FROM {x} JOIN {x}n USING (metric) WHERE i >= n - greatest(1, least(5, floor(n / 4))) GROUP BY metric),
+{x}e AS (SELECT metric, i, value AS ses FROM {x} WHERE i = 0 UNION ALL SELECT s.metric, s.i, 0.3 * s.value + 0.7 * e.ses FROM {x}e e JOIN {x} s ON s.metric = e.metric AND s.i = e.i + 1), {x}c AS (SELECT metric, CAST(k AS INT) AS k, sma, z + (z - a) / (n - 1) * k AS drift, ses FROM {x}n JOIN {x}k USING (metric) JOIN (SELECT metric, arg_max(ses, i) AS ses FROM {x}e GROUP BY metric) USING (metric), (SELECT unnest(range(1, 100)) AS k)),
+{x}l AS (SELECT metric, k, unnest(['sma', 'drift', 'ses']) AS method, unnest([sma, drift, ses]) AS forecast FROM {x}c)"""
+
+
+@query("r16_r17_chosen_forecast", f"""WITH RECURSIVE {S1}, cut AS (SELECT metric, greatest(1, floor(count(*) * 0.8)) AS c FROM s GROUP BY metric), tr AS (SELECT s.* FROM s JOIN cut USING (metric) WHERE i < c), te AS (SELECT metric, CAST(i - c + 1 AS INT) AS k, value FROM s JOIN cut USING (metric) WHERE i >= c),
+{_CANDIDATES.format(x='tr')}, {_CANDIDATES.format(x='s')}, er AS (SELECT metric, method, avg(abs((forecast - value) / nullif(value, 0)) * 100) AS mape, sqrt(avg((forecast - value) ** 2)) AS rmse FROM te JOIN trl USING (metric, k) GROUP BY ALL), be AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY coalesce(mape, 1e18), method) AS q FROM er), sd AS (SELECT metric, stddev_pop(value) AS sd FROM s GROUP BY metric)
+SELECT metric, method, round(mape, 4) AS mape, round(rmse, 4) AS rmse, k, round(forecast, 4) AS forecast, round(greatest(0.0, forecast - 1.96 * sd), 4) AS lower, round(forecast + 1.96 * sd, 4) AS upper FROM be JOIN sl USING (metric, method) JOIN sd USING (metric) WHERE q = 1 AND k <= 7""")
 def _(spark, sf):
     return rounded(R.choose_forecast(daily(spark, sf), M, 7), "mape", "rmse", "forecast", "lower", "upper")
 
@@ -147,9 +154,14 @@ def _(spark, sf):
     return rounded(R.resource_trend(daily(spark, sf), M, 80.0).select("metric", "current", "projected", "at_risk"), "current", "projected")
 
 
-@query("d5_metric_kind", "SELECT DISTINCT event_type AS metric, CASE WHEN event_type LIKE '%count%' OR event_type LIKE '%total%' THEN 'counter' WHEN event_type LIKE '%bucket%' OR event_type LIKE '%histogram%' THEN 'histogram' WHEN event_type LIKE '%summary%' OR event_type LIKE '%quantile%' THEN 'summary' ELSE 'gauge' END AS kind FROM events")
+_ENDINGS = ("", ".count", "_gauge", ".histogram.bytes", ".distribution", "_summary_ms", ".duration", "_total_seconds", ".cpu.percent", "_hit_ratio")
+_NAMES = "names AS (SELECT DISTINCT concat(event_type, x) AS name FROM events, (VALUES " + ", ".join(f"('{x}')" for x in _ENDINGS) + ") v(x))"
+
+
+@query("d5_metric_kind", f"WITH {_NAMES} SELECT name, CASE WHEN name LIKE '%count%' THEN 'counter' WHEN name LIKE '%gauge%' THEN 'gauge' WHEN name LIKE '%histogram%' OR name LIKE '%distribution%' THEN 'histogram' WHEN name LIKE '%summary%' THEN 'summary' ELSE 'gauge' END AS kind, CASE WHEN name LIKE '%bytes%' THEN 'bytes' WHEN name LIKE '%seconds%' OR name LIKE '%duration%' THEN 'seconds' WHEN name LIKE '%!_ms%' ESCAPE '!' THEN 'milliseconds' WHEN name LIKE '%percent%' OR name LIKE '%ratio%' THEN 'percent' WHEN name LIKE '%count%' THEN 'count' ELSE '' END AS unit FROM names")
 def _(spark, sf):
-    return metrics(spark, sf).select("metric").distinct().withColumn("kind", C.metric_kind(F.col("metric")))
+    names = table(spark, sf, "events").select("event_type").distinct().select(F.explode(F.array(*[F.concat("event_type", F.lit(x)) for x in _ENDINGS])).alias("name"))
+    return names.select("name", C.metric_kind(F.col("name")).alias("kind"), C.metric_unit(F.col("name")).alias("unit"))
 
 
 # histograms
@@ -169,7 +181,14 @@ def histogram(spark, sf):
     return numeric_histogram(metrics(spark, sf), "value", 25.0, M)
 
 
-@query("h2_h4_density_modes")
+_STATS = f"""WITH {METRICS}, h AS (SELECT metric, CAST(floor(value / 25) * 25 AS DOUBLE) AS key, count(*) AS count FROM metrics GROUP BY ALL), e AS (SELECT metric, CAST(floor(value / 25) * 25 AS DOUBLE) AS v FROM metrics),
+m AS (SELECT metric, count(*) AS n, avg(v) AS mean, stddev_pop(v) AS std, quantile_cont(v, 0.25) AS p25, quantile_cont(v, 0.75) AS p75, min(v) AS lo, max(v) AS hi FROM e GROUP BY metric)"""
+
+
+@query("h2_h4_density_modes", _STATS + """, w AS (SELECT *, 0.9 * least(std, CASE WHEN p75 > p25 THEN (p75 - p25) / 1.34 ELSE std END) * n ** -0.2 AS bw FROM m), g AS (SELECT w.*, k, lo + (hi - lo) * k / 99 AS x FROM w, (SELECT unnest(range(0, 100)) AS k)),
+d AS (SELECT g.metric, k, x, sum(exp(-0.5 * ((x - h.key) / bw) ** 2) / 2.5066282746310002 * h.count / (n * bw)) AS d FROM g JOIN h ON h.metric = g.metric GROUP BY ALL),
+v AS (SELECT metric, x, d, lag(d) OVER q AS p, lead(d) OVER q AS nx, greatest(min(d) OVER (PARTITION BY metric ORDER BY k ROWS UNBOUNDED PRECEDING), min(d) OVER (PARTITION BY metric ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS vl, max(d) OVER (PARTITION BY metric) AS top FROM d WINDOW q AS (PARTITION BY metric ORDER BY k))
+SELECT metric, round(x, 6) AS x, round((d - vl) / top, 6) AS prominence FROM v WHERE d > coalesce(p, 0) AND d >= coalesce(nx, 0) AND (d - vl) / top >= 0.01""")
 def _(spark, sf):
     return rounded(H.modes(H.density(histogram(spark, sf), M), M, 0.01), "x", "prominence", digits=6).select("metric", "x", "prominence")
 
@@ -184,7 +203,9 @@ def _(spark, sf):
     return rounded(H.divergences(h.filter("metric = 'click'"), h.filter("metric = 'view'")).select("kl", "js", "wasserstein"), "kl", "js", "wasserstein", digits=8)
 
 
-@query("h5_h6_compare")
+@query("h5_h6_compare", _STATS + """, x AS (SELECT metric, key, count / CAST(sum(count) OVER (PARTITION BY metric) AS DOUBLE) AS p FROM h), j AS (SELECT key, coalesce(a.p, 0.0) AS p, coalesce(b.p, 0.0) AS q FROM (SELECT * FROM x WHERE metric = 'click') a FULL OUTER JOIN (SELECT * FROM x WHERE metric = 'view') b USING (key)), g AS (SELECT *, (p + q) / 2 AS m, abs(sum(p) OVER (ORDER BY key) - sum(q) OVER (ORDER BY key)) AS gap FROM j),
+d AS (SELECT sum(CASE WHEN p > 0 THEN p * ln(p / m) ELSE 0 END) / 2 + sum(CASE WHEN q > 0 THEN q * ln(q / m) ELSE 0 END) / 2 AS js, avg(gap) AS w, sum(sqrt(p * q)) AS bc FROM g), s AS (SELECT a.mean AS m1, a.std AS s1, b.mean AS m2, b.std AS s2 FROM m a, m b WHERE a.metric = 'click' AND b.metric = 'view')
+SELECT round((exp(-js) + exp(-w) + bc) / 3, 6) AS similarity, CASE WHEN abs(m1 - m2) / greatest(s1, s2) > 0.5 AND abs(s1 - s2) / greatest(s1, s2) > 0.3 THEN 'different' WHEN abs(m1 - m2) / greatest(s1, s2) > 0.5 THEN 'shifted' WHEN abs(s1 - s2) / greatest(s1, s2) > 0.3 THEN 'scaled' ELSE 'similar' END AS shape FROM d, s""")
 def _(spark, sf):
     h = histogram(spark, sf)
     return rounded(H.compare(h.filter("metric = 'click'"), h.filter("metric = 'view'")).select("similarity", "shape"), "similarity", digits=6)
@@ -321,7 +342,8 @@ def _(spark, sf):
     return X.anomaly_patterns(X.classify_traces(spans(spark, sf))).select("by", "value", "count")
 
 
-@query("x16_cp22_priority")
+@query("x16_cp22_priority", _CLS + """, cc AS (SELECT *, CASE kind WHEN 'timeout' THEN 0.9 WHEN 'connection' THEN 0.85 WHEN 'memory' THEN 0.9 WHEN 'high_latency' THEN 0.6 ELSE 0.5 END * 3 + CASE WHEN duration_ms > 10000 THEN 3 WHEN duration_ms > 5000 THEN 2 ELSE 0 END + CASE WHEN is_error THEN 2 ELSE 0 END + CASE WHEN kind = 'memory' THEN 3 WHEN kind IN ('timeout', 'connection') THEN 2 ELSE 0 END AS s FROM r),
+n AS (SELECT count(*) FILTER (WHERE s >= 8) AS critical, count(*) FILTER (WHERE s >= 6 AND s < 8) AS high, count(*) FILTER (WHERE s >= 4 AND s < 6) AS medium, count(*) FILTER (WHERE s < 4) AS low FROM cc) SELECT *, CASE WHEN critical > 0 THEN 'immediate' WHEN high > 2 THEN 'high' WHEN high > 0 OR medium > 5 THEN 'medium' ELSE 'low' END AS priority FROM n""")
 def _(spark, sf):
     return X.priority(X.classify_traces(spans(spark, sf)))
 

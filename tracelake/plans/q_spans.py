@@ -10,10 +10,6 @@ from tracelake.operators import trees as T
 from tracelake.plans.fixtures import LOGS, SPANS, logs, spans
 from tracelake.plans.registry import query
 
-#: Spans of the fixtures have at most four levels (line numbers halve).
-DEPTH = 4
-
-
 def rounded(df, *names, digits=4):
     return df.withColumns({n: F.round(n, digits) for n in names})
 
@@ -145,18 +141,18 @@ best AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY total DESC,
 @query("g7_trace_paths", _PATHS + " SELECT trace_id, array_to_string(services, ' -> ') AS path, CAST(len(path) AS INT) AS depth, round(total, 4) AS total FROM ends")
 def _(spark, sf):
     df = spans(spark, sf)
-    ends = T.leaves(T.span_paths(df, DEPTH), df)
+    ends = T.leaves(T.span_paths(df), df)
     return ends.select("trace_id", F.array_join("services", " -> ").alias("path"), "depth", F.round(F.aggregate("durations", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
 @query("g9_critical_path", _PATHS + " SELECT trace_id, array_to_string(path, ',') AS path, round(total, 4) AS total FROM best WHERE k = 1")
 def _(spark, sf):
-    return T.critical_paths(spans(spark, sf), DEPTH).select("trace_id", F.array_join("path", ",").alias("path"), F.round("total", 4).alias("total"))
+    return T.critical_paths(spans(spark, sf)).select("trace_id", F.array_join("path", ",").alias("path"), F.round("total", 4).alias("total"))
 
 
 @query("g10_critical_path_min", _PATHS + " SELECT trace_id, array_to_string(list_filter(path, lambda x, i: durations[i] >= 200), ',') AS path FROM best WHERE k = 1")
 def _(spark, sf):
-    return T.critical_paths(spans(spark, sf), DEPTH, 200.0).select("trace_id", F.array_join("path", ",").alias("path"))
+    return T.critical_paths(spans(spark, sf), min_duration=200.0).select("trace_id", F.array_join("path", ",").alias("path"))
 
 
 _STATS = _PATHS + """, st AS (SELECT trace_id, services, operations, durations, total AS total_ms, list_sum(list_transform(durations, lambda x, i: greatest(0.0, x - coalesce(durations[i + 1], 0.0)))) AS self_ms, len(path) AS length, array_to_string(list_transform(services, lambda x, i: concat_ws(':', x, operations[i])), ' -> ') AS pattern FROM best WHERE k = 1)"""
@@ -164,20 +160,20 @@ _STATS = _PATHS + """, st AS (SELECT trace_id, services, operations, durations,
 
 @query("g11_path_stats", _STATS + " SELECT trace_id, round(total_ms, 4) AS total_ms, round(self_ms, 4) AS self_ms, CAST(length AS INT) AS length, pattern FROM st")
 def _(spark, sf):
-    s = T.path_stats(T.critical_paths(spans(spark, sf), DEPTH))
+    s = T.path_stats(T.critical_paths(spans(spark, sf)))
     return rounded(s.select("trace_id", "total_ms", "self_ms", "length", "pattern"), "total_ms", "self_ms")
 
 
 @query("g12_path_summary", _STATS + ", c AS (SELECT pattern, count(*) AS c FROM st GROUP BY pattern) SELECT round(avg(total_ms), 4) AS avg, round(avg(length), 4) AS mean_length, round(quantile_disc(total_ms, 0.5), 2) AS p50, round(quantile_disc(total_ms, 0.95), 2) AS p95, (SELECT pattern FROM c ORDER BY c DESC, pattern DESC LIMIT 1) AS pattern FROM st")
 def _(spark, sf):
-    s = T.path_summary(T.path_stats(T.critical_paths(spans(spark, sf), DEPTH)))
+    s = T.path_summary(T.path_stats(T.critical_paths(spans(spark, sf))))
     return rounded(rounded(s.select("avg", "mean_length", "p50", "p95", "pattern"), "avg", "mean_length"), "p50", "p95", digits=2)
 
 
 @query("g13_g14_path_bottlenecks", _STATS + """, x AS (SELECT unnest(services) AS service, unnest(durations) AS ms FROM st), b AS (SELECT service, avg(ms) AS avg, quantile_disc(ms, 0.95) AS p95, count(*) AS frequency, sum(ms) AS s FROM x GROUP BY service)
 SELECT service, round(avg * 0.3, 4) AS saving_ms, CASE WHEN avg > 1000 THEN 3 WHEN avg > 500 THEN 2 ELSE 1 END AS effort, round(s * 100 / (SELECT sum(ms) FROM x) / CASE WHEN avg > 1000 THEN 3 WHEN avg > 500 THEN 2 ELSE 1 END, 4) AS roi FROM b ORDER BY (avg * 0.5 + p95 * 0.3) * ln(frequency + 1) DESC, service LIMIT 10""")
 def _(spark, sf):
-    b = T.path_bottlenecks(T.path_stats(T.critical_paths(spans(spark, sf), DEPTH)))
+    b = T.path_bottlenecks(T.path_stats(T.critical_paths(spans(spark, sf))))
     return rounded(T.savings(b), "saving_ms", "roi")
 
 
@@ -189,7 +185,7 @@ kinds AS (SELECT *, CASE WHEN len(list_distinct(services)) < len(services) THEN
 
 
 def upstream(spark, sf):
-    return T.classify_chains(T.error_chains(spans(spark, sf), "upstream", DEPTH))
+    return T.classify_chains(T.error_chains(spans(spark, sf), "upstream"))
 
 
 @query("g22_g23_error_chains", _UP + " SELECT trace_id, origin, pattern, CAST(length AS INT) AS length, kind, transformed FROM kinds")
@@ -201,7 +197,7 @@ def _(spark, sf):
 chain AS (SELECT trace_id, span_id AS origin, 0 AS depth, span_id AS node, service, start_ts FROM e UNION ALL SELECT c.trace_id, c.origin, c.depth + 1, p.span_id, p.service, p.start_ts FROM chain c JOIN e p ON p.trace_id = c.trace_id AND p.parent_span_id = c.node AND p.parent_span_id <> p.span_id)
 SELECT trace_id, origin, array_to_string(list(service ORDER BY depth, start_ts, node), ' -> ') AS pattern, CAST(count(*) AS INT) AS length FROM chain GROUP BY ALL HAVING count(*) > 1""")
 def _(spark, sf):
-    return T.classify_chains(T.error_chains(spans(spark, sf), "downstream", DEPTH)).select("trace_id", "origin", "pattern", "length")
+    return T.classify_chains(T.error_chains(spans(spark, sf), "downstream")).select("trace_id", "origin", "pattern", "length")
 
 
 @query("g24_consolidated_chains", _UP + " SELECT pattern, kind, count(*) AS occurrences, CAST(max(length) AS INT) AS depth, CAST(max(length) * 10 + len(list_distinct(any_value(services))) * 5 + least(count(*) * 2, 20) + CASE WHEN count(*) FILTER (WHERE transformed) > 0 THEN 10 ELSE 0 END AS BIGINT) AS severity FROM kinds GROUP BY pattern, kind")
