@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from tracelake.shipping import ship
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Rows to leave out that may be sent to every task; more are joined by a shuffle.
+MOST_SENT = 100_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -52,7 +54,7 @@ def without(docs: DataFrame, decided: DataFrame) -> DataFrame:
     key, doc = fresh(docs, "text_key"), F.col("doc_id").cast("long")
     rows = docs.withColumn(key, text_key(F.col("text")))
     same = lambda these: doc.eqNullSafe(these["_id"]) & F.col(key).eqNullSafe(these["_key"])
-    gone, again = (decided.filter(c).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")) for c in ("not kept", "kept"))
+    gone, again = (small_or_shuffled(decided.filter(c).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")), MOST_SENT) for c in ("not kept", "kept"))
     left = rows.join(gone, same(gone), "left_anti")
     if not again.isEmpty():
         repeated = left.join(again, same(again), "left_semi").dropDuplicates(["doc_id", key])
