@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracelake.llm import decontaminate, exact_dedup, html_text, jaccard_join, language, license_scan, merkle, packing, quality, spelling, suffix_dedup, url_rules
+from tracelake.llm import decontaminate, exact_dedup, html_text, hyperminhash, jaccard_join, language, license_scan, merkle, packing, quality, spelling, suffix_dedup, url_rules
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_packing": packing.query,
         "op9_jaccard_join": jaccard_join.query,
         "op10_decontamination": decontaminate.query,
+        "op11_hyperminhash_dedup": hyperminhash.query,
         "op12_spelling_variants": spelling.query,
         "op13_merkle_manifest": merkle.query,
     }
