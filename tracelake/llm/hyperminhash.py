@@ -13,11 +13,13 @@ errors below the threshold are left out (at 0.8 that is 0.59), the others are ve
 full sets. Sets of fewer than four shingles can only be linked with equal ones.
 
 Links matter for connectivity alone. First every set is compared with one hub, the strongest
-member of its blocks. In blocks that then hold sets of different components, the sets outside
-the largest component are compared with all the others, in tasks that hold one part of a block
-at a time. Blocks beyond ``CHUNK`` members are first banded again, within themselves, on other
-registers, so that members which merely share a common band part before they are compared; what
-still stays together is dealt over several tasks. Equal sets are one set throughout.
+member of its blocks. In blocks that then hold sets of different components, tasks that hold one
+part of a block at a time compare the sets outside the largest component with all the others:
+twice each set proposes its most similar one only, which joins nearly all that belongs together,
+then every pair is proposed that the estimate and the exact bound of group counts (the sum of
+minima of how many shingles fall into each group) allow. A pair is proposed in the first of its
+bands only. Blocks so large that dealing them over parts would cost more are banded again,
+within themselves, on other registers. Equal sets are one set throughout.
 
 Defined cases: a document without words has an empty set, no links and its own component; one
 with fewer than four words has its whole word sequence as one shingle; equal texts are linked;
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.common import map_arrow, read, saved
 from tracelake.llm.components import components, roots
-from tracelake.llm.jaccard_join import MOST_SENT, REMEMBERED, _sets, repeated_rows, rows_of, verified
+from tracelake.llm.jaccard_join import MOST_SENT, REMEMBERED, _sets, folded, level, point, repeated_rows, required, rows_of, verified
 from tracelake.llm.textops import mix
 
 WORDS = 4
@@ -49,9 +51,11 @@ ZEROS, MANTISSA = 5, 11
 #: Standard errors that an estimate may lie below the threshold.
 SIGMAS = 6
 #: Members of a block that one task compares at a time.
-CHUNK = 1024
-#: How often large blocks are banded again.
-AGAIN = 3
+CHUNK = 8192
+#: Parts beyond which a block is banded again, and how often.
+PARTS, AGAIN = 32, 3
+#: Rounds in which each set proposes its most similar one.
+NEAREST = 2
 
 _U = np.uint64
 _BUCKET_BITS = BUCKETS.bit_length() - 1
@@ -124,30 +128,32 @@ def _sketches(column: pa.Array) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """row, doc_id, key, place, n, d0, d1 (digest) of every row, and the sketch of each set that its task sees first."""
-    names = ["doc_id", "key", "place", "n", "d0", "d1", "point"]
+    """row, doc_id, key, place, n, d0, d1 (digest) of every row, and the sketch and group counts of each set that its task sees first."""
+    names = ["doc_id", "key", "place", "n", "d0", "d1", "point", "counts"]
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 62  # smaller sets are linked with equal ones only
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set = set()
         for b in batches:
             for lo, k, h, _, at, digest in _sets(b, words):
-                n, points = np.diff(at), []
+                n, points, counts = np.diff(at), [], []
                 for i, d in enumerate(map(tuple, digest.tolist())):
                     new = n[i] >= least and d not in known
                     if new:
                         known.add(d)
-                    points.append(registers(h[at[i] : at[i + 1]]).tobytes() if new else None)
+                    own = h[at[i] : at[i + 1]]
+                    points.append(registers(own).tobytes() if new else None)
+                    counts.append(point(own, int(level(n[i]))) if new else None)
                 if len(known) > REMEMBERED:
                     known.clear()
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, k) for c in names[:3]), pa.array(n), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array(points, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, k) for c in names[:3]), pa.array(n), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy()), pa.array(points, pa.binary()), pa.array(counts, pa.binary())], names)
 
-    rows = map_arrow(rows_of(docs), run, "doc_id long, key string, place long, n long, d0 long, d1 long, point binary")
+    rows = map_arrow(rows_of(docs), run, "doc_id long, key string, place long, n long, d0 long, d1 long, point binary, counts binary")
     return rows.withColumn("row", F.monotonically_increasing_id())
 
 
 def banded(sets: DataFrame, again: int = 0) -> DataFrame:
-    """token, id of each band of (id, point); where the sets have a block already, a band counts within it."""
+    """token, band (its number), id of each band of (id, point); where the sets have a block already, a band counts within it and has no number (-1)."""
     inside = "block" in sets.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,17 +164,18 @@ def banded(sets: DataFrame, again: int = 0) -> DataFrame:
             if inside:
                 keys = mix(keys.view(np.uint64) ^ mix(b.column("block").to_numpy().view(np.uint64))[:, None]).view(np.int64)
             ids = np.repeat(b.column("id").to_numpy(), keys.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], ["token", "id"])
+            number = np.tile(np.full(keys.shape[1], -1) if inside else np.arange(keys.shape[1]), len(keys)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(number), pa.array(ids)], ["token", "band", "id"])
 
-    return map_arrow(sets.select("id", "point", *(["block"] if inside else [])), run, "token long, id long")
+    return map_arrow(sets.select("id", "point", *(["block"] if inside else [])), run, "token long, band int, id long")
 
 
 def blocks_of(tokens: DataFrame) -> DataFrame:
-    """token, id, size of the tokens of two sets or more; of blocks with the same members one stays."""
+    """token, band, id, size of the tokens of two sets or more; of blocks with the same members the one of the first band stays."""
     tokens = saved(tokens)
     signs = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"s{k}") for k in range(2)]
-    shared = tokens.groupBy("token").agg(F.count("*").alias("size"), *signs).filter("size > 1")
-    one = shared.groupBy("size", "s0", "s1").agg(F.min("token").alias("token")).select("token", "size")
+    shared = tokens.groupBy("token").agg(F.first("band").alias("band"), F.count("*").alias("size"), *signs).filter("size > 1")
+    one = shared.groupBy("size", "s0", "s1").agg(F.min(F.struct("band", "token")).alias("k")).select("k.token", "size")
     return saved(tokens.join(one, "token"))
 
 
@@ -204,62 +211,89 @@ def estimated(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(rows.select("a", "b", "n_a", "n_b", "p_a", "p_b"), run, "a long, b long")
 
 
-def parted(blocks: DataFrame, sets: DataFrame, chunk: int) -> DataFrame:
-    """The blocks, where those beyond ``chunk`` members are banded again within themselves."""
-    done = blocks.filter(F.col("size") <= chunk)
-    large = blocks.filter(F.col("size") > chunk)
+def parted(blocks: DataFrame, sets: DataFrame, most: int) -> DataFrame:
+    """The blocks, where those beyond ``most`` members are banded again within themselves."""
+    done = blocks.filter(F.col("size") <= most)
+    large = blocks.filter(F.col("size") > most)
     for again in range(1, AGAIN + 1):
         if large.isEmpty():
             return done
         inner = large.select(F.col("token").alias("block"), "id").join(sets.select("id", "point"), "id")
-        now = blocks_of(banded(inner, again))
-        done, large = done.unionByName(now.filter(F.col("size") <= chunk)), now.filter(F.col("size") > chunk)
+        now = blocks_of(banded(inner, again)).select(*blocks.columns)
+        done, large = done.unionByName(now.filter(F.col("size") <= most)), now.filter(F.col("size") > most)
     return done.unionByName(large)
 
 
 def mixed(blocks: DataFrame, labels: DataFrame) -> DataFrame:
-    """token, id, size, label, asked of blocks with several components; all outside a block's largest one are asked about."""
-    marked = blocks.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    """token, band, id, size, label, asked of blocks with several components; all outside a block's largest one are asked about."""
+    marked = blocks.join(labels.withColumnRenamed("node", "id"), "id")
     parts = marked.groupBy("token", "label").agg(F.count("*").alias("c"))
     largest = parts.groupBy("token").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("labels")).filter("labels > 1").select("token", F.col("m.label").alias("largest"))
-    return saved(marked.join(largest, "token").select("token", "id", "size", "label", (F.col("label") != F.col("largest")).alias("asked")))
+    return saved(marked.join(largest, "token").select("token", "band", "id", "size", "label", (F.col("label") != F.col("largest")).alias("asked")))
 
 
-def compared(blocks: DataFrame, sets: DataFrame, percent: int, chunk: int) -> DataFrame:
-    """Distinct pairs (a < b) of different labels, one of them asked about, that sizes and estimates allow."""
-    parts = F.ceil(F.col("size") / chunk).cast("int")
-    members = blocks.select("token", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.lit(False).alias("query"), "id", "label")
-    asked = blocks.filter("asked").select("token", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(True).alias("query"), "id", "label")
-    rows = members.unionByName(asked).join(sets.select("id", "n", "point"), "id")
-    names, least = ("query", "id", "label", "n"), floor_of(percent)
+def compared(blocks: DataFrame, sets: DataFrame, percent: int, chunk: int, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of different labels that sizes and estimates allow, one of them asked about.
 
-    def pairs_of(held: list[pa.Table]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    ``nearest``: of each asked set the most similar one. Otherwise a < b, all that the bound of
+    the group counts allows as well; a pair is found in the first band it has in common.
+    """
+    parts = F.ceil(F.col("size") / chunk).cast("int")
+    members = blocks.select("token", "band", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.lit(False).alias("query"), "id", "label")
+    asked = blocks.filter("asked").select("token", "band", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(True).alias("query"), "id", "label")
+    extra = [] if nearest else ["counts"]
+    rows = members.unionByName(asked).join(sets.select("id", "n", "point", *extra), "id")
+    names, least = ("query", "id", "label", "n", "band"), floor_of(percent)
+
+    def bounded(q: int, at: np.ndarray, n: np.ndarray, counts: list[bytes]) -> np.ndarray:
+        """Of the rows ``at`` those whose group counts allow enough overlap with row q."""
+        bits, own, out = level(n[at]), int(level(n[q])), np.zeros(len(at), dtype=bool)
+        for k in np.unique(bits).tolist():
+            few, there = min(k, own), bits == k
+            mine = folded([counts[q]], own, few)
+            out[there] = np.minimum(folded([counts[i] for i in at[there]], k, few), mine).sum(axis=1) >= required(n[at[there]], n[q], percent)
+        return at[out]
+
+    def pairs_of(held: list[pa.Table]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         t = pa.concat_tables(held)
         c = {x: t.column(x).to_numpy() for x in names}
-        at = np.flatnonzero(c["query"])
         m = np.flatnonzero(~c["query"])
-        if not len(at) or not len(m):
+        asked = np.flatnonzero(c["query"])
+        if not len(asked) or not len(m):
             return
-        points = _sketches(t.column("point"))
+        points, n, label, band = _sketches(t.column("point")), c["n"], c["label"], int(c["band"][0])
+        counts = [] if nearest else t.column("counts").to_pylist()
         theirs = np.ascontiguousarray(points[m].T)  # a row for each register, so that comparing stays within the cache
-        for q in at.tolist():
+        for q in asked.tolist():
             same = np.zeros(len(m), dtype=np.int16)
             for k in range(BUCKETS):
                 same += theirs[k] == points[q, k]
-            n, chance = c["n"][m], collisions(c["n"][q], c["n"][m])
-            ok = ((same / BUCKETS - chance) / (1 - chance) >= least) & (c["label"][m] != c["label"][q]) & (100 * np.minimum(n, c["n"][q]) >= percent * np.maximum(n, c["n"][q]))
-            if ok.any():
-                ids = c["id"][m[ok]]
-                yield np.minimum(ids, c["id"][q]), np.maximum(ids, c["id"][q])
+            chance = collisions(n[q], n[m])
+            j = (same / BUCKETS - chance) / (1 - chance)
+            ok = (j >= least) & (label[m] != label[q]) & (100 * np.minimum(n[m], n[q]) >= percent * np.maximum(n[m], n[q]))
+            if not ok.any():
+                continue
+            if nearest:
+                best = int(np.where(ok, j, -1).argmax())
+                yield c["id"][[q]], c["id"][m[[best]]], j[[best]]
+                continue
+            at = m[ok]
+            if band > 0:
+                at = at[(points[at] == points[q]).reshape(len(at), -1, ROWS).all(axis=2).argmax(axis=1) == band]
+            at = bounded(q, at, n, counts) if len(at) else at
+            if len(at):
+                ids = c["id"][at]
+                yield np.minimum(ids, c["id"][q]), np.maximum(ids, c["id"][q]), np.zeros(len(at))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         now = None
 
         def finish() -> Iterator[pa.RecordBatch]:
-            for a, b in pairs_of(held) if held else ():
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            found = list(pairs_of(held)) if held else []
             held.clear()
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b", "j"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -273,33 +307,48 @@ def compared(blocks: DataFrame, sets: DataFrame, percent: int, chunk: int) -> Da
                 held.append(pa.Table.from_batches([batch.slice(lo, hi - lo)]))
         yield from finish()
 
-    ordered = rows.select("token", "part", *names, "point").repartition("token", "part").sortWithinPartitions("token", "part")
-    return map_arrow(ordered, run, "a long, b long").distinct()
+    ordered = rows.select("token", "part", *names, "point", *extra).repartition("token", "part").sortWithinPartitions("token", "part")
+    found = map_arrow(ordered, run, "a long, b long, j double")
+    if nearest:
+        return found.groupBy("a").agg(F.max_by("b", F.struct("j", "b")).alias("b"))
+    return found.select("a", "b").distinct()  # a pair of two asked sets is found from both
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """node, label after the links have joined whole components."""
+    end = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
+    edges = links.join(end("a"), "a").join(end("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct()
+    over = components(edges).select(F.col("node").alias("label"), F.col("label").alias("over"))
+    return saved(labels.join(over, "label", "left").select("node", F.coalesce("over", "label").alias("label")))
 
 
-def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, chunk: int = CHUNK, parts: int = PARTS) -> tuple[DataFrame, DataFrame]:
     """(profiles of every row; d0, d1, label of every set that shares a band with another)."""
     rows = saved(profiles(docs, words, percent))
     extra = repeated_rows(rows)
-    own = rows.filter("point is not null").join(F.broadcast(extra) if extra.count() <= MOST_SENT else extra, "row", "left_anti").select(F.col("row").alias("id"), "place", "n", "d0", "d1", "point")
+    own = rows.filter("point is not null").join(F.broadcast(extra) if extra.count() <= MOST_SENT else extra, "row", "left_anti").select(F.col("row").alias("id"), "place", "n", "d0", "d1", "point", "counts")
     blocks = blocks_of(banded(own))
     nodes = saved(own.join(blocks.select("id").distinct(), "id", "left_semi"))
-    sets = nodes.select("id", "n", "point")
+    sets = nodes.select("id", "n", "point", "counts")
     first = roots(verified(hub_pairs(blocks, sets, percent), docs, nodes, words, percent))
-    unsettled = mixed(parted(mixed(blocks, first).select("token", "id", "size"), sets, chunk), first)
-    more = saved(verified(compared(unsettled, sets, percent, chunk), docs, nodes, words, percent))
-    every = nodes.join(first, nodes["id"] == first["node"], "left").select("d0", "d1", F.coalesce("label", "id").alias("first"))
-    if more.isEmpty():
-        return rows, every.withColumnRenamed("first", "label")
-    up = lambda side: first.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
-    joined = more.join(up("a"), "a", "left").join(up("b"), "b", "left")
-    over = components(joined.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))).select(F.col("node").alias("first"), F.col("label").alias("second"))
-    return rows, every.join(over, "first", "left").select("d0", "d1", F.coalesce("second", "first").alias("label"))
-
-
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row."""
-    rows, labels = linked(docs, words, percent, chunk)
+    labels = saved(nodes.select(F.col("id").alias("node")).join(first, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+    for turn in range(NEAREST + 1):
+        unsettled = mixed(blocks, labels)
+        if unsettled.isEmpty():
+            break
+        within = parted(unsettled.select("token", "band", "id", "size"), sets, chunk * parts)
+        pairs = compared(mixed(within, labels), sets, percent, chunk, turn < NEAREST)
+        links = saved(verified(pairs, docs, nodes, words, percent))
+        if not links.isEmpty():
+            labels = merged(labels, links)
+    return rows, nodes.join(labels.withColumnRenamed("node", "id"), "id").select("d0", "d1", "label")
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, chunk: int = CHUNK, parts: int = PARTS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row; the bands suit similarities of 80 hundredths or more."""
+    if percent < PERCENT:
+        raise ValueError(f"bands of {ROWS} registers would miss pairs below {PERCENT} hundredths")
+    rows, labels = linked(docs, words, percent, chunk, parts)
     rows = rows.select("doc_id", "n", "d0", "d1")
     least: Column = F.min("doc_id")
     each = rows.filter("n > 0").groupBy("d0", "d1").agg(least.alias("own"), F.count("*").alias("c")).join(labels, ["d0", "d1"], "left")
