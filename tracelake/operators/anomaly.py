@@ -7,9 +7,8 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.functions.lineage import cut_lineage
 from tracelake.functions.stats import rank_percentiles, ratio
-from tracelake.operators.graph import smallest_labels
+from tracelake.operators.density import density_clusters
 from tracelake.operators.series import seasonal_adjust
 from tracelake.shipping import ship
 
@@ -109,7 +108,13 @@ def bursts(series: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def robust_scores(df: DataFrame, features: Sequence[str], by: Sequence[str] = (), least: int = 20) -> DataFrame:
     """Largest absolute modified z over the features, within groups of at least ``least`` rows."""
-    rows = df.withColumn("_n", F.count("*").over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0)))).filter(F.col("_n") >= least).drop("_n")
+    def counted(rows: DataFrame) -> DataFrame:
+        if by:
+            return rows.withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
+        return rows.crossJoin(F.broadcast(rows.agg(F.count("*").alias("_n"))))  # one row; a window would gather the table
+
+    rows = counted(df).filter(F.col("_n") >= least).drop("_n")
+
     def with_medians(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
         found = rows.groupBy(*by).agg(*[F.percentile(c, F.lit(0.5)).alias(name) for name, c in columns.items()])
         return rows.join(found, list(by)) if by else rows.crossJoin(F.broadcast(found))
@@ -185,22 +190,83 @@ def isolation_forest(df: DataFrame, features: Sequence[str], trees: int = 50, sa
     return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
+def random_cut_forest(df: DataFrame, features: Sequence[str], trees: int = 50, sample: int = 256, seed: int = 7) -> DataFrame:
+    """Expected collusive displacement of each row in random cut trees: how many points a point must move to hide among them.
+
+    Trees grow on hash samples of at most ``sample`` rows, as for the isolation forest; they cut a
+    bounding box at a place drawn from all its sides together. A row is not inserted: at a node
+    whose box it would widen by e on a total of s, a cut parts it with probability e / (e + s), and
+    then the node's points are displaced; otherwise it goes down, and what it would displace along
+    with the points of that side counts as well. Rows with a null feature get null.
+    """
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    ship(df.sparkSession)
+    pool = df.select(*[F.col(f).cast("double").alias(f) for f in features]).dropna().orderBy(F.xxhash64(*features, F.lit(seed))).limit(trees * sample).toPandas().to_numpy()
+    rng = np.random.default_rng(seed)
+    m = min(sample, len(pool))
+    forest = df.sparkSession.sparkContext.broadcast([cut_tree(pool[rng.choice(len(pool), m, replace=False)], rng) for _ in range(trees)] if m else [])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = b[list(features)].to_numpy(dtype=float)
+            known = ~np.isnan(x).any(axis=1)
+            score = np.full(len(x), np.nan)
+            score[known] = sum((displacement(x[known], t) for t in forest.value), np.zeros(int(known.sum()))) / max(len(forest.value), 1)
+            b["score"] = pd.Series(score, index=b.index).astype(object).where(known, None)
+            yield b
+
+    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())]))
+
+
+def cut_tree(x, rng) -> tuple:
+    """(size, low corner, high corner, feature, cut, left, right); a leaf, one point however often, has no feature."""
+    low, high = x.min(axis=0), x.max(axis=0)
+    sides = high - low
+    if not sides.sum() > 0:
+        return (len(x), low, high, None, None, None, None)
+    at = rng.uniform(0, sides.sum())
+    f = min(int((sides.cumsum() <= at).sum()), len(sides) - 1)
+    cut = low[f] + (at - (sides[:f].sum() if f else 0.0))
+    left = x[:, f] <= cut
+    if left.all() or not left.any():  # a cut on the edge itself
+        cut = (low[f] + high[f]) / 2
+        left = x[:, f] <= cut
+    return (len(x), low, high, f, cut, cut_tree(x[left], rng), cut_tree(x[~left], rng))
+
+
+def displacement(x, tree: tuple):
+    """Expected collusive displacement of each row of ``x``, in one walk for all rows."""
+    import numpy as np
+
+    out = np.zeros(len(x))
+    todo = [(tree, np.arange(len(x)), np.ones(len(x)), np.zeros(len(x)))]
+    while todo:
+        (n, low, high, f, cut, left, right), at, reach, best = todo.pop()
+        wider = (np.maximum(low - x[at], 0) + np.maximum(x[at] - high, 0)).sum(axis=1)
+        total = wider + (high - low).sum()
+        parted = np.divide(wider, total, out=np.zeros(len(at)), where=total > 0)
+        out[at] += reach * parted * np.maximum(best, n)
+        reach = reach * (1 - parted)
+        if f is None:
+            out[at] += reach * best  # the same point again
+            continue
+        small = x[at, f] <= cut
+        for side, other, here in ((left, right, small), (right, left, ~small)):
+            if here.any():
+                todo.append((side, at[here], reach[here], np.maximum(best[here], other[0] / (side[0] + 1))))
+    return out
+
+
 def outlier_scores(df: DataFrame, features: Sequence[str], by: Sequence[str] = (), method: str = "robust") -> DataFrame:
-    return {"robust": lambda: robust_scores(df, features, by), "pca": lambda: pca_scores(df, features), "iforest": lambda: isolation_forest(df, features)}[method]()
+    return {"robust": lambda: robust_scores(df, features, by), "pca": lambda: pca_scores(df, features), "iforest": lambda: isolation_forest(df, features), "rcf": lambda: random_cut_forest(df, features)}[method]()
 
 
 def density_noise(df: DataFrame, key: str, x: str, y: str, eps: float = 0.5, min_points: int = 5, rounds: int = 200) -> DataFrame:
-    """key, cluster (smallest core key; null for noise): points within eps meet through a grid of eps-wide cells."""
-    p = df.select(key, F.col(x).alias("_x"), F.col(y).alias("_y")).withColumn("_cx", F.floor(F.col("_x") / eps)).withColumn("_cy", F.floor(F.col("_y") / eps))
-    shifts = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("_s")
-    near = p.select(F.col(key).alias("a"), F.col("_x").alias("ax"), F.col("_y").alias("ay"), "_cx", "_cy", shifts).select("a", "ax", "ay", (F.col("_cx") + F.col("_s.i")).alias("_cx"), (F.col("_cy") + F.col("_s.j")).alias("_cy"))
-    d = F.pow(F.col("ax") - F.col("_x"), F.lit(2)) + F.pow(F.col("ay") - F.col("_y"), F.lit(2))
-    pairs = cut_lineage(near.join(p.withColumnRenamed(key, "b"), ["_cx", "_cy"]).filter(d <= eps * eps).select("a", "b"))
-    core = pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") >= min_points).select(F.col("a").alias("core"))
-    inner = cut_lineage(pairs.join(core, F.col("a") == F.col("core")).drop("core").join(core, F.col("b") == F.col("core")).select("a", "b"))
-    label = smallest_labels(inner, rounds).withColumnRenamed("node", "a")
-    reach = pairs.join(label.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("cluster"))
-    return df.select(key).join(reach.withColumnRenamed("a", key), key, "left")
+    """key, cluster (smallest core key; null for noise) by two columns, see ``density_clusters``."""
+    return density_clusters(df, key, [x, y], eps, min_points, rounds)
 
 
 def volume_anomalies(logs: DataFrame, seconds: int = 60, t: float = 3.0) -> DataFrame:

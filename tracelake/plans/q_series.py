@@ -9,6 +9,7 @@ from tracelake.operators import anomaly as X
 from tracelake.operators import histogram as H
 from tracelake.operators import series as R
 from tracelake.operators import spans as N
+from tracelake.operators.density import density_clusters
 from tracelake.plans.fixtures import LOGS, METRICS, SPANS, logs, metrics, spans, table
 from tracelake.plans.registry import query
 
@@ -270,7 +271,25 @@ def _(spark, sf):
     return rounded(X.outlier_scores(df, ["duration_ms", "line"], method="iforest").filter("score > 0.6").select("span_id", "score"), "score")
 
 
-@query("x3_density_noise")
+def _density(least: int) -> str:
+    """SQL of density clusters over pts(id) and near(a, b), both ways and with itself."""
+    return f"""core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= {least}), reach AS (SELECT id AS a, id AS b FROM core UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b JOIN core c ON c.id = n.b), lab AS (SELECT a AS id, min(b) AS cluster FROM reach GROUP BY a),
+out AS (SELECT p.id, min(l.cluster) AS cluster FROM pts p LEFT JOIN near n ON n.a = p.id LEFT JOIN lab l ON l.id = n.b GROUP BY p.id)"""
+
+
+@query("x2_random_cut_forest")
+def _(spark, sf):
+    df = spans(spark, sf).select("span_id", "duration_ms", F.col("line").cast("double").alias("line"))
+    return rounded(X.outlier_scores(df, ["duration_ms", "line"], method="rcf").filter("score > 20").select("span_id", "score"), "score")
+
+
+@query("x3_density_three_columns", f"""WITH RECURSIVE pts AS (SELECT p_partkey AS id, p_size / 5.0 AS x, (p_retailprice - 900) / 20.0 AS y, length(p_name) / 2.0 AS z FROM part), near AS (SELECT a.id AS a, b.id AS b FROM pts a JOIN pts b ON pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2) <= 0.49), {_density(6)} SELECT id, cluster FROM out""")
+def _(spark, sf):
+    df = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") / 5.0).alias("x"), ((F.col("p_retailprice") - 900) / 20.0).alias("y"), (F.char_length("p_name") / 2.0).alias("z"))
+    return density_clusters(df, "id", ["x", "y", "z"], 0.7, 6)
+
+
+@query("x3_density_noise", f"""WITH RECURSIVE {_series(86400)}, pts AS (SELECT concat(metric, '-', printf('%03d', i)) AS id, value / 10 AS x, i / 5.0 AS y FROM s), near AS (SELECT a.id AS a, b.id AS b FROM pts a JOIN pts b ON pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 0.25), {_density(5)} SELECT id, cluster FROM out""")
 def _(spark, sf):
     df = daily(spark, sf).withColumn("id", F.concat_ws("-", "metric", F.format_string("%03d", F.col("i").cast("int"))))
     return X.density_noise(df.withColumn("x", F.col("value") / 10).withColumn("y", F.col("i") / 5), "id", "x", "y", 0.5, 5)

@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelake.plans.fixtures import LOGS, spans, table
+from tracelake.functions import sketch
+from tracelake.functions.stats import rank_percentiles
+from tracelake.plans.fixtures import LOGS, SPANS, logs, spans, table
 from tracelake.plans.registry import query
 from tracelake.sources.io import stream_table
 from tracelake.streaming import live as S
@@ -62,19 +64,72 @@ def _(spark, sf):
     return ntz(d, "start")
 
 
-@query("st6_live_edges")
-def _(spark, sf):
+def folder(spark, name):
     import uuid
 
     from tracelake.functions.lineage import shared_folder
 
-    # spans of the fixtures as files; a trace's spans lie within its range of days
-    path = f"{shared_folder(spark)}/spans-{uuid.uuid4().hex}"
-    df = spans(spark, sf).withColumn("ts", F.date_trunc("year", F.col("start_ts").cast("timestamp")))
-    df.select("trace_id", "span_id", "parent_span_id", "service", "ts", "is_error", "duration_ms").write.parquet(path)
-    stream = stream_table(spark, path, spark.read.parquet(path).schema, "ts")
-    edges = S.live_edges(stream, "4000 days", "4000 days")
-    return S.drain(edges).groupBy("source", "target").agg(F.count("*").alias("call_count"))
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+_BIN = "CASE WHEN value IS NULL THEN NULL WHEN abs(value) < 1e-9 THEN 0 ELSE CAST(sign(value) AS INT) * greatest(CAST(ceil(ln(abs(value) / 1e-9) / ln(1.01 / 0.99)) AS INT) + 1, 1) END"
+_MIDDLE = "CASE WHEN {b} = 0 THEN 0.0 ELSE sign({b}) * exp((abs({b}) - 1) * ln(1.01 / 0.99)) * 1e-9 * 0.99 END"
+
+
+@query("st3_live_percentiles", f"""WITH {LOGS}, b AS (SELECT time_bucket(INTERVAL '1 day', ts) AS start, service, {_BIN} AS bin, count(*) AS c FROM logs GROUP BY ALL HAVING bin IS NOT NULL), r AS (SELECT *, sum(c) OVER (PARTITION BY start, service ORDER BY bin) AS upto, sum(c) OVER (PARTITION BY start, service) AS n FROM b),
+q AS (SELECT start, service, CAST(max(n) AS BIGINT) AS count, min(bin) FILTER (WHERE upto >= greatest(ceil(0.5 * n), 1)) AS b50, min(bin) FILTER (WHERE upto >= greatest(ceil(0.95 * n), 1)) AS b95 FROM r GROUP BY start, service) SELECT start, service, count, round({_MIDDLE.format(b="b50")}, 6) AS p50, round({_MIDDLE.format(b="b95")}, 6) AS p95 FROM q""")
+def _(spark, sf):
+    out = S.drain(S.binned(events(spark, sf), "1 day", ["service"]), "update")
+    last = out.groupBy("start", "service", "bin").agg(F.max_by("count", "_batch").alias("count"))
+    q = sketch.quantiles(last, ["start", "service"], {"p50": 0.5, "p95": 0.95})
+    return ntz(q.withColumns({c: F.round(c, 6) for c in ("p50", "p95")}), "start")
+
+
+@query("st3_percentiles_within", f"""WITH {LOGS} SELECT service, count(value) AS count, true AS p50_within, true AS p95_within, true AS p99_within FROM logs GROUP BY service""")
+def _(spark, sf):
+    """Sketches of all windows merged by service, held against the exact percentiles of the rows."""
+    out = S.drain(S.binned(events(spark, sf), "1 day", ["service"]), "update")
+    last = out.groupBy("start", "service", "bin").agg(F.max_by("count", "_batch").alias("count"))
+    points = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    exact = rank_percentiles(logs(spark, sf), ["service"], "value", {f"x{k}": p for k, p in points.items()})
+    both = sketch.quantiles(last, ["service"], points).join(exact, "service")
+    return both.select("service", "count", *[(F.abs(F.col(k) - F.col(f"x{k}")) <= 0.0100001 * F.abs(F.col(f"x{k}"))).alias(f"{k}_within") for k in points])
+
+
+def arriving(spark, sf, path):
+    """The fixture's spans as files in the order of time: a span starts six hours after its trace's root for each line, a file holds 180 days."""
+    df = spans(spark, sf)
+    roots = df.filter("parent_span_id is null").select("trace_id", F.col("start_ts").cast("timestamp").alias("began"))
+    ts = F.col("began") + F.make_dt_interval(F.lit(0), F.col("line") * 6)
+    df = df.join(roots, "trace_id").select("trace_id", "span_id", "parent_span_id", "service", ts.alias("ts"), "is_error", "duration_ms")
+    S.in_order(df, F.floor(F.unix_date(F.to_date("ts")) / 180).cast("int"), path)
+    return stream_table(spark, path, df.schema, "ts", files_per_trigger=1)
+
+
+#: A span and its parent lie this far apart at most.
+APART = "3 days"
+
+
+@query("st6_live_edges", f"WITH {SPANS} SELECT p.service AS source, c.service AS target, count(*) AS call_count, count(*) FILTER (WHERE c.is_error) AS error_count FROM spans c JOIN spans p ON p.trace_id = c.trace_id AND p.span_id = c.parent_span_id WHERE p.service <> c.service GROUP BY ALL")
+def _(spark, sf):
+    edges = S.live_edges(arriving(spark, sf, folder(spark, "spans")), "1 day", APART)
+    return S.drain(edges).groupBy("source", "target").agg(F.count("*").alias("call_count"), F.count_if("is_error").alias("error_count"))
+
+
+#: Days by which the events of every fiftieth id arrive late. What is late is told by the watermark of the batch before.
+_STEP = "CASE WHEN event_id % 50 = 0 THEN 3 ELSE 0 END"
+
+
+@query("st9_late_rows", f"""WITH {LOGS}, a AS (SELECT event_id, service, ts, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) + {_STEP} AS step FROM logs), m AS (SELECT step, max(max(ts)) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) - INTERVAL '1 day' AS mark FROM a GROUP BY step)
+SELECT service, count(*) AS kept FROM a JOIN m USING (step) WHERE mark IS NULL OR ts > mark GROUP BY service UNION ALL SELECT 'dropped', count(*) FROM a JOIN m USING (step) WHERE ts <= mark""")
+def _(spark, sf):
+    """Events by service that a stream with a day's watermark keeps, and how many it reports as dropped."""
+    path, progress = folder(spark, "events"), []
+    df = logs(spark, sf).select("event_id", "service", F.col("ts").cast("timestamp").alias("ts"))
+    S.in_order(df, (F.unix_date(F.to_date("ts")) + F.expr(_STEP)).cast("int"), path)
+    kept = S.drain(S.without_duplicates(stream_table(spark, path, df.schema, "ts", files_per_trigger=1), ["event_id"], "1 day"), progress=progress)
+    late = sum(S.late_rows(p) for p in progress)
+    return kept.groupBy("service").agg(F.count("*").alias("kept")).unionByName(spark.createDataFrame([("dropped", late)], "service string, kept long"))
 
 
 @query("st8_stream_clusters")
@@ -84,7 +139,8 @@ def _(spark, sf):
 
     static = table(spark, sf, "embeddings")
     features = array_to_vector(F.col("embedding").cast("array<double>")).alias("features")
-    model = KMeans(k=10, seed=7).fit(static.select(features))
+    base = folder(spark, "clusters")
+    KMeans(k=10, seed=7).fit(static.select(features)).save(f"{base}/model")
     stream = spark.readStream.schema(static.schema).parquet(f"{sf}/embeddings.parquet*").select("vec_id", features)
-    out = S.drain(stream.select("vec_id", "features").transform(lambda d: model.transform(d).select("vec_id", F.col("prediction").alias("cluster"))))
-    return out.groupBy("cluster").agg(F.count("*").alias("size"))
+    S.assign_clusters(stream, f"{base}/model", f"{base}/rows", f"{base}/state").start().awaitTermination()
+    return spark.read.parquet(f"{base}/rows").select("vec_id", F.col("prediction").alias("cluster"))

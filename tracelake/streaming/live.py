@@ -9,13 +9,25 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
+from tracelake.functions import sketch
 from tracelake.shipping import ship
 
 
+def binned(df: DataFrame, window: str, keys: Sequence[str] = (), watermark: str = "10 minutes", value: str = "value", error: float = 0.01) -> DataFrame:
+    """start, keys, bin, count: a quantile sketch of each window as rows, see ``functions.sketch``.
+
+    Sketches of the same error merge by adding the counts of equal bins, over windows and keys
+    alike, and what is merged equals the sketch of the whole.
+    """
+    out = df.withWatermark("ts", watermark).groupBy(F.window("ts", window), *keys, sketch.bin_of(F.col(value), error).alias("bin")).agg(F.count("*").alias("count"))
+    return out.select(F.col("window.start").alias("start"), *keys, "bin", "count")
+
+
 def tumbling(df: DataFrame, window: str, keys: Sequence[str] = (), watermark: str = "10 minutes", value: str = "value") -> DataFrame:
     """Counts, mean and approximate percentiles of each window."""
     w = F.window("ts", window)
@@ -98,13 +110,55 @@ def drift(df: DataFrame, window_s: int = 3600, watermark: str = "10 minutes", er
     return rows.groupBy("service").applyInPandasWithState(run, DRIFT, kinds, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def assign_clusters(df: DataFrame, model, path: str, checkpoint: str, vector: str = "features"):
-    """A query that writes each batch with a saved model's clusters."""
+def write_once(path: str, each: Callable[[DataFrame], DataFrame] | None = None, fmt: str = "parquet") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that writes a batch to the folder of its id, so a batch that is tried again replaces what it had written.
+
+    Reading ``path`` gives the rows with their batch id as ``_batch``.
+    """
+
+    def batch(rows: DataFrame, k: int) -> None:
+        (each(rows) if each else rows).write.format(fmt).mode("overwrite").save(f"{path}/_batch={k}")
+
+    return batch
+
+
+def assign_clusters(df: DataFrame, model_path: str, path: str, checkpoint: str):
+    """A query that writes each batch once, with the clusters of the k-means model that was saved at ``model_path``."""
+    from pyspark.ml.clustering import KMeansModel
 
-    def batch(rows: DataFrame, _: int) -> None:
-        model.transform(rows).write.mode("append").parquet(path)
+    model = KMeansModel.load(model_path)
+    return df.writeStream.foreachBatch(write_once(path, model.transform)).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
-    return df.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+class Watched(StreamingQueryListener):
+    """What the stateful operators of running queries report: rows dropped as late, and state rows of each batch.
+
+    ``dropped`` sums by (query, operator); ``state`` has a list (batch, state rows) for each query.
+    Add it with ``spark.streams.addListener``.
+    """
+
+    def __init__(self) -> None:
+        self.dropped: dict[tuple[str, str], int] = {}
+        self.state: dict[str, list[tuple[int, int]]] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        name, rows = p.name or str(p.id), 0
+        for i, s in enumerate(p.stateOperators):
+            key = (name, f"{i}:{s.operatorName}")
+            self.dropped[key] = self.dropped.get(key, 0) + s.numRowsDroppedByWatermark
+            rows += s.numRowsTotal
+        if p.stateOperators:
+            self.state.setdefault(name, []).append((p.batchId, rows))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
 
 
 def late_rows(progress: dict) -> int:
@@ -112,18 +166,33 @@ def late_rows(progress: dict) -> int:
     return sum(int(s.get("numRowsDroppedByWatermark", 0)) for s in progress.get("stateOperators", []))
 
 
-def drain(df: DataFrame, mode: str = "append", each: Callable | None = None) -> DataFrame:
-    """Runs a stream over what is there now and gives its rows as a table in the shared checkpoint folder."""
+def in_order(df: DataFrame, step: Column, path: str) -> list:
+    """Writes the rows as one file set a step, in the order of the steps, as if they had arrived that way; the steps."""
+    spark = df.sparkSession
+    rows = df.withColumn("_step", step)
+    rows.write.partitionBy("_step").parquet(f"{path}-steps")
+    kept = spark.read.parquet(f"{path}-steps")
+    steps = sorted(r[0] for r in kept.select("_step").distinct().collect())
+    for k in steps:
+        kept.filter(F.col("_step") == k).drop("_step").coalesce(1).write.mode("append").parquet(path)
+    return steps
+
+
+def drain(df: DataFrame, mode: str = "append", each: Callable | None = None, progress: list | None = None) -> DataFrame:
+    """Runs a stream over what is there now and gives its rows as a table in the shared checkpoint folder.
+
+    ``progress`` gets the progress of each batch that had rows or state.
+    """
     import uuid
 
     from tracelake.functions.lineage import shared_folder
 
     spark = df.sparkSession
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-
-    def batch(rows: DataFrame, k: int) -> None:
-        (each(rows) if each else rows).withColumn("_batch", F.lit(k)).write.mode("append").parquet(f"{base}/rows")
-
-    q = df.writeStream.foreachBatch(batch).outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    q = df.writeStream.foreachBatch(write_once(f"{base}/rows", each)).outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
+    if progress is not None:
+        progress += q.recentProgress
+    if each is not None:
+        return spark.read.parquet(f"{base}/rows")
     return spark.read.schema(T.StructType([*df.schema.fields, T.StructField("_batch", T.IntegerType())])).parquet(f"{base}/rows")
