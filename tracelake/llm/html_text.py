@@ -59,13 +59,16 @@ _NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|sidebar|side|aside|nav\w*|menu|breadcrumbs?|header|masthead|topbar|footer|foot|comments?|reply|replies|discussion|disqus|respond|share|sharing|social|related|recommend\w*|widget|toolbar|pagination|pager|tags|meta|byline|login|search|form|hidden|skip|copyright|contentinfo|navigation|complementary)(?:$|[\s_-])",
     re.I,
 )
-#: Inside main content a class or role takes an element out only where it is a box of these kinds; ids, headings and paragraphs never do.
-_BOXES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|sidebar|nav|navbar|navigation|menu|breadcrumbs?|comments?|share|sharing|social|widget|toolbar|pagination|footer|form)(?:$|[\s_-])", re.I)
+#: Inside main content a class or role takes an element out only where all parts of one of its names are words of these; ids, headings and paragraphs never do.
+_BOX = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr popup modal newsletter subscribe sidebar nav navbar navigation menu breadcrumb breadcrumbs comment comments share sharing social widget toolbar pagination footer form".split())
+#: Words that may stand beside those in such a name; a notice alone is a box only where it recurs.
+_BESIDE = frozenset("area bar block box button buttons container inline inner js left links list main notice notices outer panel post right section signup site slot thread top unit wrap wrapper".split())
+_PART = re.compile(r"[\s_-]+")
 _CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt", "title"}
 _SAME_LEVEL = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 
-#: A comment, a declaration, or a tag with its attributes; a quote opens a value after = only, and one that never closes is a plain character.
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)(?:>|$)", re.S)
+#: A comment (its ends are as browsers see them), a declaration, or a tag with its attributes; a quote opens a value after = only, and one that never closes is a plain character.
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|$))|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
 _SPACE = re.compile(r"\s+")
 
@@ -93,10 +96,24 @@ def _named_outside(tag: str, attributes: str) -> int:
     return found
 
 
+def _is_box(names: str) -> bool:
+    """Whether one of the names, such as ``share-buttons``, is that of a box."""
+    for name in names.lower().split():
+        parts = [x for x in _PART.split(name) if x]
+        if any(x in _BOX for x in parts) and all(x in _BOX or x in _BESIDE for x in parts):
+            return True
+    return False
+
+
 def parse(page: str) -> Element:
-    """The tree of a page; whatever isn't closed ends with the page."""
+    """The tree of a page; whatever isn't closed ends with the page.
+
+    The stack of open elements is ``MOST_DEPTH`` deep and one more for an element that is left out;
+    those beyond are counted by name only, so that an end tag costs the same however deep a page is.
+    """
     root = Element("#root", False)
     stack, at, n = [root], 0, len(page)
+    beyond: dict[str, int] = {}
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -112,12 +129,17 @@ def parse(page: str) -> Element:
         if deep and tag in BLOCK:
             stack[-1].parts.append(Element("hr", 0))
         if m[1]:  # an end tag closes the nearest open element of its name
+            if beyond.get(tag):
+                beyond[tag] -= 1
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     del stack[i:]
                     break
                 if tag not in BLOCK and stack[i].tag in BLOCK:
                     break
+            if len(stack) <= MOST_DEPTH:
+                beyond.clear()
             continue
         if tag in RAW and tag != "head":
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|$)", re.I).search(page, at)
@@ -141,13 +163,16 @@ def parse(page: str) -> Element:
         e.unit = e.unit or (tag in MARKED and any(a[1].lower() in ("class", "id") for a in _ATTRIBUTE.finditer(m[3] or "")))
         if e.outside == 1:
             boxes = (a[2] or a[3] or a[4] or "" for a in _ATTRIBUTE.finditer(m[3] or "") if a[1].lower() in ("class", "role"))
-            e.boxed = tag == "form" or (tag not in MARKED and tag not in HEADINGS and any(map(_BOXES.search, boxes)))
+            e.boxed = tag == "form" or (tag not in MARKED and tag not in HEADINGS and any(map(_is_box, boxes)))
+        deep = len(stack) > MOST_DEPTH
         if not deep:
             stack[-1].parts.append(e)
-        elif not e.outside:
-            e.parts = stack[-1].parts
-        if tag not in VOID:  # a slash at the end of a tag means nothing in HTML
+        if tag in VOID:  # a slash at the end of a tag means nothing in HTML
+            continue
+        if not deep or (e.outside and len(stack) == MOST_DEPTH + 1):  # what is left out there takes its parts along
             stack.append(e)
+        else:
+            beyond[tag] = 1 if tag == "p" or tag in _SAME_LEVEL else beyond.get(tag, 0) + 1
     return root
 
 
