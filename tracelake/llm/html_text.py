@@ -114,6 +114,13 @@ def parse(page: str) -> Element:
     root = Element("#root", False)
     stack, at, n = [root], 0, len(page)
     beyond: dict[str, int] = {}
+    opened: dict[str, int] = {}
+
+    def close(i: int) -> None:
+        for e in stack[i:]:
+            opened[e.tag] -= 1
+        del stack[i:]
+
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -132,9 +139,9 @@ def parse(page: str) -> Element:
             if beyond.get(tag):
                 beyond[tag] -= 1
                 continue
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened.get(tag) else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    close(i)
                     break
                 if tag not in BLOCK and stack[i].tag in BLOCK:
                     break
@@ -146,16 +153,16 @@ def parse(page: str) -> Element:
             at = end.end() if end else n
             continue
         if tag in _CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened.get("p") else ():
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in BLOCK:
                     break
         if tag in _SAME_LEVEL:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if any(map(opened.get, _SAME_LEVEL[tag])) else ():
                 if stack[i].tag in _SAME_LEVEL[tag]:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in ("ul", "ol", "dl", "table", "select"):
                     break
@@ -171,6 +178,7 @@ def parse(page: str) -> Element:
             continue
         if not deep or (e.outside and len(stack) == MOST_DEPTH + 1):  # what is left out there takes its parts along
             stack.append(e)
+            opened[tag] = opened.get(tag, 0) + 1
         else:
             beyond[tag] = 1 if tag == "p" or tag in _SAME_LEVEL else beyond.get(tag, 0) + 1
     return root
