@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,11 +54,68 @@ def json_fields(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.explode(F.json_object_keys(column)).alias("field")).groupBy("field").agg(F.count("*").alias("n"))
 
 
-def field_pairs(df: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """How often two fields are filled in the same row."""
-    there = F.array_compact(F.array(*[F.when(F.col(f).isNotNull(), F.lit(f)) for f in sorted(fields)]))
-    a = df.select(there.alias("f")).select(F.explode("f").alias("a"), "f").select("a", F.explode("f").alias("b"))
-    return a.filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+def _map_names(name: str) -> Column:
+    keys = F.map_keys(F.map_filter(F.col(name), lambda _, v: v.isNotNull()))
+    return F.transform(keys, lambda k: F.concat(F.lit(f"{name}."), k.cast("string")))
+
+
+def _members(structs: Column, name: str) -> Column:
+    return F.transform(structs, lambda v: v.getField(name))
+
+
+def filled(df: DataFrame, fields: Sequence[str] | None = None) -> Column:
+    """The names of a row's filled leaves, sorted: the given fields, or all leaf columns and the keys of map columns with a value."""
+    wanted = [(n, t) for n, t in leaves(df.schema) if fields is None or n in fields]
+    plain = [n for n, t in wanted if not isinstance(t, T.MapType)]
+    there = F.array_compact(F.array(*[F.when(F.col(n).isNotNull(), F.lit(n)) for n in plain])) if plain else F.array().cast("array<string>")
+    maps = [_map_names(n) for n, t in wanted if isinstance(t, T.MapType)]
+    return F.array_sort(F.concat(there, *[F.coalesce(m, F.array().cast("array<string>")) for m in maps]))
+
+
+def field_sets(df: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:
+    """fields, n: the distinct sets of filled fields, few however many rows there are."""
+    return df.select(filled(df, fields).alias("fields")).groupBy("fields").agg(F.count("*").alias("n"))
+
+
+def field_pairs(df: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:
+    """a < b, n: how often two fields are filled in the same row. Rows with the same fields are counted before pairs are made."""
+    a = field_sets(df, fields).select(F.explode("fields").alias("a"), "fields", "n").select("a", F.explode("fields").alias("b"), "n")
+    return a.filter("a < b").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def _walk(values: Column, kind: T.DataType, path: str) -> list[tuple[str, str, Column]]:
+    """(path, kind, the row's number of values that are there) of every node, from an array of the values of one."""
+    there = F.filter(values, lambda v: v.isNotNull())
+    n = F.size(there)
+    if isinstance(kind, T.StructType):
+        found = [(path, "struct", n)] if path else []
+        for f in kind.fields:
+            found += _walk(_members(there, f.name), f.dataType, f"{path}.{f.name}" if path else f.name)
+        return found
+    if isinstance(kind, T.ArrayType):
+        return [(path, "array", n), *_walk(F.flatten(there), kind.elementType, f"{path}[]")]
+    if isinstance(kind, T.MapType):
+        return [(path, "map", n), *_walk(F.flatten(F.transform(there, F.map_values)), kind.valueType, f"{path}{{}}")]
+    return [(path, _kind(kind), n)]
+
+
+def nested_fields(df: DataFrame, pattern: str = "*") -> DataFrame:
+    """path, kind, role, values, rows, nulls of every node of structs, arrays (``a[]``) and maps (``m{}``): one aggregate, whatever the nesting.
+
+    ``rows`` have at least one value, ``nulls`` none.
+    """
+    import fnmatch
+
+    nodes = []
+    for f in df.schema.fields:
+        nodes += _walk(F.array(F.col(f"`{f.name}`")), f.dataType, f.name)
+    nodes = [x for x in nodes if fnmatch.fnmatchcase(x[0], pattern.replace("[", "[[]"))]
+    if not nodes:
+        return df.sparkSession.createDataFrame([], "path string, kind string, role string, values long, rows long, nulls long")
+    counts = df.select(*[n.alias(str(i)) for i, (_, _, n) in enumerate(nodes)])
+    one = counts.agg(F.count("*").alias("all"), *[F.coalesce(F.sum(f"`{i}`"), F.lit(0)).alias(f"v{i}") for i in range(len(nodes))], *[F.count_if(F.col(f"`{i}`") > 0).alias(f"r{i}") for i in range(len(nodes))])
+    rows = F.array(*[F.struct(F.lit(p).alias("path"), F.lit(k).alias("kind"), F.lit(_role(p)).alias("role"), F.col(f"v{i}").cast("long").alias("values"), F.col(f"r{i}").alias("rows"), (F.col("all") - F.col(f"r{i}")).alias("nulls")) for i, (p, k, _) in enumerate(nodes)])
+    return one.select(F.explode(rows).alias("f")).select("f.*")
 
 
 def field_profile(df: DataFrame, fields: Sequence[str], exact: bool = False) -> DataFrame:

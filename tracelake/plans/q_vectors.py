@@ -89,14 +89,52 @@ def _(spark, sf):
     return e.select("conv_id", "turn", F.size("embedding").alias("dim"))
 
 
-@query("l2_fields", f"WITH {SPANS} SELECT 'error_type' AS name, count(error_type) AS n FROM spans UNION ALL SELECT 'parent_span_id', count(parent_span_id) FROM spans UNION ALL SELECT 'span_id', count(span_id) FROM spans")
+_FIELDS = {'trace_id': ('keyword', 'trace'), 'span_id': ('keyword', 'span'), 'parent_span_id': ('keyword', 'span'), 'service': ('keyword', 'service'), 'operation': ('keyword', 'other'), 'start_ts': ('date', 'other'), 'duration_ms': ('number', 'duration'), 'is_error': ('boolean', 'status'), 'error_type': ('keyword', 'status'), 'line': ('number', 'other'), 'user_id': ('number', 'other')}
+
+
+@query("l2_fields", "WITH " + SPANS + " " + " UNION ALL ".join(f"SELECT '{n}' AS name, '{k}' AS type, '{r}' AS role, count({n}) AS n FROM spans" for n, (k, r) in _FIELDS.items()))
+def _(spark, sf):
+    return L.list_fields(spans(spark, sf), "*")
+
+
+def _attributes():
+    both = F.create_map(F.lit("k"), F.get_json_object("props", "$.k"), F.lit("small"), F.when(F.col("value") < 20, F.lit("yes")))
+    return F.map_filter(both, lambda _, v: v.isNotNull())
+
+
+def attributed(spark, sf):
+    """Logs with the attributes of their JSON, and a field that few have."""
+    df = table(spark, sf, "events")
+    return df.select("event_id", F.nullif("event_type", F.lit("view")).alias("kind"), F.when(F.col("value") > 50, F.col("value")).alias("high"), _attributes().alias("attributes"))
+
+
+_FILLED = "e AS (SELECT list_filter(['event_id', CASE WHEN event_type <> 'view' THEN 'kind' END, CASE WHEN value > 50 THEN 'high' END, CASE WHEN json_extract_string(props, '$.k') IS NOT NULL THEN 'attributes.k' END, CASE WHEN value < 20 THEN 'attributes.small' END], lambda x: x IS NOT NULL) AS f FROM events)"
+
+
+@query("l3_field_pairs", f"WITH {_FILLED}, a AS (SELECT unnest(f) AS a, f FROM e), b AS (SELECT a, unnest(f) AS b FROM a) SELECT a, b, count(*) AS n FROM b WHERE a < b GROUP BY ALL")
+def _(spark, sf):
+    return L.field_pairs(attributed(spark, sf))
+
+
+@query("l3_span_field_pairs", "WITH " + SPANS + ", e AS (SELECT list_filter([" + ", ".join(f"CASE WHEN {n} IS NOT NULL THEN '{n}' END" for n in _FIELDS) + "], lambda x: x IS NOT NULL) AS f FROM spans), a AS (SELECT unnest(f) AS a, f FROM e), b AS (SELECT a, unnest(f) AS b FROM a) SELECT a, b, count(*) AS n FROM b WHERE a < b GROUP BY ALL")
 def _(spark, sf):
-    return L.list_fields(spans(spark, sf), "*").filter(F.col("name").isin("error_type", "parent_span_id", "span_id")).select("name", "n")
+    return L.field_pairs(spans(spark, sf))
+
+
+_NESTED = (
+    ("event_id", "number", "other", "1"), ("who", "struct", "other", "1"), ("who.user_id", "number", "other", "CASE WHEN user_id IS NOT NULL THEN 1 ELSE 0 END"), ("who.what", "struct", "other", "1"), ("who.what.level", "keyword", "level", "CASE WHEN event_type = 'error' THEN 1 ELSE 0 END"),
+    ("who.what.value", "number", "other", "CASE WHEN value IS NOT NULL THEN 1 ELSE 0 END"), ("items", "array", "other", "1"), ("items[]", "struct", "other", "2"), ("items[].name", "keyword", "other", "2"), ("items[].high", "number", "other", "CASE WHEN value > 50 THEN 1 ELSE 0 END"),
+    ("attributes", "map", "other", "1"), ("attributes{}", "keyword", "other", "CASE WHEN value < 20 THEN 1 ELSE 0 END + CASE WHEN json_extract_string(props, '$.k') IS NOT NULL THEN 1 ELSE 0 END"),
+)
 
 
-@query("l3_field_pairs", f"WITH {SPANS} SELECT 'error_type' AS a, 'parent_span_id' AS b, count(*) AS n FROM spans WHERE error_type IS NOT NULL AND parent_span_id IS NOT NULL")
+@query("cp29_nested_fields", " UNION ALL ".join(f"SELECT '{p}' AS path, '{k}' AS kind, '{r}' AS role, CAST(sum({n}) AS BIGINT) AS values, count(*) FILTER (WHERE {n} > 0) AS rows, count(*) FILTER (WHERE {n} = 0) AS nulls FROM events" for p, k, r, n in _NESTED).replace(" AS values,", ' AS "values",').replace(" AS rows,", ' AS "rows",'))
 def _(spark, sf):
-    return L.field_pairs(spans(spark, sf), ["error_type", "parent_span_id"])
+    df = table(spark, sf, "events")
+    item = lambda high: F.struct(F.col("event_type").alias("name"), high.cast("double").alias("high"))
+    who = F.struct("user_id", F.struct(F.when(F.col("event_type") == "error", "error").alias("level"), "value").alias("what"))
+    nested = df.select("event_id", who.alias("who"), F.array(item(F.when(F.col("value") > 50, F.col("value"))), item(F.lit(None))).alias("items"), _attributes().alias("attributes"))
+    return L.nested_fields(nested)
 
 
 @query("l4_field_profile", f"WITH {SPANS} SELECT 'service' AS name, count(DISTINCT service) AS distinct, count(*) FILTER (WHERE service IS NULL) AS nulls FROM spans UNION ALL SELECT 'operation', count(DISTINCT operation), count(*) FILTER (WHERE operation IS NULL) FROM spans UNION ALL SELECT 'error_type', count(DISTINCT error_type), count(*) FILTER (WHERE error_type IS NULL) FROM spans")
