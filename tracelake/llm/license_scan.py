@@ -1,9 +1,11 @@
 """License scan by patience alignment.
 
 Where a text holds enough of a template's words, each as often as there, within ``SPREAD`` times
-its length, that span and the template are aligned: words unique to both are anchors, the longest increasing run of
-anchors stays, and the gaps between them are aligned again the same way. The share of the
-template's words that the alignment reaches is its coverage. Every copy of every template is listed.
+its length or ``NEAR`` words, that span and the template are aligned: words unique to both are
+anchors, the longest increasing run of anchors stays, and the gaps between them are aligned again
+the same way. Templates of ``LONG`` words or more are also aligned with the whole text. The share
+of the template's words that the alignment reaches is its coverage. Every copy of every template
+is listed.
 
 Defined cases: null and empty texts hold no license; of templates with equal coverage the
 longer one wins, then the first by name; repeated rows stay repeated; an empty table gives an
@@ -24,8 +26,10 @@ from tracelake.llm.common import map_arrow, read
 from tracelake.llm.textops import PLAIN, Words, slices, texts_of
 
 COVERAGE = 0.8
-#: A copy with other words between is at most so many times as long as its template.
-SPREAD = 3
+#: A copy is looked for in so many times its template's length, or in so many words if that is more.
+SPREAD, NEAR = 3, 40
+#: Templates of so many words are also aligned with the whole text, however far their words lie apart; shorter ones would be found in any long text.
+LONG = 20
 
 # fixed values: wording of public licenses and notices; # stands for any one word
 TEMPLATES = {
@@ -105,13 +109,18 @@ class Template:
         self.vocabulary = np.unique(self.words[self.words != wild])
 
 
+def reach_of(template: Template) -> int:
+    """The words that a copy may take up."""
+    return max(SPREAD * len(template.words), NEAR)
+
+
 def tight_spans(words: list[int], at: list[int], template: Template, least: float) -> list[tuple[int, int]]:
     """Word ranges, none in another, that hold ``least`` of the template's words, each word as often as there at most.
 
-    No copy of at most ``SPREAD`` template lengths is without such a range: it holds the words
+    No copy within ``reach_of`` the template is without such a range: it holds the words
     that an alignment would reach, in any order.
     """
-    most = SPREAD * len(template.words)
+    most = reach_of(template)
     want, need = template.times, least * template.needed
     held: dict[int, int] = {}
     out: list[tuple[int, int]] = []
@@ -163,9 +172,13 @@ def matches(words: np.ndarray, member: np.ndarray, template: Template, least: fl
         reach(s, s + size + size // 2)
         if k == 0 or spans[k - 1][1] <= s:  # spans that overlap, as far as one copy can
             last = k
-            while last + 1 < len(spans) and spans[last + 1][0] < spans[last][1] and spans[last + 1][1] <= s + SPREAD * size:
+            while last + 1 < len(spans) and spans[last + 1][0] < spans[last][1] and spans[last + 1][1] <= s + reach_of(template):
                 last += 1
             reach(s, spans[last][1])
+    if template.needed >= LONG:  # patience over all of the template's words in the text
+        pairs = [(at[i], j) for i, j in align([text[i] for i in at], goal) if j not in template.free]
+        if len(pairs) >= least * template.needed:
+            found.append((len(pairs) / template.needed, pairs[0][0], pairs[-1][0] + 1))
     kept: list[tuple[float, int, int]] = []
     for f in sorted(found, key=lambda x: (-x[0], x[2] - x[1], x[1])):
         if all(f[2] <= k[1] or k[2] <= f[1] for k in kept):
