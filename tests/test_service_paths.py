@@ -28,14 +28,14 @@ def walks(edges, most):
 
 def test_paths_of_five_and_six(spark, monkeypatch):
     monkeypatch.setattr(q_graph, "edges", lambda spark, sf: spark.createDataFrame(CHAIN, EDGES))
-    assert sorted(r.path for r in catalog.queries()["g28_service_paths_all"](spark, "").collect()) == walks(CHAIN, 5)
+    assert sorted(r.path for r in catalog.queries()["g28_service_paths"](spark, "").collect()) == walks(CHAIN, 5)
     lat = {(s, t): (v, e) for s, t, _, v, e in CHAIN}
     want = {}
     for p in walks(CHAIN, 6):
         hops = [lat[h] for h in zip(p.split(">")[:-1], p.split(">")[1:], strict=True)]
         if len(hops) >= 2:
             want[p] = (sum(v for v, _ in hops), sum(v > 500 or e > 10 for v, e in hops))
-    assert {r.id: (r.latency, r.bottlenecks) for r in catalog.queries()["g29_topology_paths_all"](spark, "").collect()} == want
+    assert {r.id: (r.latency, r.bottlenecks) for r in catalog.queries()["g29_topology_paths"](spark, "").collect()} == want
 
 
 def test_usage_of_whole_paths(spark, monkeypatch):

@@ -72,17 +72,17 @@ def edge_outliers(spans: DataFrame, least_calls: int = 5, method: str = "robust"
     return scored.filter(F.col("score") > t).withColumn("kind", kind)
 
 
-def unusual_changes(changes: DataFrame, method: str = "robust", t: float = 3.5) -> DataFrame:
-    """Changes from ``graph.edge_changes`` that stand out among all: by their kind and deltas, or (``text``) by their wording's distance from the centroid."""
+def unusual_changes(changes: DataFrame, method: str = "robust", t: float | None = None) -> DataFrame:
+    """Changes from ``graph.edge_changes`` that stand out among all: by their kind and deltas (beyond 3.5), or (``text``) by their wording's similarity to the centroid (below .7)."""
     if method == "text":
         from tracelake.operators.vectors import centroid_outliers, embed_column
 
-        return centroid_outliers(embed_column(G.change_text(changes), "text"), "embedding", 0.7)
+        return centroid_outliers(embed_column(G.change_text(changes), "text"), "embedding", 0.7 if t is None else t)
     kinds = {f"_{k}": (F.col("kind") == k).cast("double") for k in ("new", "removed", "traffic_change", "error_rate_change")}
     deltas = {"_difference": F.col("difference").cast("double"), "_change": F.coalesce("change", F.lit(0.0)), "_error_change": F.coalesce("error_change", F.lit(0.0))}
     rows, features = changes.withColumns(kinds | deltas), [*kinds, *deltas]
     scored = X.robust_scores(rows, features, least=1) if method == "robust" else X.outlier_scores(rows, features, method=method)
-    return scored.filter(F.col("score") > t).drop(*features)
+    return scored.filter(F.col("score") > (3.5 if t is None else t)).drop(*features)
 
 
 # spans and attributes -----------------------------------------------------------------------

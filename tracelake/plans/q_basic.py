@@ -74,7 +74,6 @@ SELECT hit, near, side FROM near WHERE k <= 3"""
 
 
 @query("p15_j10_log_context", _CONTEXT)
-@query("p15_j10_log_context_all", _CONTEXT)
 def _(spark, sf):
     rows = logs(spark, sf)
     return C.log_context(rows.filter("level = 'error'"), rows, "event_id", k=3, window_s=3600)

@@ -10,6 +10,7 @@ from tracelake.operators import graph as G
 from tracelake.operators import regression as E
 from tracelake.operators import reports as P
 from tracelake.plans.fixtures import LOGS, METRICS, SPANS, logs, metrics, spans
+from tracelake.plans.q_regression import _RISKS
 from tracelake.plans.q_reports import _STEP
 from tracelake.plans.registry import query
 
@@ -139,3 +140,25 @@ def _(spark, sf):
 def _(spark, sf):
     now, before = periods(spark, sf)
     return B.behaviour_score(B.behaviour_anomalies(now, before), now)
+
+
+#: The dependencies as a chain: a service and the next one.
+_NEXT = "target = CASE source WHEN 'gateway' THEN 'svc-0' ELSE concat('svc-', CAST(substr(source, 5) AS INT) + 1) END"
+_CHAIN = _RISKS.replace("WITH ", "", 1).split(", cl AS")[0] + f""", eg AS (SELECT source, target, count(*) AS calls FROM calls WHERE {_NEXT} GROUP BY ALL), walk AS (SELECT target AS service, 1 AS depth FROM eg WHERE source = 'gateway' UNION SELECT eg.target, depth + 1 FROM walk JOIN eg ON eg.source = walk.service WHERE depth < 5),
+dp AS (SELECT service, min(depth) AS depth FROM walk WHERE service <> 'gateway' GROUP BY service), cl AS (SELECT target AS service, CAST(sum(calls) AS BIGINT) AS calls FROM eg GROUP BY target),
+rk AS (SELECT *, CASE WHEN error_rate > 10 THEN 30 WHEN error_rate > 5 THEN 15 ELSE 0 END + CASE WHEN p95 > 2000 THEN 20 WHEN p95 > 1000 THEN 10 ELSE 0 END + CASE WHEN availability < 95 THEN 30 WHEN availability < 99 THEN 15 ELSE 0 END + CASE WHEN depth = 1 AND calls > 1000 THEN 10 ELSE 0 END + CASE WHEN depth > 2 THEN 15 ELSE 0 END AS risk_score FROM dp JOIN hl USING (service) JOIN cl USING (service)), lv AS (SELECT *, CASE WHEN risk_score > 50 THEN 'high' WHEN risk_score > 25 THEN 'medium' ELSE 'low' END AS risk FROM rk)"""
+
+
+@query("d1_d2_transitive_risks", f"WITH RECURSIVE {_CHAIN} SELECT service, depth, calls, round(p95, 4) AS p95, risk_score, risk, CASE WHEN risk = 'high' AND calls > 1000 THEN 'critical' WHEN depth = 1 AND calls > 5000 AND score < 70 THEN 'critical' WHEN score < 70 AND calls > 500 THEN 'high' WHEN depth > 2 AND score < 80 THEN 'medium' ELSE 'low' END AS criticality, depth > 2 AS deep FROM lv")
+def _(spark, sf):
+    df = spans(spark, sf)
+    edges = G.dependency_edges(df).filter(F.expr(_NEXT))
+    out = E.dependency_risks(edges, P.dependency_health(df, 86400), "gateway")
+    return rounded(out.select("service", F.col("depth").cast("int").alias("depth"), "calls", "p95", "risk_score", "risk", "criticality", F.contains("factors", F.lit("Deep transitive")).alias("deep")), "p95")
+
+
+@query("d2_top_risks", f"WITH RECURSIVE {_CHAIN} SELECT service, risk_score, risk FROM lv ORDER BY risk_score DESC, service LIMIT 5")
+def _(spark, sf):
+    df = spans(spark, sf)
+    edges = G.dependency_edges(df).filter(F.expr(_NEXT))
+    return E.dependency_risks(edges, P.dependency_health(df, 86400), "gateway").orderBy(F.desc("risk_score"), "service").limit(5).select("service", "risk_score", "risk")

@@ -74,7 +74,7 @@ def _(spark, sf):
 
 @query("cp7_g36_change_wording")
 def _(spark, sf):
-    return K.unusual_changes(G.edge_changes(*halves(spark, sf)), method="text").select("source", "target", "text")
+    return K.unusual_changes(G.edge_changes(*halves(spark, sf)), method="text", t=0.99).select("source", "target", "text")
 
 
 @query("cp8_span_report", f"""WITH {SPANS}, r AS (SELECT * FROM spans WHERE contains(lower(service), 'svc') AND duration_ms >= 50), b AS (SELECT count(*) AS count, avg(duration_ms) AS avg, quantile_disc(duration_ms, 0.95) AS p95, avg(CAST(is_error AS INT)) AS error_rate FROM r), p AS (SELECT quantile_disc(duration_ms, 0.95) AS p95, quantile_disc(duration_ms, 0.99) AS p99 FROM r),

@@ -114,7 +114,6 @@ _WALK = f"WITH RECURSIVE {_EDGES}, starts AS (SELECT DISTINCT source AS s FROM e
 
 
 @query("g28_service_paths", _WALK.format(n=5) + " SELECT array_to_string(path, '>') AS path FROM whole")
-@query("g28_service_paths_all", _WALK.format(n=5) + " SELECT array_to_string(path, '>') AS path FROM whole")
 def _(spark, sf):
     return G.service_paths(edges(spark, sf)).select(F.array_join("path", ">").alias("path"))
 
@@ -131,7 +130,6 @@ _TOPOLOGY = _WALK.format(n=6) + ", h AS (SELECT array_to_string(path, '>') AS id
 
 
 @query("g29_topology_paths", _TOPOLOGY)
-@query("g29_topology_paths_all", _TOPOLOGY)
 def _(spark, sf):
     return rounded(G.topology_paths(edges(spark, sf)).select("id", "latency", "bottlenecks"), "latency")
 

@@ -351,9 +351,14 @@ def _(spark, sf):
 _CLS = f"""WITH {SPANS}, c AS (SELECT quantile_disc(duration_ms, 0.95) AS p FROM spans), r AS (SELECT span_id, service, start_ts, duration_ms, is_error, CASE WHEN contains(lower(concat_ws(' ', error_type, operation)), 'timeout') OR duration_ms > 30000 THEN 'timeout' WHEN contains(lower(concat_ws(' ', error_type, operation)), 'connection') THEN 'connection' WHEN contains(lower(concat_ws(' ', error_type, operation)), 'memory') THEN 'memory' WHEN duration_ms >= p THEN 'high_latency' ELSE 'unknown' END AS kind FROM spans, c WHERE duration_ms >= p OR is_error)"""
 
 
-@query("x15_trace_classes", _CLS + " SELECT span_id, kind FROM r")
+_SURE = "CASE kind WHEN 'timeout' THEN 0.9 WHEN 'connection' THEN 0.85 WHEN 'memory' THEN 0.9 WHEN 'high_latency' THEN 0.6 ELSE 0.5 END"
+
+
+@query("x15_trace_classes", _CLS.replace("is_error, CASE", "is_error, operation, CASE", 1) + f""", v AS (SELECT *, CAST({_SURE} AS DOUBLE) AS confidence, least(10.0, {_SURE} * 3 + CASE WHEN duration_ms > 10000 THEN 3 WHEN duration_ms > 5000 THEN 2 ELSE 0 END + CASE WHEN is_error THEN 2 ELSE 0 END + CASE WHEN kind = 'memory' THEN 3 WHEN kind IN ('timeout', 'connection') THEN 2 ELSE 0 END) AS score FROM r)
+SELECT span_id, kind, confidence, round(score, 4) AS score, CASE WHEN score >= 8 THEN 'critical' WHEN score >= 6 THEN 'high' WHEN score >= 4 THEN 'medium' ELSE 'low' END AS level, duration_ms, CASE WHEN is_error THEN 'ERROR' ELSE 'OK' END AS status, operation FROM v""")
 def _(spark, sf):
-    return X.classify_traces(spans(spark, sf)).select("span_id", "kind")
+    out = X.classify_traces(spans(spark, sf))
+    return rounded(out.select("span_id", "kind", "confidence", "score", "level", "evidence.*"), "score")
 
 
 @query("x17_patterns", _CLS + " SELECT 'kind' AS by, kind AS value, count(*) AS count FROM r GROUP BY kind HAVING count(*) >= 3 UNION ALL SELECT 'service', service, count(*) FROM r GROUP BY service HAVING count(*) >= 5")

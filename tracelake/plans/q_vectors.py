@@ -17,13 +17,25 @@ def rounded(df, *names, digits=4):
     return df.withColumns({n: F.round(n, digits) for n in names})
 
 
-@query("e1_hash_embedding")
+_HASHED = """w AS (SELECT id, unnest(string_split(lower(text), ' ')) AS w FROM texts), c AS (SELECT id, unnest(string_split(w, '')) AS ch, unnest(range(1, length(w) + 1)) AS p FROM w WHERE w <> ''), v AS (SELECT id, (unicode(ch) * p) % 384 AS i, count(*) AS n FROM c GROUP BY ALL)"""
+
+
+@query("e1_hash_embedding", f"""WITH {LOGS}, texts AS (SELECT event_id AS id, message AS text FROM logs), {_HASHED}, m AS (SELECT id, i, n, min(n) OVER (PARTITION BY id) AS least FROM v)
+SELECT id AS event_id, 384 AS dim, string_agg(concat(i, ':', CAST(n * 1000 // least AS BIGINT)), ' ' ORDER BY i) AS weights FROM m GROUP BY id""")
 def _(spark, sf):
+    """The filled places of each vector and their weights in thousandths of the least one."""
     from tracelake.shipping import ship
 
     ship(spark)
     e = logs(spark, sf).select("event_id", V.hash_embed(F.col("message")).alias("e"))
-    return e.select("event_id", F.size("e").alias("dim"), F.round(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm"))
+    least = F.array_min(F.filter("e", lambda x: x > 0))
+    place = F.filter(F.transform("e", lambda x, i: F.when(x > 0, F.concat_ws(":", i, F.floor(x / least * 1000 + 0.01).cast("long")))), lambda x: x.isNotNull())
+    return e.select("event_id", F.size("e").alias("dim"), F.array_join(place, " ").alias("weights"))
+
+
+def _searched(words: str, k: int) -> str:
+    return f"""{LOGS}, texts AS (SELECT event_id AS id, message AS text FROM logs UNION ALL SELECT -1, '{words}'), {_HASHED}, q AS (SELECT i, n FROM v WHERE id = -1), d AS (SELECT id, sum(v.n * coalesce(q.n, 0)) / (sqrt(sum(v.n * v.n)) * (SELECT sqrt(sum(n * n)) FROM q)) AS score FROM v LEFT JOIN q USING (i) WHERE id >= 0 GROUP BY id),
+hits AS (SELECT event_id, service, score FROM d JOIN logs ON event_id = id WHERE score >= 0.5 ORDER BY round(score, 6) DESC, ts LIMIT {k})"""
 
 
 @query("e2_cosine", "WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 5) AS similarity FROM embeddings, q")
@@ -38,7 +50,7 @@ def _(spark, sf):
     return V.centroid_outliers(table(spark, sf, "embeddings"), "embedding", 0.2).select("vec_id")
 
 
-@query("e4_semantic_search")
+@query("e4_semantic_search", f"WITH {_searched('failed request type error', 20)} SELECT event_id, round(score, 4) AS score, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.6 THEN 'medium' ELSE 'low' END AS grade FROM hits")
 def _(spark, sf):
     return rounded(V.semantic_search(logs(spark, sf), "failed request type error", 20).select("event_id", "score", "grade"), "score")
 
@@ -53,7 +65,7 @@ def _(spark, sf):
     return rounded(V.similar_pairs(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.5), "similarity")
 
 
-@query("e9_search_report")
+@query("e9_search_report", f"WITH {_searched('failed request', 50)} SELECT count(*) AS hits, round(avg(score), 4) AS mean, round(max(score), 4) AS max, round(min(score), 4) AS min, count(DISTINCT service) AS services, CASE WHEN avg(score) >= 0.8 THEN 'high' WHEN avg(score) >= 0.6 THEN 'medium' WHEN avg(score) >= 0.4 THEN 'low' ELSE 'weak' END AS relevance FROM hits")
 def _(spark, sf):
     return rounded(V.search_report(V.semantic_search(logs(spark, sf), "failed request", 50)), "mean", "max", "min")
 
