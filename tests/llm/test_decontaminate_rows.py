@@ -14,3 +14,9 @@ def test_rows_that_share_an_id(spark, documents, chars):
     assert out == [(0, False, 0, 0), (0, True, 4, 1), (1, False, 0, 0), (1, True, 3, 1), (2, True, 5, 1), (2, True, 5, 1), (3, False, 0, 0), (3, False, 0, 0)]
     kept = sorted((r.doc_id or 0, r.text or "") for r in decontaminate.drop_contaminated(docs, bench, chars=chars).collect())
     assert kept == [(0, "clean without an id"), (1, "a clean text of the same id"), (3, ""), (3, "")]
+
+
+def test_clashing_names(spark, documents):
+    bench = spark.createDataFrame([(1, " ".join(f"x{i}" for i in range(12)))], "item_id long, text string")
+    docs = documents([(1, " ".join(f"x{i}" for i in range(12))), (2, "clean")]).selectExpr("*", "'x' as _hit_id", "'y' as _hit_digest", "'z' as _id", "'k' as _key")
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()] == [2]

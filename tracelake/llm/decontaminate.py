@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import MOST_SENT, map_arrow, read, small_or_shuffled
+from tracelake.llm.common import MOST_SENT, fresh, map_arrow, read, small_or_shuffled
 from tracelake.llm.textops import PLAIN, Words, powers, slices, texts_of, window_hash
 
 SEED = 4
@@ -236,9 +236,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, least: float = COVERAGE, chars:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = COVERAGE, chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` that cover no benchmark item; a row is told by its id and its text."""
-    hit = best_items(docs, benchmark, least, chars).filter("item_id is not null").select(F.col("doc_id").alias("_hit_id"), F.col("digest").alias("_hit_digest")).distinct()
+    hit_id, hit_digest = fresh(docs, "_hit_id"), fresh(docs, "_hit_digest")
+    hit = best_items(docs, benchmark, least, chars).filter("item_id is not null").select(F.col("doc_id").alias(hit_id), F.col("digest").alias(hit_digest)).distinct()
     hit = small_or_shuffled(hit, MOST_SENT)
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_hit_id")) & F.sha2(docs["text"], 256).eqNullSafe(F.col("_hit_digest"))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(hit_id)) & F.sha2(docs["text"], 256).eqNullSafe(F.col(hit_digest))
     return docs.join(hit, same, "left_anti").select(docs.columns)
 
 

@@ -491,7 +491,7 @@ def compressed(rows: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, shards: int | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes' ranges of every row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes that are kept) of every row."""
     rows = versioned(docs)
     # dealt before they are grouped: single ranges travel smaller than lists of one
     ranges = removed_ranges(rows, length, shards).repartition("doc_id", "version").groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
