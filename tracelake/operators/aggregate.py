@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.stats import ratio
-from tracelake.functions.timeutil import bucket
+from tracelake.functions.timeutil import auto_interval, bucket
 
 
 def top_terms(df: DataFrame, key: str, n: int = 10) -> DataFrame:
@@ -24,6 +24,26 @@ def date_histogram(df: DataFrame, ts: str, seconds: int, keys: Sequence[str] = (
     return df.groupBy(*keys, bucket(F.col(ts), seconds).alias("bucket")).agg(*(aggs or [F.count("*").alias("count")]))
 
 
+def auto_date_histogram(df: DataFrame, ts: str, most: int = 100, aggs: Sequence[Column] = ()) -> DataFrame:
+    """interval (seconds) and bucket with the smallest usual width that needs ``most`` buckets at most; only the table's bounds come to the driver."""
+    first, last = df.agg(F.min(ts), F.max(ts)).first()
+    width = auto_interval((last - first).total_seconds() if first is not None else 0, most - 1)  # the bounds may lie in one bucket more
+    return date_histogram(df, ts, width, (), aggs).withColumn("interval", F.lit(width))
+
+
+def running_mean(buckets: DataFrame, keys: Sequence[str], order: str, total: str, count: str) -> DataFrame:
+    """Adds mean: what is known of a key up to each of its rows, from sums and counts that new rows only add to."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return buckets.withColumn("mean", ratio(F.sum(total).over(w), F.sum(count).over(w)))
+
+
+def baseline_stats(periods: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """keys, measure, mean, std, min, max, periods of each value over the periods of a baseline."""
+    long = F.explode(F.array(*[F.struct(F.lit(v).alias("measure"), F.col(v).cast("double").alias("value")) for v in values])).alias("v")
+    v = F.col("value")
+    return periods.select(*keys, long).select(*keys, "v.*").groupBy(*keys, "measure").agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("periods"))
+
+
 def spine(buckets: DataFrame, keys: Sequence[str], seconds: int, ts: str = "bucket") -> DataFrame:
     """Every bucket of each series between its first and last one."""
     ends = buckets.groupBy(*keys).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))

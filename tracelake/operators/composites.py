@@ -184,11 +184,14 @@ def banded(forecast: DataFrame, band: float = 0.1) -> DataFrame:
 
 
 def analyse_signal(series: DataFrame, keys: Sequence[str], action: str, periods: int = 7, **more) -> DataFrame:
-    """``anomaly`` (rows with their score, flagged above 0.7) or ``forecast`` (with a band) of any signal that is a series."""
+    """``anomaly`` (rows with their score, flagged above 0.7), ``forecast`` (with a band) or ``pattern`` (trend and strongest season) of any signal that is a series."""
     if action == "forecast":
         return banded(R.forecast(series, keys, periods, **more))
     if action == "anomaly":
         return X.detect_anomalies(series, keys, **more).withColumn("is_anomaly", F.col("score") > 0.7)
+    if action == "pattern":
+        best = R.seasonality(series, keys, more.get("seasons", (24, 7, 30))).groupBy(*keys).agg(F.max_by("period", F.struct("amplitude", -F.col("period"))).alias("period"), F.max("amplitude").alias("amplitude"))
+        return R.trend(series, keys).select(*keys, "slope", "r2", "direction").join(best, list(keys))
     raise ValueError(action)
 
 

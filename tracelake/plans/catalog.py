@@ -6,7 +6,7 @@ import importlib
 
 from tracelake.plans import registry
 
-MODULES = ("q_basic", "q_spans", "q_graph", "q_series", "q_logs", "q_vectors", "q_reports", "q_streaming", "q_composites", "q_regression", "q_prediction", "q_incident", "q_behaviour", "q_courses")
+MODULES = ("q_basic", "q_spans", "q_graph", "q_series", "q_logs", "q_vectors", "q_reports", "q_streaming", "q_composites", "q_regression", "q_prediction", "q_incident", "q_behaviour", "q_courses", "q_sources")
 
 
 def _load() -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import columns as C
 from tracelake.operators import anomaly as X
+from tracelake.operators import composites as K
 from tracelake.operators import courses as U
 from tracelake.operators import graph as G
 from tracelake.operators import reports as P
@@ -78,3 +79,9 @@ def _(spark, sf):
 def _(spark, sf):
     df = spans(spark, sf).select(F.create_map(F.lit("operation"), F.col("operation"), F.lit("error"), F.col("error_type"), F.lit("line"), F.col("line").cast("string")).alias("attributes"))
     return U.attribute_values(df, "attributes")
+
+
+@query("cp14_signal_pattern", f"WITH {S6}, t AS (SELECT metric, regr_slope(value, CAST(i AS DOUBLE)) AS slope, coalesce(regr_r2(value, CAST(i AS DOUBLE)), 0) AS r2 FROM s GROUP BY metric), o AS (SELECT metric, period, i % period AS k, max(value) - min(value) AS a FROM s, (SELECT unnest([4, 7, 28]) AS period) GROUP BY ALL), b AS (SELECT metric, period, max(a) AS amplitude FROM o GROUP BY ALL), c AS (SELECT metric, arg_max(period, (amplitude, -period)) AS period, max(amplitude) AS amplitude FROM b GROUP BY metric) SELECT metric, round(slope, 6) AS slope, round(r2, 6) AS r2, CASE WHEN abs(slope) <= 0.01 THEN 'stable' WHEN slope > 0 THEN 'increasing' ELSE 'decreasing' END AS direction, CAST(period AS INT) AS period, round(amplitude, 4) AS amplitude FROM t JOIN c USING (metric)")
+def _(spark, sf):
+    out = K.analyse_signal(six_hours(spark, sf), ["metric"], "pattern", seasons=(4, 7, 28))
+    return rounded(rounded(out, "slope", "r2", digits=6), "amplitude")
