@@ -13,7 +13,8 @@ SF = "/root/testdata/sf0.001"
 NAMES = (
     "p8_bool", "p15_j10_log_context", "j3_compare_periods", "a6_rank_percentiles", "a11_empty_buckets", "a18_significant_terms", "w7_islands", "n2_bottlenecks", "g1_dependency_edges", "g4_service_rollup", "g9_critical_path",
     "g22_g23_error_chains", "g45_closeness", "g49_components", "r3_fill_missing", "r4_w14_ema", "r15_forecast", "h3_divergences", "x1b_mad", "x14_span_anomalies", "t1_template_a", "t14_rules", "b7_violations", "c1_c2_c4_canary", "k1_k2_regressions",
-    "q1_q5_retry_storms", "v1_v2_cost", "y1_y2_pipeline_health", "d1_d2_dependency_health", "m1_system_health", "st3_tumbling", "st1_st2_drift",
+    "q1_q5_retry_storms", "v1_v2_cost", "y1_y2_pipeline_health", "d1_d2_dependency_health", "m1_system_health", "st3_tumbling", "st1_st2_drift", "st3_live_percentiles",
+    "z1_failure_patterns", "z3_warning_signals", "z4_predictions", "f3_pattern_matches", "m1_health_summary", "q5_retry_impact", "c4_score_parts", "i3_operations", "i7_anomalies", "d1_d2_transitive_risks", "v6_cost_trend", "q4_retry_root_causes", "l3_field_pairs", "cp29_nested_fields", "x3_density_noise", "e1_hash_embedding", "s1_scan_spans", "a13_auto_histogram",
 )
 
 
