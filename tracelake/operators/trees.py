@@ -1,7 +1,7 @@
 """Span-tree operators by level-wise joins: depth, critical path, error propagation, root-to-leaf paths.
 
-All of them stay within a trace; a span whose parent is missing or itself is a root. Each level
-is one join on (trace, span) with the level before, which is written to the shared folder, so
+All of them stay within a trace; a span whose parent is missing or itself is a root. Critical
+paths are found trace by trace after one exchange; for the others each level is one join on (trace, span) with the level before, which is written to the shared folder, so
 work grows with the depth and a trace of any size or depth is followed to its end; paths carry
 what they have visited, so cycles end.
 """
@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from tracelake.functions.lineage import cut_lineage
 from tracelake.functions.stats import percent, rank_percentiles, ratio
 
+#: Spans of a trace that one task may hold, and ids of larger traces that may be sent to every task.
+MOST_SPANS, MOST_SENT = 200_000, 100_000
+_PATH_COLUMNS = ("trace_id", "span_id", "service", "operation", "duration_ms")
+
 
 def with_roots(spans: DataFrame) -> DataFrame:
     """Spans with ``is_root``: no parent, itself as parent, or a parent that the trace doesn't have."""
@@ -59,20 +63,141 @@ def leaves(paths: DataFrame, spans: DataFrame) -> DataFrame:
     return paths.join(parents, ["trace_id", "span_id"], "left_anti")
 
 
-def critical_paths(spans: DataFrame, max_depth: int | None = None, min_duration: float = 0.0) -> DataFrame:
+def critical_paths(spans: DataFrame, max_depth: int | None = None, min_duration: float = 0.0, most_spans: int = MOST_SPANS) -> DataFrame:
     """Per trace the path of the largest summed duration; spans below ``min_duration`` are passed through but not listed.
 
     From each root the child with the largest sum along its path is followed, which is the
-    root-to-leaf path of the largest sum; ties go to the smallest path of ids.
+    root-to-leaf path of the largest sum; ties go to the smallest path of ids. Traces are dealt
+    once, and a task reads one trace at a time; those of over ``most_spans`` spans, which no task
+    should hold, are followed level by level instead.
     """
+    columns = [*_PATH_COLUMNS, "parent_span_id"]
+    large = cut_lineage(spans.groupBy("trace_id").agg(F.count("*").alias("n")).filter(F.col("n") > most_spans).select(F.col("trace_id").alias("_t")))
+    few = large.count()
+    rows = spans.select(*columns)
+    if few:
+        hint = F.broadcast(large) if few <= MOST_SENT else large
+        big = F.col("trace_id").eqNullSafe(F.col("_t"))
+        rows = rows.join(hint, big, "left_anti")
+    out = _paths_by_trace(rows, max_depth)
+    if few:
+        out = out.unionByName(_paths_by_level(spans.join(hint, big, "left_semi"), max_depth))
+    if min_duration > 0:
+        keep = F.filter(F.arrays_zip("path", "services", "operations", "durations"), lambda s: s["durations"] >= min_duration)
+        out = out.withColumn("_k", keep).select("trace_id", "total", *[F.col(f"_k.{c}").alias(c) for c in ("path", "services", "operations", "durations")])
+    return out
+
+
+def _paths_by_level(spans: DataFrame, max_depth: int | None) -> DataFrame:
+    """trace_id, path, services, operations, durations, total of the critical paths, by one join a level."""
     ends = leaves(span_paths(spans, max_depth), spans)
     total = F.aggregate("durations", F.lit(0.0), lambda a, x: a + x)
     best = ends.withColumn("total", total).groupBy("trace_id").agg(F.min_by(F.struct("path", "services", "operations", "durations", "total"), F.struct(-F.col("total"), F.col("path"))).alias("b"))
-    rows = best.select("trace_id", "b.*")
-    if min_duration > 0:
-        keep = F.filter(F.arrays_zip("path", "services", "operations", "durations"), lambda s: s["durations"] >= min_duration)
-        rows = rows.withColumn("_k", keep).select("trace_id", "total", *[F.col(f"_k.{c}").alias(c) for c in ("path", "services", "operations", "durations")])
-    return rows
+    return best.select("trace_id", "b.*")
+
+
+def critical_rows(trace, ids: list, parents: list, ms: list, max_depth: int | None) -> tuple[list[int], float | None] | None:
+    """Row numbers of one trace's critical path, and its sum; None where no path ends in a leaf.
+
+    Sums run from the root on. A row whose id is missing is no child; a sum with a missing
+    duration is missing and comes first.
+    """
+    own = set(ids) if trace is not None else set()
+    below: dict = {}
+    inner = set()
+    roots = []
+    for i, (x, p) in enumerate(zip(ids, parents, strict=True)):
+        if trace is not None and p is not None and p != x:
+            inner.add(p)
+        if p is None or p == x or p not in own:
+            roots.append(i)
+        elif x is not None:
+            below.setdefault(p, []).append(i)
+    once = len(own) == len(ids)  # each row has one parent then, and no cycle hangs on a root
+    # entries: (row, entry of the parent, sum, depth)
+    entries = [(i, -1, None if ms[i] is None else 0.0 + float(ms[i]), 1) for i in roots]
+    best, tied = None, []
+    at = 0
+
+    def chain(e: int) -> list[int]:
+        out = []
+        while e >= 0:
+            out.append(entries[e][0])
+            e = entries[e][1]
+        return out[::-1]
+
+    while at < len(entries):
+        i, _, total, depth = entries[at]
+        x = ids[i]
+        if x is None or x not in inner:
+            key = (total is not None, -(total or 0.0))
+            if best is None or key < best:
+                best, tied = key, [at]
+            elif key == best:
+                tied.append(at)
+        if max_depth is None or depth < max_depth:
+            children = below.get(x, ()) if x is not None else ()
+            if children and not once:
+                seen = {ids[r] for r in chain(at)}
+                children = [c for c in children if ids[c] not in seen]
+            for c in children:
+                entries.append((c, at, None if total is None or ms[c] is None else total + float(ms[c]), depth + 1))
+        at += 1
+    if best is None:
+        return None
+    paths = [chain(e) for e in tied]
+    rows = min(paths, key=lambda path: [(ids[r] is not None, ids[r]) if ids[r] is not None else (False, "") for r in path]) if len(paths) > 1 else paths[0]
+    return rows, entries[tied[0]][2]
+
+
+def _paths_by_trace(rows: DataFrame, max_depth: int | None) -> DataFrame:
+    """trace_id, path, services, operations, durations, total of the critical paths; a task holds the spans of one trace at a time."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from tracelake.shipping import ship
+
+    ship(rows.sparkSession)
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    lists = {"path": "span_id", "services": "service", "operations": "operation", "durations": "duration_ms"}
+    schema = T.StructType([T.StructField("trace_id", kinds["trace_id"]), *[T.StructField(n, T.ArrayType(kinds[c])) for n, c in lists.items()], T.StructField("total", T.DoubleType())])
+
+    def run(batches):
+        held: list[pa.Table] = []
+
+        def found(table: pa.Table, bounds: list[tuple[int, int]]) -> pa.RecordBatch:
+            ids, parents, ms, traces = (table.column(c).to_pylist() for c in ("span_id", "parent_span_id", "duration_ms", "trace_id"))
+            names, take, ends, totals = [], [], [0], []
+            for lo, hi in bounds:
+                one = critical_rows(traces[lo], ids[lo:hi], parents[lo:hi], ms[lo:hi], max_depth)
+                if one is not None:
+                    names.append(lo)
+                    take += [lo + r for r in one[0]]
+                    ends.append(len(take))
+                    totals.append(one[1])
+            at, offsets = pa.array(take, pa.int64()), pa.array(ends, pa.int32())
+            arrays = [pa.ListArray.from_arrays(offsets, table.column(c).take(at).combine_chunks()) for c in lists.values()]
+            first = table.column("trace_id").take(pa.array(names, pa.int64())).combine_chunks()
+            return pa.RecordBatch.from_arrays([first, *arrays, pa.array(totals, pa.float64())], [*("trace_id", *lists), "total"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            if held and t.column("trace_id")[0].as_py() == held[0].column("trace_id")[0].as_py() == t.column("trace_id")[-1].as_py():
+                held.append(t)  # a trace of several batches goes on
+                continue
+            t = pa.concat_tables([*held, t])
+            names = t.column("trace_id").to_pylist()
+            edges = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1])]
+            if len(edges) > 1:
+                yield found(t, list(zip(edges[:-1], edges[1:], strict=True)))
+            held = [t.slice(edges[-1])]  # the last trace may go on
+        if held:
+            t = pa.concat_tables(held)
+            yield found(t, [(0, t.num_rows)])
+
+    return rows.repartition("trace_id").sortWithinPartitions("trace_id").mapInArrow(run, schema)
 
 
 def path_stats(paths: DataFrame) -> DataFrame:
