@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tracelake.llm import decontaminate, exact_dedup, html_text, hyperminhash, jaccard_join, language, license_scan, merkle, packing, quality, spelling, suffix_dedup, url_rules
+from tracelake.llm.near_sql import components_sql
 
 
 def queries():
@@ -27,6 +28,8 @@ def oracle_sql():
     return {
         "op4_url_rules": url_rules.ORACLE,
         "op5_exact_dedup": exact_dedup.ORACLE,
+        "op9_jaccard_join": components_sql(jaccard_join.WORDS, kept=False),
+        "op11_hyperminhash_dedup": components_sql(hyperminhash.WORDS, kept=True),
         "op12_spelling_variants": spelling.ORACLE,
         "op13_merkle_manifest": merkle.ORACLE,
     }
