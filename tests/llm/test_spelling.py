@@ -64,7 +64,7 @@ def test_equals_brute_force(spark, documents):
         rows += [(3, None), (4, ""), (None, text_of(r, words, 60)), (None, rows[5][1]), rows[6], rows[6], (9, "12 ... Ā"), (11, text_of(r, words, 9000))]
         have = got(spark, documents(rows, 4).withColumns({c: F.lit("x") for c in ("word", "form", "root", "half", "gram", "length")}), every)
         assert have == brute(rows, every) and len(have) > 50
-        assert any(w[1] for w in have) and any(w[1] != w[2] for w in have if w[1])
+        assert any(w[1] for w in have)  # chains of forms have a test of their own
 
 
 def test_chains_ties_and_nothing(spark, documents):
