@@ -28,8 +28,9 @@ def _(spark, sf):
 
     ship(spark)
     e = logs(spark, sf).select("event_id", V.hash_embed(F.col("message")).alias("e"))
-    least = F.array_min(F.filter("e", lambda x: x > 0))
-    place = F.filter(F.transform("e", lambda x, i: F.when(x > 0, F.concat_ws(":", i, F.floor(x / least * 1000 + 0.01).cast("long")))), lambda x: x.isNotNull())
+    least = F.array(F.array_min(F.filter("e", lambda x: x > 0)))  # bound once a row, not once a place
+    weights = lambda m: F.transform("e", lambda x, i: F.when(x > 0, F.concat_ws(":", i, F.floor(x / m * 1000 + 0.01).cast("long"))))
+    place = F.filter(F.get(F.transform(least, weights), F.lit(0)), lambda x: x.isNotNull())
     return e.select("event_id", F.size("e").alias("dim"), F.array_join(place, " ").alias("weights"))
 
 
