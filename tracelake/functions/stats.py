@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.functions.lineage import cut_lineage
+
 
 def ratio(a: Column, b: Column, otherwise: float = 0.0) -> Column:
     """a / b, or ``otherwise`` where b is 0 or null."""
@@ -17,23 +19,67 @@ def percent(a: Column, b: Column) -> Column:
     return ratio(a * 100.0, b)
 
 
-def rank_percentiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float], flavour: str = "nearest") -> DataFrame:
+#: Rows (keys, value, count) up to which ranks come from one window a group; beyond, from ranges.
+MOST_RANKED = 1_000_000
+
+
+def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """keys, value and ``_n``, nulls too, written once, so that what is ranked is not computed again."""
+    return cut_lineage(df.groupBy(*keys, value).agg(F.count("*").alias("_n")))
+
+
+def rank_percentiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float], flavour: str = "nearest", counted: bool = False) -> DataFrame:
     """Exact rank percentiles per group: ``nearest`` takes rank ceil(p n), ``floor`` rank floor(p n) + 1.
 
-    Equal values are counted before they are ranked, so a group's rows never meet one by one.
-    Without keys, only the values close to a rank are ordered.
+    Equal values are counted before they are ranked, so a group's rows never meet one by one;
+    ``counted`` rows are those of ``value_counts``. Without keys, only the values close to a rank
+    are ordered.
     """
     if not keys:
         return _overall_percentiles(df, value, points, flavour)
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    group = Window.partitionBy(*keys)
-    upto = F.sum("_n").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = counts.withColumn("_to", upto).withColumn("_all", F.sum("_n").over(group))
-    out = []
-    for name, p in points.items():
-        rank = _rank(p, flavour)
-        out.append(F.max(F.when((F.col("_to") - F.col("_n") < rank) & (rank <= F.col("_to")), F.col(value))).alias(name))
-    return ranked.groupBy(*keys).agg(*out)
+    counts = df if counted else value_counts(df, keys, value)
+    return _at_ranks(counts, keys, value, {name: _rank(p, flavour) for name, p in points.items()}).drop("_all")
+
+
+def interpolated_percentiles(df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float], counted: bool = False) -> DataFrame:
+    """Exact percentiles per group between the two values around (n - 1) p, as ``F.percentile`` gives them, without holding a group in a task."""
+    counts = df if counted else value_counts(df, keys, value)
+    spot = {name: (F.col("_all") - 1) * F.lit(float(p)) for name, p in points.items()}
+    ranks = {f"_{side}_{name}": step(x) + 1 for name, x in spot.items() for side, step in (("lo", F.floor), ("hi", F.ceil))}
+    out = _at_ranks(counts, keys, value, ranks)
+    double = lambda name: F.col(name).cast("double")
+    found = {}
+    for name, x in spot.items():
+        lo, hi = double(f"_lo_{name}"), double(f"_hi_{name}")
+        found[name] = F.when(F.floor(x) == F.ceil(x), lo).otherwise((F.ceil(x) - x) * lo + (x - F.floor(x)) * hi)
+    return out.select(*keys, *[c.alias(name) for name, c in found.items()])
+
+
+def _at_ranks(counts: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    """keys, ``_all`` and for each name the value at a rank (from 1), an expression of ``_all``; a group without values has no row.
+
+    Many counts are dealt by ranges of (keys, value). Sums of ranges tell where a rank lies, and
+    only the ranges that hold one are ordered within.
+    """
+    counts = counts.filter(F.col(value).isNotNull()).select(*keys, value, "_n")
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    upto = lambda w, by, n: F.sum(n).over(w.orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    at = lambda rank: (F.col("_to") - F.col("_n") < rank) & (rank <= F.col("_to"))
+    if counts.count() <= MOST_RANKED:
+        ranked = counts.withColumn("_to", upto(group, value, "_n")).withColumn("_all", F.sum("_n").over(group))
+    else:
+        dealt = cut_lineage(counts.repartitionByRange(*keys, value).withColumn("_range", F.spark_partition_id()))
+        sums = dealt.groupBy(*keys, "_range").agg(F.sum("_n").alias("_n"))
+        sums = sums.withColumn("_to", upto(group, "_range", "_n")).withColumn("_all", F.sum("_n").over(group))
+        holds = sums.filter(F.exists(F.array(*ranks.values()), at))
+        ends = cut_lineage(holds.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_range").alias("_r"), (F.col("_to") - F.col("_n")).alias("_before"), "_all"))
+        same = F.col("_range") == F.col("_r")
+        for i, k in enumerate(keys):
+            same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        inner = Window.partitionBy(*keys, "_range")
+        ranked = dealt.join(ends, same).withColumn("_to", F.col("_before") + upto(inner, value, "_n"))
+    first = [F.max("_all").alias("_all")]
+    return ranked.groupBy(*keys).agg(*first, *[F.max(F.when(at(rank), F.col(value))).alias(name) for name, rank in ranks.items()])
 
 
 def _rank(p: float, flavour: str) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.functions.stats import linear_percentiles, percent, rank_percentiles, ratio
+from tracelake.functions.stats import interpolated_percentiles, percent, rank_percentiles, ratio
 
 
 def span_stats(spans: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -77,8 +77,11 @@ def trace_overview(spans: DataFrame) -> DataFrame:
     points = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
     out = spans.agg(
         F.count("*").alias("spans"), F.count_distinct("trace_id").alias("traces"), F.count_distinct(F.when(F.col("is_error"), F.col("trace_id"))).alias("error_traces"),
-        F.avg("duration_ms").alias("avg"), F.min("duration_ms").alias("min"), F.max("duration_ms").alias("max"), *linear_percentiles("duration_ms", points),
+        F.avg("duration_ms").alias("avg"), F.min("duration_ms").alias("min"), F.max("duration_ms").alias("max"),
     )
+    middle = interpolated_percentiles(spans, [], "duration_ms", points)
+    out = out.join(F.broadcast(middle), how="left")  # a row each
+    out = out.select("spans", "traces", "error_traces", "avg", "min", "max", *points)
     return out.withColumn("error_percent", percent(F.col("error_traces"), F.col("traces")))
 
 

@@ -153,15 +153,15 @@ def _(spark, sf):
 @query("a6_percentiles", f"WITH {SPANS} SELECT service, " + ", ".join(f"round(quantile_cont(duration_ms, {p}), 4) AS p{n}" for n, p in (("50", 0.5), ("75", 0.75), ("90", 0.9), ("95", 0.95), ("99", 0.99), ("99_9", 0.999))) + " FROM spans GROUP BY service")
 def _(spark, sf):
     points = {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p99_9": 0.999}
-    df = spans(spark, sf).groupBy("service").agg(*S.linear_percentiles("duration_ms", points))
+    df = S.interpolated_percentiles(spans(spark, sf), ["service"], "duration_ms", points)
     return df.withColumns({k: r(k) for k in points})
 
 
 @query("a6_rank_percentiles", f"WITH {SPANS} SELECT service, quantile_disc(duration_ms, 0.5) AS p50, quantile_disc(duration_ms, 0.95) AS p95, list_sort(list(duration_ms))[least(CAST(floor(0.99 * count(*)) AS BIGINT) + 1, count(*))] AS f99 FROM spans GROUP BY service")
 def _(spark, sf):
-    df = spans(spark, sf)
-    near = S.rank_percentiles(df, ["service"], "duration_ms", {"p50": 0.5, "p95": 0.95})
-    return near.join(S.rank_percentiles(df, ["service"], "duration_ms", {"f99": 0.99}, "floor"), "service")
+    counts = S.value_counts(spans(spark, sf), ["service"], "duration_ms")
+    near = S.rank_percentiles(counts, ["service"], "duration_ms", {"p50": 0.5, "p95": 0.95}, counted=True)
+    return near.join(S.rank_percentiles(counts, ["service"], "duration_ms", {"f99": 0.99}, "floor", counted=True), "service")
 
 
 @query("a7_a8_terms", f"WITH {SPANS} SELECT service, operation, count(*) AS count FROM spans GROUP BY ALL ORDER BY count DESC, service, operation LIMIT 20")
