@@ -7,7 +7,8 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.functions.stats import rank_percentiles, ratio
+from tracelake.functions.lineage import cut_lineage
+from tracelake.functions.stats import interpolated_percentiles, rank_percentiles, ratio, value_counts
 from tracelake.operators.density import density_clusters
 from tracelake.operators.series import seasonal_adjust
 from tracelake.shipping import ship
@@ -106,22 +107,25 @@ def bursts(series: DataFrame, keys: Sequence[str]) -> DataFrame:
     return series.withColumn("z", z).filter("z > 2").withColumn("level", F.when(F.col("z") > 3, "high").otherwise("medium"))
 
 
-def robust_scores(df: DataFrame, features: Sequence[str], by: Sequence[str] = (), least: int = 20) -> DataFrame:
-    """Largest absolute modified z over the features, within groups of at least ``least`` rows."""
-    def counted(rows: DataFrame) -> DataFrame:
-        if by:
-            return rows.withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
-        return rows.crossJoin(F.broadcast(rows.agg(F.count("*").alias("_n"))))  # one row; a window would gather the table
-
-    rows = counted(df).filter(F.col("_n") >= least).drop("_n")
+def _joined(a: DataFrame, b: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join by group; without groups ``b`` is one row."""
+    return a.join(b, list(by), how) if by else a.join(F.broadcast(b), how=how)
 
-    def with_medians(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
-        found = rows.groupBy(*by).agg(*[F.percentile(c, F.lit(0.5)).alias(name) for name, c in columns.items()])
-        return rows.join(found, list(by)) if by else rows.crossJoin(F.broadcast(found))
 
-    rows = with_medians(rows, {f"_m_{f}": f for f in features})
+def robust_scores(df: DataFrame, features: Sequence[str], by: Sequence[str] = (), least: int = 20) -> DataFrame:
+    """Largest absolute modified z over the features, within groups of at least ``least`` rows."""
+    found = None
+    for f in features:  # distances are counted from the counts of values; the rows are read once a feature and once for the result
+        counts = value_counts(df, by, f)
+        size = counts.groupBy(*by).agg(F.sum("_n").alias("_rows"))
+        middle = interpolated_percentiles(counts, by, f, {f"_m_{f}": 0.5}, counted=True)
+        away = _joined(counts, middle, by).groupBy(*by, F.abs(F.col(f) - F.col(f"_m_{f}")).alias("_d")).agg(F.sum("_n").alias("_n"))
+        spread = interpolated_percentiles(cut_lineage(away), by, "_d", {f"_a_{f}": 0.5}, counted=True)
+        per = _joined(_joined(size, middle, by, "left"), spread, by, "left")
+        found = per if found is None else _joined(found, per.drop("_rows"), by)
+    # a row a group, and its size is known: it goes to every task if it is small
+    rows = _joined(df, cut_lineage(found.filter(F.col("_rows") >= least).drop("_rows")), by)
     rows = rows.withColumns({f"_d_{f}": F.abs(F.col(f) - F.col(f"_m_{f}")) for f in features})
-    rows = with_medians(rows, {f"_a_{f}": f"_d_{f}" for f in features})
     parts = [ratio(0.6745 * F.col(f"_d_{f}"), F.col(f"_a_{f}")) for f in features]
     score = F.greatest(*parts) if len(parts) > 1 else parts[0]
     return rows.withColumn("score", score).drop(*[f"_{k}_{f}" for k in "mda" for f in features])
