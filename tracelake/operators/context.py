@@ -2,25 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def log_context(hits: DataFrame, logs: DataFrame, key: str, k: int = 3, window_s: int = 60) -> DataFrame:
     """(hit, near, side): up to k logs before and after each hit, of its service, within the window.
 
-    Both sides are cut into windows of the same length and a hit looks into three of them, so
-    the range join is an equi-join.
+    A service's logs are counted at each moment and the moments dealt by cells of one window, so
+    that no service meets in one task. A hit reads, in its cell and the two beside it, only what
+    may be near: the k first ids of a moment, and of the moments those that hold k logs on either
+    side. Logs of the hit's own moment count as after it.
     """
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    cell = lambda c: F.floor(micros(c) / (window_s * 1_000_000))
-    h = hits.select(F.col(key).alias("hit"), "service", micros("ts").alias("_h"), F.explode(F.array(cell("ts") - 1, cell("ts"), cell("ts") + 1)).alias("_cell"))
-    n = logs.select(F.col(key).alias("near"), "service", micros("ts").alias("_n"), cell("ts").alias("_cell"))
-    gap = F.abs(F.col("_n") - F.col("_h"))
-    pairs = h.join(n, ["service", "_cell"]).filter((F.col("hit") != F.col("near")) & (gap <= window_s * 1_000_000))
-    pairs = pairs.withColumn("side", F.when(F.col("_n") < F.col("_h"), "before").otherwise("after"))
-    order = Window.partitionBy("hit", "side").orderBy(gap, "near")
-    return pairs.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= k).select("hit", "near", "side")
+    span = window_s * 1_000_000
+    cell = F.floor(F.col("_t") / span)
+    # at most k + 1 ids of a moment can be near: one of them may be the hit itself
+    moment = Window.partitionBy("service", "_t").orderBy("near")
+    rows = logs.select(F.col(key).alias("near"), "service", micros("ts").alias("_t")).filter("service is not null and _t is not null and near is not null")
+    few = rows.withColumn("_i", F.row_number().over(moment)).filter(F.col("_i") <= k + 1)
+    moments = few.groupBy("service", "_t").agg(F.sort_array(F.collect_list("near")).alias("_ids"))
+    found = hits.select(F.col(key).alias("hit"), "service", micros("ts").alias("_t")).filter("service is not null and _t is not null and hit is not null")
+    asked = found.select("service", "_t").distinct()
+    points = moments.join(asked.withColumn("_asked", F.lit(True)), ["service", "_t"], "left")
+    # every moment stands in its own cell, and for the neighbours' sake in the two beside it
+    near = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.struct((cell + d).alias("cell"), (d == 0).alias("own")))
+    points = points.withColumn("_c", F.explode(near)).select("service", "_t", "_ids", F.col("_c.cell").alias("_cell"), (F.col("_c.own") & F.col("_asked").isNotNull()).alias("_asks"))
+    line = Window.partitionBy("service", "_cell").orderBy("_t")
+    here = F.struct("_t", "_ids")
+    earlier = F.collect_list(here).over(line.rowsBetween(-k, -1))
+    later = F.collect_list(here).over(line.rowsBetween(0, k + 1))
+    beside = points.withColumns({"_earlier": earlier, "_later": later}).filter("_asks").select("service", "_t", "_earlier", "_later")
+    pairs = found.join(beside, ["service", "_t"])
+
+    def nearest_of(side: str, name: str) -> Column:
+        ids = F.flatten(F.transform(side, lambda m: F.transform(m["_ids"], lambda x: F.struct(F.abs(m["_t"] - F.col("_t")).alias("gap"), x.alias("near")))))
+        within = F.filter(ids, lambda x: (x["gap"] <= span) & (x["near"] != F.col("hit")))
+        return F.transform(F.slice(F.sort_array(within), 1, k), lambda x: F.struct(x["near"].alias("near"), F.lit(name).alias("side")))
+
+    out = pairs.withColumn("_n", F.explode(F.concat(nearest_of("_earlier", "before"), nearest_of("_later", "after"))))
+    return out.select("hit", F.col("_n.near").alias("near"), F.col("_n.side").alias("side"))
 
 
 def nearest(left: DataFrame, right: DataFrame, lts: str, rts: str, seconds: int) -> DataFrame:
