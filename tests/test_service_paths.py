@@ -45,3 +45,28 @@ def test_usage_of_whole_paths(spark, monkeypatch):
     monkeypatch.setattr(q_graph, "spans", lambda spark, sf: df)
     got = [(r.path, r.traces) for r in catalog.queries()["g28_path_usage"](spark, "").collect()]
     assert got == [("a>b>c>d>e", 1)]
+
+
+def test_usage_against_every_trace(spark):
+    """Walks with repeats, paths that are beginnings of others, traces without duration."""
+    import itertools
+    import random
+
+    from tracelake.operators import graph
+
+    rng = random.Random(3)
+    t = datetime.datetime(2024, 1, 1)
+    walks_of = {f"t{i}": [rng.choice("abcd") for _ in range(rng.randrange(1, 8))] for i in range(80)}
+    rows = [(k, f"s{i}", s, t + datetime.timedelta(seconds=i), None if k == "t3" else float(i), i == 2) for k, w in walks_of.items() for i, s in enumerate(w)]
+    df = spark.createDataFrame(rows, "trace_id string, span_id string, service string, start_ts timestamp_ntz, duration_ms double, is_error boolean")
+    paths = [list(p) for n in (2, 3, 4) for p in itertools.permutations("abcd", n)] + [["a"], ["x", "a"]]
+    want = {}
+    for p in paths:
+        hit = [w for w in walks_of.items() if all(s in it for it in [iter(w[1])] for s in p)]
+        if hit:
+            known = [float(sum(range(len(w)))) for k, w in hit if k != "t3"]
+            want[tuple(p)] = (len(hit), round(sum(known) / len(known), 6) if known else None, round(sum(len(w) > 2 for _, w in hit) / len(hit), 6), round(len(hit) / 80, 6))
+    out = graph.path_usage(spark.createDataFrame([(p,) for p in paths], "path array<string>"), df)
+    got = {tuple(r.path): (r.traces, r.avg if r.avg is None else round(r.avg, 6), round(r.error_share, 6), round(r.criticality, 6)) for r in out.collect()}
+    assert got == want and len(got) > 50
+    assert "aggregate(walk" not in out._jdf.queryExecution().optimizedPlan().toString()
