@@ -27,8 +27,11 @@ def calls(spans: DataFrame, root_edges: bool = True) -> DataFrame:
 def dependency_edges(spans: DataFrame, minutes: float | None = None, root_edges: bool = True) -> DataFrame:
     """Per (source, target): calls, errors, rates in %, latency over positive durations with floor-rank percentiles, calls a minute."""
     rows = calls(spans, root_edges).withColumn("_ms", F.when(F.col("duration_ms") > 0, F.col("duration_ms")))
-    base = rows.groupBy("source", "target").agg(F.count("*").alias("call_count"), F.count_if("is_error").alias("error_count"), F.avg("_ms").alias("lat_avg"), F.min("_ms").alias("lat_min"), F.max("_ms").alias("lat_max"))
-    ranks = rank_percentiles(rows, ["source", "target"], "_ms", {"lat_p50": 0.5, "lat_p95": 0.95, "lat_p99": 0.99}, "floor")
+    # calls of equal latency are counted, and what follows reads the counts, as often as edges are used
+    counts = cut_lineage(rows.groupBy("source", "target", "_ms").agg(F.count("*").alias("_n"), F.count_if("is_error").alias("_e")))
+    mean = F.sum(F.col("_ms") * F.col("_n")) / F.sum(F.when(F.col("_ms").isNotNull(), F.col("_n")))
+    base = counts.groupBy("source", "target").agg(F.sum("_n").alias("call_count"), F.sum("_e").alias("error_count"), mean.alias("lat_avg"), F.min("_ms").alias("lat_min"), F.max("_ms").alias("lat_max"))
+    ranks = rank_percentiles(counts, ["source", "target"], "_ms", {"lat_p50": 0.5, "lat_p95": 0.95, "lat_p99": 0.99}, "floor", counted=True)
     out = base.join(ranks, ["source", "target"], "left").withColumn("error_rate", percent(F.col("error_count"), F.col("call_count")))
     out = out.withColumn("success_rate", 100 - F.col("error_rate"))
     return out.withColumn("throughput_per_min", F.col("call_count") / minutes) if minutes else out
@@ -157,13 +160,31 @@ def service_paths(edges: DataFrame, max_len: int = 5) -> DataFrame:
 
 
 def path_usage(paths: DataFrame, spans: DataFrame) -> DataFrame:
-    """Traces that hold a path as an ordered subsequence of their services: count, mean duration, error share, criticality."""
+    """Traces that hold a path as an ordered subsequence of their services: count, mean duration, error share, criticality.
+
+    Traces of the same services in the same order are one row. Each follows the paths from service
+    to service, at the first place where the next one stands, so it meets only beginnings of paths
+    that it holds; no path is compared with a trace that lacks it.
+    """
     t = spans.groupBy("trace_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("start_ts", "span_id", "service"))), lambda x: x["service"]).alias("walk"), F.sum("duration_ms").alias("total"), F.max("is_error").alias("bad"))
-    hit = F.aggregate("walk", F.lit(1), lambda k, s: F.when((k <= F.size("path")) & (s == F.get("path", k - 1)), k + 1).otherwise(k)) > F.size("path")
-    whole = F.broadcast(t.agg(F.count("*").alias("_all")))
-    first = t.withColumn("_first", F.explode(F.array_distinct("walk")))  # a trace meets only paths that start at one of its services
-    used = first.join(paths.withColumn("_first", F.get("path", F.lit(0))), "_first").filter(hit)
-    out = used.groupBy("path").agg(F.count("*").alias("traces"), F.avg("total").alias("avg"), ratio(F.count_if("bad"), F.count("*")).alias("error_share"))
+    walks = cut_lineage(t.groupBy("walk").agg(F.count("*").alias("n"), F.sum("total").alias("sum"), F.count("total").alias("known"), F.count_if("bad").alias("bad")))
+    whole = F.broadcast(walks.agg(F.sum("n").alias("_all")))
+    paths = cut_lineage(paths.select("path").distinct())
+    longest = paths.agg(F.max(F.size("path"))).first()[0] or 0
+    measures = ("n", "sum", "known", "bad")
+    # path and rest: what is followed so far, and the services after it
+    level = walks.select(F.array().cast("array<string>").alias("path"), F.col("walk").alias("rest"), *measures)
+    used = None
+    for k in range(1, longest + 1):
+        begun = cut_lineage(paths.filter(F.size("path") >= k).select(F.slice("path", 1, k).alias("path")).distinct())  # small ones go to every task
+        following = level.withColumn("_s", F.explode(F.array_distinct("rest")))
+        following = following.select(F.concat("path", F.array("_s")).alias("path"), F.expr("slice(rest, array_position(rest, _s) + 1, size(rest))").alias("rest"), *measures)
+        level = following.join(begun, "path")
+        ends = level.join(paths.filter(F.size("path") == k), "path", "left_semi").groupBy("path").agg(*[F.sum(m).alias(m) for m in measures])
+        used = ends if used is None else used.unionByName(ends)
+    if used is None:
+        used = level.limit(0).drop("rest")
+    out = used.select("path", F.col("n").alias("traces"), F.try_divide("sum", "known").alias("avg"), ratio(F.col("bad"), F.col("n")).alias("error_share"))
     return out.crossJoin(whole).withColumn("criticality", ratio(F.col("traces"), F.col("_all"))).drop("_all")
 
 
