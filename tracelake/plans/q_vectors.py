@@ -63,7 +63,7 @@ def _(spark, sf):
 
 @query("e6_similar_pairs")
 def _(spark, sf):
-    return rounded(V.similar_pairs(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.5), "similarity")
+    return rounded(V.similar_classes(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.5), "similarity")
 
 
 @query("e9_search_report", f"WITH {_searched('failed request', 50)} SELECT count(*) AS hits, round(avg(score), 4) AS mean, round(max(score), 4) AS max, round(min(score), 4) AS min, count(DISTINCT service) AS services, CASE WHEN avg(score) >= 0.8 THEN 'high' WHEN avg(score) >= 0.6 THEN 'medium' WHEN avg(score) >= 0.4 THEN 'low' ELSE 'weak' END AS relevance FROM hits")
