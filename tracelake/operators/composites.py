@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import columns as C
 from tracelake.functions import predicates as P
+from tracelake.functions.lineage import cut_lineage
 from tracelake.functions.stats import rank_percentiles, ratio
 from tracelake.operators import anomaly as X
 from tracelake.operators import graph as G
@@ -59,14 +60,17 @@ def traced_graph(spans: DataFrame, traces: int = 10) -> DataFrame:
     nodes = spans.select(F.col("service").alias("source"), F.lit(None).cast("string").alias("target"), "trace_id", "duration_ms", "is_error")
     rows = nodes.unionByName(G.calls(spans).select("source", "target", "trace_id", "duration_ms", "is_error")).withColumn("target", F.coalesce("target", F.lit("")))
     keys = ["source", "target"]
-    base = rows.groupBy(*keys).agg(F.count("*").alias("count"), F.count_if("is_error").alias("errors"), F.avg("duration_ms").alias("avg"), F.count_distinct("trace_id").alias("traces"))
-    out = base.join(rank_percentiles(rows, keys, "duration_ms", {"p95": 0.95}, "floor"), keys).join(_first_traces(rows, keys, traces), keys)
+    # a row a trace of each edge, written once: totals, distinct traces and first ids come from it
+    sums = [F.count("*").alias("_n"), F.count_if("is_error").alias("_e"), F.sum("duration_ms").alias("_ms"), F.count("duration_ms").alias("_known")]
+    per = cut_lineage(rows.groupBy(*keys, "trace_id").agg(*sums))
+    base = per.groupBy(*keys).agg(F.sum("_n").alias("count"), F.sum("_e").alias("errors"), F.try_divide(F.sum("_ms"), F.sum("_known")).alias("avg"), F.count("trace_id").alias("traces"))
+    out = base.join(rank_percentiles(rows, keys, "duration_ms", {"p95": 0.95}, "floor"), keys).join(_first_traces(per, keys, traces), keys)
     return out.select("source", F.nullif("target", F.lit("")).alias("target"), "count", "errors", ratio(F.col("errors"), F.col("count")).alias("error_rate"), "avg", "p95", "traces", "trace_ids")
 
 
 def edge_outliers(spans: DataFrame, least_calls: int = 5, method: str = "robust", t: float = 3.5, traces: int = 10) -> DataFrame:
     """Edges of at least ``least_calls`` calls that stand out by error rate, mean and p95, with their kind and first trace ids."""
-    edges = traced_graph(spans, traces).filter(F.col("target").isNotNull() & (F.col("count") >= least_calls))
+    edges = cut_lineage(traced_graph(spans, traces).filter(F.col("target").isNotNull() & (F.col("count") >= least_calls)))
     scored = X.outlier_scores(edges, ["error_rate", "avg", "p95"], method=method) if method != "robust" else X.robust_scores(edges, ["error_rate", "avg", "p95"], least=1)
     kind = F.when(F.col("error_rate") > 0.1, "high_error_rate").when(F.col("p95") > 1000, "high_latency").otherwise("unusual_pattern")
     return scored.filter(F.col("score") > t).withColumn("kind", kind)
