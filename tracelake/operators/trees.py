@@ -210,7 +210,8 @@ def path_stats(paths: DataFrame) -> DataFrame:
 
 
 def path_summary(stats: DataFrame) -> DataFrame:
-    """Mean, p50/95/99 (nearest rank), mean length, commonest pattern and its share."""
+    """Mean, p50/95/99 (nearest rank), mean length, commonest pattern and its share. Paths are found once and read four times."""
+    stats = cut_lineage(stats.select("pattern", "total_ms", "length"))
     top = stats.groupBy("pattern").agg(F.count("*").alias("c")).agg(F.max_by("pattern", F.struct("c", F.col("pattern"))).alias("pattern"), F.max("c").alias("c"), F.sum("c").alias("n"))
     base = stats.agg(F.avg("total_ms").alias("avg"), F.avg("length").alias("mean_length"))
     ranks = rank_percentiles(stats, [], "total_ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
