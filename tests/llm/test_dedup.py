@@ -145,6 +145,38 @@ def test_links_come_from_the_trees(documents):
         assert out == comp
 
 
+def test_blocks_share_the_pairs(documents):
+    """Two sets with many shingles in common meet in many blocks; one of those proposes them, and none is lost."""
+    r = random.Random(7)
+    base = prose(200, 200).split()
+    rows = []
+    for k in range(60):
+        w = list(base)
+        for p in r.sample(range(200), r.choice([1, 4, 7])):
+            w[p] = f"y{k}z{p}"
+        rows.append((k, " ".join(w)))
+    docs = documents(rows)
+    profiled = jaccard_join.saved(jaccard_join.profiles(docs, jaccard_join.shingle_ranks(docs), 5, 80))
+    _, blocks = jaccard_join.blocks_of(profiled)
+    points = profiled.selectExpr("row as id", "n", "point")
+    each = profiled.selectExpr("row as id", "row as label")
+    found = [tuple(sorted(p)) for p in jaccard_join.outside(blocks, each, points, 80).collect()]
+    members = {}
+    for b in blocks.filter("size > 2").collect():
+        members.setdefault(b.token, set()).add(b.id)
+    point = {p.id: p for p in points.collect()}
+    meet = {tuple(sorted((a, b))) for m in members.values() for a in m for b in m if a < b}
+    expected = set()
+    for a, b in meet:
+        (m, x), (n, y) = sorted((int(jaccard_join.level(p.n)), bytes(p.point)) for p in (point[a], point[b]))
+        low, high = jaccard_join.folded([x], m, m), jaccard_join.folded([y], n, m)
+        na, nb = point[a].n, point[b].n
+        if 100 * min(na, nb) >= 80 * max(na, nb) and np.minimum(low, high).sum() >= jaccard_join.required(na, nb):
+            expected.add((a, b))
+    assert expected and set(found) == expected
+    assert len(found) <= 2 * len(expected) < sum(len(m) * (len(m) - 1) // 2 for m in members.values())
+
+
 def test_tree_finds_all_members_above_the_bound():
     r = np.random.default_rng(0)
     points = r.integers(0, 6, (500, 16))

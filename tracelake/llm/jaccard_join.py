@@ -16,8 +16,9 @@ bring few documents together; blocks with the same members are one block.
 Links matter for connectivity alone. First each tree is searched for the block's hub, the
 member that shares most prefix shingles with others, and each set tries the strongest hub that
 its trees gave it. Then, in blocks where sets of different components are left, the trees are
-searched for every set outside the block's largest component. No link between different
-components is lost, and none within one is needed. Large blocks are dealt over several trees.
+searched for every set outside the block's largest component; of the blocks that two sets share,
+the one with the smallest shingle proposes them. No link between different components is lost,
+and none within one is needed. Large blocks are dealt over several trees.
 
 Defined cases: a document without words has an empty set, no links and its own component;
 one with fewer than five words has its whole word sequence as one shingle; equal texts are
@@ -280,12 +281,26 @@ def dealt(blocks: DataFrame, queries: DataFrame, points: DataFrame) -> DataFrame
     parts = F.ceil(F.col("size") / CHUNK).cast("int")
     members = blocks.select("token", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"), F.lit(False).alias("query"), "id", "label")
     asked = queries.select("token", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(True).alias("query"), "id", "label")
-    return members.unionByName(asked).join(points.select("id", "n", "point"), "id")
+    return members.unionByName(asked).join(points, "id")
+
+
+def apart(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which of the others have no number in common with ``own``, which ascends."""
+    out = np.ones(len(others), dtype=bool)
+    if len(own) and len(others):
+        flat = np.concatenate(others)
+        hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+        out[np.repeat(np.arange(len(others)), [len(x) for x in others])[hit]] = False
+    return out
 
 
 def searched(trees: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a query and a member of another label that pass the bound of the tree over the members."""
+    """Pairs (a, b) of a query and a member of another label that pass the bound of the tree over the members.
+
+    Where rows say which ``earlier`` blocks hold them, pairs that share one are left to it.
+    """
     names = ("token", "part", "query", "id", "label", "n")
+    lists = ("point", "earlier") if "earlier" in trees.columns else ("point",)
 
     def pairs_of(r: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         n, bits, asked = r["n"], level(r["n"]), r["query"]
@@ -301,6 +316,8 @@ def searched(trees: DataFrame, percent: int) -> DataFrame:
                 for x, p in zip(q.tolist(), folded([r["point"][i] for i in q], j, few), strict=True):
                     y = m[tree.search(p, required(n[x], n[m], percent))]
                     y = y[(r["label"][y] != r["label"][x]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))]
+                    if "earlier" in r:
+                        y = y[apart(r["earlier"][x], [r["earlier"][i] for i in y])]
                     if len(y):
                         yield np.full(len(y), r["id"][x]), r["id"][y]
 
@@ -312,7 +329,7 @@ def searched(trees: DataFrame, percent: int) -> DataFrame:
         def finish() -> None:
             if held and any(x["query"].any() for x in held):
                 rows = {c: np.concatenate([x[c] for x in held]) for c in names}
-                rows["point"] = [p for x in held for p in x["point"]]
+                rows |= {c: [v for x in held for v in x[c]] for c in lists}
                 for x, y in pairs_of(rows):
                     a.append(x)
                     b.append(y)
@@ -328,20 +345,23 @@ def searched(trees: DataFrame, percent: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
-            points = batch.column("point").to_pylist()
+            values = {"point": batch.column("point").to_pylist()}
+            if "earlier" in lists:
+                given = batch.column("earlier")
+                values["earlier"] = np.split(given.flatten().to_numpy(), np.cumsum(given.value_lengths().to_numpy())[:-1])
             new = (rows["token"][1:] != rows["token"][:-1]) | (rows["part"][1:] != rows["part"][:-1])
             edges = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 if held and (held[0]["token"][0], held[0]["part"][0]) != (rows["token"][lo], rows["part"][lo]):
                     finish()
-                held.append({c: v[lo:hi] for c, v in rows.items()} | {"point": points[lo:hi]})
+                held.append({c: v[lo:hi] for c, v in (rows | values).items()})
             if a:
                 yield flush()
         finish()
         if a:
             yield flush()
 
-    ordered = trees.select(*names, "point").repartition("token", "part").sortWithinPartitions("token", "part")
+    ordered = trees.select(*names, *lists).repartition("token", "part").sortWithinPartitions("token", "part")
     return map_arrow(ordered, run, "a long, b long")
 
 
@@ -380,6 +400,21 @@ def hub_pairs(near: DataFrame) -> DataFrame:
     return near.groupBy("b").agg(F.max(F.struct("strength", "a")).alias("h")).select("h.a", "b")
 
 
+def outside(blocks: DataFrame, labels: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a: outside its block's largest component, b) of different components that pass the bound, each from one of its blocks of more than two.
+
+    Of two sets of different components one is outside the largest in every block of both, so
+    it is their first block that proposes them.
+    """
+    marked = blocks.filter("size > 2").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    parts = marked.groupBy("token", "label").agg(F.count("*").alias("c"))
+    largest = parts.groupBy("token").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("labels")).filter("labels > 1").select("token", F.col("m.label").alias("largest"))
+    mixed = saved(marked.join(largest, "token"))
+    places = mixed.groupBy("id").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    trees = dealt(mixed, mixed.filter("label <> largest"), points.join(places, "id"))
+    return searched(trees.withColumn("earlier", F.filter("tokens", lambda t: t < F.col("token"))), percent)
+
+
 def other_pairs(blocks: DataFrame, near: DataFrame, labels: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """Pairs (a < b) of different components that pass the bound.
 
@@ -387,11 +422,7 @@ def other_pairs(blocks: DataFrame, near: DataFrame, labels: DataFrame, points: D
     largest component are searched for.
     """
     labels = labels.withColumnRenamed("node", "id")
-    marked = blocks.filter("size > 2").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    parts = marked.groupBy("token", "label").agg(F.count("*").alias("c"))
-    largest = parts.groupBy("token").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("labels")).filter("labels > 1").select("token", F.col("m.label").alias("largest"))
-    mixed = saved(marked.join(largest, "token"))
-    found = searched(dealt(mixed, mixed.filter("label <> largest"), points), percent)
+    found = outside(blocks, labels, points, percent)
     end = lambda side: labels.select(F.col("id").alias(side), F.col("label").alias(f"_{side}"))
     known = near.select("a", "b").join(end("a"), "a", "left").join(end("b"), "b", "left").filter(F.coalesce("_a", "a") != F.coalesce("_b", "b"))
     every = found.union(known.select("a", "b"))
