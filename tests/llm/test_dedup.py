@@ -145,6 +145,27 @@ def test_links_come_from_the_trees(documents):
         assert out == comp
 
 
+def test_shards_sort_only_pieces_with_repeats(monkeypatch):
+    """Of many pieces, only those that hold a string of 50 bytes twice reach the suffix array."""
+    r = np.random.default_rng(5)
+    size, n = 100, 4000
+    text = r.integers(97, 123, (n, size), dtype=np.uint8)
+    text[1::8, 20:80] = text[::8, 30:90]
+    text[1::8, [19, 80]] = 65  # the copies end here
+    sorted_bytes = []
+    inner = suffix_dedup.repeated
+
+    def noted(text, *rest):
+        sorted_bytes.append(len(text))
+        return inner(text, *rest)
+
+    monkeypatch.setattr(suffix_dedup, "repeated", noted)
+    zeros, ids = np.zeros(n, dtype=np.int64), np.arange(n)
+    found = suffix_dedup.removed_in_shard(ids, zeros, zeros, np.full(n, size - 49), text.ravel())
+    assert sorted(zip(found[0].tolist(), found[2].tolist(), found[3].tolist(), strict=True)) == [(k, 20, 80) for k in range(1, n, 8)]
+    assert sorted_bytes == [n // 4 * size]
+
+
 def test_blocks_share_the_pairs(documents):
     """Two sets with many shingles in common meet in many blocks; one of those proposes them, and none is lost."""
     r = random.Random(7)

@@ -241,7 +241,7 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     if distinct < len(lms):
         seq = names[lms]
         covered = 1
-        while distinct < len(lms) and covered < depth:  # a leftmost-smaller substring steps at least one symbol
+        while distinct < len(lms) and 2 * covered < depth:  # a leftmost-smaller substring steps at least two symbols
             after = np.zeros(len(seq), dtype=np.int64)
             after[:-covered or None] = seq[covered:] + 1 if covered < len(seq) else 0
             key = seq * (len(seq) + 2) + after
@@ -402,8 +402,10 @@ def removed_in_shard(ids: np.ndarray, version: np.ndarray, place: np.ndarray, co
     spread, shift = _U(0x9E3779B97F4A7C15), _U(64 - bits)
     table = np.zeros(1 << bits, dtype=bool)
     table[(twice * spread >> shift).astype(np.int64)] = True
+    near = np.flatnonzero(table[(h * spread >> shift).astype(np.int64)])  # other hashes fall on the same places
+    near = near[twice[np.minimum(np.searchsorted(twice, h[near]), len(twice) - 1)] == h[near]] if len(twice) else near
     flagged = np.zeros(len(left), dtype=bool)
-    flagged[piece[table[(h * spread >> shift).astype(np.int64)]]] = True
+    flagged[piece[near]] = True
     keep = left[flagged]
     if len(keep):
         kept_text = take(text, begin[keep], size[keep])
