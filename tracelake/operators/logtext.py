@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import columns as C
+from tracelake.functions.lineage import cut_lineage
+from tracelake.functions.phrases import LENGTHS, counters, phrases_on
 from tracelake.functions.stats import ratio
 from tracelake.functions.timeutil import bucket
 
@@ -133,13 +136,28 @@ def words(text: Column, longer: int = 2) -> Column:
     return F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda w: F.length(w) > longer)
 
 
-def key_phrases(df: DataFrame, text: Column, least: int = 3, most: int = 20) -> DataFrame:
-    """Two- and three-word phrases that aren't all stop words: count and count * ln(words + 1)."""
-    rows = df.select(words(text).alias("w"))
-    gram = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.slice("w", i, n))).otherwise(F.array().cast("array<array<string>>"))
-    g = rows.select(F.explode(F.concat(gram(2), gram(3))).alias("g")).filter(~F.forall("g", lambda x: x.isin(*STOP)))
-    out = g.groupBy("g").agg(F.count("*").alias("count")).filter(F.col("count") >= least)
-    return out.select(F.array_join("g", " ").alias("phrase"), "count", (F.col("count") * F.log(F.size("g") + 1)).alias("score")).orderBy(F.desc("score"), "phrase").limit(most)
+def key_phrases(df: DataFrame, text: Column, least: int = 3, most: int = 20, first: int = 2000) -> DataFrame:
+    """Two- and three-word phrases that aren't all stop words: count and count * ln(words + 1).
+
+    Phrases are counted on a table of counters, which bounds each one's count from above. Those on
+    the ``first`` counters by score are counted exactly; so are then all others whose counter
+    reaches the last place of those, however many they are.
+    """
+    texts, stop = df.filter(text.isNotNull()).select(F.lower(text).alias("text")), tuple(w for w in STOP if len(w) > 2)
+    bounds = counters(texts, 2, stop)
+    scores = np.where(bounds >= least, bounds * np.log([[n + 1] for n in LENGTHS]), 0.0)
+    chosen = (scores > 0) & (scores >= np.partition(scores.reshape(-1), -first)[-first])
+    found = _scored(texts, stop, chosen, least)
+    ranked = found.orderBy(F.desc("score"), "phrase").limit(most)
+    places = [r.score for r in ranked.select("score").collect()]
+    # a last digit's difference between logarithms must not lose a tie
+    missed = ~chosen & (scores > 0) & (scores >= (places[-1] * (1 - 1e-12) if len(places) == most else 0))
+    return found.unionByName(_scored(texts, stop, missed, least)).orderBy(F.desc("score"), "phrase").limit(most) if missed.any() else ranked
+
+
+def _scored(texts: DataFrame, stop: tuple[str, ...], chosen: np.ndarray, least: int) -> DataFrame:
+    out = phrases_on(texts, 2, stop, chosen).groupBy("phrase", "words").agg(F.sum("n").alias("count")).filter(F.col("count") >= least)
+    return cut_lineage(out.select("phrase", "count", (F.col("count") * F.log(F.col("words") + 1)).alias("score")))
 
 
 def languages(df: DataFrame, text: Column, key: str) -> DataFrame:
