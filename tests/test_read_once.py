@@ -34,3 +34,22 @@ def test_path_summary_finds_paths_once(spark):
     out = trees.path_summary(trees.path_stats(trees.critical_paths(spans(spark).filter("span_id <> '1-x'"))))
     assert "MapInArrow" not in plan(out) and "parent_span_id" not in plan(out)
     assert (out.first()["mean_length"], out.first()["pattern"]) == (3.0, "a:o0 -> b:o1 -> c:o2")
+
+
+def test_predictions_derive_their_spans_once(spark):
+    from tracelake.plans import q_prediction
+
+    out = plan(q_prediction.found(spark, "/root/testdata/sf0.001"))
+    assert "l_orderkey" not in out and "o_orderkey" not in out
+
+
+def test_health_summary_groups_traces_once(spark):
+    from tracelake.operators import incident
+
+    rows = spans(spark).unionByName(spark.createDataFrame([(None, "x", None, "a", "o0", None, 5.0, True)], _SPANS))
+    logs = spark.createDataFrame([("error", "failed"), ("info", "fine")], "level string, message string")
+    metrics = spark.createDataFrame([("cpu", 1.0)], "metric string, value double")
+    edges = spark.createDataFrame([("a", "b", 12, 0.0)], "source string, target string, call_count long, error_rate double")
+    out = incident.health_summary(rows, logs, metrics, edges, {"cpu": "cpu", "memory": "memory"})
+    assert "Expand" not in plan(out)
+    assert (out.first().traces, round(out.first().error_percent, 6)) == (12, round(100 / 12, 6))

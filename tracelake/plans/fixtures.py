@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracelake.functions.lineage import cut_lineage
+
 TABLES = ("orders", "lineitem", "events", "documents", "embeddings", "conversations", "supplier", "part", "customer", "nation", "region")
 
 SPANS = """
@@ -63,6 +65,11 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sql(spark, sf_dir, f"WITH {SPANS} SELECT * FROM spans")
 
 
+def spans_once(spark: SparkSession, sf_dir: str, *more: str, where: str = "true") -> DataFrame:
+    """Ids, service, duration, error and ``more`` of the spans, derived once and read from the shared folder by whatever uses them several times."""
+    return cut_lineage(spans(spark, sf_dir).filter(where).select("trace_id", "span_id", "parent_span_id", "service", "duration_ms", "is_error", *more))
+
+
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sql(spark, sf_dir, f"WITH {LOGS} SELECT * FROM logs")
 

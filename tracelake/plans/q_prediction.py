@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracelake.functions.lineage import cut_lineage
 from tracelake.operators import graph as G
 from tracelake.operators import prediction as D
-from tracelake.plans.fixtures import METRICS, SPANS, metrics, spans
+from tracelake.plans.fixtures import METRICS, SPANS, metrics, spans, spans_once
 from tracelake.plans.registry import query
 
 MONTH = 30 * 86400
@@ -22,7 +22,7 @@ def rounded(df, *names, digits=4):
 
 
 def past(spark, sf):
-    return spans(spark, sf).filter(F.col("start_ts") < F.lit(NOW).cast("timestamp_ntz"))
+    return spans_once(spark, sf, "start_ts", where=f"start_ts < timestamp_ntz'{NOW}'")
 
 
 def _series(rows: str) -> str:
