@@ -168,7 +168,8 @@ def bottlenecks(spans: DataFrame, edges: DataFrame, busiest: int = 3, many: int
 
 def health_summary(spans: DataFrame, logs: DataFrame, metrics: DataFrame, edges: DataFrame, resources: Mapping[str, str] = RESOURCES, many: int = 10_000) -> DataFrame:
     """One row: error % of traces, log error %, logs by level, CPU and memory mean and max, bottlenecks, score 100 - min(2e, 40) - min(l, 20) - min(5b, 20), status 90/70/50."""
-    s = spans.agg(F.count_distinct("trace_id").alias("traces"), F.count_distinct(F.when(_K("is_error"), _K("trace_id"))).alias("_e")).select("traces", percent(_K("_e"), _K("traces")).alias("error_percent"))
+    traces = spans.filter(_K("trace_id").isNotNull()).groupBy("trace_id").agg(F.max("is_error").alias("_e"))
+    s = traces.agg(F.count("*").alias("traces"), F.count_if("_e").alias("_e")).select("traces", percent(_K("_e"), _K("traces")).alias("error_percent"))
     lg = logs.groupBy("level").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("level", "n")))).alias("levels"), percent(F.sum(F.when(_is_error_log(), _K("n")).otherwise(0)), F.sum("n")).alias("log_error_percent"))
     m = metrics.agg(*[f(F.when(_K("metric") == resources[k], _K("value"))).cast("double").alias(f"{k}_{n}") for k in ("cpu", "memory") for n, f in (("mean", F.avg), ("max", F.max))]).fillna(0.0)
     b = bottlenecks(spans, edges, many=many).agg(F.count("*").alias("bottlenecks"), F.count_if(_K("kind") == "high_latency").alias("slow_operations"))

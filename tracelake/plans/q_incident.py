@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracelake.operators import graph as G
 from tracelake.operators import incident as N
 from tracelake.operators import reports as P
-from tracelake.plans.fixtures import LOGS, METRICS, SPANS, logs, metrics, spans
+from tracelake.plans.fixtures import LOGS, METRICS, SPANS, logs, metrics, spans, spans_once
 from tracelake.plans.q_graph import _CALLS
 from tracelake.plans.registry import query
 
@@ -108,7 +108,7 @@ necks AS (SELECT 'high_latency' AS kind, operation AS name, CAST(a AS DOUBLE) AS
 
 @query("m1_bottlenecks", f"WITH {_NECKS} SELECT kind, name, round(value, 4) AS value FROM necks")
 def _(spark, sf):
-    df = spans(spark, sf)
+    df = spans_once(spark, sf, "operation")
     return rounded(N.bottlenecks(df, G.dependency_edges(df), many=100), "value")
 
 
@@ -116,7 +116,7 @@ def _(spark, sf):
 m AS (SELECT avg(value) FILTER (WHERE metric = 'view') AS c, max(value) FILTER (WHERE metric = 'view') AS cm, avg(value) FILTER (WHERE metric = 'click') AS y, max(value) FILTER (WHERE metric = 'click') AS ym FROM metrics), b AS (SELECT count(*) AS b, count(*) FILTER (WHERE kind = 'high_latency') AS so FROM necks), z AS (SELECT *, round(greatest(0.0, 100 - least(e * 2, 40.0) - least(errors * 100.0 / n, 20.0) - least(b * 5, 20))) AS score FROM s, l, m, b)
 SELECT traces, round(e, 4) AS error_percent, errors AS error_logs, warnings, round(errors * 100.0 / n, 4) AS log_error_percent, round(c, 4) AS cpu_mean, cm AS cpu_max, round(y, 4) AS memory_mean, ym AS memory_max, b AS bottlenecks, so AS slow_operations, score, CASE WHEN score >= 90 THEN 'healthy' WHEN score >= 70 THEN 'degraded' WHEN score >= 50 THEN 'unhealthy' ELSE 'critical' END AS status FROM z""")
 def _(spark, sf):
-    df = spans(spark, sf)
+    df = spans_once(spark, sf, "operation")
     h = N.health_summary(df, logs(spark, sf), metrics(spark, sf), G.dependency_edges(df), RESOURCES, 100)
     h = h.select("traces", "error_percent", F.col("levels")["error"].alias("error_logs"), F.col("levels")["warn"].alias("warnings"), "log_error_percent", "cpu_mean", "cpu_max", "memory_mean", "memory_max", "bottlenecks", "slow_operations", "score", "status")
     return rounded(h, "error_percent", "log_error_percent", "cpu_mean", "memory_mean")
