@@ -80,3 +80,30 @@ def test_sketches_merge_and_stay_within_their_error(spark, error):
     for name, p in points.items():
         true = real[max(-(-int(p * 10000) * len(real) // 10000), 1) - 1]
         assert abs(whole[name] - true) <= error * abs(true) * 1.000001 + sketch.SMALLEST
+
+
+def test_drained_edges_equal_live_ones(spark, tmp_path):
+    r, batches = random.Random(3), []
+    for b in range(8):
+        rows = []
+        for t in range(30):
+            at, trace = b * 60 + r.randrange(60), f"{b}-{t}"
+            rows += [(trace, str(i), str(i - 1) if i else None, "web db cache".split()[i], minute(at + i * r.randrange(4)), i == 2, 1.0) for i in range(3)]
+        batches.append(rows)
+    for b in range(7):  # some spans arrive a batch late
+        batches[b + 1] += batches[b][::7]
+        batches[b] = [x for i, x in enumerate(batches[b]) if i % 7]
+    schema = "trace_id string, span_id string, parent_span_id string, service string, at string, is_error boolean, duration_ms double"
+    stream = files(spark, str(tmp_path / "in"), batches, schema)
+    want, got = (sorted(map(tuple, f.select("source", "target", "ts", "is_error", "duration_ms").collect())) for f in (S.drain(S.live_edges(stream, "2 hours", "5 minutes")), S.drained_edges(stream, "2 hours", "5 minutes")))
+    near = sum(i > 0 and x[4] is not None for rows in batches for x in rows for i in [int(x[1])])
+    assert got == want and 0 < len(got) <= near
+
+
+def test_steps_of_many_rows_have_equal_numbers_of_files(spark, tmp_path):
+    path = str(tmp_path / "in")
+    df = spark.range(3000).selectExpr("id", "timestamp'2024-01-01 00:00:00' as ts")
+    assert S.in_order(df, (F.col("id") / 1000).cast("int"), path, 250) == 4
+    assert len(spark.read.parquet(path).inputFiles()) == 12
+    got = S.drain(stream_table(spark, path, df.schema, "ts", files_per_trigger=4)).groupBy("_batch").agg(F.min("id").alias("a"), F.max("id").alias("b")).collect()
+    assert sorted((w["_batch"], w.a, w.b) for w in got) == [(k, 1000 * k, 1000 * k + 999) for k in range(3)]

@@ -97,13 +97,13 @@ def _(spark, sf):
 
 
 def arriving(spark, sf, path):
-    """The fixture's spans as files in the order of time: a span starts six hours after its trace's root for each line, a file holds 180 days."""
+    """The fixture's spans as files in the order of time: a span starts six hours after its trace's root for each line, a batch's files hold 180 days."""
     df = spans(spark, sf)
     roots = df.filter("parent_span_id is null").select("trace_id", F.col("start_ts").cast("timestamp").alias("began"))
     ts = F.col("began") + F.make_dt_interval(F.lit(0), F.col("line") * 6)
     df = df.join(roots, "trace_id").select("trace_id", "span_id", "parent_span_id", "service", ts.alias("ts"), "is_error", "duration_ms")
-    S.in_order(df, F.floor(F.unix_date(F.to_date("ts")) / 180).cast("int"), path)
-    return stream_table(spark, path, df.schema, "ts", files_per_trigger=1)
+    files = S.in_order(df, F.floor(F.unix_date(F.to_date("ts")) / 180).cast("int"), path, 250_000)
+    return stream_table(spark, path, df.schema, "ts", files_per_trigger=files)
 
 
 #: A span and its parent lie this far apart at most.
@@ -112,8 +112,8 @@ APART = "3 days"
 
 @query("st6_live_edges", f"WITH {SPANS} SELECT p.service AS source, c.service AS target, count(*) AS call_count, count(*) FILTER (WHERE c.is_error) AS error_count FROM spans c JOIN spans p ON p.trace_id = c.trace_id AND p.span_id = c.parent_span_id WHERE p.service <> c.service GROUP BY ALL")
 def _(spark, sf):
-    edges = S.live_edges(arriving(spark, sf, folder(spark, "spans")), "1 day", APART)
-    return S.drain(edges).groupBy("source", "target").agg(F.count("*").alias("call_count"), F.count_if("is_error").alias("error_count"))
+    edges = S.drained_edges(arriving(spark, sf, folder(spark, "spans")), "1 day", APART)
+    return edges.groupBy("source", "target").agg(F.count("*").alias("call_count"), F.count_if("is_error").alias("error_count"))
 
 
 #: Days by which the events of every fiftieth id arrive late. What is late is told by the watermark of the batch before.

@@ -47,12 +47,53 @@ def sessions(df: DataFrame, keys: Sequence[str], gap: str = "5 minutes", waterma
     return out.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *keys, "count")
 
 
+EDGE = ("source", "target", "ts", "is_error", "duration_ms")
+
+
+def _paired(children: DataFrame, parents: DataFrame, apart: str, *more: str) -> DataFrame:
+    """Child rows with their parents' service, at most ``apart`` from them in time; ``more`` columns of the parents come as ``_<name>``."""
+    p = parents.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_s"), F.col("service").alias("source"), F.col("ts").alias("_pts"), *[F.col(c).alias(f"_{c}") for c in more])
+    c = children.select("trace_id", "parent_span_id", F.col("service").alias("target"), "ts", "is_error", "duration_ms", *more)
+    near = F.expr(f"ts >= _pts - interval {apart} and ts <= _pts + interval {apart}")
+    return c.join(p, (F.col("trace_id") == F.col("_t")) & (F.col("parent_span_id") == F.col("_s")) & near).filter("source <> target")
+
+
 def live_edges(spans: DataFrame, watermark: str = "10 minutes", apart: str = "10 minutes") -> DataFrame:
     """Child spans joined with their parents of the stream: source, target, ts, is_error, duration_ms."""
-    p = spans.withWatermark("ts", watermark).select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_s"), F.col("service").alias("source"), F.col("ts").alias("_pts"))
-    c = spans.withWatermark("ts", watermark).select("trace_id", "parent_span_id", F.col("service").alias("target"), "ts", "is_error", "duration_ms")
-    near = F.expr(f"ts >= _pts - interval {apart} and ts <= _pts + interval {apart}")
-    return c.join(p, (F.col("trace_id") == F.col("_t")) & (F.col("parent_span_id") == F.col("_s")) & near).filter("source <> target").select("source", "target", "ts", "is_error", "duration_ms")
+    timed = spans.withWatermark("ts", watermark)
+    return _paired(timed, timed, apart).select(*EDGE)
+
+
+def drained_edges(spans: DataFrame, watermark: str = "10 minutes", apart: str = "10 minutes") -> DataFrame:
+    """The rows of ``live_edges`` over what is there now, for batches of many spans: a table in the shared checkpoint folder.
+
+    A state store keeps every span of a batch on both sides before it drops them again. Here a
+    batch is joined with itself and with the spans before it that the watermark still lets a span
+    meet; these are a table, which each batch writes for the next. A span further behind the
+    spans before its batch than the watermark is left out; ``live_edges`` may still take such a one.
+    """
+    import uuid
+
+    from tracelake.functions.lineage import shared_folder
+
+    base = f"{shared_folder(spans.sparkSession)}/edges-{uuid.uuid4().hex}"
+    rows = spans.select("trace_id", "span_id", "parent_span_id", "service", "ts", "is_error", "duration_ms")
+    write_edges, write_held = write_once(f"{base}/rows"), write_once(f"{base}/held")
+    last = lambda df: df.agg(F.unix_micros(F.max("ts"))).first()[0]
+    mark = lambda micros: F.timestamp_micros(F.lit(micros)) - F.expr(f"interval {watermark}")
+
+    def batch(new: DataFrame, k: int) -> None:
+        new = new.withColumn("_new", F.lit(True))
+        if k:
+            held = new.sparkSession.read.schema(rows.schema).parquet(f"{base}/held/_batch={k - 1}").withColumn("_new", F.lit(False))
+            before = last(held)
+            new = held.unionByName(new if before is None else new.filter(F.col("ts") > mark(before)))
+        write_edges(_paired(new, new, apart, "_new").filter("_new or __new").select(*EDGE), k)
+        now = last(new)
+        write_held(new.drop("_new").filter(F.lit(False) if now is None else F.col("ts") >= mark(now) - F.expr(f"interval {apart}")), k)
+
+    rows.writeStream.foreachBatch(batch).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spans.sparkSession.read.schema(_paired(rows, rows, apart).select(*EDGE).schema).parquet(f"{base}/rows")
 
 
 def without_duplicates(spans: DataFrame, keys: Sequence[str] = ("trace_id", "span_id"), watermark: str = "10 minutes") -> DataFrame:
@@ -166,16 +207,23 @@ def late_rows(progress: dict) -> int:
     return sum(int(s.get("numRowsDroppedByWatermark", 0)) for s in progress.get("stateOperators", []))
 
 
-def in_order(df: DataFrame, step: Column, path: str) -> list:
-    """Writes the rows as one file set a step, in the order of the steps, as if they had arrived that way; the steps."""
+def in_order(df: DataFrame, step: Column, path: str, rows_a_file: int | None = None) -> int:
+    """Writes the rows as one file set a step, in the order of the steps, as if they had arrived that way; the files of a step.
+
+    These are as many as the smallest step has ``rows_a_file``, so that a stream that takes so many
+    files at a time takes a step at a time; one file a step where none is given.
+    """
     spark = df.sparkSession
     rows = df.withColumn("_step", step)
     rows.write.partitionBy("_step").parquet(f"{path}-steps")
     kept = spark.read.parquet(f"{path}-steps")
-    steps = sorted(r[0] for r in kept.select("_step").distinct().collect())
-    for k in steps:
-        kept.filter(F.col("_step") == k).drop("_step").coalesce(1).write.mode("append").parquet(path)
-    return steps
+    steps = {r[0]: r[1] for r in kept.groupBy("_step").count().collect()}
+    files = max(1, min(steps.values(), default=0) // rows_a_file) if rows_a_file else 1
+    for k in sorted(steps):
+        one = kept.filter(F.col("_step") == k).drop("_step")
+        # rows are dealt in turns, and a task has far more of them than there are files, so none stays empty
+        (one.repartition(files) if files > 1 else one.coalesce(1)).write.mode("append").parquet(path)
+    return files
 
 
 def drain(df: DataFrame, mode: str = "append", each: Callable | None = None, progress: list | None = None) -> DataFrame:
