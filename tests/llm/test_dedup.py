@@ -46,6 +46,13 @@ def test_exact_groups(documents, corpus):
     assert got == expected
 
 
+def test_many_repeated_digests_are_not_broadcast(documents, corpus):
+    few, many = (exact_dedup.text_groups(documents(corpus), 4, most) for most in (100, 0))
+    assert few.count() == 3 and sorted(few.collect()) == sorted(many.collect())
+    assert "Broadcast" in few._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in many._jdf.queryExecution().executedPlan().toString()
+
+
 def test_dropping_copies_keeps_the_columns(documents, corpus):
     docs = documents(corpus)
     kept = exact_dedup.drop_copies(docs, 4)

@@ -42,7 +42,8 @@ def text_groups(docs: DataFrame, salts: int = SALTS, most_sent: int = MOST_SENT)
     if twice.count() <= most_sent:
         rows = rows.join(F.broadcast(twice), "digest", "left_semi")
     else:
-        rows = rows.join(twice.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["digest", "salt"], "left_semi")
+        # Spark's estimate of this side leaves out the salts; without the hint it may be built on the driver
+        rows = rows.join(twice.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge"), ["digest", "salt"], "left_semi")
     merged = rows.groupBy("digest", "salt", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     return merged.groupBy("digest", "text").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
 
