@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -53,6 +54,14 @@ def test_many_repeated_digests_are_not_broadcast(documents, corpus):
     assert "Broadcast" not in many._jdf.queryExecution().executedPlan().toString()
 
 
+def test_many_copies_are_not_broadcast(documents, corpus, monkeypatch):
+    few = exact_dedup.drop_copies(documents(corpus), 4).select("doc_id", "text")
+    monkeypatch.setattr("tracelake.llm.common.MOST_SENT", 0)
+    many = exact_dedup.drop_copies(documents(corpus), 4, 0).select("doc_id", "text")
+    assert few.count() == 21 and Counter(map(tuple, few.collect())) == Counter(map(tuple, many.collect()))
+    assert "Broadcast" not in many._jdf.queryExecution().executedPlan().toString()
+
+
 def test_dropping_copies_keeps_the_columns(documents, corpus):
     docs = documents(corpus)
     kept = exact_dedup.drop_copies(docs, 4)

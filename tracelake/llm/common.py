@@ -84,9 +84,9 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def small_or_shuffled(df: DataFrame, most: int) -> DataFrame:
-    """The rows, written, marked for a broadcast where they are ``most`` at most."""
+    """The rows, written, marked for a broadcast where they are ``most`` at most, and else for a join that never sends them: a file is far smaller than its rows in memory."""
     df = saved(df)
-    return F.broadcast(df) if df.count() <= most else df
+    return F.broadcast(df) if df.count() <= most else df.hint("merge")
 
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:

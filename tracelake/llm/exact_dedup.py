@@ -71,8 +71,8 @@ def drop_copies(docs: DataFrame, salts: int = SALTS, most_sent: int = MOST_SENT)
     with the last text in the order of their hashes.
     """
     rows = exact_groups(docs, salts, most_sent).filter("group_size > 1")
-    each = rows.groupBy("text_sha256", "doc_id", "key", "kept").agg(F.count("*").alias("times"))
-    last = each.filter("kept").groupBy("text_sha256").agg(F.max(F.struct(F.col("key"))).alias("last"))
+    each = saved(rows.groupBy("text_sha256", "doc_id", "key", "kept").agg(F.count("*").alias("times")))
+    last = small_or_shuffled(each.filter("kept").groupBy("text_sha256").agg(F.max(F.struct(F.col("key"))).alias("last")), most_sent)
     kept = F.col("kept") & F.struct(F.col("key")).eqNullSafe(F.col("last"))
     return without(docs, each.join(last, "text_sha256").select(F.col("doc_id").cast("long").alias("doc_id"), "key", kept.alias("kept"), "times"))
 
