@@ -84,7 +84,7 @@ def _(spark, sf):
 @query("e12_log_clusters")
 def _(spark, sf):
     e = V.embed_column(logs(spark, sf).select("event_id", "message"), "message", dim=64)
-    c = V.cluster(e, "event_id", "embedding", 5, rounds=1)
+    c = V.cluster(e, "event_id", "embedding", 5, rounds=None)
     return c.groupBy("cluster").agg(F.count("*").alias("size"))
 
 
